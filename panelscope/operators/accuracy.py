@@ -525,37 +525,35 @@ def best_threshold(features: DataFrame, col: str, higher_is_fp: bool, positive:
     """Of 60 quantile cuts the first that maximises filtered false
     positives plus kept positives minus one.
 
-    The cuts come from one distributed rank pass; the counts at every cut from
-    the same running sums, so no row meets every cut.
+    Each value is filed under the number of cuts below it; the counts beyond
+    every cut are then running sums over at most 61 rows.
     """
-    shares = {f"q{i:02d}": 0.01 + 0.98 * i / (steps - 1) for i in range(steps)}
     clean = features.select(F.col(col).cast("double").alias("v"), F.col(positive).alias("pos")).where("v IS NOT NULL")
-    cuts = ranks.quantiles(clean, [], "v", shares)
-    listed = cuts.select(F.posexplode(F.array(*[F.col(q) for q in shares])).alias("no", "cut"))
-    hist = ranks.histogram(clean, [], "v", p=F.col("pos"), q=1 - F.col("pos"))
-    arr = listed.agg(F.array_sort(F.collect_list(F.struct("no", "cut"))).alias("a")).scalar()  # 60 entries
-    beyond = (lambda c: F.col("v") > c) if higher_is_fp else (lambda c: F.col("v") < c)
-    sums = hist.withColumn("cuts", arr).agg(
-        F.sum("p").alias("np"), F.sum("q").alias("nq"),
-        *[
-            agg
-            for i in range(steps)
-            for agg in (
-                F.sum(F.when(beyond(F.col("cuts")[i]["cut"]), F.col("q")).otherwise(0)).alias(f"f{i}"),
-                F.sum(F.when(beyond(F.col("cuts")[i]["cut"]), F.col("p")).otherwise(0)).alias(f"l{i}"),
-            )
-        ],
-        F.first("cuts").alias("cuts"),
-    )
-    rows = F.array(*[
-        F.struct(
-            F.lit(i).alias("no"), F.col("cuts")[i]["cut"].alias("cut"),
-            (F.col(f"f{i}") / F.col("nq")).alias("fp_filtered"),
-            (1 - F.col(f"l{i}") / F.col("np")).alias("pos_kept"),
+    cuts = ranks.quantiles_long(clean, [], "v", [0.01 + 0.98 * i / (steps - 1) for i in range(steps)])
+    listed = cuts.agg(F.array_sort(F.collect_list(F.struct("no", "value"))).alias("a")).scalar()  # one entry per cut
+    hist = ranks.histogram(clean, [], "v", p=F.col("pos"), q=1 - F.col("pos")).withColumn("cuts", listed)
+    below = F.size(F.filter("cuts", lambda c: (c["value"] < F.col("v")) if higher_is_fp else (c["value"] <= F.col("v"))))
+    filed = hist.groupBy(below.alias("below")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    slots = filed.agg(
+        F.sum("p").alias("np"), F.sum("q").alias("nq"), F.collect_list(F.struct("below", "p", "q")).alias("slots")
+    )  # at most 61 entries
+    def beyond(s, no):
+        return (s["below"] > no) if higher_is_fp else (s["below"] <= no)
+
+    def count(field, no):
+        return F.aggregate(
+            F.filter("slots", lambda s: beyond(s, no)), F.lit(0).cast("long"), lambda acc, s: acc + s[field]
         )
-        for i in range(steps)
-    ])
-    scored = sums.select(F.inline(rows)).withColumn("gain", F.round(F.col("fp_filtered") + F.col("pos_kept") - 1, 9))
+
+    scored = (
+        slots.select("np", "nq", "slots", F.inline(listed))
+        .withColumns({"f": count("q", F.col("no")), "l": count("p", F.col("no"))})
+        .select(
+            "no", F.col("value").alias("cut"),
+            (F.col("f") / F.col("nq")).alias("fp_filtered"), (1 - F.col("l") / F.col("np")).alias("pos_kept"),
+        )
+        .withColumn("gain", F.round(F.col("fp_filtered") + F.col("pos_kept") - 1, 9))
+    )
     return scored.orderBy(F.col("gain").desc(), F.col("no").asc()).limit(1)
 
 

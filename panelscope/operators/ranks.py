@@ -65,10 +65,14 @@ def running_sums(
     return out.drop(*drop, *(["_all"] if made_key else []))
 
 
-def order_values(df: DataFrame, keys: Sequence[str], value: str, indexes: dict[str, Column], ascending: bool = True) -> DataFrame:
-    """Values at 0-based positions of the sorted list of each key.
+def order_values_long(
+    df: DataFrame, keys: Sequence[str], value: str, indexes: Sequence[Column], ascending: bool = True
+) -> DataFrame:
+    """Rows (keys, n, no, value): the value at each 0-based position of the
+    sorted list of its key.
 
-    ``indexes`` are expressions over ``n``, the row count of the key.
+    ``indexes`` are expressions over ``n``, the row count of the key.  A value
+    is emitted only for the positions it covers, so few rows leave the pass.
     """
     hist = histogram(df.where(F.col(value).isNotNull()), keys, value, cnt=F.lit(1))
     ranked = running_sums(hist, keys, value, ["cnt"], ascending)
@@ -77,29 +81,38 @@ def order_values(df: DataFrame, keys: Sequence[str], value: str, indexes: dict[s
         joined = ranked.join(totals, list(keys))
     else:
         joined = ranked.withColumn("n", totals.scalar())
-    picks = [
-        F.max(F.when((F.col("before_cnt") <= i) & (i < F.col("upto_cnt")), F.col(value))).alias(name)
-        for name, i in indexes.items()
-    ]
-    return joined.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
+    wanted = F.array(*[F.struct(F.lit(no).alias("no"), i.cast("long").alias("i")) for no, i in enumerate(indexes)])
+    mine = F.filter(wanted, lambda w: (w["i"] >= F.col("before_cnt")) & (w["i"] < F.col("upto_cnt")))
+    return joined.select(*keys, "n", value, F.inline(mine)).select(*keys, "n", "no", F.col(value).alias("value"))
+
+
+def order_values(df: DataFrame, keys: Sequence[str], value: str, indexes: dict[str, Column], ascending: bool = True) -> DataFrame:
+    """``order_values_long`` with one column per position."""
+    long = order_values_long(df, keys, value, list(indexes.values()), ascending)
+    picks = [F.max(F.when(F.col("no") == no, F.col("value"))).alias(name) for no, name in enumerate(indexes)]
+    return long.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
+
+
+def quantiles_long(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Rows (keys, n, no, value) of exact linear quantiles."""
+    at = [(F.col("n") - 1) * F.lit(float(q)) for q in shares]
+    ends = order_values_long(df, keys, value, [e for a in at for e in (F.floor(a), F.ceil(a))])
+    q_no = F.expr("cast(no div 2 AS int)")
+    share = F.element_at(F.array(*[F.lit(float(q)) for q in shares]), q_no + 1)
+    pairs = ends.select(*keys, "n", q_no.alias("no"), (F.col("no") % 2).alias("end"), "value", ((F.col("n") - 1) * share).alias("at"))
+    low = F.max(F.when(F.col("end") == 0, F.col("value")))
+    high = F.max(F.when(F.col("end") == 1, F.col("value")))
+    return pairs.groupBy(*keys, "n", "no", "at").agg(low.alias("lo"), high.alias("hi")).select(
+        *keys, "n", "no", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value")
+    )
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact linear quantiles per key, as ``percentile`` defines them, without
     holding a key's values in one aggregation buffer."""
-    indexes: dict[str, Column] = {}
-    for name, q in shares.items():
-        at = (F.col("n") - 1) * F.lit(float(q))
-        indexes[f"_lo_{name}"] = F.floor(at)
-        indexes[f"_hi_{name}"] = F.ceil(at)
-    picked = order_values(df, keys, value, indexes)
-    cols = []
-    for name, q in shares.items():
-        at = (F.col("n") - 1) * F.lit(float(q))
-        part = at - F.floor(at)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        cols.append((lo + (hi - lo) * part).alias(name))
-    return picked.select(*keys, "n", *cols)
+    long = quantiles_long(df, keys, value, list(shares.values()))
+    picks = [F.max(F.when(F.col("no") == no, F.col("value"))).alias(name) for no, name in enumerate(shares)]
+    return long.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
 
 
 def auroc(df: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:

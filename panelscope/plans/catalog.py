@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from panelscope.plans import accuracy_queries, store_queries  # noqa: F401
+from panelscope.plans import (  # noqa: F401
+    accuracy_queries, region_queries, source_queries, store_queries, verdict_queries,
+)
 from panelscope.plans.registry import callables, oracle  # noqa: F401
