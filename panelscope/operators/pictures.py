@@ -55,69 +55,73 @@ def array_quantile(values: Column, share: float | Column) -> Column:
 
 
 def tile_metrics(maps: DataFrame) -> DataFrame:
-    """G09 inputs: peak, mean, top-10 mean, 99th percentile, hot share."""
+    """G09 inputs: peak, top-10 mean, 99th percentile, mean of the positive
+    values, share of values at half the peak or more."""
     heat = F.col("heat")
     peak = F.array_max(heat)
     ordered = F.sort_array(heat, asc=False)
+    positive = F.filter("heat", lambda v: v > 0)
     return maps.withColumns(
         {
             "m_max": peak.cast("double"),
-            "m_top10": total(F.slice(ordered, 1, 10)) / F.least(F.lit(10), F.size(heat)),
+            "m_top10": F.when(F.size(heat) >= 10, total(F.slice(ordered, 1, 10)) / 10).otherwise(peak.cast("double")),
             "m_p99": array_quantile(heat, 0.99),
-            "m_mean": total(heat) / F.size(heat),
+            "m_mean": F.when(F.size(positive) > 0, total(positive) / F.size(positive)),
             "hot_share": count_where(heat, lambda v: v * 2 >= peak) / F.size(heat),
         }
     )
 
 
-def tile_score(maps: DataFrame, components: DataFrame, keys: list[str], cfg: dict | None = None) -> DataFrame:
-    """Score after area, concentration, spread and mask-decay stages.
+SIDES = ("left", "right", "top", "bottom")
 
-    ``components`` gives ``max_area`` per tile (largest component above half
-    peak).  Every stage can be switched off in ``cfg``.
+
+def _faded(margin: int):
+    """Value after the quadratic decay toward each flagged side (is_left ...)."""
+
+    def fade(v, i):
+        x, y = i % F.col("w"), F.floor(i / F.col("w"))
+        depth = {"left": x, "right": F.col("w") - 1 - x, "top": y, "bottom": F.col("h") - 1 - y}
+        out = v.cast("double")
+        for side in SIDES:
+            share = depth[side].cast("double") / (margin - 1)
+            out = out * F.when((F.col(f"is_{side}") == 1) & (depth[side] < margin), share * share).otherwise(1.0)
+        return out
+
+    return fade
+
+
+def tile_score(maps: DataFrame, largest: DataFrame, keys: list[str], cfg: dict | None = None) -> DataFrame:
+    """Score after area, concentration, spread and side-decay stages.
+
+    ``largest`` gives ``max_area`` per tile (largest component above half the
+    metric); ``maps`` carries is_left .. is_bottom.  Each stage has a switch.
     """
     c = {
-        "metric": "m_max", "threshold": 30.0, "min_area": 20, "concentration": 2.0, "spread": 0.3,
-        "decay_margin": 2, "use_area": True, "use_concentration": True, "use_spread": True, "use_decay": True,
+        "metric": "m_max", "threshold": 30.0, "min_area": 10, "concentration": 2.0, "concentration_penalty": 0.5,
+        "spread": 0.3, "spread_penalty": 0.5, "decay_margin": 3,
+        "use_area": True, "use_concentration": True, "use_spread": True, "use_decay": True,
         **(cfg or {}),
     }
-    m = tile_metrics(maps).join(components.select(*keys, "max_area"), keys, "left")
-    score = F.col(c["metric"])
+    m = tile_metrics(maps).join(largest.select(*keys, "max_area"), keys, "left")
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    area = conc = spread = decay = F.lit(1.0)
     if c["use_area"]:
         small = F.coalesce("max_area", F.lit(0)) < c["min_area"]
-        score = F.when((score >= c["threshold"]) & small, score * 0.5).otherwise(score)
-    m = m.withColumn("s1", score)
-    if c["use_concentration"]:
-        ratio = F.when(F.col("m_mean") > 0, F.col("m_max") / F.col("m_mean"))
-        penalty = F.greatest(F.lit(0.5), F.lit(0.5) + F.lit(0.5) * (ratio - 1) / (c["concentration"] - 1))
-        m = m.withColumn("s2", F.when(ratio < c["concentration"], F.col("s1") * penalty).otherwise(F.col("s1")))
-    else:
-        m = m.withColumn("s2", F.col("s1"))
-    if c["use_spread"]:
-        over = (F.col("hot_share") - c["spread"]) / (1.0 - c["spread"])
-        m = m.withColumn(
-            "s3",
-            F.when(F.col("hot_share") > c["spread"], F.col("s2") * (1 - 0.5 * F.least(F.lit(1.0), over))).otherwise(
-                F.col("s2")
-            ),
-        )
-    else:
-        m = m.withColumn("s3", F.col("s2"))
-    if c["use_decay"]:
-        margin = c["decay_margin"]
-
-        def faded(v, i):
-            gap = F.least(i % F.col("w"), F.col("w") - 1 - i % F.col("w"))
-            row = F.floor(i / F.col("w"))
-            gap = F.least(gap, row, F.col("h") - 1 - row)
-            share = F.least(F.lit(1.0), gap.cast("double") / margin)
-            return v * share * share
-
-        after = F.array_max(F.transform("heat", faded))
-        m = m.withColumn("final_score", F.when(F.col("m_max") > 0, F.col("s3") * after / F.col("m_max")).otherwise(F.col("s3")))
-    else:
-        m = m.withColumn("final_score", F.col("s3"))
-    return m.drop("s1", "s2", "s3")
+        area = F.when((F.col(c["metric"]) >= c["threshold"]) & small, 0.5).otherwise(1.0)
+    if c["use_concentration"] and c["concentration"] > 1:
+        ratio = F.col("m_max") / F.col("m_mean")
+        low = c["concentration_penalty"]
+        conc = F.when(ratio < c["concentration"], low + (1 - low) * unit((ratio - 1) / (c["concentration"] - 1))).otherwise(1.0)
+    if c["use_spread"] and c["spread"] < 1:
+        over = unit((F.col("hot_share") - c["spread"]) / (1 - c["spread"]))
+        spread = F.when((F.col("m_max") > 0) & (F.col("hot_share") > c["spread"]), 1 - (1 - c["spread_penalty"]) * over).otherwise(1.0)
+    if c["use_decay"] and c["decay_margin"] > 1:
+        after = F.array_max(F.transform("heat", _faded(c["decay_margin"])))
+        any_side = (F.col("is_left") + F.col("is_right") + F.col("is_top") + F.col("is_bottom")) > 0
+        decay = F.when(~any_side, 1.0).when(F.col("m_max") > 0, after / F.col("m_max")).otherwise(0.0)
+    return m.withColumns({"f_area": area, "f_concentration": conc, "f_spread": spread, "f_decay": decay}).withColumn(
+        "final_score", F.col(c["metric"]) * F.col("f_area") * F.col("f_concentration") * F.col("f_spread") * F.col("f_decay")
+    )
 
 
 def overexposed(maps: DataFrame, keys: list[str], bright_mean: float = 200, bright: int = 230, share: float = 0.5) -> DataFrame:

@@ -408,13 +408,14 @@ SELECT sample_id AS id, 'J1' AS job_id, lighting, zone, CASE WHEN is_normal THEN
   CASE WHEN sample_id % 7 = 0 THEN 'reject' ELSE 'accept' END AS decision FROM samples""",
     "score_cache": """
 SELECT sample_id AS tile_id, 10 AS bundle_id, score FROM samples WHERE score < CAST(0.7 AS DOUBLE)""",
-    "pixel_rows": """
-SELECT t.*, CAST(i % 16 AS INT) AS px, CAST(i // 16 AS INT) AS py,
+    # the maps of all tiles take 16 forms, told apart by two part-number rules
+    "pics": """
+SELECT CAST(s AS INT) AS s, CAST(z AS INT) AS z, CAST(i % 16 AS INT) AS px, CAST(i // 16 AS INT) AS py,
   CAST(greatest(0, 60 - 4 * ((i % 16 - 4) * (i % 16 - 4) + (i // 16 - 4) * (i // 16 - 4)))
-     + greatest(0, 50 - 4 * ((i % 16 - 11) * (i % 16 - 11)
-       + (i // 16 - 4 - part_no % 8) * (i // 16 - 4 - part_no % 8))) AS INT) AS v,
-  CAST(part_no % 3 <> 0 AND (i % 16 - 4) * (i % 16 - 4) + (i // 16 - 4) * (i // 16 - 4) <= 6 AS INT) AS d
-FROM tiles t, range(256) AS r(i)""",
+     + greatest(0, 50 - 4 * ((i % 16 - 11) * (i % 16 - 11) + (i // 16 - 4 - s) * (i // 16 - 4 - s))) AS INT) AS v,
+  CAST(z = 1 AND (i % 16 - 4) * (i % 16 - 4) + (i // 16 - 4) * (i // 16 - 4) <= 6 AS INT) AS d
+FROM range(8) a(s), range(2) b(z), range(256) r(i)""",
+    "pic_tiles": "SELECT *, CAST(part_no % 8 AS INT) AS s, CAST(part_no % 3 <> 0 AS INT) AS z FROM tiles",
     "manifest": """
 SELECT glass_id || '_' || split_part(t.image_name, '.', 1) || '_tile' || CAST(tile_id AS VARCHAR) AS sample_id,
   CASE WHEN is_dust = 1 THEN 'over_surface_dirt' WHEN is_bomb = 1 THEN 'over_other'
