@@ -7,7 +7,7 @@ Everything after it is joins and aggregates over small component rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -115,60 +115,69 @@ def _measure(mask: np.ndarray, heat: np.ndarray, dust: np.ndarray, shapes: bool)
     return tile, out
 
 
-def components(maps: DataFrame, keys: Sequence[str], hot: Column, value: str = "heat", shapes: bool = False) -> DataFrame:
-    """One row per component of the 0/1 array ``hot``.
+def components(
+    maps: DataFrame, keys: Sequence[str], hot: Callable, shapes: bool = False, extra: Sequence[str] = ()
+) -> DataFrame:
+    """One row per component of ``hot(heat, dust, extra)``.
 
-    ``maps``: keys, h, w, the value array and optionally ``dust``; components
-    are numbered in raster order.  ``dust_peak`` is -1 without dust.
+    ``hot`` maps stacks (n, h, w) to a mask; see ``half_peak``, ``top_share``
+    and ``beyond``.  Components are numbered in raster order; ``dust_peak`` is
+    -1 without dust.
     """
-    dust = F.col("dust") if "dust" in maps.columns else F.transform(value, lambda _: F.lit(0))
-    sent = maps.select(
-        *keys, "h", "w", F.col(value).cast("array<double>").alias("_v"), hot.cast("array<tinyint>").alias("_hot"), dust.cast("array<tinyint>").alias("_dust")
-    ).where(F.array_max("_hot") > 0)
+    dust = F.col("dust") if "dust" in maps.columns else F.array_repeat(F.lit(0), F.size("heat"))
+    sent = maps.select(*dict.fromkeys([*keys, *extra, "h", "w"]), F.col("heat").alias("_heat"), dust.alias("_dust"))
     key_types = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
     names = [c.split()[0] for c in STATS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
             for (h, w), same in batch.groupby(["h", "w"], sort=False):
                 shape = (len(same), int(h), int(w))
-                stack = [np.concatenate(same[c].to_numpy()).reshape(shape) for c in ("_hot", "_v", "_dust")]
-                tile, out = _measure(stack[0] > 0, stack[1], stack[2], shapes)
+                heat = np.concatenate(same["_heat"].to_numpy()).reshape(shape).astype(float)
+                mask = np.concatenate(same["_dust"].to_numpy()).reshape(shape) > 0
+                on = hot(heat, mask, {c: same[c].to_numpy() for c in extra})
+                tile, out = _measure(on, heat, mask, shapes)
                 if len(tile):
                     found = pd.DataFrame(out)
                     for k in keys:
                         found[k] = same[k].to_numpy()[tile]
-                    parts.append(found[[*keys, *names]])
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                    yield found[[*keys, *names]]
 
     return sent.mapInPandas(run, f"{key_types}, {STATS}")
 
 
-def above(value: str, cut: Column, strict: bool = False) -> Column:
-    """0/1 array of positive values at or beyond ``cut``."""
-    if strict:
-        return F.transform(value, lambda v: ((v > 0) & (v > cut)).cast("int"))
-    return F.transform(value, lambda v: ((v > 0) & (v >= cut)).cast("int"))
+def half_peak(heat, dust, extra):
+    """Positive pixels above half of the tile's peak."""
+    return (heat > 0) & (heat > heat.max(axis=(1, 2), keepdims=True) * 0.5)
+
+
+def top_share(percent: float) -> Callable:
+    """Hottest share of the positive pixels of each tile."""
+    return lambda heat, dust, extra: (heat > 0) & (heat >= P.top_cut(heat, percent)[:, None, None])
+
+
+def beyond(level: float) -> Callable:
+    return lambda heat, dust, extra: heat > level
 
 
-def top_cut(value: str, top_percent: float) -> Column:
-    """Percentile of the positive values that leaves the top share."""
-    return P.array_quantile(F.filter(value, lambda v: v > 0), 1 - top_percent / 100.0)
+def dusty(heat, dust, extra):
+    return dust
 
 
-def max_area(maps: DataFrame, keys: Sequence[str], metric: str = "m_max") -> DataFrame:
-    """Largest component above half of the tile metric (for G09)."""
-    m = P.tile_metrics(maps).withColumn("_cut", F.col(metric) * 0.5)
-    return components(m, keys, above("heat", F.col("_cut"), strict=True)).groupBy(*keys).agg(F.max("area").alias("max_area"))
+def max_area(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Largest component above half of the peak (for G09)."""
+    return components(maps, keys, half_peak).groupBy(*keys).agg(F.max("area").alias("max_area"))
 
 
 def bright_spots(maps: DataFrame, keys: Sequence[str], diff: int = 10, absolute: int = 200, min_area: int = 5) -> DataFrame:
     """``maps`` with a ``background`` array; score 1 when a component of
     bright pixels is large enough."""
-    hot = F.zip_with("heat", "background", lambda v, b: ((v - b > diff) | (v > absolute)).cast("int"))
-    spots = components(maps, keys, hot).where(F.col("area") >= min_area)
+
+    def hot(heat, dust, extra):
+        ground = np.concatenate(extra["background"]).reshape(heat.shape)
+        return (heat - ground > diff) | (heat > absolute)
+
+    spots = components(maps, keys, hot, extra=["background"]).where(F.col("area") >= min_area)
     found = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("spots"), F.sum("area").alias("spot_px"))
     return maps.select(*keys).join(found, list(keys), "left").select(
         *keys, F.when(F.col("spots") > 0, 1.0).otherwise(0.0).alias("score"),
@@ -180,7 +189,7 @@ def dust_particles(maps: DataFrame, keys: Sequence[str], area_min: int = 4, area
     """Particles and scratches of the 0/1 array ``dust`` per tile."""
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     aspect = F.greatest(w, h) / (F.least(w, h) + 1e-5)
-    kept = components(maps, keys, F.col("dust")).where(F.col("area").between(area_min, area_max))
+    kept = components(maps, keys, dusty).where(F.col("area").between(area_min, area_max))
     return kept.groupBy(*keys).agg(
         F.count_if(aspect <= 5).alias("particles"), F.count_if(aspect > 5).alias("scratches"), F.sum("area").alias("dust_area")
     )
@@ -195,26 +204,24 @@ def dust_regions(
     ``seed`` (y, x, radius, least share of the tile peak) adds a disc to the
     hot pixels; ``mask_first`` blanks dust before the cut.
     """
-    m = maps
-    if mask_first:
-        m = m.withColumn("_base", F.zip_with("heat", "dust", lambda v, d: F.when(d > 0, 0).otherwise(v)))
-    base = "_base" if mask_first else "heat"
-    m = m.withColumn("_cut", top_cut(base, top_percent))
-    m = m.withColumn("_hot", above(base, F.col("_cut")))
+    extra: list[str] = []
     if seed is not None:
         sy, sx, radius, share = seed
-        m = m.withColumn("_least", F.array_max("heat") * F.lit(float(share)))
-
-        def disc(v, i):
-            x, y = i % F.col("w"), F.floor(i / F.col("w"))
-            near = (y - sy) * (y - sy) + (x - sx) * (x - sx) <= radius * radius
-            return (near & (v >= F.col("_least"))).cast("int")
-
-        m = m.withColumn("_hot", F.zip_with("_hot", F.transform("heat", disc), lambda a, b: F.greatest(a, b)))
-    total_dust = P.total(F.col("dust")).alias("tile_dust")
-    regions = components(m, keys, F.col("_hot"))
+        maps = maps.withColumns({"_sy": sy.cast("int"), "_sx": sx.cast("int")})
+        extra = ["_sy", "_sx"]
+
+    def hot(heat, dust, given):
+        base = np.where(dust, 0, heat) if mask_first else heat
+        on = (base > 0) & (base >= P.top_cut(base, top_percent)[:, None, None])
+        if given:
+            y, x = np.mgrid[: heat.shape[1], : heat.shape[2]]
+            away = (y - given["_sy"][:, None, None]) ** 2 + (x - given["_sx"][:, None, None]) ** 2
+            on |= (away <= radius * radius) & (heat >= heat.max(axis=(1, 2), keepdims=True) * share)
+        return on
+
+    regions = components(maps, keys, hot, extra=extra)
     if metric == "iou":
-        regions = regions.join(maps.select(*keys, total_dust), list(keys))
+        regions = regions.join(P.heat_overlap(maps, list(keys)).select(*keys, F.col("dust_px").alias("tile_dust")), list(keys))
         coverage = F.col("dust_px") / (F.col("area") + F.col("tile_dust") - F.col("dust_px"))
     else:
         coverage = F.col("dust_px") / F.col("area")
@@ -242,16 +249,15 @@ def region_verdict(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def two_stage(
-    maps: DataFrame, keys: Sequence[str], feature_hot: Column, feature_dust: float = 0.3, zone_dust: float = 0.5, min_area: int = 3,
+    maps: DataFrame, keys: Sequence[str], feature_hot: Callable, feature_dust: float = 0.3, zone_dust: float = 0.5, min_area: int = 3,
     top_percent: float = 5.0,
 ) -> DataFrame:
-    """Features (components of the 0/1 array ``feature_hot``) are dust by
+    """Features (components of the mask ``feature_hot``) are dust by
     their own dust share or by that of the hot zone they lie in.
 
     A feature belongs to the zone whose box holds its centre.
     """
-    m = maps.withColumn("_cut", top_cut("heat", top_percent))
-    zones = components(m, keys, above("heat", F.col("_cut"))).select(
+    zones = components(maps, keys, top_share(top_percent)).select(
         *keys, F.col("comp").alias("zone"), *[F.col(c).alias(f"z_{c}") for c in ("x0", "y0", "x1", "y1")],
         (F.col("dust_px") / F.col("area")).alias("zone_share"),
     )
@@ -297,10 +303,12 @@ def dust_decision(tiles: DataFrame, regions: DataFrame, stages: DataFrame, keys:
 def edge_dust(maps: DataFrame, keys: Sequence[str], regions: DataFrame, threshold: float = 0.01) -> DataFrame:
     """Patchcore findings follow their regions; cv findings take the dust
     coverage of their mask inside the map."""
-    hot = F.transform("heat", lambda v: (v > 0).cast("int"))
-    inter = P.total(F.zip_with(hot, "dust", lambda a, b: a * b))
-    area = P.count_where(F.col("heat"), lambda v: v > 0)
-    cv = maps.select(*keys, "source_inspector", F.when(area > 0, inter / area).otherwise(0.0).alias("mask_coverage"))
+
+    def measure(heat, dust, extra):
+        flat = (heat > 0).reshape(len(heat), -1)
+        return {"mask_coverage": (flat & dust.reshape(len(dust), -1)).sum(axis=1) / np.maximum(flat.sum(axis=1), 1)}
+
+    cv = P.per_stack(maps, [*keys, "source_inspector"], "mask_coverage double", measure)
     v = region_verdict(regions, keys).select(*keys, "real_regions")
     joined = cv.join(v, list(keys), "left")
     return joined.withColumn(
@@ -315,8 +323,7 @@ def edge_components(
 ) -> DataFrame:
     """Components of the difference map that are large, contrasted and
     solid enough; centre and box."""
-    hot = F.transform("heat", lambda v: (v > threshold).cast("int"))
-    c = components(maps, keys, hot, shapes=min_solidity > 0)
+    c = components(maps, keys, beyond(threshold), shapes=min_solidity > 0)
     solidity = F.when(F.col("hull_area") > 0, F.col("area") / F.col("hull_area")).otherwise(1.0)
     return c.where((F.col("area") >= min_area) & (F.col("peak") >= min_diff) & (solidity >= min_solidity)).select(
         *keys, "comp", "area", F.col("peak").cast("int").alias("max_diff"),
@@ -360,8 +367,7 @@ def thin_lines(pixels: DataFrame, keys: Sequence[str], min_len: int, max_w: int,
 
 def line_shape(maps: DataFrame, keys: Sequence[str], top_percent: float = 10.0, min_aspect: float = 3.0) -> DataFrame:
     """Side ratio of the least rectangle round the largest hot component."""
-    m = maps.withColumn("_cut", top_cut("heat", top_percent))
-    c = components(m, keys, above("heat", F.col("_cut")), shapes=True)
+    c = components(maps, keys, top_share(top_percent), shapes=True)
     contour = F.col("area") - F.col("outline_px") / 2 - 1  # lattice area of the outline
     big = c.groupBy(*keys).agg(F.max(F.struct("area", (-F.col("comp")).alias("neg"), contour.alias("contour"), "rect_long", "rect_short")).alias("b"))
     aspect = F.when((F.col("b.contour") >= 10) & (F.col("b.rect_short") > 0), F.col("b.rect_long") / F.col("b.rect_short")).otherwise(0.0)
@@ -425,7 +431,7 @@ def peaks(maps: DataFrame, keys: Sequence[str], min_dist: int = 2, least: float
     )
 
 
-def shape_features(maps: DataFrame, keys: Sequence[str], hot: Column, min_area: int = 1) -> DataFrame:
+def shape_features(maps: DataFrame, keys: Sequence[str], hot: Callable, min_area: int = 1) -> DataFrame:
     """Aspect, solidity, extent, outline and border touch per component."""
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     r = lambda c: F.round(c, 4)
@@ -443,15 +449,14 @@ def shape_features(maps: DataFrame, keys: Sequence[str], hot: Column, min_area:
 # ---- components across the blocks of one picture -----------------------------
 
 
-def panel_components(blocks: DataFrame, picture: str, hot: Column) -> DataFrame:
+def panel_components(blocks: DataFrame, picture: str, hot: Callable) -> DataFrame:
     """Components of a picture cut into blocks (bx, by, h, w, heat).
 
     Blocks are labelled where they lie; only their border pixels are matched
     between neighbours, and one picture's fragment pairs are merged at the end.
     """
     frag_keys = [picture, "bx", "by"]
-    base = blocks.withColumn("_hot", hot)
-    frags = components(base, frag_keys, F.col("_hot")).select(
+    frags = components(blocks, frag_keys, hot).select(
         picture, F.concat_ws("_", "bx", "by", "comp").alias("frag"), "area",
         F.col("x0").alias("lx0"), F.col("y0").alias("ly0"),
         F.col("x1").alias("lx1"), F.col("y1").alias("ly1"), "bx", "by",
@@ -462,7 +467,7 @@ def panel_components(blocks: DataFrame, picture: str, hot: Column) -> DataFrame:
         (F.col("bx") * F.col("w") + F.col("lx0")).alias("x0"), (F.col("by") * F.col("h") + F.col("ly0")).alias("y0"),
         (F.col("bx") * F.col("w") + F.col("lx1")).alias("x1"), (F.col("by") * F.col("h") + F.col("ly1")).alias("y1"),
     )
-    rim = _border_labels(base, frag_keys)
+    rim = _border_labels(blocks, frag_keys, hot)
     gx, gy = F.col("bx") * F.col("w") + F.col("px"), F.col("by") * F.col("h") + F.col("py")
     rim = rim.select(picture, F.concat_ws("_", "bx", "by", "comp").alias("frag"), "bx", "by", gx.alias("gx"), gy.alias("gy"))
     ways = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1))])
@@ -501,9 +506,9 @@ def panel_components(blocks: DataFrame, picture: str, hot: Column) -> DataFrame:
     )
 
 
-def _border_labels(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _border_labels(base: DataFrame, keys: Sequence[str], hot: Callable) -> DataFrame:
     """Component number of every hot pixel on the border of its block."""
-    sent = base.select(*keys, "h", "w", F.col("_hot").cast("array<tinyint>").alias("_hot")).where(F.array_max("_hot") > 0)
+    sent = base.select(*keys, "h", "w", "heat")
     key_types = ", ".join(f"`{k}` {base.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -511,7 +516,8 @@ def _border_labels(base: DataFrame, keys: Sequence[str]) -> DataFrame:
             parts = []
             for (h, w), same in batch.groupby(["h", "w"], sort=False):
                 h, w = int(h), int(w)
-                mask = np.concatenate(same["_hot"].to_numpy()).reshape(len(same), h, w) > 0
+                heat = np.concatenate(same["heat"].to_numpy()).reshape(len(same), h, w).astype(float)
+                mask = hot(heat, np.zeros(heat.shape, bool), {})
                 lab = label_stack(mask).ravel()
                 at = np.flatnonzero(mask)
                 roots = np.unique(lab[at])
@@ -636,14 +642,14 @@ def fuse(
         F.max("x1").alias("bx1"), F.max("y1").alias("by1"),
     )
 
-    def interior(v, i):
-        x, y = i % F.col("w"), F.floor(i / F.col("w"))
-        inner = F.least(x, y, F.col("w") - 1 - x, F.col("h") - 1 - y) > band
-        return F.when(inner, v).otherwise(0)
+    def inside(heat):
+        y, x = np.mgrid[: heat.shape[1], : heat.shape[2]]
+        gap = np.minimum(np.minimum(x, heat.shape[2] - 1 - x), np.minimum(y, heat.shape[1] - 1 - y))
+        return np.where(gap > band, heat, 0)
 
-    m = heat.withColumn("heat", F.transform("heat", interior)).withColumn("_peak", F.array_max("heat").cast("double"))
-    areas = components(m, keys, above("heat", F.col("_peak") * 0.5, strict=True)).groupBy(*keys).agg(F.max("area").alias("pc_area"))
-    pc = m.select(*keys, F.col("_peak").alias("pc_score")).join(areas, list(keys), "left")
+    pc = P.per_stack(heat, list(keys), "pc_score double", lambda v, dust, extra: {"pc_score": inside(v).max(axis=(1, 2))})
+    areas = components(heat, keys, lambda v, dust, extra: half_peak(inside(v), dust, extra)).groupBy(*keys).agg(F.max("area").alias("pc_area"))
+    pc = pc.join(areas, list(keys), "left")
     joined = pc.join(cv, list(keys), "left")
     pc_hit = (F.col("pc_score") >= threshold) & (F.coalesce("pc_area", F.lit(0)) >= min_area)
     return joined.withColumn(

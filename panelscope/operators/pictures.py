@@ -1,36 +1,38 @@
 """Anomaly maps as one array row per tile (G ids).
 
 A tile row carries ``h``, ``w`` and row-major ``heat`` (and ``dust``) arrays.
-Per-tile measures are array expressions, so they need no shuffle at all.
+Per-tile measures are taken over stacks of tiles, one Arrow batch at a time, in
+the task that read them: they need no shuffle at all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def draw_test_maps(tiles: DataFrame, side: int = 16) -> DataFrame:
-    """Two bumps of heat and a dust disc per tile, drawn from its part number."""
-    heat = f"""transform(sequence(0, {side * side - 1}), i -> cast(
-        greatest(0, 60 - 4 * ((i % {side} - 4) * (i % {side} - 4) + (i div {side} - 4) * (i div {side} - 4)))
-      + greatest(0, 50 - 4 * ((i % {side} - 11) * (i % {side} - 11)
-          + (i div {side} - 4 - part_no % 8) * (i div {side} - 4 - part_no % 8))) AS int))"""
-    dust = f"""transform(sequence(0, {side * side - 1}), i -> cast(part_no % 3 <> 0 AND
-        (i % {side} - 4) * (i % {side} - 4) + (i div {side} - 4) * (i div {side} - 4) <= 6 AS int))"""
+    """Two bumps of heat and a dust disc per tile, chosen by its part number."""
+    y, x = np.mgrid[:side, :side]
+    near = (x - 4) ** 2 + (y - 4) ** 2
+    forms = [
+        np.maximum(0, 60 - 4 * near) + np.maximum(0, 50 - 4 * ((x - 11) ** 2 + (y - 4 - shift) ** 2)) for shift in range(8)
+    ]
+    heat = F.lit([f.ravel().tolist() for f in forms])
+    disc, none = F.lit((near <= 6).astype(int).ravel().tolist()), F.lit([0] * (side * side))
     return tiles.withColumns(
-        {"h": F.lit(side), "w": F.lit(side), "heat": F.expr(heat), "dust": F.expr(dust)}
+        {
+            "h": F.lit(side), "w": F.lit(side),
+            "heat": F.element_at(heat, (F.col("part_no") % 8 + 1).cast("int")),
+            "dust": F.when(F.col("part_no") % 3 != 0, disc).otherwise(none),
+        }
     )
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + v.cast("long"))
-
-
-def count_where(values: Column, test) -> Column:
-    return F.size(F.filter(values, test)).cast("long")
-
-
 def pixels(maps: DataFrame, keys: list[str], value: str = "heat", only_positive: bool = True) -> DataFrame:
     """Sparse pixel rows (keys, px, py, v) of dense maps."""
     rows = maps.select(*keys, "w", F.posexplode(value).alias("_i", "v"))
@@ -44,50 +46,80 @@ def pixels(maps: DataFrame, keys: list[str], value: str = "heat", only_positive:
     )
 
 
-def array_quantile(values: Column, share: float | Column) -> Column:
-    """Linear quantile of an array of one tile."""
-    s = F.sort_array(values)
-    share = F.lit(float(share)) if not isinstance(share, Column) else share
-    at = (F.size(values) - 1) * share
-    lo = F.element_at(s, (F.floor(at) + 1).cast("int")).cast("double")
-    hi = F.element_at(s, (F.ceil(at) + 1).cast("int")).cast("double")
-    return F.when(F.size(values) > 0, lo + (hi - lo) * (at - F.floor(at)))
+def per_stack(maps: DataFrame, keys: Sequence[str], schema: str, measure: Callable, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per tile: ``keys`` and the arrays ``measure(heat, dust, extra)``
+    returns for a stack (n, h, w) of tiles of equal size."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    dust = F.col("dust") if "dust" in maps.columns else F.array_repeat(F.lit(0), F.size("heat"))
+    sent = maps.select(*dict.fromkeys([*keys, *extra, "h", "w"]), F.col("heat").alias("_heat"), dust.alias("_dust"))
+    key_types = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (h, w), same in batch.groupby(["h", "w"], sort=False):
+                shape = (len(same), int(h), int(w))
+                heat = np.concatenate(same["_heat"].to_numpy()).reshape(shape).astype(float)
+                mask = np.concatenate(same["_dust"].to_numpy()).reshape(shape) > 0
+                found = measure(heat, mask, {c: same[c].to_numpy() for c in extra})
+                out = pd.DataFrame({n: found[n] for n in names})
+                for k in keys:
+                    out[k] = same[k].to_numpy()
+                yield out[[*keys, *names]]
+
+    return sent.mapInPandas(run, f"{key_types}, {schema}")
+
+
+def top_cut(heat: np.ndarray, top_percent: float) -> np.ndarray:
+    """Per tile: percentile of the positive values leaving the top share."""
+    flat = np.sort(np.where(heat > 0, heat, np.inf).reshape(len(heat), -1), axis=1)
+    n = np.isfinite(flat).sum(axis=1)
+    at = np.maximum(n - 1, 0) * (1 - top_percent / 100.0)
+    lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
+    rows = np.arange(len(flat))
+    low, high = flat[rows, lo], flat[rows, hi]
+    with np.errstate(invalid="ignore"):
+        return np.where(n > 0, low + (high - low) * (at - lo), np.inf)
+
+
+METRICS = "m_max double, m_top10 double, m_p99 double, m_mean double, hot_share double"
+
+
+def _metrics(heat: np.ndarray) -> dict[str, np.ndarray]:
+    flat = heat.reshape(len(heat), -1)
+    peak = flat.max(axis=1)
+    k = min(10, flat.shape[1])
+    top = np.partition(flat, flat.shape[1] - k, axis=1)[:, -k:].mean(axis=1) if flat.shape[1] >= 10 else peak
+    positive = flat > 0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(positive, flat, 0).sum(axis=1) / positive.sum(axis=1)
+    return {
+        "m_max": peak, "m_top10": top, "m_p99": np.percentile(flat, 99, axis=1), "m_mean": mean,
+        "hot_share": (flat * 2 >= peak[:, None]).mean(axis=1),
+    }
 
 
-def tile_metrics(maps: DataFrame) -> DataFrame:
+def tile_metrics(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """G09 inputs: peak, top-10 mean, 99th percentile, mean of the positive
     values, share of values at half the peak or more."""
-    heat = F.col("heat")
-    peak = F.array_max(heat)
-    ordered = F.sort_array(heat, asc=False)
-    positive = F.filter("heat", lambda v: v > 0)
-    return maps.withColumns(
-        {
-            "m_max": peak.cast("double"),
-            "m_top10": F.when(F.size(heat) >= 10, total(F.slice(ordered, 1, 10)) / 10).otherwise(peak.cast("double")),
-            "m_p99": array_quantile(heat, 0.99),
-            "m_mean": F.when(F.size(positive) > 0, total(positive) / F.size(positive)),
-            "hot_share": count_where(heat, lambda v: v * 2 >= peak) / F.size(heat),
-        }
-    )
+    return per_stack(maps, keys, METRICS, lambda heat, dust, extra: _metrics(heat))
 
 
 SIDES = ("left", "right", "top", "bottom")
 
 
-def _faded(margin: int):
-    """Value after the quadratic decay toward each flagged side (is_left ...)."""
-
-    def fade(v, i):
-        x, y = i % F.col("w"), F.floor(i / F.col("w"))
-        depth = {"left": x, "right": F.col("w") - 1 - x, "top": y, "bottom": F.col("h") - 1 - y}
-        out = v.cast("double")
-        for side in SIDES:
-            share = depth[side].cast("double") / (margin - 1)
-            out = out * F.when((F.col(f"is_{side}") == 1) & (depth[side] < margin), share * share).otherwise(1.0)
-        return out
-
-    return fade
+def _decay(heat: np.ndarray, sides: dict[str, np.ndarray], margin: int) -> np.ndarray:
+    """Peak after over peak before the quadratic decay toward flagged sides."""
+    n, h, w = heat.shape
+    y, x = np.mgrid[:h, :w]
+    depth = {"left": x, "right": w - 1 - x, "top": y, "bottom": h - 1 - y}
+    out = heat.copy()
+    for side in SIDES:
+        share = np.where(depth[side] < margin, (depth[side] / max(margin - 1, 1)) ** 2, 1.0)
+        out = np.where((sides[f"is_{side}"] == 1)[:, None, None], out * share, out)
+    before, after = heat.reshape(n, -1).max(axis=1), out.reshape(n, -1).max(axis=1)
+    flagged = sum(sides[f"is_{s}"] for s in SIDES) > 0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(~flagged, 1.0, np.where(before > 0, after / before, 0.0))
 
 
 def tile_score(maps: DataFrame, largest: DataFrame, keys: list[str], cfg: dict | None = None) -> DataFrame:
@@ -102,9 +134,16 @@ def tile_score(maps: DataFrame, largest: DataFrame, keys: list[str], cfg: dict |
         "use_area": True, "use_concentration": True, "use_spread": True, "use_decay": True,
         **(cfg or {}),
     }
-    m = tile_metrics(maps).join(largest.select(*keys, "max_area"), keys, "left")
+    margin = c["decay_margin"] if c["use_decay"] else 1
+
+    def measure(heat, dust, sides):
+        fading = _decay(heat, sides, margin) if margin > 1 else np.ones(len(heat))
+        return {**_metrics(heat), "f_decay": fading}
+
+    measured = per_stack(maps, keys, METRICS + ", f_decay double", measure, [f"is_{s}" for s in SIDES])
+    m = measured.join(largest.select(*keys, "max_area"), keys, "left")
     unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    area = conc = spread = decay = F.lit(1.0)
+    area = conc = spread = F.lit(1.0)
     if c["use_area"]:
         small = F.coalesce("max_area", F.lit(0)) < c["min_area"]
         area = F.when((F.col(c["metric"]) >= c["threshold"]) & small, 0.5).otherwise(1.0)
@@ -115,83 +154,80 @@ def tile_score(maps: DataFrame, largest: DataFrame, keys: list[str], cfg: dict |
     if c["use_spread"] and c["spread"] < 1:
         over = unit((F.col("hot_share") - c["spread"]) / (1 - c["spread"]))
         spread = F.when((F.col("m_max") > 0) & (F.col("hot_share") > c["spread"]), 1 - (1 - c["spread_penalty"]) * over).otherwise(1.0)
-    if c["use_decay"] and c["decay_margin"] > 1:
-        after = F.array_max(F.transform("heat", _faded(c["decay_margin"])))
-        any_side = (F.col("is_left") + F.col("is_right") + F.col("is_top") + F.col("is_bottom")) > 0
-        decay = F.when(~any_side, 1.0).when(F.col("m_max") > 0, after / F.col("m_max")).otherwise(0.0)
-    return m.withColumns({"f_area": area, "f_concentration": conc, "f_spread": spread, "f_decay": decay}).withColumn(
+    return m.withColumns({"f_area": area, "f_concentration": conc, "f_spread": spread}).withColumn(
         "final_score", F.col(c["metric"]) * F.col("f_area") * F.col("f_concentration") * F.col("f_spread") * F.col("f_decay")
     )
 
 
 def overexposed(maps: DataFrame, keys: list[str], bright_mean: float = 200, bright: int = 230, share: float = 0.5) -> DataFrame:
     """Mean and bright share over all maps of a key (partial sums)."""
-    return (
-        maps.select(
-            *keys,
-            total(F.col("heat")).alias("s"),
-            F.size("heat").cast("long").alias("n"),
-            count_where(F.col("heat"), lambda v: v > bright).alias("b"),
-        )
-        .groupBy(*keys)
-        .agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("b").alias("b"))
-        .select(
-            *keys,
-            (F.col("s") / F.col("n")).alias("mean_v"),
-            (F.col("b") / F.col("n")).alias("bright_share"),
-            ((F.col("s") / F.col("n") > bright_mean) & (F.col("b") / F.col("n") > share)).cast("int").alias("overexposed"),
-        )
+
+    def measure(heat, dust, extra):
+        flat = heat.reshape(len(heat), -1)
+        return {"s": flat.sum(axis=1), "n": np.full(len(flat), flat.shape[1]), "b": (flat > bright).sum(axis=1)}
+
+    sums = per_stack(maps, keys, "s double, n bigint, b bigint", measure).groupBy(*keys).agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("b").alias("b")
+    )
+    mean, part = F.col("s") / F.col("n"), F.col("b") / F.col("n")
+    return sums.select(
+        *keys, mean.alias("mean_v"), part.alias("bright_share"), ((mean > bright_mean) & (part > share)).cast("int").alias("overexposed")
     )
 
 
 def overexposed_crop(
-    maps: DataFrame, ground: int = 30, min_share: float = 0.2, mean: float = 200.0, bright: int = 200, bright_share: float = 0.65
+    maps: DataFrame, keys: list[str], ground: int = 30, min_share: float = 0.2, mean: float = 200.0, bright: int = 200, bright_share: float = 0.65
 ) -> DataFrame:
     """Foreground share, mean and bright share of one crop."""
-    fg = F.filter("heat", lambda v: v > ground)
-    n = F.size(fg)
-    return maps.withColumns(
-        {
-            "fg_share": n / F.size("heat"),
-            "fg_mean": F.when(n > 0, total(fg) / n),
-            "fg_bright": F.when(n > 0, count_where(fg, lambda v: v >= bright) / n),
-        }
-    ).withColumn(
-        "overexposed",
-        F.coalesce(
-            (F.col("fg_share") >= min_share) & (F.col("fg_mean") >= mean) & (F.col("fg_bright") >= bright_share),
-            F.lit(False),
-        ).cast("int"),
-    )
 
+    def measure(heat, dust, extra):
+        flat = heat.reshape(len(heat), -1)
+        fg = flat > ground
+        n = np.maximum(fg.sum(axis=1), 1)
+        part, level = fg.mean(axis=1), np.where(fg, flat, 0).sum(axis=1) / n
+        shine = (fg & (flat >= bright)).sum(axis=1) / n
+        hit = (part >= min_share) & (level >= mean) & (shine >= bright_share) & fg.any(axis=1)
+        return {"fg_share": part, "fg_mean": level, "fg_bright": shine, "overexposed": hit.astype(int)}
+
+    return per_stack(maps, keys, "fg_share double, fg_mean double, fg_bright double, overexposed int", measure)
 
-def heat_overlap(maps: DataFrame, top_percent: float = 5.0) -> DataFrame:
+
+def heat_overlap(maps: DataFrame, keys: list[str], top_percent: float = 5.0) -> DataFrame:
     """Hot pixels against dust; coverage = inter / dust, IoU."""
-    cut = array_quantile(F.filter("heat", lambda v: v > 0), 1 - top_percent / 100.0)
-    hot = F.transform("heat", lambda v: ((v > 0) & (v >= F.col("hot_cut"))).cast("int"))
-    both = F.zip_with("_hot", "dust", lambda a, b: a * b)
-    return (
-        maps.withColumn("hot_cut", cut)
-        .withColumn("_hot", hot)
-        .withColumns({"hot_px": total(F.col("_hot")), "dust_px": total(F.col("dust")), "inter_px": total(both)})
-        .withColumns(
-            {
-                "coverage": F.when(F.col("dust_px") > 0, F.col("inter_px") / F.col("dust_px")).otherwise(0.0),
-                "iou": F.when(
-                    F.col("hot_px") + F.col("dust_px") > 0,
-                    F.col("inter_px") / (F.col("hot_px") + F.col("dust_px") - F.col("inter_px")),
-                ).otherwise(0.0),
-            }
-        )
-        .drop("_hot")
+
+    def measure(heat, dust, extra):
+        hot = (heat > 0) & (heat >= top_cut(heat, top_percent)[:, None, None])
+        count = lambda m: m.reshape(len(m), -1).sum(axis=1)
+        return {"hot_px": count(hot), "dust_px": count(dust), "inter_px": count(hot & dust)}
+
+    px = per_stack(maps, keys, "hot_px bigint, dust_px bigint, inter_px bigint", measure)
+    union = F.col("hot_px") + F.col("dust_px") - F.col("inter_px")
+    return px.withColumns(
+        {
+            "coverage": F.when(F.col("dust_px") > 0, F.col("inter_px") / F.col("dust_px")).otherwise(0.0),
+            "iou": F.when(union > 0, F.col("inter_px") / union).otherwise(0.0),
+        }
     )
 
 
 def grey_histogram(maps: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per grey value; maps are counted before the shuffle."""
-    return (
-        maps.select(*keys, F.explode("heat").alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    """Counts per grey value (0..255); a batch is counted before it leaves its
+    task, so pixels are never shuffled."""
+    key_types = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, same in batch.groupby(["h", "w"], sort=False):
+                flat = np.stack(same["heat"].to_numpy()).astype(int)
+                n = len(flat)
+                counts = np.bincount((np.arange(n)[:, None] * 256 + flat).ravel(), minlength=n * 256).reshape(n, 256)
+                row, v = np.nonzero(counts)
+                out = pd.DataFrame({k: same[k].to_numpy()[row] for k in keys})
+                out["v"], out["cnt"] = v, counts[row, v]
+                yield out
+
+    part = maps.select(*keys, "h", "w", "heat").mapInPandas(run, f"{key_types}, v int, cnt bigint")
+    return part.groupBy(*keys, "v").agg(F.sum("cnt").alias("cnt"))
 
 
 def otsu(maps: DataFrame, keys: list[str]) -> DataFrame:

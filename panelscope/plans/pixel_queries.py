@@ -40,6 +40,10 @@ def g01(d):
     return P.otsu(maps, ["image"]).select("image", "threshold", F.round("between", 4).alias("spread"))
 
 
+def _cold(heat, dust, extra):
+    return heat == 0
+
+
 def panel_blocks(d):
     """One map per (panel, grid place): the first tile at that place."""
     first = d.tiles.groupBy("record_id", (F.col("x") / 512).cast("int").alias("bx"), (F.col("y") / 512).cast("int").alias("by")).agg(
@@ -56,18 +60,19 @@ WITH RECURSIVE cell AS {_CELLS},
 reach(record_id, bx, yb, lab) AS (SELECT record_id, bx, yb, yb * 100 + bx FROM cell UNION
  SELECT c.record_id, c.bx, c.yb, r.lab FROM reach r JOIN cell c ON c.record_id = r.record_id AND abs(c.bx - r.bx) <= 1 AND abs(c.yb - r.yb) <= 1),
 lab AS (SELECT record_id, bx, yb, min(lab) AS lab FROM reach GROUP BY 1, 2, 3)
-SELECT record_id, count(*) AS blocks, min(bx) * 16 AS x0, min(yb) * 16 AS y0, max(bx) * 16 + 15 AS x1, max(yb) * 16 + 15 AS y1 FROM lab GROUP BY record_id, lab""")
+SELECT record_id, CAST(sum(a) AS BIGINT) AS area, min(bx) * 16 AS x0, min(yb) * 16 AS y0, max(bx) * 16 + 15 AS x1, max(yb) * 16 + 15 AS y1 FROM lab JOIN (SELECT record_id, x // 512 AS bx, y // 512 AS yb, arg_min(CAST(part_no % 8 AS INT), id) AS s FROM tiles GROUP BY 1, 2, 3) USING (record_id, bx, yb)
+JOIN (SELECT s, count(*) AS a FROM pics WHERE v = 0 AND z = 0 GROUP BY 1) USING (s) GROUP BY record_id, lab""")
 def g02(d):
     blocks = panel_blocks(d)
-    found = C.panel_components(blocks, "record_id", F.transform("heat", lambda v: (v == 0).cast("int")))
+    found = C.panel_components(blocks, "record_id", _cold)
     return found.select(
-        "record_id", F.ceil(F.col("area") / 256).alias("blocks"), "x0", "y0", "x1", "y1"
+        "record_id", F.col("area"), "x0", "y0", "x1", "y1"
     )
 
 
 @query("G02_foreground_box", f"""SELECT record_id, min(bx) * 16 AS rx1, min(yb) * 16 AS ry1, max(bx) * 16 + 16 AS rx2, max(yb) * 16 + 16 AS ry2 FROM {_CELLS} GROUP BY 1""")
 def g02_box(d):
-    found = C.panel_components(panel_blocks(d), "record_id", F.transform("heat", lambda v: (v == 0).cast("int")))
+    found = C.panel_components(panel_blocks(d), "record_id", _cold)
     return C.foreground_box(found, "record_id", 100)
 
 
@@ -119,11 +124,10 @@ def g07(d):
 
 
 @query("G08_components", _components_sql("v > 0 AND v > peak * 0.5") + """
-SELECT t.id, comp, area, x0, y0, x1, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, CAST(peak AS DOUBLE) AS peak, peak_x, peak_y, dust_px
-FROM pic_tiles t JOIN numbered USING (s, z)""")
+SELECT t.id, comp, area, x0, y0, x1, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, CAST(peak AS DOUBLE) AS peak, n.peak_x, n.peak_y, dust_px
+FROM pic_tiles t JOIN numbered n USING (s, z)""")
 def g08(d):
-    m = d.tile_maps.withColumn("_cut", F.array_max("heat") * 0.5)
-    c = C.components(m, K, C.above("heat", F.col("_cut"), strict=True))
+    c = C.components(d.tile_maps, K, C.half_peak)
     return c.select("id", "comp", "area", "x0", "y0", "x1", "y1", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "peak", "peak_x", "peak_y", "dust_px")
 
 
@@ -155,7 +159,7 @@ def g09(d):
 @query("G09_tile_metrics", """SELECT id, top10, p99, mean FROM pic_tiles JOIN (SELECT s, z, round(quantile_cont(CAST(v AS DOUBLE), 0.99), 6) AS p99,
 round(avg(v) FILTER (v > 0), 6) AS mean, round(list_avg(list_sort(list(v), 'DESC')[1:10]), 6) AS top10 FROM pics GROUP BY 1, 2) USING (s, z)""")
 def g09_metrics(d):
-    return P.tile_metrics(d.tile_maps).select(
+    return P.tile_metrics(d.tile_maps, K).select(
         "id", F.round("m_top10", 6).alias("top10"), F.round("m_p99", 6).alias("p99"), F.round("m_mean", 6).alias("mean")
     )
 
@@ -164,7 +168,7 @@ def g09_metrics(d):
 SELECT id, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, coalesce(n, 0) AS spots, CAST(coalesce(a, 0) AS BIGINT) AS spot_px FROM pic_tiles LEFT JOIN
 (SELECT s, z, count(*) AS n, sum(area) AS a FROM comps WHERE area >= 5 GROUP BY 1, 2) USING (s, z)""")
 def g10(d):
-    ground = F.transform("heat", lambda v, i: F.when(i % 16 < 8, 45).otherwise(0))
+    ground = F.lit([45 if i % 16 < 8 else 0 for i in range(256)])
     return C.bright_spots(d.tile_maps.withColumn("background", ground), K)
 
 
@@ -184,7 +188,7 @@ def g12(d):
 @query("G13_overexposed_crop", """SELECT id, round(fs, 6) AS fg_share, round(fm, 6) AS fg_mean, CAST(fs >= 0.08 AND fm >= 40 AND fb >= 0.4 AS INT) AS overexposed FROM pic_tiles JOIN
 (SELECT s, z, count(*) FILTER (v > 20) / 256.0::DOUBLE AS fs, avg(v) FILTER (v > 20) AS fm, count(*) FILTER (v >= 40) / count(*) FILTER (v > 20) AS fb FROM pics GROUP BY 1, 2) USING (s, z)""")
 def g13(d):
-    r = P.overexposed_crop(d.tile_maps, 20, 0.08, 40.0, 40, 0.4)
+    r = P.overexposed_crop(d.tile_maps, K, 20, 0.08, 40.0, 40, 0.4)
     return r.select("id", F.round("fg_share", 6).alias("fg_share"), F.round("fg_mean", 6).alias("fg_mean"), "overexposed")
 
 
@@ -192,7 +196,7 @@ def g13(d):
 (SELECT s, z, count(*) FILTER (v > 0 AND v >= c) AS hot_px, CAST(sum(d) AS BIGINT) AS dust_px, count(*) FILTER (v > 0 AND v >= c AND d = 1) AS inter_px FROM pics
  JOIN (SELECT s, z, quantile_cont(CAST(v AS DOUBLE), 0.6) AS c FROM pics WHERE v > 0 GROUP BY 1, 2) USING (s, z) GROUP BY 1, 2) USING (s, z)""")
 def g14(d):
-    r = P.heat_overlap(d.tile_maps, 40.0)
+    r = P.heat_overlap(d.tile_maps, K, 40.0)
     return r.select("id", "hot_px", "inter_px", F.round("coverage", 6).alias("coverage"), F.round("iou", 6).alias("iou"))
 
 
@@ -205,7 +209,7 @@ verd AS (SELECT s, z, count(*) AS regions, count(*) FILTER (is_dust = 0) AS real
 
 
 @query("G15_dust_regions", _components_sql("v > 0 AND v >= c60", _REGIONS) + """
-SELECT id, comp, area, round(cov, 6) AS coverage, is_dust FROM pic_tiles JOIN judged USING (s, z)""")
+SELECT id, comp, area, round(cov, 6) AS coverage, j.is_dust FROM pic_tiles JOIN judged j USING (s, z)""")
 def g15(d):
     return C.dust_regions(d.tile_maps, K, 40.0).select("id", "comp", "area", F.round("coverage", 6).alias("coverage"), "is_dust")
 
@@ -218,15 +222,15 @@ def g15_verdict(d):
 
 
 @query("G15_seeded", _components_sql("(v > 0 AND v >= c95) OR ((py - (4 + s)) * (py - (4 + s)) + (px - 11) * (px - 11) <= 4 AND v >= peak * 0.1)", _REGIONS) + """
-SELECT id, comp, area, round(cov, 6) AS coverage, is_dust FROM pic_tiles JOIN judged USING (s, z)""")
+SELECT id, comp, area, round(cov, 6) AS coverage, j.is_dust FROM pic_tiles JOIN judged j USING (s, z)""")
 def g15_seeded(d):
     seed = ((4 + F.col("part_no") % 8), F.lit(11), 2, 0.1)
     return C.dust_regions(d.tile_maps, K, 5.0, seed=seed).select("id", "comp", "area", F.round("coverage", 6).alias("coverage"), "is_dust")
 
 
 def _features():
-    """Feature pixels: strong contrast, found on the picture beforehand."""
-    return F.transform("heat", lambda v: (v > 25).cast("int"))
+    """Feature pixels: strong contrast."""
+    return C.beyond(25)
 
 
 _STAGE = """,
@@ -250,7 +254,8 @@ SELECT id, CASE WHEN is_exclude_zone = 1 THEN 'real:overexposed' WHEN z = 0 THEN
 CASE WHEN real_regions > 0 THEN real_x WHEN clean_features > 0 THEN best_x ELSE -1 END AS real_x FROM pic_tiles JOIN verd USING (s, z) LEFT JOIN stage USING (s, z)""")
 def g17(d):
     maps = d.tile_maps
-    tiles = maps.select("id", F.col("is_exclude_zone").alias("panel_overexposed"), P.total(F.col("dust")).alias("tile_dust"))
+    dust = P.heat_overlap(maps, K).select("id", F.col("dust_px").alias("tile_dust"))
+    tiles = maps.select("id", F.col("is_exclude_zone").alias("panel_overexposed")).join(dust, "id")
     regions = C.region_verdict(C.dust_regions(maps, K, 40.0), K)
     stages = C.two_stage(maps, K, _features(), top_percent=40.0)
     return C.dust_decision(tiles, regions, stages, K).select("id", "decision", "real_x")
@@ -270,8 +275,8 @@ def g18(d):
 
 
 @query("G19_edge_components", _components_sql("v > 12") + """
-SELECT e.id, comp, area, CAST(peak AS INT) AS max_diff, x0, y0, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, CAST(trunc(cx) AS INT) AS center_x, CAST(trunc(cy) AS INT) AS center_y
-FROM edges e JOIN pic_tiles t ON t.id = e.id JOIN numbered USING (s, z) WHERE area >= 10 AND peak >= 45""")
+SELECT e.id, comp, n.area, CAST(peak AS INT) AS max_diff, x0, y0, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, CAST(trunc(cx) AS INT) AS center_x, CAST(trunc(cy) AS INT) AS center_y
+FROM edges e JOIN pic_tiles t ON t.id = e.id JOIN numbered n USING (s, z) WHERE n.area >= 10 AND peak >= 45""")
 def g19(d):
     return C.edge_components(edge_maps(d), K, 12, 10, 45).select("id", "comp", "area", "max_diff", "x0", "y0", "w", "h", "center_x", "center_y")
 
@@ -305,7 +310,7 @@ SELECT e.id, coalesce(cv_area, 0) AS cv_area, pc_score, CASE WHEN pc_score >= 55
 FROM edges e JOIN pic_tiles t ON t.id = e.id JOIN pc USING (s, z) LEFT JOIN cv USING (s, z)""")
 def g22(d):
     m = edge_maps(d)
-    found = C.components(m, K, F.transform("heat", lambda v: (v > 12).cast("int"))).where("area >= 10").withColumn("max_diff", F.col("peak").cast("int"))
+    found = C.components(m, K, C.beyond(12)).where("area >= 10").withColumn("max_diff", F.col("peak").cast("int"))
     return C.fuse(found, m, K, 2, 16, 55.0).select("id", F.coalesce("cv_area", F.lit(0)).alias("cv_area"), "pc_score", "verdict")
 
 
@@ -327,4 +332,4 @@ def g26(d):
 SELECT id, comp, area, round(greatest(x1 - x0 + 1, y1 - y0 + 1) / least(x1 - x0 + 1, y1 - y0 + 1), 4) AS aspect, round(area / ((x1 - x0 + 1) * (y1 - y0 + 1)), 4) AS extent,
 CAST(peak AS DOUBLE) AS max_diff FROM pic_tiles JOIN numbered USING (s, z) WHERE area >= 5""")
 def g28(d):
-    return C.shape_features(d.tile_maps, K, F.transform("heat", lambda v: (v > 20).cast("int")), 5).select("id", "comp", "area", "aspect", "extent", "max_diff")
+    return C.shape_features(d.tile_maps, K, C.beyond(20), 5).select("id", "comp", "area", "aspect", "extent", "max_diff")
