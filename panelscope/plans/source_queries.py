@@ -100,7 +100,8 @@ def s05(d):
 def s05_pages(d):
     """Table cells of the raw web pages, counted per page."""
     pages = d.raw("pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
-    return M.html_rows(pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("cells")).alias("n_cells"))
+    found = M.html_rows(pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("cells")).alias("n_cells"))
+    return pages.select("page_id").join(found, "page_id", "left").fillna(0, ["n_rows", "n_cells"])
 
 
 def _accuracy_batch(d):
