@@ -469,19 +469,20 @@ def panel_components(blocks: DataFrame, picture: str, hot: Callable) -> DataFram
     )
     rim = _border_labels(blocks, frag_keys, hot)
     gx, gy = F.col("bx") * F.col("w") + F.col("px"), F.col("by") * F.col("h") + F.col("py")
-    rim = rim.select(picture, F.concat_ws("_", "bx", "by", "comp").alias("frag"), "bx", "by", gx.alias("gx"), gy.alias("gy"))
+    rim = rim.select(picture, F.concat_ws("_", "bx", "by", "comp").alias("frag"), "bx", "by", "h", "w", gx.alias("gx"), gy.alias("gy"))
     ways = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1))])
     asked = rim.select(
-        picture, F.col("frag").alias("a"), F.col("bx").alias("abx"), F.col("by").alias("aby"),
+        picture, F.col("frag").alias("a"), "bx", "by", "h", "w",
         F.inline(F.transform(ways, lambda o: F.struct((F.col("gx") + o["dx"]).alias("gx"), (F.col("gy") + o["dy"]).alias("gy")))),
     )
+    # only steps that leave the block are asked for
+    out = asked.where((F.floor(F.col("gx") / F.col("w")) != F.col("bx")) | (F.floor(F.col("gy") / F.col("h")) != F.col("by")))
     pairs = (
-        asked.join(rim.withColumnRenamed("frag", "b"), [picture, "gx", "gy"])
-        .where((F.col("abx") != F.col("bx")) | (F.col("aby") != F.col("by")))
+        out.select(picture, "a", "gx", "gy")
+        .join(rim.select(picture, F.col("frag").alias("b"), "gx", "gy"), [picture, "gx", "gy"])
         .select(picture, "a", "b")
         .distinct()
     )
-    nodes = frags.select(picture, F.col("frag").alias("a"), F.col("frag").alias("b")).unionByName(pairs)
     kind = blocks.schema[picture].dataType.simpleString()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -499,9 +500,10 @@ def panel_components(blocks: DataFrame, picture: str, hot: Callable) -> DataFram
             root = new
         return pd.DataFrame({picture: pdf[picture].iloc[0], "frag": names, "root": names[root]})
 
-    # a group is one picture's fragments: bounded by its block grid
-    roots = nodes.groupBy(picture).applyInPandas(merge, f"`{picture}` {kind}, frag string, root string")
-    return frags.join(roots, [picture, "frag"]).groupBy(picture, "root").agg(
+    # a group is one picture's touching fragments: bounded by its block grid
+    roots = pairs.groupBy(picture).applyInPandas(merge, f"`{picture}` {kind}, frag string, root string")
+    joined = frags.join(roots, [picture, "frag"], "left").withColumn("root", F.coalesce("root", "frag"))
+    return joined.groupBy(picture, "root").agg(
         F.sum("area").alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
     )
 

@@ -259,7 +259,13 @@ class Inspection:
     @cached_property
     def tile_maps(self) -> DataFrame:
         """Tiles with a 16 x 16 anomaly map and dust mask, one row per tile."""
-        return pictures.draw_test_maps(self.tiles)
+        return pictures.draw_test_maps(self.spread(self.tiles))
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Tile heads are small but their maps are not: keep the partitions
+        from being merged by size before the maps are drawn."""
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return df.repartition(n)
 
     @cached_property
     def manifest(self) -> DataFrame:

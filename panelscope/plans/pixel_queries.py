@@ -49,7 +49,7 @@ def panel_blocks(d):
     first = d.tiles.groupBy("record_id", (F.col("x") / 512).cast("int").alias("bx"), (F.col("y") / 512).cast("int").alias("by")).agg(
         F.min(F.struct("id", "part_no")).alias("m")
     )
-    return P.draw_test_maps(first.select("record_id", "bx", "by", F.col("m.part_no").alias("part_no")))
+    return P.draw_test_maps(d.spread(first.select("record_id", "bx", "by", F.col("m.part_no").alias("part_no"))))
 
 
 _CELLS = """(SELECT DISTINCT record_id, x // 512 AS bx, y // 512 AS yb FROM tiles)"""
