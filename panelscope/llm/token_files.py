@@ -18,11 +18,13 @@ blocks; extra columns are ignored; a very long text may fill a block alone.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ from panelscope.llm.common import slices
 from panelscope.session import scratch_path
 
 #: Pieces that a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Marks that may stand behind a word; no apostrophe, as that can start an ending such as 's.
+MARKS = ".,;:!?*#$%&)"
 BLOCK_IDS = 1 << 20
 
 #: Lengths of four numbers by control byte; the first has the lowest two bits.
@@ -66,7 +70,11 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of texts by way of their different pieces."""
+    """Ids of texts by way of their different pieces.
+
+    A piece of letters with marks behind it counts as two, as the vocabularies
+    never join letters and marks; plain texts are put in lower case first.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,38 +82,74 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [rules["normalizer"] or {}]) if x]
+        if "Lowercase" not in steps or not rules["pre_tokenizer"]:
+            raise ValueError("pieces need a vocabulary that lowers case and cuts at white space")
+        suffix, self.last = rules["model"].get("end_of_word_suffix"), None
+        if suffix:  # the ids that end a word
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def ids_of(self, pieces: list[str]) -> tuple[list[int], np.ndarray]:
+        """All ids, and how many each piece has.  Pieces of letters are encoded many at a time."""
+        ids, sizes = [], []
+        for lo in range(0, len(pieces), 256):
+            part = pieces[lo : lo + 256]
+            if self.last is not None and all(map(str.isalpha, part)):
+                joined = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+                stop = np.flatnonzero(self.last[joined]) + 1
+                if len(stop) == len(part) and stop[-1] == len(joined):  # else a letter fell apart: one by one
+                    ids += joined
+                    sizes.append(np.diff(stop, prepend=0))
+                    continue
+            one = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ids += chain.from_iterable(one)
+            sizes.append(np.fromiter(map(len, one), np.int64, len(one)))
+        return ids, np.concatenate(sizes)
+
     def numbers(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) + len(pieces) > REMEMBERED:
             self.forget()
         at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = [pieces[i] for i in np.flatnonzero(at < 0).tolist()]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), self.kind, int(sizes.sum()))
+            letters = list(map(str.isalpha, new))
+            new = [*compress(new, letters), *compress(new, map(not_, letters))]
+            ids, sizes = self.ids_of(new)
             first = len(self.starts)
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, flat])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, np.array(ids, self.kind)])
             self.known.update(zip(new, range(first, first + len(new))))
-            at[at < 0] = np.arange(first, first + len(new))
+            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         return at
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has with its end id."""
-        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        # a mark can join a letter in one case only, and special tokens have a case
+        texts = pc.if_else(pc.match_substring_regex(texts, r"\p{M}|<\|"), texts, pc.ascii_lower(texts))
+        cut = pc.ascii_split_whitespace(texts)
         ends = cut.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         coded = cut.values[ends[0] : ends[-1]].dictionary_encode()
-        number = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        whole = coded.dictionary
+        head = pc.utf8_rtrim(whole, MARKS)
+        split = pc.and_(pc.utf8_is_alpha(head), pc.not_equal(pc.binary_length(head), pc.binary_length(whole)))
+        split = pc.and_not(split, pc.match_substring(head, "\u0130"))  # the one letter whose lower case ends with a mark
+        tail = pc.if_else(split, pc.replace_substring_regex(whole, r"^\p{L}+", ""), "")
+        both = pa.chunked_array([pc.if_else(split, head, whole), tail]).combine_chunks().dictionary_encode()
+        number = self.numbers(both.dictionary.to_pylist())[both.indices.to_numpy(zero_copy_only=False)]
+        pair = np.stack([number[: len(whole)], number[len(whole) :]], axis=1)
+        number = pair[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1)
         sizes = self.sizes[number]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.starts[number] - total[:-1], sizes) + np.arange(total[-1])]
-        edges = total[ends - ends[0]]
+        edges = total[2 * (ends - ends[0])]
         return np.insert(ids, edges[1:], end_id), np.diff(edges) + 1
 
 
