@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelscope.llm import decontaminate, html_text, licenses, mixing, secret_scan, token_files
+from panelscope.llm import decontaminate, html_text, language, licenses, mixing, secret_scan, token_files
 from panelscope.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op6_secrets, op10_html)
+    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op5_language, op6_secrets, op10_html)
 }
 ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
