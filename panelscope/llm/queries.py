@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelscope.llm import decontaminate, html_text, language, licenses, mixing, secret_scan, token_files
+from panelscope.llm import decontaminate, html_text, language, licenses, mixing, secret_scan, token_files, toxicity
 from panelscope.llm.common import table
 
 
@@ -41,11 +41,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op5_language, op6_secrets, op10_html)
+    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op5_language, op6_secrets, op7_toxicity, op10_html)
 }
 ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
