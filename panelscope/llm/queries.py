@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelscope.llm import decontaminate, html_text, language, licenses, mixing, near_dup, secret_scan, token_files, toxicity
+from panelscope.llm import decontaminate, html_text, language, licenses, mixing, near_dup, secret_scan, token_files, toxicity, vector_search
 from panelscope.llm.common import table
 
 
@@ -49,11 +49,15 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op5_language, op6_secrets, op7_toxicity, op8_near_duplicates, op10_html)
+    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op5_language, op6_secrets, op7_toxicity, op8_near_duplicates, op9_neighbours, op10_html)
 }
 ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
