@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelscope.llm import decontaminate, language, mixing, near_dup, token_files
 from panelscope.llm.common import stored, table
@@ -22,8 +21,7 @@ LEAST_PROBABILITY = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = language.language_of(docs)
-    return known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_PROBABILITY)).select(*docs.columns)
+    return language.in_known_language(docs, LEAST_PROBABILITY)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

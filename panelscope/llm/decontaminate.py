@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelscope.llm.common import rows_of, slices, stored, words
+from panelscope.llm.common import fresh, rows_of, slices, stored, words
 
 WINDOW = 10
 #: Bytes of item texts that one pass hands to each task.
@@ -269,8 +269,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` without a hit word; all columns.  Rows that share an id go together."""
-    bad = matches(docs, benchmark, **options).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = fresh("bad")
+    bad = matches(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], size: int = WINDOW) -> list[tuple]:

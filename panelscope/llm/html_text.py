@@ -202,6 +202,12 @@ LABELLED = """
 5 0 45 0 50 0 0 0 1
 7 0 3 1 80 0 0 1 1
 4 0 60 0 75 0 0 1 1
+50 0 60 0 1 1 0 0 1
+80 0 90 0 2 1 0 0 1
+40 .05 70 0 5 0 0 0 1
+30 0 40 0 1 1 0 0 1
+65 .1 80 0 3 1 0 0 1
+55 0 1 1 70 0 0 0 1
 2 0 1 1 2 1 0 0 0
 4 0 2 1 3 0 0 0 0
 6 0 5 0 4 1 0 0 0

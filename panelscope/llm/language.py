@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelscope.llm.common import slices, stored
+from panelscope.llm.common import fresh, slices, stored
 
 SIZES = (1, 2, 3, 4)
 #: Hash values per n-gram size.
@@ -195,18 +195,19 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return fit(vectors(sample, idf), idf)
 
 
-def language_of(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """All columns of ``docs`` plus held_out, lang_pred, score."""
+def language_of(docs: DataFrame, per_language: int = PER_LANGUAGE, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` plus those of ``names``, which ``docs`` must not have."""
     rest = F.coalesce(remainder(F.col("doc_id"), 3), F.lit(1))
     model = learn(docs.select("text", F.col("lang").cast("string").alias("lang"), (rest != 1).alias("learn")), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.withColumn("_able", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).withColumn("_held", rest == 1)
-    names = docs.columns
-    out = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own, able_name = docs.columns, fresh("able")
+    plain = docs.withColumns({names[0]: rest == 1, able_name: F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
+    kinds = (T.BooleanType(), T.StringType(), T.DoubleType())
+    out = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            able = np.array(part.column("_able").to_pylist(), bool)
+            able = np.array(part.column(able_name).to_pylist(), bool)
             if shared.value is None:
                 able[:] = False
             languages, scores = np.full(len(able), UNKNOWN, object), np.zeros(len(able))
@@ -214,12 +215,19 @@ def language_of(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
                 texts = part.column("text").filter(pa.array(able)).to_pylist()
                 p = predict(texts, shared.value)
                 languages[able], scores[able] = np.array(shared.value.languages, object)[p.argmax(axis=1)], p.max(axis=1)
-            kept = [part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, part.column("_held"), pa.array(languages.tolist(), pa.string()), pa.array(scores)], names=[*names, "held_out", "lang_pred", "score"])
+            kept = [part.column(c) for c in (*own, names[0])]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(languages.tolist(), pa.string()), pa.array(scores)], names=[*own, *names])
 
     return plain.mapInArrow(run, out)
 
 
+def in_known_language(docs: DataFrame, least: float, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """Rows of ``docs`` with a language of at least that probability."""
+    names = fresh("held"), fresh("language"), fresh("score")
+    known = language_of(docs, per_language, names)
+    return known.where((F.col(names[1]) != UNKNOWN) & (F.col(names[2]) >= least)).select(*docs.columns)
+
+
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     return language_of(docs.select("doc_id", "text", "lang"), per_language).drop("text", "lang")

@@ -214,15 +214,16 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 42, **options) -> DataFra
     A document taken twice is there twice.  One that is cut keeps its first
     words, single-spaced; n_chars follows where the table has it.
     """
-    names = docs.columns
-    taken = decide(docs.withColumn("size", word_count(F.col("text"))), shards=shards, seed=seed, **options)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")  # keeps extra columns apart from those made here
+    taken = decide(docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size")), shards=shards, seed=seed, **options)
     rows = taken.withColumn("_copy", F.explode("copies"))
-    clean = F.regexp_replace("text", f"^[{WHITE}]+", "")
+    clean = F.regexp_replace("_row.text", f"^[{WHITE}]+", "")
     cut = F.array_join(F.slice(F.split(clean, f"[{WHITE}]+"), 1, F.col("_copy.words").cast("int")), " ")
-    rows = rows.withColumn("_cut", F.col("_copy.words") < F.col("size")).withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    rows = rows.withColumn("_cut", F.when(F.col("_copy.words") < F.col("size"), cut))
     rows = rows.withColumn("_shard", F.col("_copy.shard")).withColumn("_at", F.xxhash64(F.lit(seed + 1), "doc_id", "_copy.copy"))
     # a shard's rows go to as many tasks as needed: the hash deals them, then each task sorts its own
     rows = rows.repartitionByRange("_shard", "_at").sortWithinPartitions("_shard", "_at")
-    return rows.select(*names)
+    made = {"text": F.coalesce("_cut", "_row.text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_cut")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[made.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

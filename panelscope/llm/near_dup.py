@@ -334,11 +334,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the least id; columns of ``docs``."""
-    heads = near_duplicates(docs, similarity).where("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    found = docs.withColumn("_text", F.xxhash64("text")).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    heads = near_duplicates(docs, similarity).where("first").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"))
+    found = rows.join(heads, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")))
     # equal rows have equal heads: one of them stays
-    one = F.row_number().over(W.partitionBy("_id", "_text").orderBy("_hash"))
-    return found.withColumn("_no", one).where("_no = 1").select(*docs.columns)
+    one = F.row_number().over(W.partitionBy("row_id", "row_hash").orderBy("hash"))
+    return found.withColumn("no", one).where("no = 1").select("row.*")
 
 
 def brute_force(texts: list[str | None], similarity: float = SIMILARITY) -> list[int]:

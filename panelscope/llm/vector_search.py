@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors.  Every vector is represented by its
+Pivots are far-apart vectors of a bounded sample.  Every vector is represented by its
 nearest pivots in order.  Vectors are dealt into blocks by hash; a block posts
 its vectors in one inverted file per pivot with the pivot's place.  A query
 adds up, over the files of its own pivots, how far places are apart (Spearman's
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from panelscope.llm.common import stored
 
-#: Pivots, taken by hash order of the vectors.
-PIVOTS = 256
+#: Pivots, and the vectors (by hash order) they are taken from: each time the one farthest from those taken.
+PIVOTS, SAMPLE = 256, 2048
 #: Nearest pivots that represent a vector.
 PLACES = 128
 #: Share of a block that is measured exactly.
@@ -65,6 +65,15 @@ def places(x: np.ndarray, pivots: np.ndarray, many: int = PLACES) -> np.ndarray:
     return np.take_along_axis(near, np.lexsort((near, np.take_along_axis(d, near, 1)), axis=1), 1)
 
 
+def farthest_first(x: np.ndarray, many: int) -> np.ndarray:
+    """At most ``many`` rows of ``x``, far apart; equal and very close ones give few pivots."""
+    taken, far = [0], distances(x, x[:1])[:, 0]
+    while len(taken) < min(many, len(x)):
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, distances(x, x[taken[-1] :][:1])[:, 0])
+    return x[taken]
+
+
 class Block:
     """Vectors of one block with an inverted file per pivot."""
 
@@ -108,10 +117,10 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = NEIGHBOURS
     distinct = once.withColumn("no", low).where(F.col("no") <= k + 1).groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     distinct = stored(distinct, "distinct-vectors")
     n = distinct.count()
-    chosen = [r["v"] for r in distinct.orderBy(F.xxhash64(F.lit(3), "h"), "h").select("v").limit(pivots).collect()]
+    chosen = [r["v"] for r in distinct.orderBy(F.xxhash64(F.lit(3), "h"), "h").select("v").limit(SAMPLE).collect()]
     if not chosen:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    shared = rows.sparkSession.sparkContext.broadcast(np.array(chosen))
+    shared = rows.sparkSession.sparkContext.broadcast(farthest_first(np.array(chosen), pivots))
 
     def pack(df: DataFrame, ids: str, kind: str, size: int, total: int) -> DataFrame:
         """no, ids, data, order: blocks of about ``size`` rows by hash; one row each, with the pivots of its vectors."""
