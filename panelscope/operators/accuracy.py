@@ -450,11 +450,10 @@ def score_band(score: Column) -> Column:
 
 
 def miss_report(panels: DataFrame) -> DataFrame:
-    """Per reason: panels, detections at .50 and .60, one row per band."""
-    return panels.groupBy("reason", score_band(F.col("gt_score")).alias("band")).agg(
-        F.count(F.lit(1)).alias("panels"),
-        F.count_if(F.col("gt_score") >= 0.5).alias("at_50"),
-        F.count_if(F.col("gt_score") >= 0.6).alias("at_60"),
+    """Panels that were found, by reason and band of their highest score, with detections at .50 and .60."""
+    top = F.col("max_score")
+    return panels.where("found").groupBy("reason", score_band(top).alias("band")).agg(
+        F.count(F.lit(1)).alias("panels"), F.count_if(top >= 0.5).alias("at_50"), F.count_if(top >= 0.6).alias("at_60")
     )
 
 

@@ -219,6 +219,8 @@ def grey_histogram(maps: DataFrame, keys: list[str]) -> DataFrame:
         for batch in batches:
             for _, same in batch.groupby(["h", "w"], sort=False):
                 flat = np.stack(same["heat"].to_numpy()).astype(int)
+                if flat.size and (flat.min() < 0 or flat.max() > 255):
+                    raise ValueError("grey values must lie in 0..255")
                 n = len(flat)
                 counts = np.bincount((np.arange(n)[:, None] * 256 + flat).ravel(), minlength=n * 256).reshape(n, 256)
                 row, v = np.nonzero(counts)

@@ -35,13 +35,17 @@ def by_glass(records: DataFrame, glass_id: str) -> DataFrame:
     return records.where(F.col("glass_id") == glass_id).orderBy(*_newest_first())
 
 
-def by_range(records: DataFrame, start: str, end: str, limit: int = 1000) -> DataFrame:
+def _at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    """``df`` or its first rows; without a limit all of them."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit must be positive")
+    return df if limit is None else df.limit(limit)
+
+
+def by_range(records: DataFrame, start: str, end: str, limit: int | None = None) -> DataFrame:
     """Q02: both bounds inclusive as timestamps."""
-    return (
-        records.where((F.col("created_at") >= _ntz(start)) & (F.col("created_at") <= _ntz(end)))
-        .orderBy(*_newest_first())
-        .limit(limit)
-    )
+    hits = records.where((F.col("created_at") >= _ntz(start)) & (F.col("created_at") <= _ntz(end)))
+    return _at_most(hits.orderBy(*_newest_first()), limit)
 
 
 def recent(records: DataFrame, n: int = 50) -> DataFrame:
@@ -50,12 +54,13 @@ def recent(records: DataFrame, n: int = 50) -> DataFrame:
 
 def _page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     """One page with the total of the whole selection as a scalar subquery."""
+    if limit < 1 or offset < 0:
+        raise ValueError("a page needs a positive limit and an offset of 0 or more")
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    return df.orderBy(*order).offset(max(0, offset)).limit(limit).withColumn("total_count", total.scalar())
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total_count", total.scalar())
 
 
 def paged(records: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    limit = max(1, min(500, limit))
     page = _page(records, _newest_first(), limit, offset)
     return page.withColumn("pages", F.ceil(F.col("total_count") / limit))
 
@@ -156,9 +161,9 @@ def record_detail(
     return records.join(trees, records["id"] == trees["record_id"], "left").drop("record_id")
 
 
-def log_search(lines: DataFrame, n: int = 500, level: str = "", text: str = "") -> DataFrame:
-    """Q08: the last n lines (by ``line_no``), then level and text filters."""
-    tail = lines.orderBy(F.col("line_no").desc()).limit(min(n, 5000))
+def log_search(lines: DataFrame, n: int | None = 500, level: str = "", text: str = "") -> DataFrame:
+    """Q08: the last n lines (by ``line_no``, None: all), then level and text filters."""
+    tail = lines if n is None else _at_most(lines.orderBy(F.col("line_no").desc()), n)
     cond = F.lit(True)
     if level:
         cond = cond & F.col("line").contains(level.upper())
@@ -185,7 +190,7 @@ def _rescued(tiles: DataFrame, images: DataFrame, records: DataFrame, start: str
 
 def rescued_tiles(
     tiles: DataFrame, images: DataFrame, records: DataFrame, review: DataFrame,
-    state: str = "pending", order: str = "latest", limit: int = 24, offset: int = 0,
+    state: str = "pending", order: str = "latest", limit: int | None = None, offset: int = 0,
     start: str | None = None, end: str | None = None,
 ) -> DataFrame:
     """Q09."""
@@ -204,10 +209,11 @@ def rescued_tiles(
         else [F.col("created_at").desc(), F.col("id").desc()]
     )
     blank = F.lit("")
+    if offset < 0:
+        raise ValueError("an offset must be 0 or more")
+    ordered = joined.orderBy(*keys)
     return (
-        joined.orderBy(*keys)
-        .offset(max(0, offset))
-        .limit(max(1, min(100, limit)))
+        _at_most(ordered.offset(offset) if offset else ordered, limit)
         .select(
             "id", "tile_id", "record_id", "glass_id", "image_name", "created_at", "x", "y", "score", "scratch_score",
             F.coalesce(F.nullif("heatmap_path", blank), F.nullif("image_heatmap", blank), blank).alias("heatmap"),
@@ -252,15 +258,16 @@ def tile_pool(pool: DataFrame, job: str, lighting=None, zone=None, source=None,
     return pool.where(cond).orderBy("id")
 
 
-def ok_panels(records: DataFrame, as_of: str, model: str = "", days: int = 3, limit: int = 100) -> DataFrame:
-    """Q13."""
-    days = max(1, min(3, days))
+def ok_panels(records: DataFrame, as_of: str, model: str = "", days: int = 3, limit: int | None = None) -> DataFrame:
+    """Q13: OK panels of the last 1 to 3 days."""
+    if not 1 <= days <= 3:
+        raise ValueError("days must lie in 1..3")
     rows = records.where("machine_judgment = 'OK'").where(
         F.col("created_at") >= _ntz(as_of) - F.expr(f"INTERVAL {days} DAYS")
     )
     if model:
         rows = rows.where(F.col("model_id") == model)
-    return rows.orderBy(*_newest_first()).limit(limit)
+    return _at_most(rows.orderBy(*_newest_first()), limit)
 
 
 def bundles(table: DataFrame, machine: str | None = None, files: DataFrame | None = None) -> DataFrame:
@@ -298,11 +305,28 @@ def active_jobs(jobs: DataFrame) -> DataFrame:
     )
 
 
-def config_history(history: DataFrame, name: str | None = None, limit: int = 100) -> DataFrame:
+def config_history(history: DataFrame, name: str | None = None, limit: int | None = None) -> DataFrame:
     """Q16."""
     if name:
         history = history.where(F.col("name") == name)
-    return history.orderBy(F.col("changed_at").desc(), F.col("id").desc()).limit(limit)
+    return _at_most(history.orderBy(F.col("changed_at").desc(), F.col("id").desc()), limit)
+
+
+def decoded_settings(params: DataFrame, name: str | None = None) -> DataFrame:
+    """Q16: all parameters, or one, with the value as its tag reads it.
+
+    ``params``: name, value, tag (int, float, bool, json or str); the decoded
+    value stands in the column of its type, and is null if it can't be read.
+    """
+    if name:
+        params = params.where(F.col("name") == name)
+    tag = F.col("tag")
+    return params.select(
+        "name", "value", "tag", F.when(tag == "int", F.col("value").try_cast("bigint")).alias("int_value"),
+        F.when(tag == "float", F.col("value").try_cast("double")).alias("float_value"),
+        F.when(tag == "bool", F.lower("value").isin("true", "1", "yes")).alias("bool_value"),
+        F.when(tag == "json", F.try_parse_json("value").cast("string")).alias("json_value"),
+    ).orderBy("name")
 
 
 def ric_batches(batches: DataFrame) -> DataFrame:
@@ -310,12 +334,9 @@ def ric_batches(batches: DataFrame) -> DataFrame:
 
 
 def gallery(manifest: DataFrame, label: str = "", prefix: str = "", page: int = 1, limit: int = 50) -> DataFrame:
-    """Q18: one page of good samples; a page past the end becomes the last.
-
-    The last page is picked by rank from the end, so the clamp needs the count
-    only as a scalar in the plan.
-    """
-    limit = max(1, min(500, limit))
+    """Q18: one page of good samples; a page past the end becomes the last."""
+    if limit < 1 or page < 1:
+        raise ValueError("page and limit must be positive")
     good = manifest.where("status = 'ok'")
     chosen = good
     if label:
@@ -323,16 +344,9 @@ def gallery(manifest: DataFrame, label: str = "", prefix: str = "", page: int =
     if prefix:
         chosen = chosen.where(F.col("prefix") == prefix)
     order = [F.col("collected_at").desc(), F.col("sample_id").asc(), F.col("line_no").asc()]
-    n = chosen.agg(F.count(F.lit(1)).alias("n")).scalar()
-    pages = F.greatest(F.lit(1), F.ceil(n / limit))
-    first = (F.least(F.lit(max(1, page)), pages) - 1) * limit
-    ranked = chosen.orderBy(*order).limit(max(1, page) * limit)
-    from pyspark.sql import Window as W
-
-    # at most page * limit rows reach this window
-    return ranked.withColumn("pos", F.row_number().over(W.orderBy(*order))).where(
-        (F.col("pos") > first) & (F.col("pos") <= first + limit)
-    )
+    n = chosen.count()
+    first = (min(page, max(1, -(-n // limit))) - 1) * limit
+    return chosen.orderBy(*order).offset(first).limit(limit)
 
 
 def gallery_counts(manifest: DataFrame) -> DataFrame:

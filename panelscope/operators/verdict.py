@@ -145,9 +145,9 @@ def image_flags(tiles: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def tile_rows(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows to store; an AOI tile below threshold is kept, unflagged."""
-    return scored.withColumn("is_anomaly", (F.col("score") >= threshold).cast("int"))
+def tile_rows(kept: DataFrame) -> DataFrame:
+    """Rows to store of the tiles that V15 keeps; those it flags as below their threshold are no anomalies."""
+    return kept.withColumn("is_anomaly", 1 - F.col("below_threshold"))
 
 
 def simple_verdict(ai: Column) -> Column:
@@ -289,17 +289,29 @@ def ok_reason(score, threshold, area, min_area) -> Column:
     return F.when(score < threshold, "Score<Thr").when(area < min_area, "Area<Min").otherwise("")
 
 
+# Why a known defect was not reported, in order of the first that holds.
+MISS_REASONS = {
+    "not_found": "PANEL_NOT_FOUND", "error": "INFERENCE_ERROR", "duplicate": "DUPLICATE_PANEL", "dust_bomb": "FILTERED_BY_DUST_AND_BOMB", "dust": "FILTERED_BY_DUST",
+    "bomb": "FILTERED_BY_BOMB", "undetectable": "MODEL_UNDETECTABLE", "threshold": "THRESHOLD_TOO_HIGH", "outside": "GT_OUTSIDE_TILES",
+}
+
+
 def miss_reason(panels: DataFrame) -> DataFrame:
-    """Why a known defect was not reported, most specific first."""
+    """Adds ``reason``.  ``panels``: found, has_error, is_duplicate, dusty,
+    bombs, max_score of the panel, n_gt known defects, gt_in_tile of them."""
+    r = MISS_REASONS
     return panels.withColumn(
         "reason",
-        F.when(F.col("n_tiles") == 0, "gt_outside_tiles")
-        .when((F.col("dusty") > 0) & (F.col("bombs") > 0), "dust+bomb")
-        .when(F.col("dusty") > 0, "dust")
-        .when(F.col("bombs") > 0, "bomb")
-        .when(F.col("gt_score") < 0.30, "score<.30")
-        .when(F.col("gt_score") < 0.60, "score<.60")
-        .otherwise("threshold"),
+        F.when(~F.col("found"), r["not_found"])
+        .when(F.col("has_error"), r["error"])
+        .when(F.col("is_duplicate"), r["duplicate"])
+        .when((F.col("dusty") > 0) & (F.col("bombs") > 0), r["dust_bomb"])
+        .when(F.col("dusty") > 0, r["dust"])
+        .when(F.col("bombs") > 0, r["bomb"])
+        .when(F.col("max_score") < 0.30, r["undetectable"])
+        .when(F.col("max_score") < 0.60, r["threshold"])
+        .when((F.col("n_gt") > 0) & (F.col("gt_in_tile") == 0), r["outside"])
+        .otherwise(r["threshold"]),
     )
 
 

@@ -317,31 +317,36 @@ def a16(d):
 
 
 def panels(d):
-    """Per record: dust, bombs and the score at its known defect."""
+    """Per record: dust, bombs, scores and known defects; a record without tiles was not found."""
     g = d.tiles.groupBy("record_id").agg(
-        F.count(F.lit(1)).alias("n_tiles"), F.sum("is_dust").alias("dusty"), F.sum("is_bomb").alias("bombs"),
-        F.max("scratch_score").alias("gt_score"), F.max("score").alias("top_score"), F.max("dust_iou").alias("max_iou"),
+        F.count(F.lit(1)).alias("n_tiles"), F.sum("is_dust").alias("dusty"), F.sum("is_bomb").alias("bombs"), F.sum("is_aoi_coord").alias("n_gt"),
+        F.count_if((F.col("is_aoi_coord") == 1) & (F.col("is_exclude_zone") == 0)).alias("gt_in_tile"), F.max("score").alias("top_score"), F.max("dust_iou").alias("max_iou"),
         (F.min("is_dust") == 1).cast("int").alias("only_dust"),
         F.max(F.when(V.is_real(), F.col("score"))).alias("free_score"),
         F.max(F.when(F.col("is_dust") == 1, F.col("dust_iou"))).alias("dust_iou_of_filtered"),
     )
-    return d.records.select(F.col("id").alias("record_id"), "machine_judgment").join(g, "record_id", "left").fillna(0, ["n_tiles", "dusty", "bombs", "gt_score"])
+    heads = d.records.select(F.col("id").alias("record_id"), "machine_judgment", F.col("ai_judgment").startswith("ERR:D").alias("has_error"), (F.col("omit_overexposed") == 1).alias("is_duplicate"))
+    out = heads.join(g, "record_id", "left").fillna(0, ["n_tiles", "dusty", "bombs", "n_gt", "gt_in_tile"])
+    return out.withColumns({"found": F.col("n_tiles") > 0, "max_score": F.coalesce("top_score", F.lit(0.0))})
 
 
 _PANELS = """(SELECT r.id AS record_id, machine_judgment, coalesce(n_tiles, 0) AS n_tiles, coalesce(dusty, 0) AS dusty, coalesce(bombs, 0) AS bombs,
-coalesce(gt_score, 0) AS gt_score, top_score, max_iou, only_dust, free_score, dust_iou_of_filtered FROM records r LEFT JOIN
-(SELECT record_id, count(*) AS n_tiles, sum(is_dust) AS dusty, sum(is_bomb) AS bombs, max(scratch_score) AS gt_score, max(score) AS top_score,
+starts_with(ai_judgment, 'ERR:D') AS has_error, omit_overexposed = 1 AS is_duplicate, coalesce(n_tiles, 0) > 0 AS found, coalesce(top_score, 0) AS max_score,
+coalesce(n_gt, 0) AS n_gt, coalesce(gt_in_tile, 0) AS gt_in_tile, top_score, max_iou, only_dust, free_score, dust_iou_of_filtered FROM records r LEFT JOIN
+(SELECT record_id, count(*) AS n_tiles, sum(is_dust) AS dusty, sum(is_bomb) AS bombs, sum(is_aoi_coord) AS n_gt,
+count(*) FILTER (is_aoi_coord = 1 AND is_exclude_zone = 0) AS gt_in_tile, max(score) AS top_score,
 max(dust_iou) AS max_iou, CAST(min(is_dust) = 1 AS INT) AS only_dust,
 max(score) FILTER (is_bomb = 0 AND is_dust = 0 AND is_exclude_zone = 0 AND scratch_filtered = 0 AND is_anomaly = 1) AS free_score,
 max(dust_iou) FILTER (is_dust = 1) AS dust_iou_of_filtered FROM tiles GROUP BY 1) t ON t.record_id = r.id)"""
-REASON_SQL = """CASE WHEN n_tiles = 0 THEN 'gt_outside_tiles' WHEN dusty > 0 AND bombs > 0 THEN 'dust+bomb' WHEN dusty > 0 THEN 'dust'
-WHEN bombs > 0 THEN 'bomb' WHEN gt_score < 0.3 THEN 'score<.30' WHEN gt_score < 0.6 THEN 'score<.60' ELSE 'threshold' END"""
+REASON_SQL = """CASE WHEN NOT found THEN 'PANEL_NOT_FOUND' WHEN has_error THEN 'INFERENCE_ERROR' WHEN is_duplicate THEN 'DUPLICATE_PANEL'
+WHEN dusty > 0 AND bombs > 0 THEN 'FILTERED_BY_DUST_AND_BOMB' WHEN dusty > 0 THEN 'FILTERED_BY_DUST' WHEN bombs > 0 THEN 'FILTERED_BY_BOMB'
+WHEN max_score < 0.3 THEN 'MODEL_UNDETECTABLE' WHEN max_score < 0.6 THEN 'THRESHOLD_TOO_HIGH' WHEN n_gt > 0 AND gt_in_tile = 0 THEN 'GT_OUTSIDE_TILES' ELSE 'THRESHOLD_TOO_HIGH' END"""
 
 
-@query("A17_miss_report", f"""SELECT reason, CASE WHEN gt_score <= 0 THEN '0' WHEN gt_score < 0.3 THEN '<.3' WHEN gt_score < 0.4 THEN '<.4'
-WHEN gt_score < 0.5 THEN '<.5' WHEN gt_score < 0.6 THEN '<.6' ELSE '>=.6' END AS band, count(*) AS panels,
-count(*) FILTER (gt_score >= 0.5) AS at_50, count(*) FILTER (gt_score >= 0.6) AS at_60
-FROM (SELECT *, {REASON_SQL} AS reason FROM {_PANELS}) GROUP BY 1, 2""")
+@query("A17_miss_report", f"""SELECT reason, CASE WHEN max_score <= 0 THEN '0' WHEN max_score < 0.3 THEN '<.3' WHEN max_score < 0.4 THEN '<.4'
+WHEN max_score < 0.5 THEN '<.5' WHEN max_score < 0.6 THEN '<.6' ELSE '>=.6' END AS band, count(*) AS panels,
+count(*) FILTER (max_score >= 0.5) AS at_50, count(*) FILTER (max_score >= 0.6) AS at_60
+FROM (SELECT *, {REASON_SQL} AS reason FROM {_PANELS}) WHERE found GROUP BY 1, 2""")
 def a17(d):
     return A.miss_report(V.miss_reason(panels(d)))
 

@@ -52,7 +52,7 @@ class Inspection:
                 "o_orderkey AS id",
                 "concat('GLS', lpad(cast(o_custkey AS string), 6, '0')) AS glass_id",
                 "concat('GN140', substring('BHJKG', cast(1 + o_custkey % 5 AS int), 1), 'CAL010S') AS model_id",
-                "concat('CAPI', cast(1401 + o_custkey % 7 AS string)) AS machine_no",
+                "concat('MACH', cast(1401 + o_custkey % 7 AS string)) AS machine_no",
                 """CASE WHEN o_orderstatus = 'F' THEN 'OK' WHEN o_orderstatus = 'O' THEN 'NG'
                         WHEN o_orderkey % 10 = 0 THEN 'HY' WHEN o_orderkey % 10 = 1 THEN '' ELSE 'NG' END
                    AS machine_judgment""",
@@ -296,7 +296,7 @@ SELECT id, glass_id, model_id, machine_no, machine_judgment, ai_judgment, reques
 FROM (SELECT o_orderkey AS id,
    'GLS' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS glass_id,
    'GN140' || substr('BHJKG', CAST(1 + o_custkey % 5 AS INT), 1) || 'CAL010S' AS model_id,
-   'CAPI' || CAST(1401 + o_custkey % 7 AS VARCHAR) AS machine_no,
+   'MACH' || CAST(1401 + o_custkey % 7 AS VARCHAR) AS machine_no,
    CASE WHEN o_orderstatus = 'F' THEN 'OK' WHEN o_orderstatus = 'O' THEN 'NG'
         WHEN o_orderkey % 10 = 0 THEN 'HY' WHEN o_orderkey % 10 = 1 THEN '' ELSE 'NG' END AS machine_judgment,
    CASE WHEN o_orderpriority = '1-URGENT' THEN 'NG'

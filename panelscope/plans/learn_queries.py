@@ -125,13 +125,13 @@ def m19(d):
 def event_stream(d):
     schema = d.raw("events").schema
     return T.read_stream(d.spark, d.sf_dir, "events.parquet", schema).selectExpr(
-        "event_id AS id", "cast(ts AS timestamp) AS request_time", "concat('CAPI', cast(1401 + user_id % 7 AS string)) AS machine_no",
+        "event_id AS id", "cast(ts AS timestamp) AS request_time", "concat('MACH', cast(1401 + user_id % 7 AS string)) AS machine_no",
         "CASE event_type WHEN 'error' THEN 'ERR:x' WHEN 'purchase' THEN 'NG' WHEN 'signup' THEN 'NG@a' ELSE 'OK' END AS ai_judgment",
         "concat('GLS', cast(user_id AS string)) AS pnl_id", "value AS seconds",
     )
 
 
-_EV = """(SELECT event_id AS id, ts, 'CAPI' || (1401 + user_id % 7) AS machine_no, CASE event_type WHEN 'error' THEN 'ERR:x' WHEN 'purchase' THEN 'NG' WHEN 'signup' THEN 'NG@a' ELSE 'OK' END AS ai FROM events)"""
+_EV = """(SELECT event_id AS id, ts, 'MACH' || (1401 + user_id % 7) AS machine_no, CASE event_type WHEN 'error' THEN 'ERR:x' WHEN 'purchase' THEN 'NG' WHEN 'signup' THEN 'NG@a' ELSE 'OK' END AS ai FROM events)"""
 
 
 @query("T02_stream_counters", f"""SELECT machine_no, count(*) AS total, count(*) FILTER (ai = 'OK') AS ok, count(*) FILTER (ai LIKE 'NG%') AS ng, count(*) FILTER (ai LIKE 'ERR%') AS err,

@@ -84,11 +84,11 @@ def s04(d):
     return Q.parse_defects(text).select("record_id", "file_name", "code", F.coalesce("x", F.lit(-1)).alias("x"), "y", "bad")
 
 
-@query("S05_import_ric", """SELECT id AS page_id, pnl_id, mach_id, datastr, ric_judgment FROM ric WHERE mach_id <> 'CAPI1402'""")
+@query("S05_import_ric", """SELECT id AS page_id, pnl_id, mach_id, datastr, ric_judgment FROM ric WHERE mach_id <> 'MACH1402'""")
 def s05(d):
     html = F.concat(
         F.lit("<table><tr><th>PNL_ID</th><th>MACH_ID</th><th>DATASTR</th></tr><tr><td>"),
-        F.when(F.col("mach_id") == "CAPI1402", "&nbsp;").otherwise(F.col("pnl_id")), F.lit("</td><td>"), "mach_id",
+        F.when(F.col("mach_id") == "MACH1402", "&nbsp;").otherwise(F.col("pnl_id")), F.lit("</td><td>"), "mach_id",
         F.lit("</td><td>"), "datastr", F.lit("</td></tr><tr><td></td><td></td></tr></table>"),
     )
     pages = d.ric.select(F.col("id").alias("page_id"), F.encode(html, "UTF-8").alias("content"))
@@ -164,13 +164,25 @@ def s09_counts(d):
 
 
 @query("S10_search_export", """
-WITH s AS (SELECT * FROM records WHERE ai_judgment ILIKE '%ok%' ORDER BY created_at DESC, id DESC LIMIT 10000)
+WITH s AS (SELECT * FROM records WHERE ai_judgment ILIKE '%ok%')
 SELECT s.id, glass_id, model_id, machine_no, machine_judgment, ai_judgment, processing_seconds, created_at,
 coalesce(n, 0) AS total_images, coalesce(g, 0) AS ng_images FROM s LEFT JOIN (SELECT record_id, count(*) AS n, CAST(sum(is_ng) AS BIGINT) AS g FROM images GROUP BY 1) i ON i.record_id = s.id""")
 def s10(d):
     return M.search_export(d.records, d.images, ai_judgment="ok")
 
 
+@query("S10_export_round_trip", """
+SELECT CAST(r.id AS VARCHAR) AS id, glass_id, model_id, machine_judgment AS machine_judgment, CAST(coalesce(n, 0) AS VARCHAR) AS total_images FROM records r
+LEFT JOIN (SELECT record_id, count(*) AS n FROM images GROUP BY 1) i ON i.record_id = r.id WHERE ai_judgment ILIKE '%ng%'""")
+def s10_csv(d):
+    path = scratch_path(d.spark, "search-export")
+    M.export_search(M.search_export(d.records, d.images, ai_judgment="ng"), path)
+    back = d.spark.read.option("header", "true").option("emptyValue", "").option("nullValue", None).csv(path)
+    back = back.toDF(*[c.lstrip("\ufeff") for c in back.columns])
+    names = dict(zip(("id", "glass_id", "model_id", "machine_judgment", "total_images"), ("ID", "玻璃編號", "機種", "機檢判定", "圖片數")))
+    return back.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for n, c in names.items()])
+
+
 @query("S11_export_scratch", """SELECT sample_id, label, is_positive, printf('%.6f', score) AS score, CAST(score > 0.5 AS INT) AS flipped,
 CASE WHEN is_positive = 1 THEN CASE WHEN score > 0.5 THEN 'TP' ELSE 'FN' END WHEN score > 0.5 THEN 'FP (leak)' ELSE 'TN' END AS judgment, glass_id, image_name, crop_path
 FROM (SELECT *, CAST(label = 'over_surface_dirt' AS INT) AS is_positive, ai_score AS score FROM manifest)""")
@@ -186,25 +198,38 @@ def nested_panels(d):
     trees = imgs.groupBy(F.col("record_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("image_name", "is_ng", "tiles", F.coalesce("edges", F.array()).alias("edges")))).alias("images")
     )
-    return d.records.join(trees, "id")
+    return d.records.withColumn("is_duplicate", F.col("omit_overexposed") == 1).join(trees, "id")
+
 
+_NOTE = ST.DUPLICATE_NOTE
+_IMAGE_NOS = """(SELECT id AS old_id, record_id, image_name, record_id || '-' || (row_number() OVER (PARTITION BY record_id ORDER BY image_name) - 1) AS id FROM images)"""
 
-@query("S12_persist_records", """SELECT id, glass_id, CAST(n AS INT) AS total_images, CAST(g AS INT) AS ng_images FROM records
+
+@query("S12_persist_records", f"""SELECT id, glass_id, CAST(n AS INT) AS total_images, CAST(g AS INT) AS ng_images,
+concat_ws(chr(10), CASE WHEN omit_overexposed = 1 THEN '{_NOTE}' END, CASE WHEN starts_with(ai_judgment, 'ERR') THEN ai_judgment END) AS error_message FROM records
 JOIN (SELECT record_id, count(*) AS n, sum(is_ng) AS g FROM images GROUP BY 1) i ON i.record_id = id""")
 def s12(d):
-    return ST.persist(nested_panels(d))["records"].select("id", "glass_id", "total_images", "ng_images")
+    return ST.persist(nested_panels(d))["records"].select("id", "glass_id", "total_images", "ng_images", "error_message")
 
 
-@query("S12_persist_children", """SELECT 'image' AS level, count(*) AS n, 0.0::DOUBLE AS score FROM images UNION ALL SELECT 'tile', count(*), round(sum(score), 4) FROM tiles
-UNION ALL SELECT 'edge', count(*), CAST(sum(area) AS DOUBLE) FROM edges""")
+@query("S12_persist_children", f"""
+SELECT 'image' AS level, n.id, CAST(n.record_id AS VARCHAR) AS parent, n.image_name AS value FROM {_IMAGE_NOS} n
+UNION ALL SELECT 'tile', n.id || '-' || (row_number() OVER (PARTITION BY n.id ORDER BY tile_id, score) - 1), n.id, CAST(tile_id AS VARCHAR)
+FROM tiles t JOIN {_IMAGE_NOS} n ON n.old_id = t.image_result_id
+UNION ALL SELECT 'edge', n.id || '-' || (row_number() OVER (PARTITION BY n.id ORDER BY side, area) - 1), n.id, side || area
+FROM edges e JOIN {_IMAGE_NOS} n ON n.old_id = e.image_result_id""")
 def s12_children(d):
     t = ST.persist(nested_panels(d))
-    n = F.count(F.lit(1)).alias("n")
-    return (
-        t["images"].agg(n).select(F.lit("image").alias("level"), "n", F.lit(0.0).alias("score"))
-        .unionByName(t["tiles"].agg(n, F.round(F.sum("score"), 4).alias("score")).select(F.lit("tile").alias("level"), "n", "score"))
-        .unionByName(t["edges"].agg(n, F.sum("area").cast("double").alias("score")).select(F.lit("edge").alias("level"), "n", "score"))
-    )
+    rows = {
+        "image": t["images"].select("id", F.col("record_id").cast("string").alias("parent"), F.col("image_name").alias("value")),
+        "tile": t["tiles"].select("id", F.col("image_result_id").alias("parent"), F.col("tile_id").cast("string").alias("value")),
+        "edge": t["edges"].select("id", F.col("image_result_id").alias("parent"), F.concat("side", F.col("area").cast("string")).alias("value")),
+    }
+    out = None
+    for level, df in rows.items():
+        one = df.select(F.lit(level).alias("level"), "id", "parent", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("S13_rerun", """

@@ -18,8 +18,7 @@ def q01(d):
 
 
 @query("Q02_by_range", f"""SELECT {HEAD_SQL} FROM records
-WHERE created_at BETWEEN TIMESTAMP '2026-04-05 00:00:00' AND TIMESTAMP '2026-04-09 12:00:00'
-ORDER BY created_at DESC, id DESC LIMIT 1000""")
+WHERE created_at BETWEEN TIMESTAMP '2026-04-05 00:00:00' AND TIMESTAMP '2026-04-09 12:00:00'""")
 def q02(d):
     return S.by_range(d.records, "2026-04-05 00:00:00", "2026-04-09 12:00:00").select(HEAD)
 
@@ -83,20 +82,20 @@ def q07(d):
 
 
 @query("Q08_log_search", """
-SELECT line_no, line FROM (SELECT doc_id AS line_no, text AS line FROM documents ORDER BY doc_id DESC LIMIT 5000)
+SELECT line_no, line FROM (SELECT doc_id AS line_no, text AS line FROM documents)
 WHERE contains(lower(line), 'data')""")
 def q08(d):
-    return S.log_search(d.raw("documents").selectExpr("doc_id AS line_no", "text AS line"), 5000, text="DATA")
+    return S.log_search(d.raw("documents").selectExpr("doc_id AS line_no", "text AS line"), None, text="DATA")
 
 
 _RESCUED_SQL = """FROM tiles t JOIN image_names i ON i.id = t.image_result_id JOIN records r ON r.id = i.record_id
 LEFT JOIN rescue_review s ON s.tile_result_id = t.id WHERE t.scratch_filtered = 1"""
 
 
-def _rescued_sql(extra: str, order: str, limit: int) -> str:
+def _rescued_sql(extra: str, order: str, limit: int | None = None) -> str:
     return f"""SELECT t.id, t.tile_id, r.id AS record_id, r.glass_id, i.image_name, r.created_at, t.x, t.y, t.score, t.scratch_score,
 coalesce(nullif(t.heatmap_path, ''), nullif(i.heatmap_path, ''), '') AS heatmap,
-coalesce(s.is_misrescue, 0) AS is_misrescue, s.id IS NOT NULL AS reviewed {_RESCUED_SQL} {extra} ORDER BY {order} LIMIT {limit}"""
+coalesce(s.is_misrescue, 0) AS is_misrescue, s.id IS NOT NULL AS reviewed {_RESCUED_SQL} {extra} ORDER BY {order}{f' LIMIT {limit}' if limit else ''}"""
 
 
 @query("Q09_rescued_pending", _rescued_sql("AND s.id IS NULL AND CAST(r.created_at AS DATE) <= DATE '2026-04-25'", "r.created_at DESC, t.id DESC", 100))
@@ -104,7 +103,7 @@ def q09(d):
     return S.rescued_tiles(d.tiles, d.image_names, d.records, d.rescue_review, limit=100, end="2026-04-25")
 
 
-@query("Q09_rescued_marked", _rescued_sql("AND s.is_misrescue = 1", "t.scratch_score, r.created_at DESC, t.id DESC", 24))
+@query("Q09_rescued_marked", _rescued_sql("AND s.is_misrescue = 1", "t.scratch_score, r.created_at DESC, t.id DESC"))
 def q09m(d):
     return S.rescued_tiles(d.tiles, d.image_names, d.records, d.rescue_review, "marked", "score_asc")
 
@@ -134,9 +133,9 @@ def q12_ng(d):
 
 
 @query("Q13_ok_panels", f"""SELECT {HEAD_SQL} FROM records WHERE machine_judgment = 'OK' AND model_id = 'GN140HCAL010S'
-AND created_at >= TIMESTAMP '2026-04-27 00:00:00' ORDER BY created_at DESC, id DESC LIMIT 100""")
+AND created_at >= TIMESTAMP '2026-04-27 00:00:00' """)
 def q13(d):
-    return S.ok_panels(d.records, AS_OF, "GN140HCAL010S", days=9).select(HEAD)
+    return S.ok_panels(d.records, AS_OF, "GN140HCAL010S", days=3).select(HEAD)
 
 
 def bundle_table(d):
@@ -188,12 +187,29 @@ def q15(d):
 
 
 @query("Q16_config_history", """SELECT event_id AS id, 'p' || CAST(user_id AS VARCHAR) AS name, CAST(value AS VARCHAR) IS NOT NULL AS has_value, ts AS changed_at
-FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 100""")
+FROM events WHERE user_id = 7""")
 def q16(d):
     history = d.raw("events").selectExpr("event_id AS id", "concat('p', cast(user_id AS string)) AS name", "value IS NOT NULL AS has_value", "ts AS changed_at")
     return S.config_history(history, "p7")
 
 
+def settings_table(d):
+    """One setting per part, of every type."""
+    return d.raw("part").selectExpr(
+        "concat('set', cast(p_partkey AS string)) AS name",
+        "element_at(array('int', 'float', 'bool', 'json', 'str'), cast(1 + p_partkey % 5 AS int)) AS tag",
+        """CASE p_partkey % 5 WHEN 0 THEN cast(p_size AS string) WHEN 1 THEN cast(p_size / 4 AS string) WHEN 2 THEN CASE WHEN p_size > 20 THEN 'True' ELSE 'false' END
+           WHEN 3 THEN concat('{"size":', cast(p_size AS string), '}') ELSE p_brand END AS value""",
+    )
+
+
+@query("Q16_decoded_settings", """SELECT 'set' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS BIGINT) END AS int_value,
+CASE WHEN p_partkey % 5 = 1 THEN CAST(p_size AS DOUBLE) / 4 END AS float_value, CASE WHEN p_partkey % 5 = 2 THEN p_size > 20 END AS bool_value,
+CASE WHEN p_partkey % 5 = 3 THEN '{"size":' || p_size || '}' END AS json_value FROM part""")
+def q16_settings(d):
+    return S.decoded_settings(settings_table(d)).select("name", "int_value", "float_value", "bool_value", "json_value")
+
+
 @query("Q17_ric_batches", """SELECT batch_id AS id, count(*) AS total_records, max(r.request_time) AS imported_at
 FROM ric JOIN (SELECT id AS rid, request_time FROM records) r ON rid = ric.id GROUP BY 1""")
 def q17(d):

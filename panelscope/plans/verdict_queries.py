@@ -46,11 +46,6 @@ def v04(d):
     return V.image_flags(d.tiles, d.edges)
 
 
-@query("V05_tile_rows", "SELECT id, score, CAST(score >= 0.5 AS INT) AS is_anomaly FROM tiles")
-def v05(d):
-    return V.tile_rows(d.tiles).select("id", "score", "is_anomaly")
-
-
 @query("V06_image_status", """SELECT id, CASE WHEN is_dust_only = 1 THEN 'DUST' WHEN is_bomb = 1 THEN 'BOMB' WHEN is_ng = 1 THEN 'NG' ELSE 'OK' END AS status FROM images""")
 def v06(d):
     return V.image_status(d.images).select("id", "status")
@@ -154,6 +149,12 @@ def v14(d):
     return d.image_names.select("id", T.skip_file("image_name", ["SG0F00000"], ["B0F00000", "OMIT0000_000001.tif"]).alias("skip"))
 
 
+@query("V05_tile_rows", f"""SELECT id, score, CAST(NOT (is_aoi_coord = 1 AND (score < threshold OR (starts_with(image_name, 'B0F') AND score <= 0))) AS INT) AS is_anomaly
+FROM {ROUTED_SQL} WHERE score >= threshold OR is_aoi_coord = 1""")
+def v05(d):
+    return V.tile_rows(V.keep_tiles(routed(d))).select("id", "score", "is_anomaly")
+
+
 @query("V15_keep_tiles", f"""SELECT id, CAST(is_aoi_coord = 1 AND (score < threshold OR (starts_with(image_name, 'B0F') AND score <= 0)) AS INT) AS below_threshold
 FROM {ROUTED_SQL} WHERE score >= threshold OR is_aoi_coord = 1""")
 def v15(d):

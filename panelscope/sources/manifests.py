@@ -28,6 +28,7 @@ MANIFEST_FIELDS = [
 # Header of the search export.
 SEARCH_HEADER = ["ID", "玻璃編號", "機種", "機台", "機檢判定", "AI判定", "耗時(s)", "建立時間", "圖片數", "NG圖片數"]
 
+# Prefixes of lighting files, and encodings of report pages by preference.
 LIGHTINGS = ["G0F00000", "R0F00000", "W0F00000", "WGF50500", "STANDARD"]
 HTML_ENCODINGS = ("utf-8", "gb2312", "gbk", "big5", "latin-1")
 
@@ -40,23 +41,25 @@ def _first(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool
 
 
 def read_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All columns text; the last row of a sample id wins.
+    """All columns text, found by their names in the header; those that a
+    file lacks are empty.  The last row of a sample id wins.
 
-    Files may start with a byte order mark.  No path gives an empty manifest.
+    Each path is a file or a folder of files with one header.  Values may hold
+    line ends, so a file is read by one task.  Files may start with a byte order mark.  No path gives an empty manifest.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in MANIFEST_FIELDS])
-    if not paths:
+    rows = None
+    for no, path in enumerate([paths] if isinstance(paths, str) and paths else paths or []):
+        raw = spark.read.option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path)
+        have = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
+        part = raw.select(
+            *[(F.coalesce(F.col(f"`{have[n]}`"), F.lit("")) if n in have else F.lit("")).alias(n) for n in MANIFEST_FIELDS],
+            F.lit(no).alias("_path"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
         return spark.createDataFrame([], schema)
-    raw = (
-        spark.read.option("header", "true").option("quote", '"').option("escape", '"')
-        .option("multiLine", "false").option("enforceSchema", "true").schema(schema).csv(paths)
-    )
-    rows = raw.select(
-        *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in MANIFEST_FIELDS],
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    return last_rows(rows.where("sample_id <> ''"), ["_file", "_block", "_line"]).select(MANIFEST_FIELDS)
+    return last_rows(rows.where("sample_id <> ''"), ["_path", "_file", "_line"]).select(MANIFEST_FIELDS)
 
 
 def last_rows(rows: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -107,12 +110,15 @@ def merge_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return named.join(existing.select(F.col("path").alias("crop_path")).distinct(), "crop_path", "left_semi")
 
 
-def search_export(records: DataFrame, images: DataFrame, **filters) -> DataFrame:
-    """The ten columns of at most 10 000 newest hits."""
-    counts = images.groupBy(F.col("record_id").alias("id")).agg(
+def search_export(records: DataFrame, images: DataFrame, limit: int | None = None, **filters) -> DataFrame:
+    """The ten columns of all hits, or of the newest ``limit``."""
+    top = search(records, **filters)
+    if limit is not None:
+        top = top.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    ids = top.select(F.col("id").alias("record_id"))
+    counts = images.join(ids, "record_id", "left_semi").groupBy(F.col("record_id").alias("id")).agg(
         F.count(F.lit(1)).alias("total_images"), F.sum("is_ng").alias("ng_images")
     )
-    top = search(records, **filters).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(10000)
     return top.join(counts, "id", "left").select(
         "id", "glass_id", "model_id", "machine_no", "machine_judgment", "ai_judgment", "processing_seconds", "created_at",
         F.coalesce("total_images", F.lit(0)).alias("total_images"), F.coalesce("ng_images", F.lit(0)).alias("ng_images"),

@@ -23,32 +23,40 @@ def import_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     return inserted.agg(F.count(F.lit(1)).alias("inserted")).withColumn("skipped", seen - F.col("inserted"))
 
 
-def error_text(duplicates: Column, limit: Column, judgment: Column) -> Column:
-    """Note about a panel sent twice, then the text of an error verdict."""
-    note = F.when(duplicates > limit, F.concat(F.lit("duplicate panel: "), duplicates.cast("string"), F.lit(" images")))
-    err = F.when(judgment.startswith("ERR:"), F.expr("substring(ai_judgment, 5)"))
-    return F.concat_ws(" | ", note, F.nullif(err, F.lit("")))
+# Fixed value: note that marks a panel sent twice.
+DUPLICATE_NOTE = "[DUPLICATE_PANEL] 重複投片，已依建立時間選取最新圖片推論"
+
+
+def error_text(duplicate: Column, judgment: Column) -> Column:
+    """The note about a panel sent twice and an error verdict, each on its own line."""
+    return F.concat_ws("\n", F.when(duplicate, DUPLICATE_NOTE), F.when(judgment.startswith("ERR"), judgment))
 
 
 def persist(nested: DataFrame) -> dict[str, DataFrame]:
     """Nested panels to the four tables.
 
-    ``nested``: record columns and images ARRAY<STRUCT<..., tiles, edges>>.
-    Ids of children derive from their place in the panel.
+    ``nested``: record columns with is_duplicate, and images
+    ARRAY<STRUCT<..., tiles, edges>>.  Ids of children are texts of the record
+    and their places in the panel, so they can't collide.
     """
+
+    def child_id(parent: str) -> Column:
+        return F.concat_ws("-", F.col(parent).cast("string"), F.col("no").cast("string")).alias("id")
+
     images = nested.select(F.col("id").alias("record_id"), F.posexplode("images").alias("no", "img"))
     image_rows = images.select(
-        (F.col("record_id") * 1000 + F.col("no")).alias("id"), "record_id", F.col("img.image_name").alias("image_name"),
+        child_id("record_id"), "record_id", F.col("img.image_name").alias("image_name"),
         F.coalesce("img.is_ng", F.lit(0)).alias("is_ng"), F.col("img.tiles").alias("tiles"), F.col("img.edges").alias("edges"),
     )
     tiles = image_rows.select(F.col("id").alias("image_result_id"), F.posexplode("tiles").alias("no", "t")).select(
-        (F.col("image_result_id") * 1000 + F.col("no")).alias("id"), "image_result_id", F.col("t.*")
+        child_id("image_result_id"), "image_result_id", F.col("t.*")
     )
     edges = image_rows.select(F.col("id").alias("image_result_id"), F.posexplode("edges").alias("no", "e")).select(
-        (F.col("image_result_id") * 1000 + F.col("no")).alias("id"), "image_result_id", F.col("e.*")
+        child_id("image_result_id"), "image_result_id", F.col("e.*")
     )
     heads = nested.select(
-        *[c for c in nested.columns if c != "images"],
+        *[c for c in nested.columns if c not in ("images", "error_message", "is_duplicate")],
+        error_text(F.col("is_duplicate"), F.col("ai_judgment")).alias("error_message"),
         F.size("images").alias("total_images"),
         F.aggregate("images", F.lit(0), lambda acc, i: acc + F.coalesce(i["is_ng"], F.lit(0))).alias("ng_images"),
     )

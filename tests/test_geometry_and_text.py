@@ -55,7 +55,7 @@ def test_text_functions(spark):
 
 def test_request_lines(spark):
     lines = [
-        (r"AOI@GLS1;GN140JCAL010S;CAPI1401;1920,1080;NG;\\srv\d\x",), ("INVALID DATA",), ("AOI@a;b;c",),
+        (r"AOI@GLS1;GN140JCAL010S;MACH1401;1920,1080;NG;\\srv\d\x",), ("INVALID DATA",), ("AOI@a;b;c",),
         ("AOI@G;M;C;1920,1080;OK;W0F00000;(350/174;1465/363;x/1);/dir",), ("AOI@G;M;C;1920,1080;OK;W0F;(1/2/3/4);/d",),
         ("AOI@A;m;c;1,2;OK;/pAOI@B;m;c;1,2;OK;/q",),
     ]
