@@ -19,15 +19,20 @@ def seeded_key(*cols: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def memory_bank(vectors: DataFrame, ratio: float = 0.1, block: int = 2000, keys: Sequence[str] = UNIT) -> DataFrame:
-    """Farthest-point picks at ``ratio`` within blocks of each unit.
+def seeded_number(*cols: str, seed: int = 42) -> Column:
+    """60 bits of ``seeded_key`` as a number."""
+    return F.conv(F.substring(seeded_key(*cols, seed=seed), 1, 15), 16, 10).cast("bigint")
 
-    A unit is cut into blocks by a hash of the sample id, so that even one
-    unit holding most rows is spread over tasks of bounded size.
+
+def memory_bank(vectors: DataFrame, ratio: float = 0.1, blocks: int = 8, keys: Sequence[str] = UNIT) -> DataFrame:
+    """Farthest-point picks at ``ratio`` within each of ``blocks`` parts of a unit.
+
+    The part of a sample is a hash of its id, so picks are the same however the
+    rows are dealt.  Choose ``blocks`` so that a part fits a task; units that
+    grow need more.
     """
     keys = list(keys)
-    counts = vectors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    placed = vectors.join(counts, keys).withColumn("_block", F.pmod(F.xxhash64("sample_id"), F.col("_blocks"))).drop("_blocks")
+    placed = vectors.withColumn("_block", seeded_number("sample_id") % blocks)
     schema = placed.select(*keys, "sample_id", "vector").schema
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -66,16 +71,17 @@ def _packed(df: DataFrame, keys: Sequence[str], key_id: str, size: int) -> DataF
 
 
 def nearest(
-    queries: DataFrame, bank: DataFrame, keys: Sequence[str] = UNIT, k: int = 1, metric: str = "l2", size: int = 1024, salts: int = 8
+    queries: DataFrame, bank: DataFrame, keys: Sequence[str] = UNIT, k: int = 1, metric: str = "l2", size: int = 1024, salts: int | None = None
 ) -> DataFrame:
     """The k nearest bank rows of every query, rank 1 the nearest.
 
     Both sides are packed into blocks; block pairs of a unit meet in one
     matrix product and give k rows per query, which a second top-k merges.
     Bank blocks are copied per salt, query blocks take one salt each, so one
-    huge unit is spread as well.
+    huge unit is spread as well; without ``salts`` over all shuffle partitions.
     """
     keys = list(keys)
+    salts = salts or max(8, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     q = _packed(queries, keys, "sample_id", size).withColumn("_salt", F.pmod(F.xxhash64("data"), F.lit(salts)))
     b = _packed(bank, keys, "sample_id", size).select(*keys, F.col("ids").alias("b_ids"), F.col("data").alias("b_data")).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
@@ -117,6 +123,34 @@ def score_into_cache(scores: DataFrame, cache: DataFrame, bundle: int) -> DataFr
     return cache.join(new, ["tile_id", "bundle_id"], "left_anti").unionByName(new)
 
 
+def score_counters(tiles: DataFrame, scores: DataFrame, cache: DataFrame, bundle: int) -> DataFrame:
+    """Tiles asked for, scored, skipped without a score, and those whose stored score was replaced."""
+    own = cache.where(F.col("bundle_id") == bundle).select(F.col("tile_id").alias("sample_id"), F.lit(1).alias("_old"))
+    joined = tiles.select("sample_id").join(scores.select("sample_id", F.lit(1).alias("_new")), "sample_id", "left").join(own, "sample_id", "left")
+    scored = F.col("_new").isNotNull()
+    return joined.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(scored).alias("scored"), F.count_if(~scored).alias("skipped"), F.count_if(scored & F.col("_old").isNotNull()).alias("replaced")
+    )
+
+
+def classify_manifest(manifest: DataFrame, vectors: DataFrame, model, positive: str) -> DataFrame:
+    """Every row with status ok, with is_positive and the score of ``model``.
+
+    ``vectors``: crop_path, features.  Rows without a crop, or whose crop has no
+    vector, are skipped: their score is null.
+    """
+    rows = manifest.where("status = 'ok'").withColumn("is_positive", (F.col("label") == positive).cast("int"))
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(vectors).select("crop_path", vector_to_array("probability")[1].alias("score"))
+    return rows.join(scored, "crop_path", "left")
+
+
+def classify_counters(classified: DataFrame) -> DataFrame:
+    """Total, done and skipped rows."""
+    return classified.agg(F.count(F.lit(1)).alias("total"), F.count("score").alias("done"), F.count_if(F.col("score").isNull()).alias("skipped"))
+
+
 def pool_patches(patches: DataFrame, mode: str = "cls+top5") -> DataFrame:
     """Image vector from patch vectors.  ``patches``: sample_id, patch_no,
     is_cls, vector; patches of one image are few (a 37 x 37 grid)."""
@@ -144,6 +178,11 @@ def embed_missing(samples: DataFrame, cache: DataFrame, prep_id: str) -> DataFra
     return samples.join(have, "sample_id", "left_anti")
 
 
+def id_digest(samples: DataFrame) -> DataFrame:
+    """One row that tells sets of sample ids apart: their count and the sum of their hashes, whatever their order."""
+    return samples.agg(F.count(F.lit(1)).alias("n"), F.sum(seeded_number("sample_id").cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
 def load_samples(manifest: DataFrame, listing: DataFrame, positive: str) -> DataFrame:
     """Good rows with an existing crop, a 0/1 label and lenient numbers."""
     files = listing.select(F.col("path").alias("crop_path")).distinct()
@@ -153,17 +192,25 @@ def load_samples(manifest: DataFrame, listing: DataFrame, positive: str) -> Data
 
 
 def group_folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Fold per glass, glasses of a stratum dealt in turn.
+    """Fold per glass, glasses of a stratum dealt in turn, the largest first.
 
-    A glass belongs to the stratum of its most frequent (label, prefix,
-    source); strata are dealt by a distributed rank, so none is sorted in one
-    task.
+    A glass belongs to the stratum of its most frequent (label, prefix, source).
+    Where one of those has fewer than ``k`` rows, the prefix is left out; if
+    that is too few as well, it is an error.
     """
-    strata = samples.groupBy("glass", F.concat_ws("|", "label", "prefix", "source_type").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    fine, coarse = F.concat_ws("|", "label", "prefix", "source_type"), F.concat_ws("|", "label", "source_type")
+    least = [samples.groupBy(s.alias("s")).count().agg(F.min("count")).first()[0] for s in (fine, coarse)]
+    if least[1] is not None and least[1] < k:
+        raise ValueError(f"a stratum has {least[1]} rows, fewer than {k} folds")
+    stratum = fine if least[0] is not None and least[0] >= k else coarse
+    strata = samples.groupBy("glass", stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
     main = strata.groupBy("glass").agg(F.max(F.struct("n", "stratum")).alias("m"), F.sum("n").alias("rows"))
-    keyed = main.select("glass", F.col("m.stratum").alias("stratum"), "rows", F.xxhash64(F.lit(seed), "glass").alias("key"))
-    hist = keyed.groupBy("stratum", "key").agg(F.count(F.lit(1)).alias("cnt"), F.min("glass").alias("glass"))
-    ranked = ranks.running_sums(hist.drop("glass"), ["stratum"], "key", ["cnt"])
+    # order within a stratum: more rows first, then by hash
+    most = F.lit(1 << 20)
+    key = (F.greatest(F.lit(0), most - F.col("rows")) * F.lit(1 << 40)) + seeded_number("glass", seed=seed) % (1 << 40)
+    keyed = main.select("glass", F.col("m.stratum").alias("stratum"), "rows", key.alias("key"))
+    hist = keyed.groupBy("stratum", "key").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = ranks.running_sums(hist, ["stratum"], "key", ["cnt"])
     return keyed.join(ranked.select("stratum", "key", "before_cnt"), ["stratum", "key"]).select(
         "glass", "stratum", "rows", (F.col("before_cnt") % k).cast("int").alias("fold")
     )
@@ -171,7 +218,7 @@ def group_folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 
 def calibration_split(samples: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Whole glasses in seeded order until ``share`` of the rows."""
-    g = samples.groupBy("glass").agg(F.count(F.lit(1)).alias("rows")).withColumn("key", F.xxhash64(F.lit(seed), "glass"))
+    g = samples.groupBy("glass").agg(F.count(F.lit(1)).alias("rows")).withColumn("key", seeded_number("glass", seed=seed))
     run = ranks.running_sums(g.groupBy("key").agg(F.sum("rows").alias("rows")), [], "key", ["rows"])
     total = g.agg(F.sum("rows")).scalar()
     return g.join(run.select("key", "before_rows"), "key").select(
@@ -183,13 +230,58 @@ def fit_logreg(train: DataFrame, max_iter: int = 100):
     """Balanced logistic regression with C = 1; ``train``: features, label."""
     from pyspark.ml.classification import LogisticRegression
 
-    n = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = train.agg(F.count(F.lit(1))).scalar()
-    weights = n.select("label", (total / (2.0 * F.col("n"))).alias("weight"))
-    weighted = train.join(weights, "label")
+    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per label
+    rows = sum(counts.values())
+    weight = F.lit(0.0)
+    for label, n in counts.items():
+        weight = F.when(F.col("label") == label, rows / (len(counts) * n)).otherwise(weight)
     # weights add up to the row count, so the penalty per unit weight is 1 / n
-    rows = train.count()
-    return LogisticRegression(weightCol="weight", regParam=1.0 / max(rows, 1), standardization=False, maxIter=max_iter).fit(weighted)
+    model = LogisticRegression(weightCol="weight", regParam=1.0 / max(rows, 1), standardization=False, maxIter=max_iter)
+    return model.fit(train.withColumn("weight", weight))
+
+
+def compare(vectors: DataFrame, folds: DataFrame, k: int, gbt_rounds: int = 10) -> DataFrame:
+    """Test scores of logistic regression, boosted trees and k nearest
+    neighbours over folds, plain and calibrated (isotonic, sigmoid).
+
+    ``vectors``: sample_id, glass, is_positive, vector; ``folds``: glass, fold.
+    Rows: fold, model, calibration, sample_id, is_positive, score.  Features are
+    standardised on the training folds; calibration maps are fitted on them too.
+    """
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    data = vectors.join(folds.select("glass", "fold"), "glass").select(
+        "sample_id", "fold", F.col("is_positive").cast("double").alias("label"), array_to_vector(F.col("vector").cast("array<double>")).alias("raw"), "vector"
+    )
+    out = None
+    for fold in range(k):
+        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
+        train, test = scaler.transform(train), scaler.transform(test)
+        both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+        scored = {}
+        for name, model in (("logreg", fit_logreg(train)), ("gbt", GBTClassifier(maxIter=gbt_rounds, maxDepth=3, seed=42).fit(train))):
+            scored[name] = model.transform(both).select("sample_id", "part", "label", vector_to_array("probability")[1].alias("score"))
+        near = nearest(both.select("sample_id", "vector"), train.select("sample_id", "vector"), [], 8, "cosine").where("sample_id <> bank_id")
+        votes = near.join(train.select(F.col("sample_id").alias("bank_id"), F.col("label").alias("near_label")), "bank_id").groupBy("sample_id").agg(F.avg("near_label").alias("score"))
+        scored["knn"] = both.select("sample_id", "part", "label").join(votes, "sample_id")
+        for name, rows in scored.items():
+            fit_on = rows.where("part = 'train'")
+            shaped = rows.withColumn("x", array_to_vector(F.array("score")))
+            maps = {
+                "none": rows.select("*", F.col("score").alias("final")),
+                "isotonic": IsotonicRegression(featuresCol="score", predictionCol="final").fit(fit_on).transform(rows),
+                "sigmoid": LogisticRegression(featuresCol="x").fit(shaped.where("part = 'train'")).transform(shaped).withColumn("final", vector_to_array("probability")[1]),
+            }
+            for kind, done in maps.items():
+                one = done.where("part = 'test'").select(
+                    F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.lit(kind).alias("calibration"), "sample_id", F.col("label").cast("int").alias("is_positive"), F.col("final").alias("score")
+                )
+                out = one if out is None else out.unionByName(one)
+    return out
 
 
 def knn_score(train: DataFrame, test: DataFrame, k: int = 7) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -70,24 +71,29 @@ def unmark(review: DataFrame, ids: DataFrame) -> DataFrame:
     return review.join(ids.select("tile_result_id"), "tile_result_id", "left_anti")
 
 
+def value_tag(value: Column) -> Column:
+    """Type of a JSON value: bool, int, float, else str."""
+    return (
+        F.when(value.isin("true", "false"), "bool").when(value.rlike(r"^-?[0-9]+$"), "int")
+        .when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "float").otherwise("str")
+    )
+
+
 def set_params(params: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New parameter table and one history row per change of value.
+    """New parameter table and one history row per change, equal values too.
 
-    ``changes``: change_no, name, value, reason; the type tag of a new name is
-    taken from the form of its value.
+    ``params``: name, value (JSON), tag.  ``changes``: change_no, name, value,
+    reason, in the order of change_no.  The tag of a new name follows the first
+    value; a stored tag stays.
     """
-    tag = (
-        F.when(F.col("value").rlike(r"^[+-]?[0-9]+$"), "int").when(F.col("value").try_cast("double").isNotNull(), "float")
-        .when(F.col("value").rlike(r"^\s*[\{\[]"), "json").otherwise("str")
-    )
-    last = changes.groupBy("name").agg(F.max(F.struct("change_no", "value", "reason")).alias("m")).select(
-        "name", F.col("m.value").alias("value"), F.col("m.reason").alias("reason")
-    ).withColumn("new_tag", tag)
-    joined = params.join(last.select("name", F.col("value").alias("_v"), "reason", "new_tag"), "name", "full_outer")
-    table = joined.select("name", F.coalesce("_v", "value").alias("value"), F.coalesce("tag", "new_tag").alias("tag"))
-    history = joined.where("_v IS NOT NULL AND NOT (_v <=> value)").select(
-        "name", F.coalesce("value", F.lit("")).alias("old_value"), F.col("_v").alias("new_value"), "reason"
+    order = W.partitionBy("name").orderBy("change_no")
+    stored = params.select("name", F.col("value").alias("stored"))
+    history = changes.join(stored, "name", "left").select(
+        "change_no", "name", F.coalesce(F.lag("value").over(order), "stored", F.lit("")).alias("old_value"), F.col("value").alias("new_value"), "reason"
     )
+    ends = changes.groupBy("name").agg(F.min(F.struct("change_no", "value")).alias("f"), F.max(F.struct("change_no", "value")).alias("l"))
+    joined = params.join(ends, "name", "full_outer")
+    table = joined.select("name", F.coalesce("l.value", "value").alias("value"), F.coalesce("tag", value_tag(F.col("f.value"))).alias("tag"))
     return table, history
 
 
@@ -112,3 +118,34 @@ def set_state(jobs: DataFrame, changes: DataFrame) -> DataFrame:
         "job_id", F.coalesce("new_state", "state").alias("state"),
         F.when(done, F.coalesce("completed_at", "changed_at")).otherwise(F.col("completed_at")).alias("completed_at"),
     )
+
+
+def insert_pool(pool: DataFrame, job_id: str, tiles: DataFrame) -> DataFrame:
+    """Tiles of a job join the pool, undecided; ids of the pool stay as they are."""
+    new = tiles.join(pool.select("id"), "id", "left_anti").withColumns({"job_id": F.lit(job_id), "decision": F.lit("accept")})
+    return pool.unionByName(new.select(*pool.columns))
+
+
+def decide_tiles(pool: DataFrame, job_id: str, ids: DataFrame, decision: str) -> DataFrame:
+    """The decision of a job's tiles among ``ids``."""
+    if decision not in ("accept", "reject"):
+        raise ValueError(f"unknown decision {decision}")
+    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    changed = F.col("_hit") & (F.col("job_id") == job_id)
+    return pool.join(hit, "id", "left").withColumn("decision", F.when(changed, decision).otherwise(F.col("decision"))).select(*pool.columns)
+
+
+def cleanup_pool(pool: DataFrame, job_id: str) -> DataFrame:
+    """A job's tiles leave the pool."""
+    return pool.where(F.col("job_id") != job_id)
+
+
+def register_bundles(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Bundles start inactive; those of a path that is known already are left out."""
+    fresh = new.join(table.select("bundle_path"), "bundle_path", "left_anti").withColumn("is_active", F.lit(0))
+    return table.unionByName(fresh.select(*table.columns))
+
+
+def delete_bundles(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """R07."""
+    return table.join(ids.select("id"), "id", "left_anti")

@@ -315,18 +315,22 @@ def config_history(history: DataFrame, name: str | None = None, limit: int | Non
 def decoded_settings(params: DataFrame, name: str | None = None) -> DataFrame:
     """Q16: all parameters, or one, with the value as its tag reads it.
 
-    ``params``: name, value, tag (int, float, bool, json or str); the decoded
-    value stands in the column of its type, and is null if it can't be read.
+    ``params``: name, value (JSON), tag (int, float, bool, dict or str); the
+    decoded value stands in the column of its type.  A value that can't be read
+    is null there and stands in text_value as it is.
     """
     if name:
         params = params.where(F.col("name") == name)
-    tag = F.col("tag")
-    return params.select(
-        "name", "value", "tag", F.when(tag == "int", F.col("value").try_cast("bigint")).alias("int_value"),
-        F.when(tag == "float", F.col("value").try_cast("double")).alias("float_value"),
-        F.when(tag == "bool", F.lower("value").isin("true", "1", "yes")).alias("bool_value"),
-        F.when(tag == "json", F.try_parse_json("value").cast("string")).alias("json_value"),
-    ).orderBy("name")
+    tag, value = F.col("tag"), F.col("value")
+    number = value.try_cast("double")
+    decoded = params.select(
+        "name", "value", "tag", F.when(tag == "int", number.cast("bigint")).alias("int_value"), F.when(tag == "float", number).alias("float_value"),
+        F.when(tag == "bool", value.try_cast("boolean")).alias("bool_value"),
+        F.when(tag == "dict", F.get_json_object(value, "$")).alias("dict_value"),
+    )
+    none = F.coalesce(F.col("int_value").cast("string"), F.col("float_value").cast("string"), F.col("bool_value").cast("string"), "dict_value").isNull()
+    text = F.coalesce(F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]"), "value")
+    return decoded.withColumn("text_value", F.when(none, text)).orderBy("name")
 
 
 def ric_batches(batches: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ _BAD = "processing_seconds > 38"
 _KIND = """CASE WHEN processing_seconds > 45 THEN 'bad_prefix' WHEN processing_seconds > 40 THEN 'too_few_fields' WHEN processing_seconds > 38 THEN 'bad_resolution' ELSE '' END"""
 
 
+S01_SQL = f"""
+SELECT {_KIND} AS error, CASE WHEN {_BAD} THEN '' ELSE glass_id END AS glass_id, CASE WHEN {_BAD} THEN 0 ELSE 1920 END AS res_w,
+CASE WHEN {_BAD} THEN '' ELSE machine_judgment END AS machine_judgment,
+CASE WHEN {_BAD} THEN '' WHEN machine_judgment = 'HY' THEN '//srv/' || id WHEN machine_judgment = '' THEN 'W0F00000;(1/2/3/4);;//srv/' || id
+ELSE '//srv/' || id || ';x' END AS image_dir FROM records
+UNION ALL SELECT '', glass_id || '2', 1, 'OK', '/q' FROM records WHERE NOT {_BAD} AND machine_judgment NOT IN ('HY', '')"""
+
+
 @query("S01_read_requests", f"""
 SELECT id, {_KIND} AS error, CASE WHEN {_BAD} THEN '' ELSE glass_id END AS glass_id, CASE WHEN {_BAD} THEN 0 ELSE 1920 END AS res_w,
 CASE WHEN {_BAD} THEN '' ELSE machine_judgment END AS machine_judgment,
@@ -263,9 +271,12 @@ def listing(d):
 _LIST = """(SELECT '/data/' || record_id AS dir, split_part(image_name, '_', 1) AS prefix, split_part(image_name, '_', 1) || '_' || lpad(CAST(part_no % 240000 AS VARCHAR), 6, '0') || '.tif' AS name, id AS mtime FROM tiles)"""
 
 
-@query("S15_latest_panel_images", f"""
+S15_SQL = f"""
 WITH l AS {_LIST}, c AS (SELECT dir, count(*) > 4 AS dup FROM l GROUP BY 1)
-SELECT dir, name, dup AS duplicated FROM l JOIN c USING (dir) QUALIFY NOT dup OR row_number() OVER (PARTITION BY dir, prefix ORDER BY mtime DESC) = 1""")
+SELECT dir, name, dup AS duplicated FROM l JOIN c USING (dir) QUALIFY NOT dup OR row_number() OVER (PARTITION BY dir, prefix ORDER BY mtime DESC) = 1"""
+
+
+@query("S15_latest_panel_images", S15_SQL)
 def s15(d):
     return M.latest_panel_images(listing(d), 4)
 

@@ -197,17 +197,17 @@ def settings_table(d):
     """One setting per part, of every type."""
     return d.raw("part").selectExpr(
         "concat('set', cast(p_partkey AS string)) AS name",
-        "element_at(array('int', 'float', 'bool', 'json', 'str'), cast(1 + p_partkey % 5 AS int)) AS tag",
-        """CASE p_partkey % 5 WHEN 0 THEN cast(p_size AS string) WHEN 1 THEN cast(p_size / 4 AS string) WHEN 2 THEN CASE WHEN p_size > 20 THEN 'True' ELSE 'false' END
-           WHEN 3 THEN concat('{"size":', cast(p_size AS string), '}') ELSE p_brand END AS value""",
+        "element_at(array('int', 'float', 'bool', 'dict', 'str'), cast(1 + p_partkey % 5 AS int)) AS tag",
+        """CASE p_partkey % 5 WHEN 0 THEN cast(p_size AS string) WHEN 1 THEN cast(p_size / 4 AS string) WHEN 2 THEN CASE WHEN p_size > 20 THEN 'true' ELSE 'false' END
+           WHEN 3 THEN concat('{"size":', cast(p_size AS string), '}') ELSE concat('"', p_brand, '"') END AS value""",
     )
 
 
 @query("Q16_decoded_settings", """SELECT 'set' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS BIGINT) END AS int_value,
 CASE WHEN p_partkey % 5 = 1 THEN CAST(p_size AS DOUBLE) / 4 END AS float_value, CASE WHEN p_partkey % 5 = 2 THEN p_size > 20 END AS bool_value,
-CASE WHEN p_partkey % 5 = 3 THEN '{"size":' || p_size || '}' END AS json_value FROM part""")
+CASE WHEN p_partkey % 5 = 3 THEN '{"size":' || p_size || '}' END AS dict_value, CASE WHEN p_partkey % 5 = 4 THEN p_brand END AS text_value FROM part""")
 def q16_settings(d):
-    return S.decoded_settings(settings_table(d)).select("name", "int_value", "float_value", "bool_value", "json_value")
+    return S.decoded_settings(settings_table(d)).select("name", "int_value", "float_value", "bool_value", "dict_value", "text_value")
 
 
 @query("Q17_ric_batches", """SELECT batch_id AS id, count(*) AS total_records, max(r.request_time) AS imported_at

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def import_accuracy(existing: DataFrame, batch: DataFrame, order: str = "arrival") -> DataFrame:
-    """Rows of the batch to insert: first per (time_stamp, pnl_id) by
-    arrival, none that exists already."""
-    keys = ["time_stamp", "pnl_id"]
+def import_accuracy(existing: DataFrame, batch: DataFrame, order: str = "arrival", keys: Sequence[str] = ("time_stamp", "pnl_id")) -> DataFrame:
+    """Rows of the batch to insert: first per key by arrival, none that
+    exists already."""
+    keys = list(keys)
     rest = [c for c in batch.columns if c not in keys and c != order]
     first = batch.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_m")).select(
         *keys, F.col(f"_m.{order}").alias(order), *[F.col(f"_m.{c}").alias(c) for c in rest]

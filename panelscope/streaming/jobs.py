@@ -1,19 +1,33 @@
 """Request and event streams (T ids).
 
-Results go to a table in the shared folder, one directory per micro-batch, so
-that a batch run again after a failure replaces its own output.
+A job has a folder of its own: ``state`` is the checkpoint, so that a later run
+goes on where the last one stopped; tables lie beside it.  A batch that runs
+again after a failure replaces its own output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelscope.operators.maintain import merge_latest
 from panelscope.operators.search import ai_err, ai_ng
 from panelscope.session import scratch_path
+from panelscope.sources.manifests import latest_panel_images
 from panelscope.sources.requests import read_requests
+from panelscope.sources.store import import_accuracy
+
+
+class Done(NamedTuple):
+    """What a run leaves: the job's folder and the rows that came too late."""
+
+    folder: str
+    late: int
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -45,11 +59,6 @@ def stream_shift(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def stream_import(records: DataFrame, keys: Sequence[str] = ("request_time", "pnl_id"), delay: str = "1 hour") -> DataFrame:
-    """First row per key within the watermark."""
-    return records.withWatermark("request_time", delay).dropDuplicatesWithinWatermark(list(keys))
-
-
 def stream_machines(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Machines seen per hour, one row each."""
     return (
@@ -60,24 +69,121 @@ def stream_machines(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> str:
-    """Process what is there and stop; returns the table's path."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, name)
+def run_available(stream: DataFrame, save: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> Done:
+    """Processes what is there and stops.  Rows behind the watermark are counted."""
+    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    late = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+    return Done(folder, late)
+
+
+def table_of(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path`` with its epoch column, or None before the first batch."""
+    try:
+        return spark.read.option("basePath", path).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def job_folder(spark: SparkSession, name: str, folder: str | None) -> str:
+    return folder or scratch_path(spark, name)
+
+
+def run_append(stream: DataFrame, name: str, folder: str | None = None) -> Done:
+    """Every batch adds its rows to ``rows``."""
+    folder = job_folder(stream.sparkSession, name, folder)
+    return run_available(stream, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}"), folder)
+
+
+def run_state(stream: DataFrame, name: str, keys: Sequence[str], folder: str | None = None) -> Done:
+    """Update-mode rows replace those of their keys.
+
+    ``rows`` has the merged table as its last epoch; the one before is kept for
+    a batch that runs again, older ones are emptied.
+    """
+    folder = job_folder(stream.sparkSession, name, folder)
+    path = f"{folder}/rows"
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        old = table_of(batch.sparkSession, path)
+        merged = batch
+        if old is not None:
+            old = old.where(F.col("epoch") < epoch)
+            last = old.agg(F.max("epoch").alias("e")).scalar()
+            merged = old.where(F.col("epoch") == last).drop("epoch").join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
+        merged.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if epoch > 1:
+            batch.limit(0).write.mode("overwrite").parquet(f"{path}/epoch={epoch - 2}")
+
+    return run_available(stream, save, folder, "update")
 
-    q = (
-        stream.writeStream.outputMode(mode).foreachBatch(save)
-        .option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return path
 
+def latest_state(spark: SparkSession, done: Done) -> DataFrame:
+    """The merged table of ``run_state``."""
+    rows = table_of(spark, f"{done.folder}/rows")
+    return rows.where(F.col("epoch") == rows.agg(F.max("epoch").alias("e")).scalar()).drop("epoch")
 
-def latest_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Last written row per key of an update-mode table."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    rest = [c for c in rows.columns if c not in keys and c != "epoch"]
-    return rows.groupBy(*keys).agg(F.max(F.struct("epoch", *rest)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest])
+
+def run_import(stream: DataFrame, name: str, keys: Sequence[str] = ("request_time", "pnl_id"), order: str = "id", folder: str | None = None) -> Done:
+    """The first row per key by ``order``, against all that was ever stored; nothing is too late."""
+    folder = job_folder(stream.sparkSession, name, folder)
+    path = f"{folder}/rows"
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        old = table_of(batch.sparkSession, path)
+        new = import_accuracy(old.where(F.col("epoch") < epoch) if old is not None else batch.limit(0), batch, order, keys)
+        new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return run_available(stream, save, folder)
+
+
+def run_duplicates(listing: DataFrame, name: str, maximum: int = 20, folder: str | None = None) -> Done:
+    """Files per panel directory; panels with more than ``maximum`` are marked and keep their newest per prefix.
+
+    ``files`` keeps all that was listed; ``rows`` has, per epoch, the result of
+    each directory that the batch touched, over all its files.
+    """
+    folder = job_folder(listing.sparkSession, name, folder)
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/files/epoch={epoch}")
+        files = table_of(batch.sparkSession, f"{folder}/files").where(F.col("epoch") <= epoch).drop("epoch")
+        touched = files.join(batch.select("dir").distinct(), "dir", "left_semi")
+        latest_panel_images(touched, maximum).write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    return run_available(listing, save, folder)
+
+
+def latest_panels(spark: SparkSession, done: Done) -> DataFrame:
+    """The last result of each directory."""
+    rows = table_of(spark, f"{done.folder}/rows")
+    last = rows.groupBy("dir").agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, ["dir", "epoch"]).drop("epoch")
+
+
+def run_upsert(changes: DataFrame, name: str, target: DataFrame, keys: Sequence[str], value: str, folder: str | None = None) -> Done:
+    """Last change wins (change_no; deleted = 1 removes), one row of ``history`` per change with the value before it.
+
+    ``target`` is the table before the first batch; its columns are ``keys``
+    and ``value``.  ``rows`` is kept as in ``run_state``.
+    """
+    folder = job_folder(changes.sparkSession, name, folder)
+    path = f"{folder}/rows"
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        old = table_of(batch.sparkSession, path)
+        now = target
+        if old is not None:
+            old = old.where(F.col("epoch") < epoch)
+            if not old.isEmpty():
+                now = old.where(F.col("epoch") == old.agg(F.max("epoch").alias("e")).scalar()).drop("epoch")
+        stored = now.select(*keys, F.col(value).alias("_stored"))
+        order = W.partitionBy(*keys).orderBy("change_no")
+        before = F.when(F.row_number().over(order) == 1, F.col("_stored")).otherwise(F.lag(F.when(F.col("deleted") == 0, F.col(value))).over(order))
+        history = batch.join(stored, list(keys), "left").select(*keys, "change_no", before.alias("old_value"), F.when(F.col("deleted") == 0, F.col(value)).alias("new_value"))
+        history.write.mode("overwrite").parquet(f"{folder}/history/epoch={epoch}")
+        merge_latest(now, batch, list(keys)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if epoch > 1:
+            now.limit(0).write.mode("overwrite").parquet(f"{path}/epoch={epoch - 2}")
+
+    return run_available(changes, save, folder)
