@@ -164,9 +164,14 @@ def dusty(heat, dust, extra):
     return dust
 
 
-def max_area(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Largest component above half of the peak (for G09)."""
-    return components(maps, keys, half_peak).groupBy(*keys).agg(F.max("area").alias("max_area"))
+def half_of(metric: str) -> Callable:
+    """Pixels above half of a tile's metric (see ``pictures.tile_metrics``)."""
+    return lambda heat, dust, extra: (heat > 0) & (heat > P.metrics(heat)[metric][:, None, None] * 0.5)
+
+
+def max_area(maps: DataFrame, keys: Sequence[str], metric: str = "m_max") -> DataFrame:
+    """Largest component above half of the metric that scores the tile (for G09)."""
+    return components(maps, keys, half_of(metric)).groupBy(*keys).agg(F.max("area").alias("max_area"))
 
 
 def bright_spots(maps: DataFrame, keys: Sequence[str], diff: int = 10, absolute: int = 200, min_area: int = 5) -> DataFrame:
@@ -250,22 +255,23 @@ def region_verdict(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def two_stage(
     maps: DataFrame, keys: Sequence[str], feature_hot: Callable, feature_dust: float = 0.3, zone_dust: float = 0.5, min_area: int = 3,
-    top_percent: float = 5.0,
+    top_percent: float = 5.0, pad: int = 20,
 ) -> DataFrame:
     """Features (components of the mask ``feature_hot``) are dust by
     their own dust share or by that of the hot zone they lie in.
 
-    A feature belongs to the zone whose box holds its centre.
+    A feature lies in each zone whose box, widened by ``pad`` pixels, holds its
+    centre; it is judged in each, and clean in one is clean.
     """
     zones = components(maps, keys, top_share(top_percent)).select(
         *keys, F.col("comp").alias("zone"), *[F.col(c).alias(f"z_{c}") for c in ("x0", "y0", "x1", "y1")],
         (F.col("dust_px") / F.col("area")).alias("zone_share"),
     )
     features = components(maps, keys, feature_hot).where(F.col("area") >= min_area)
-    inside = F.col("cx").between(F.col("z_x0"), F.col("z_x1")) & F.col("cy").between(F.col("z_y0"), F.col("z_y1"))
+    inside = F.col("cx").between(F.col("z_x0") - pad, F.col("z_x1") + pad) & F.col("cy").between(F.col("z_y0") - pad, F.col("z_y1") + pad)
     judged = features.join(zones, list(keys)).where(inside).groupBy(*keys, "comp").agg(
         F.first("area").alias("area"), F.first("cx").alias("cx"), F.first("cy").alias("cy"),
-        F.first("dust_px").alias("dust_px"), F.max("zone_share").alias("zone_share"),
+        F.first("dust_px").alias("dust_px"), F.min("zone_share").alias("zone_share"),
     )
     clean = (F.col("dust_px") / F.col("area") < feature_dust) & (F.col("zone_share") < zone_dust)
     best = F.max(F.when(clean, F.struct("area", (-F.col("comp")).alias("neg"), "cx", "cy")))
@@ -279,7 +285,11 @@ def two_stage(
 
 def dust_decision(tiles: DataFrame, regions: DataFrame, stages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Overexposed or dust-free tiles are real; dust without a map is
-    dust; else the regions decide and, if all are dust, the second stage."""
+    dust, a map without a positive pixel is real; else the regions decide and,
+    if all are dust, the second stage.
+
+    ``tiles``: panel_overexposed, tile_dust, has_map, has_positive.
+    """
     r = regions.select(*keys, "regions", "real_regions", "real_x", "real_y")
     s = stages.select(*keys, "clean_features", "best_x", "best_y")
     joined = tiles.join(r, list(keys), "left").join(s, list(keys), "left")
@@ -288,7 +298,8 @@ def dust_decision(tiles: DataFrame, regions: DataFrame, stages: DataFrame, keys:
         "decision",
         F.when(F.col("panel_overexposed") == 1, "real:overexposed")
         .when(F.col("tile_dust") == 0, "real:no_dust")
-        .when(F.col("regions").isNull(), "dust:no_map")
+        .when(~F.col("has_map"), "dust:no_map")
+        .when(~F.col("has_positive"), "real:no_response")
         .when(by_regions, "real:region")
         .when(by_features, "real:feature")
         .otherwise("dust"),

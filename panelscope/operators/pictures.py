@@ -84,7 +84,7 @@ def top_cut(heat: np.ndarray, top_percent: float) -> np.ndarray:
 METRICS = "m_max double, m_top10 double, m_p99 double, m_mean double, hot_share double"
 
 
-def _metrics(heat: np.ndarray) -> dict[str, np.ndarray]:
+def metrics(heat: np.ndarray) -> dict[str, np.ndarray]:
     flat = heat.reshape(len(heat), -1)
     peak = flat.max(axis=1)
     k = min(10, flat.shape[1])
@@ -101,7 +101,7 @@ def _metrics(heat: np.ndarray) -> dict[str, np.ndarray]:
 def tile_metrics(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """G09 inputs: peak, top-10 mean, 99th percentile, mean of the positive
     values, share of values at half the peak or more."""
-    return per_stack(maps, keys, METRICS, lambda heat, dust, extra: _metrics(heat))
+    return per_stack(maps, keys, METRICS, lambda heat, dust, extra: metrics(heat))
 
 
 SIDES = ("left", "right", "top", "bottom")
@@ -138,7 +138,7 @@ def tile_score(maps: DataFrame, largest: DataFrame, keys: list[str], cfg: dict |
 
     def measure(heat, dust, sides):
         fading = _decay(heat, sides, margin) if margin > 1 else np.ones(len(heat))
-        return {**_metrics(heat), "f_decay": fading}
+        return {**metrics(heat), "f_decay": fading}
 
     measured = per_stack(maps, keys, METRICS + ", f_decay double", measure, [f"is_{s}" for s in SIDES])
     m = measured.join(largest.select(*keys, "max_area"), keys, "left")

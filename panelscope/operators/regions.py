@@ -7,6 +7,8 @@ is broadcast by the engine on its measured size.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +27,22 @@ def _with_cells(rects: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column
     )
 
 
-def in_zone(points: DataFrame, zones: DataFrame, key: str = "id") -> DataFrame:
+def in_zone(points: DataFrame, zones: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of the first enabled zone holding the point (bounds
-    included), NULL when none.  ``zones``: zone_no, x, y, w, h, enabled."""
-    z = zones.where("enabled = 1").select("zone_no", F.col("x").alias("zx"), F.col("y").alias("zy"), "w", "h")
+    included), NULL when none.  ``zones``: zone_no, x, y, w, h, enabled and the
+    ``keys`` they hold for (a model, a resolution code).
+
+    A cell has one list of zones, so points keep their rows and are not put
+    back together.
+    """
+    keys = list(keys)
+    z = zones.where("enabled = 1").select(*keys, "zone_no", F.col("x").alias("zx"), F.col("y").alias("zy"), "w", "h")
     listed = _with_cells(z, F.col("zx"), F.col("zy"), F.col("zx") + F.col("w"), F.col("zy") + F.col("h"))
-    p = points.withColumn("_cx", _cell(F.col("px"))).withColumn("_cy", _cell(F.col("py")))
-    hits = (
-        p.select(key, "px", "py", "_cx", "_cy")
-        .join(listed, ["_cx", "_cy"])
-        .where(F.col("px").between(F.col("zx"), F.col("zx") + F.col("w")) & F.col("py").between(F.col("zy"), F.col("zy") + F.col("h")))
-        .groupBy(key)
-        .agg(F.min("zone_no").alias("zone_no"))
-    )
-    return points.join(hits, key, "left")
+    lists = listed.groupBy(*keys, "_cx", "_cy").agg(F.array_sort(F.collect_list(F.struct("zone_no", "zx", "zy", "w", "h"))).alias("_zones"))
+    p = points.withColumn("_cx", _cell(F.col("px"))).withColumn("_cy", _cell(F.col("py"))).join(lists, [*keys, "_cx", "_cy"], "left")
+    px, py = F.col("px"), F.col("py")
+    hit = F.filter("_zones", lambda z: px.between(z["zx"], z["zx"] + z["w"]) & py.between(z["zy"], z["zy"] + z["h"]))
+    return p.withColumn("zone_no", F.get(hit, 0)["zone_no"]).drop("_cx", "_cy", "_zones")
 
 
 def drop_overlapping(rects: DataFrame, zones: DataFrame, key: str = "id") -> DataFrame:
@@ -78,14 +82,23 @@ def _token(name: Column) -> Column:
     return F.substring_index(name, "_", 1)
 
 
-def rules_by_token(bombs: DataFrame) -> DataFrame:
-    """Bomb rules listed per leading name part, in rule order.  ``bombs``:
-    rule_no, image_prefix, code, kind, coords ARRAY<STRUCT<x,y>>."""
-    return bombs.groupBy(_token(F.col("image_prefix")).alias("_token")).agg(
+#: Planted-defect rules hold for a model (or a request): the column that says so.
+RULE_KEYS = ("model_id",)
+
+
+def rules_by_token(bombs: DataFrame, keys: Sequence[str] = RULE_KEYS) -> DataFrame:
+    """Rules listed per key and leading name part, in rule order.  ``bombs``:
+    the keys, rule_no, image_prefix, code, kind, coords ARRAY<STRUCT<x,y>>.
+    A list holds the rules of one model, which its configuration bounds."""
+    return bombs.groupBy(*keys, _token(F.col("image_prefix")).alias("_token")).agg(
         F.array_sort(F.collect_list(F.struct("rule_no", "image_prefix", "code", "kind", "coords"))).alias("_rules")
     )
 
 
+def _with_rules(points: DataFrame, bombs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return points.withColumn("_token", _token(F.col("stem"))).join(rules_by_token(bombs, keys), [*keys, "_token"], "left")
+
+
 def _hits(rule: Column, stem: Column, px: Column, py: Column, bounds: dict[str, Column], tol: int, is_line: Column) -> Column:
     sx = (bounds["x2"] - bounds["x1"]) / bounds["w"]
     sy = (bounds["y2"] - bounds["y1"]) / bounds["h"]
@@ -108,36 +121,42 @@ def _hits(rule: Column, stem: Column, px: Column, py: Column, bounds: dict[str,
     return named & F.when(rule["kind"] == "point", point).when(F.size(rule["coords"]) >= 2, line).otherwise(F.lit(False))
 
 
+def _bounds() -> dict[str, Column]:
+    return {k: F.col(v) for k, v in {"x1": "rx1", "y1": "ry1", "x2": "rx2", "y2": "ry2", "w": "pw", "h": "ph"}.items()}
+
+
+def _first_code(px: Column, py: Column, tol: int, shape: Column) -> Column:
+    hit = F.filter("_rules", lambda r: _hits(r, F.col("stem"), px, py, _bounds(), tol, shape))
+    return F.get(hit, 0)["code"]
+
+
+def _shape(points: DataFrame, is_line: str | None) -> Column:
+    return F.col(is_line) if is_line and is_line in points.columns else F.lit(None).cast("boolean")
+
+
 def bomb_match(
     points: DataFrame, bombs: DataFrame, tol: int = 50, px: str = "px", py: str = "py", out: str = "bomb",
-    is_line: str | None = "is_line",
+    is_line: str | None = "is_line", keys: Sequence[str] = RULE_KEYS,
 ) -> DataFrame:
-    """Code of the first rule met.  ``points`` carry ``stem``, the raw
-    bounds rx1..ry2 and the product size pw, ph.
+    """Code of the first rule met among those of the point's keys.
+    ``points`` carry the keys, ``stem``, the raw bounds rx1..ry2, the product
+    size pw, ph and, where it is known, whether their shape is a line.
 
-    Rules are joined as one list per name part: no row is multiplied and no
-    second shuffle puts the hits back together.
+    Rules are joined as one list per key: no row is multiplied and no second
+    shuffle puts the hits back together.
     """
-    bounds = {k: F.col(v) for k, v in {"x1": "rx1", "y1": "ry1", "x2": "rx2", "y2": "ry2", "w": "pw", "h": "ph"}.items()}
-    shape = F.col(is_line) if is_line and is_line in points.columns else F.lit(None).cast("boolean")
-    joined = points.withColumn("_token", _token(F.col("stem"))).join(rules_by_token(bombs), "_token", "left")
-    hit = F.filter("_rules", lambda r: _hits(r, F.col("stem"), F.col(px), F.col(py), bounds, tol, shape))
-    return joined.withColumn(out, F.get(hit, 0)["code"]).drop("_token", "_rules")
+    joined = _with_rules(points, bombs, keys)
+    return joined.withColumn(out, _first_code(F.col(px), F.col(py), tol, _shape(points, is_line))).drop("_token", "_rules")
 
 
-def mark_bombs(tiles: DataFrame, edges: DataFrame, bombs: DataFrame, tol: int = 50) -> tuple[DataFrame, DataFrame]:
+def mark_bombs(tiles: DataFrame, edges: DataFrame, bombs: DataFrame, tol: int = 50, keys: Sequence[str] = RULE_KEYS) -> tuple[DataFrame, DataFrame]:
     """Peak first, AOI tiles retry their centre; an AOI tile stays a real
-    defect unless its own product coordinate lies near a rule."""
-    at_peak = bomb_match(tiles, bombs, tol, "peak_x", "peak_y", "_peak")
-    at_peak = at_peak.withColumn("_mx", (F.col("x") + F.expr("width div 2")).cast("int")).withColumn(
-        "_my", (F.col("y") + F.expr("height div 2")).cast("int")
-    )
-    both = bomb_match(at_peak, bombs, tol, "_mx", "_my", "_mid")
-    coord = F.col("is_aoi_coord") == 1
-    found = F.coalesce("_peak", F.when(coord, F.col("_mid")))
-    # product-space test: same rules with unit scale
-    unit = both.withColumn("_token", _token(F.col("stem"))).join(rules_by_token(bombs), "_token", "left")
-    x, y = F.col("product_x"), F.col("product_y")
+    defect unless its own product coordinate lies near a rule.  The rule list
+    is joined once for all three tests."""
+    joined, shape = _with_rules(tiles, bombs, keys), _shape(tiles, "is_line")
+    coord, x, y = F.col("is_aoi_coord") == 1, F.col("product_x"), F.col("product_y")
+    mid_x, mid_y = (F.col("x") + F.expr("width div 2")).cast("int"), (F.col("y") + F.expr("height div 2")).cast("int")
+    found = F.coalesce(_first_code(F.col("peak_x"), F.col("peak_y"), tol, shape), F.when(coord, _first_code(mid_x, mid_y, tol, shape)))
 
     def near(r):
         named = (F.col("stem") == r["image_prefix"]) | F.col("stem").startswith(F.concat(r["image_prefix"], F.lit("_")))
@@ -150,19 +169,18 @@ def mark_bombs(tiles: DataFrame, edges: DataFrame, bombs: DataFrame, tol: int =
         return named & F.when(r["kind"] == "point", point).when(F.size(r["coords"]) >= 2, line).otherwise(F.lit(False))
 
     own = F.coalesce(F.exists("_rules", near), F.lit(False))
-    kept = F.when(coord & (x >= 0) & ~own, None).otherwise(found)
-    marked = unit.withColumn("bomb", kept).drop("_peak", "_mid", "_mx", "_my", "_token", "_rules")
-    side = bomb_match(edges.where("is_cv_ok = 0"), bombs, tol, "center_x", "center_y", is_line=None)
+    marked = joined.withColumn("bomb", F.when(coord & (x >= 0) & ~own, None).otherwise(found)).drop("_token", "_rules")
+    side = bomb_match(edges.where("is_cv_ok = 0"), bombs, tol, "center_x", "center_y", is_line=None, keys=keys)
     return marked, side
 
 
-def bomb_code(requests: DataFrame, bombs: DataFrame) -> DataFrame:
+def bomb_code(requests: DataFrame, bombs: DataFrame, keys: Sequence[str] = RULE_KEYS) -> DataFrame:
     """Code of a client's rule: prefix and kind, then prefix, then UNKNOWN."""
-    by_kind = bombs.groupBy("image_prefix", "kind").agg(F.min(F.struct("rule_no", "code")).alias("k"))
-    by_name = bombs.groupBy("image_prefix").agg(F.min(F.struct("rule_no", "code")).alias("n"))
+    by_kind = bombs.groupBy(*keys, "image_prefix", "kind").agg(F.min(F.struct("rule_no", "code")).alias("k"))
+    by_name = bombs.groupBy(*keys, "image_prefix").agg(F.min(F.struct("rule_no", "code")).alias("n"))
     return (
-        requests.join(by_kind, ["image_prefix", "kind"], "left")
-        .join(by_name, "image_prefix", "left")
+        requests.join(by_kind, [*keys, "image_prefix", "kind"], "left")
+        .join(by_name, [*keys, "image_prefix"], "left")
         .withColumn("code", F.coalesce(F.col("k.code"), F.col("n.code"), F.lit("UNKNOWN")))
         .drop("k", "n")
     )
@@ -170,10 +188,15 @@ def bomb_code(requests: DataFrame, bombs: DataFrame) -> DataFrame:
 
 def gt_in_tile(defects: DataFrame, tiles: DataFrame) -> DataFrame:
     """First tile of the image that holds the known defect (bounds
-    included) gives its score, else 0.  Joined on record and name part."""
-    d = defects.select("defect_id", "record_id", "gt_stem", _token(F.col("gt_stem")).alias("_token"), "gx", "gy")
-    t = tiles.select("record_id", _token(F.col("stem")).alias("_token"), "stem", "image_result_id", "tile_id", "x", "y", "width", "height", "score")
-    named = (F.col("stem") == F.col("gt_stem")) | F.col("stem").startswith(F.concat(F.col("gt_stem"), F.lit("_")))
+    included) gives its score, else 0.  Joined on record and name part.
+
+    An image is the defect's if its stem is the defect's name without ending,
+    or begins with that and an underscore, or if the whole names are equal
+    (``gt_name`` and ``image_name``).
+    """
+    d = defects.select("defect_id", "record_id", "gt_stem", "gt_name", _token(F.regexp_replace("gt_stem", r"\..*$", "")).alias("_token"), "gx", "gy")
+    t = tiles.select("record_id", _token(F.regexp_replace("stem", r"\..*$", "")).alias("_token"), "stem", "image_name", "image_result_id", "tile_id", "x", "y", "width", "height", "score")
+    named = (F.col("stem") == F.col("gt_stem")) | F.col("stem").startswith(F.concat(F.col("gt_stem"), F.lit("_"))) | (F.col("image_name") == F.col("gt_name"))
     inside = F.col("gx").between(F.col("x"), F.col("x") + F.col("width")) & F.col("gy").between(F.col("y"), F.col("y") + F.col("height"))
     hit = (
         d.join(t, ["record_id", "_token"])

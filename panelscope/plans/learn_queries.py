@@ -114,7 +114,7 @@ def m10(d):
 FROM samples, (SELECT unnest(['logreg', 'gbt', 'knn']) AS model), (SELECT unnest(['none', 'isotonic', 'sigmoid']) AS calibration) GROUP BY 1, 2""")
 def m15(d):
     data = d.samples.withColumn("is_positive", (F.col("label") == "true_ng").cast("int"))
-    scored = L.compare(data, L.group_folds(d.samples, 3), 3, 3)
+    scored = L.compare(data, L.group_folds(d.samples, 2), 2, 2)
     return scored.where("score BETWEEN 0 AND 1").groupBy("model", "calibration").agg(F.count(F.lit(1)).alias("n"), F.sum("is_positive").alias("positives"))
 
 
@@ -179,6 +179,12 @@ def m18(d):
     return L.training_table(d.tile_pool)
 
 
+@query("M18_training_table_small", """WITH u AS (SELECT * FROM tile_pool WHERE source = 'ok' AND decision = 'accept'), c AS (SELECT lighting, zone, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT lighting, zone, id, n FROM u JOIN c USING (lighting, zone) WHERE (SELECT count(*) FROM c) = 10""")
+def m18_small(d):
+    return L.training_table(d.tile_pool, minimum=20)
+
+
 @query("M19_newest_entry", """SELECT lighting, zone, max(sample_id) AS entry_no FROM samples GROUP BY 1, 2""")
 def m19(d):
     rows = d.samples.select("lighting", "zone", F.lit(1).alias("trained_at"), F.col("sample_id").alias("entry_no"))

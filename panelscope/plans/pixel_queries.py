@@ -156,6 +156,12 @@ def g09(d):
     return score.select("id", F.round("final_score", 6).alias("final_score"))
 
 
+@query("G09_max_area_p99", _components_sql("v > 0 AND v > 0.5 * (SELECT quantile_cont(CAST(q.v AS DOUBLE), 0.99) FROM pics q WHERE q.s = p.s AND q.z = p.z)", """,
+area AS (SELECT s, z, max(area) AS max_area FROM comps GROUP BY 1, 2)""") + "SELECT id, max_area FROM pic_tiles JOIN area USING (s, z)")
+def g09_p99(d):
+    return C.max_area(d.tile_maps, K, "m_p99").select("id", "max_area")
+
+
 @query("G09_tile_metrics", """SELECT id, top10, p99, mean FROM pic_tiles JOIN (SELECT s, z, round(quantile_cont(CAST(v AS DOUBLE), 0.99), 6) AS p99,
 round(avg(v) FILTER (v > 0), 6) AS mean, round(list_avg(list_sort(list(v), 'DESC')[1:10]), 6) AS top10 FROM pics GROUP BY 1, 2) USING (s, z)""")
 def g09_metrics(d):
@@ -238,7 +244,7 @@ fc AS (SELECT s, z, px, py, v, d FROM pics WHERE v > 25),
 freach(s, z, px, py, lab) AS (SELECT s, z, px, py, py * 16 + px FROM fc UNION SELECT h.s, h.z, h.px, h.py, r.lab FROM freach r JOIN fc h ON h.s = r.s AND h.z = r.z AND abs(h.px - r.px) <= 1 AND abs(h.py - r.py) <= 1),
 flab AS (SELECT s, z, px, py, min(lab) AS lab FROM freach GROUP BY 1, 2, 3, 4),
 feat AS (SELECT s, z, lab, count(*) AS area, avg(px) AS cx, avg(py) AS cy, sum(d) AS fd FROM flab JOIN pics USING (s, z, px, py) GROUP BY 1, 2, 3 HAVING count(*) >= 3),
-fz AS (SELECT f.s, f.z, f.lab, f.area, f.cx, f.cy, f.fd, max(g.dust_px / g.area) AS zs FROM feat f JOIN numbered g ON g.s = f.s AND g.z = f.z AND f.cx BETWEEN g.x0 AND g.x1 AND f.cy BETWEEN g.y0 AND g.y1 GROUP BY ALL),
+fz AS (SELECT f.s, f.z, f.lab, f.area, f.cx, f.cy, f.fd, min(g.dust_px / g.area) AS zs FROM feat f JOIN numbered g ON g.s = f.s AND g.z = f.z AND f.cx BETWEEN g.x0 - 1 AND g.x1 + 1 AND f.cy BETWEEN g.y0 - 1 AND g.y1 + 1 GROUP BY ALL),
 fv AS (SELECT *, fd / area < 0.3 AND zs < 0.5 AS clean FROM fz),
 stage AS (SELECT s, z, count(*) AS features, count(*) FILTER (clean) AS clean_features, CAST(coalesce(floor(arg_min(cx, (-area, lab)) FILTER (clean)), -1) AS INT) AS best_x,
  CAST(coalesce(floor(arg_min(cy, (-area, lab)) FILTER (clean)), -1) AS INT) AS best_y FROM fv GROUP BY 1, 2)"""
@@ -246,7 +252,7 @@ stage AS (SELECT s, z, count(*) AS features, count(*) FILTER (clean) AS clean_fe
 
 @query("G16_two_stage", _components_sql("v > 0 AND v >= c60", _STAGE) + "SELECT id, features, clean_features, best_x, best_y FROM pic_tiles JOIN stage USING (s, z)")
 def g16(d):
-    return C.two_stage(d.tile_maps, K, _features(), top_percent=40.0)
+    return C.two_stage(d.tile_maps, K, _features(), top_percent=40.0, pad=1)
 
 
 @query("G17_dust_decision", _components_sql("v > 0 AND v >= c60", _REGIONS + _VERDICT + _STAGE) + """
@@ -255,9 +261,11 @@ CASE WHEN real_regions > 0 THEN real_x WHEN clean_features > 0 THEN best_x ELSE
 def g17(d):
     maps = d.tile_maps
     dust = P.heat_overlap(maps, K).select("id", F.col("dust_px").alias("tile_dust"))
-    tiles = maps.select("id", F.col("is_exclude_zone").alias("panel_overexposed")).join(dust, "id")
+    tiles = maps.select(
+        "id", F.col("is_exclude_zone").alias("panel_overexposed"), F.col("heat").isNotNull().alias("has_map"), (F.array_max("heat") > 0).alias("has_positive")
+    ).join(dust, "id")
     regions = C.region_verdict(C.dust_regions(maps, K, 40.0), K)
-    stages = C.two_stage(maps, K, _features(), top_percent=40.0)
+    stages = C.two_stage(maps, K, _features(), top_percent=40.0, pad=1)
     return C.dust_decision(tiles, regions, stages, K).select("id", "decision", "real_x")
 
 

@@ -16,25 +16,23 @@ def zones(d):
     return d.spark.createDataFrame(_ZONES, "zone_no int, x int, y int, w int, h int, enabled int")
 
 
-# Planted-defect rules in product units 1920 x 1080.
-_BOMBS = [
-    (1, "G0F00000", "PCLV6GA0", "line", [(960, 1), (960, 1080)]),
-    (2, "G0F00000", "PCDBCGA0", "point", [(350, 231), (1475, 343), (1071, 565), (356, 530), (1798, 700)]),
-    (3, "WGF50500", "PCM175A0", "point", [(353, 134), (1565, 323), (1011, 565), (286, 550), (1677, 720)]),
-    (4, "W0F00000", "MARK0WA0", "point", [(90, 90), (115, 115), (140, 140), (90, 140), (140, 90)]),
-    (5, "W0F00000", "PCU12WA0", "point", [(363, 124), (1555, 333), (1000, 555), (283, 550), (1777, 720)]),
-    (6, "WGF50500", "PCLV55A0", "line", [(960, 1), (960, 1080)]),
-    (7, "STANDARD", "PCDCUUA0", "point", [(350, 231), (1475, 343), (1071, 565), (356, 530), (1798, 700)]),
-    (8, "R0F00000", "PCDCURA0", "point", [(350, 174), (1465, 363), (1171, 465), (256, 540), (1857, 710)]),
-]
-
-
 def bombs(d):
-    return d.spark.createDataFrame(
-        _BOMBS, "rule_no int, image_prefix string, code string, kind string, coords array<struct<x:int,y:int>>"
+    """Planted-defect rules in product units 1920 x 1080, one per supplier, for the model and image it stands for."""
+    return d.raw("supplier").selectExpr(
+        "cast(s_suppkey AS int) AS rule_no", "concat('GN140', substring('BHJKG', cast(1 + s_suppkey % 5 AS int), 1), 'CAL010S') AS model_id",
+        "element_at(array('G0F00000','R0F00000','W0F00000','WGF50500','STANDARD','B0F00000','OMIT0000'), cast(1 + (s_suppkey div 5) % 7 AS int)) AS image_prefix",
+        "concat('PC', cast(s_suppkey AS string)) AS code", "CASE WHEN s_suppkey % 4 = 0 THEN 'line' ELSE 'point' END AS kind",
+        """CASE WHEN s_suppkey % 4 = 0 THEN array(named_struct('x', cast(s_suppkey * 37 % 1920 AS int), 'y', 1), named_struct('x', cast(s_suppkey * 37 % 1920 AS int), 'y', 1080))
+           ELSE array(named_struct('x', cast(s_suppkey * 37 % 1920 AS int), 'y', cast(s_suppkey * 53 % 1080 AS int)),
+                      named_struct('x', cast(s_suppkey * 71 % 1920 AS int), 'y', cast(s_suppkey * 29 % 1080 AS int))) END AS coords""",
     )
 
 
+def with_model(d, df):
+    """``df`` (record_id) with the model of its record."""
+    return df.join(d.records.select(F.col("id").alias("record_id"), "model_id"), "record_id")
+
+
 def with_bounds(df):
     return df.withColumns(
         {"rx1": F.lit(20), "ry1": F.lit(20), "rx2": F.lit(6164), "ry2": F.lit(4116), "pw": F.lit(1920), "ph": F.lit(1080),
@@ -44,11 +42,15 @@ def with_bounds(df):
 
 _SX, _SY = "(6144 / CAST(1920 AS DOUBLE))", "(4096 / CAST(1080 AS DOUBLE))"
 _TX, _TY = f"CAST(trunc(50 * {_SX}) AS INT)", f"CAST(trunc(50 * {_SY}) AS INT)"
-BOMBS_SQL = "(SELECT * FROM (VALUES " + ", ".join(
-    f"({n}, '{p}', '{c}', '{k}', {x}, {y}, {x2}, {y2})"
-    for n, p, c, k, pts in _BOMBS
-    for x, y, x2, y2 in ([(*pts[0], *pts[1])] if k == "line" else [(*q, *q) for q in pts])
-) + ") b(rule_no, prefix, code, kind, cbx, cby, cbx2, cby2))"
+BOMBS_SQL = """(SELECT CAST(s_suppkey AS INT) AS rule_no, 'GN140' || substr('BHJKG', CAST(1 + s_suppkey % 5 AS INT), 1) || 'CAL010S' AS model_id,
+(['G0F00000','R0F00000','W0F00000','WGF50500','STANDARD','B0F00000','OMIT0000'])[CAST(1 + (s_suppkey // 5) % 7 AS INT)] AS prefix, 'PC' || s_suppkey AS code,
+CASE WHEN s_suppkey % 4 = 0 THEN 'line' ELSE 'point' END AS kind,
+CASE WHEN s_suppkey % 4 = 0 OR q = 0 THEN s_suppkey * 37 % 1920 ELSE s_suppkey * 71 % 1920 END AS cbx,
+CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN q = 0 THEN s_suppkey * 53 % 1080 ELSE s_suppkey * 29 % 1080 END AS cby,
+CASE WHEN s_suppkey % 4 = 0 OR q = 0 THEN s_suppkey * 37 % 1920 ELSE s_suppkey * 71 % 1920 END AS cbx2,
+CASE WHEN s_suppkey % 4 = 0 THEN 1080 WHEN q = 0 THEN s_suppkey * 53 % 1080 ELSE s_suppkey * 29 % 1080 END AS cby2
+FROM supplier, range(2) r(q) WHERE s_suppkey % 4 <> 0 OR q = 0)"""
+_MODEL = "(SELECT id AS rid, model_id FROM records)"
 
 
 def _mx(v):
@@ -59,15 +61,16 @@ def _my(v):
     return f"CAST(trunc({v} * {_SY} + 20) AS INT)"
 
 
-def _bomb_cond(px, py):
+def _bomb_cond(px, py, line=""):
     return f"""((kind = 'point' AND abs({px} - {_mx('cbx')}) <= {_TX} AND abs({py} - {_my('cby')}) <= {_TY}) OR
-(kind = 'line' AND {px} BETWEEN least({_mx('cbx')}, {_mx('cbx2')}) - {_TX} AND greatest({_mx('cbx')}, {_mx('cbx2')}) + {_TX}
+(kind = 'line' {line} AND {px} BETWEEN least({_mx('cbx')}, {_mx('cbx2')}) - {_TX} AND greatest({_mx('cbx')}, {_mx('cbx2')}) + {_TX}
  AND {py} BETWEEN least({_my('cby')}, {_my('cby2')}) AND greatest({_my('cby')}, {_my('cby2')})))"""
 
 
-def _bomb_sql(table, px, py):
-    return f"""(SELECT t.id, arg_min(code, rule_no) AS bomb FROM {table} t JOIN {BOMBS_SQL} b ON b.prefix = split_part(t.image_name, '_', 1)
-AND {_bomb_cond(px, py)} GROUP BY 1)"""
+def _bomb_sql(table, px, py, line=""):
+    """``table`` must have record_id and image_name."""
+    return f"""(SELECT t.id, arg_min(code, rule_no) AS bomb FROM {table} t JOIN {_MODEL} m ON rid = t.record_id JOIN {BOMBS_SQL} b ON b.model_id = m.model_id
+AND b.prefix = split_part(t.image_name, '_', 1) AND {_bomb_cond(px, py, line)} GROUP BY 1)"""
 
 
 @query("J06_new_only", """SELECT DISTINCT sample_id, batch_no FROM manifest WHERE batch_no = 3 AND sample_id NOT IN (SELECT sample_id FROM manifest WHERE batch_no < 3)""")
@@ -108,54 +111,62 @@ def j11(d):
     return R.exclusion_overlap(d.tiles, regions, 0.3).select("id", "overlap")
 
 
-@query("J12_bomb_match", f"""SELECT t.id, coalesce(bomb, '') AS bomb FROM tiles t LEFT JOIN {_bomb_sql('tiles', 'peak_x', 'peak_y')} m ON m.id = t.id""")
+_LINE = "AND t.part_no % 3 <> 0"
+
+
+@query("J12_bomb_match", f"""SELECT t.id, coalesce(bomb, '') AS bomb FROM tiles t LEFT JOIN {_bomb_sql('tiles', 'peak_x', 'peak_y', _LINE)} m ON m.id = t.id""")
 def j12(d):
-    points = with_bounds(d.tiles.withColumn("stem", F.regexp_replace("image_name", r"\.tif$", "")))
+    tiles = d.tiles.withColumn("stem", F.regexp_replace("image_name", r"\.tif$", "")).withColumn("is_line", F.col("part_no") % 3 != 0)
+    points = with_bounds(with_model(d, tiles))
     return R.bomb_match(points, bombs(d), 50, "peak_x", "peak_y").select("id", F.coalesce("bomb", F.lit("")).alias("bomb"))
 
 
-_OWN = """EXISTS (SELECT 1 FROM %s b WHERE b.prefix = split_part(t.image_name, '_', 1) AND
-((kind = 'point' AND abs(px - cbx) <= 50 AND abs(py - cby) <= 50) OR (kind = 'line' AND px BETWEEN least(cbx, cbx2) - 50 AND greatest(cbx, cbx2) + 50 AND py BETWEEN least(cby, cby2) AND greatest(cby, cby2))))""" % BOMBS_SQL
+_OWN = """EXISTS (SELECT 1 FROM %s b JOIN %s m ON m.model_id = b.model_id WHERE m.rid = t.record_id AND b.prefix = split_part(t.image_name, '_', 1) AND
+((kind = 'point' AND abs(px - cbx) <= 50 AND abs(py - cby) <= 50) OR (kind = 'line' AND px BETWEEN least(cbx, cbx2) - 50 AND greatest(cbx, cbx2) + 50 AND py BETWEEN least(cby, cby2) AND greatest(cby, cby2))))""" % (BOMBS_SQL, _MODEL)
 
 
 @query("J13_mark_bombs", f"""
 WITH t AS (SELECT *, CAST(part_no % 1920 AS INT) AS px, CAST(part_no % 1080 AS INT) AS py, x + 256 AS mx, y + 256 AS my FROM tiles)
 SELECT t.id, 'tile' AS kind, CASE WHEN is_aoi_coord = 1 AND NOT {_OWN} THEN '' ELSE coalesce(a.bomb, CASE WHEN is_aoi_coord = 1 THEN b.bomb END, '') END AS bomb
-FROM t LEFT JOIN {_bomb_sql('t', 'peak_x', 'peak_y')} a ON a.id = t.id LEFT JOIN {_bomb_sql('t', 'mx', 'my')} b ON b.id = t.id
+FROM t LEFT JOIN {_bomb_sql('t', 'peak_x', 'peak_y', _LINE)} a ON a.id = t.id LEFT JOIN {_bomb_sql('t', 'mx', 'my', _LINE)} b ON b.id = t.id
 UNION ALL SELECT e.id, 'edge', coalesce(m.bomb, '') FROM edges e
 LEFT JOIN {_bomb_sql('(SELECT e.*, n.image_name FROM edges e JOIN image_names n ON n.id = e.image_result_id)', 'center_x', 'center_y')} m ON m.id = e.id WHERE is_cv_ok = 0""")
 def j13(d):
     stem = F.regexp_replace("image_name", r"\.tif$", "")
-    tiles = with_bounds(d.tiles.withColumn("stem", stem)).withColumns(
-        {"product_x": (F.col("part_no") % 1920).cast("int"), "product_y": (F.col("part_no") % 1080).cast("int")}
+    tiles = with_bounds(with_model(d, d.tiles.withColumn("stem", stem))).withColumns(
+        {"product_x": (F.col("part_no") % 1920).cast("int"), "product_y": (F.col("part_no") % 1080).cast("int"), "is_line": F.col("part_no") % 3 != 0}
     )
     names = d.image_names.select(F.col("id").alias("image_result_id"), "image_name")
-    edges = with_bounds(d.edges.join(names, "image_result_id").withColumn("stem", stem))
+    edges = with_bounds(with_model(d, d.edges.join(names, "image_result_id").withColumn("stem", stem)))
     t, e = R.mark_bombs(tiles, edges, bombs(d))
     code = F.coalesce("bomb", F.lit("")).alias("bomb")
     return t.select("id", F.lit("tile").alias("kind"), code).unionByName(e.select("id", F.lit("edge").alias("kind"), code))
 
 
-@query("J13_bomb_code", f"""SELECT id, coalesce((SELECT arg_min(code, rule_no) FROM {BOMBS_SQL} b WHERE b.prefix = p AND b.kind = k),
-(SELECT arg_min(code, rule_no) FROM {BOMBS_SQL} b WHERE b.prefix = p), 'UNKNOWN') AS code
-FROM (SELECT id, split_part(image_name, '_', 1) AS p, CASE WHEN id % 2 = 0 THEN 'line' ELSE 'point' END AS k FROM image_names)""")
+@query("J13_bomb_code", f"""SELECT id, coalesce(k.code, n.code, 'UNKNOWN') AS code
+FROM (SELECT i.id, split_part(image_name, '_', 1) AS p, CASE WHEN i.id % 2 = 0 THEN 'line' ELSE 'point' END AS kd, model_id AS mo FROM image_names i JOIN {_MODEL} ON rid = record_id) a
+LEFT JOIN (SELECT model_id, prefix, kind, arg_min(code, rule_no) AS code FROM {BOMBS_SQL} GROUP BY 1, 2, 3) k ON k.model_id = mo AND k.prefix = p AND k.kind = kd
+LEFT JOIN (SELECT model_id, prefix, arg_min(code, rule_no) AS code FROM {BOMBS_SQL} GROUP BY 1, 2) n ON n.model_id = mo AND n.prefix = p""")
 def j13_code(d):
-    asked = d.image_names.select(
-        "id", F.substring_index("image_name", "_", 1).alias("image_prefix"), F.when(F.col("id") % 2 == 0, "line").otherwise("point").alias("kind")
+    asked = with_model(d, d.image_names).select(
+        "id", "model_id", F.substring_index("image_name", "_", 1).alias("image_prefix"), F.when(F.col("id") % 2 == 0, "line").otherwise("point").alias("kind")
     )
     return R.bomb_code(asked, bombs(d)).select("id", "code")
 
 
 @query("J14_gt_in_tile", f"""
-WITH g AS (SELECT id AS defect_id, record_id, split_part(image_name, '_', 1) AS gt_stem, CAST(trunc((part_no % 1920) * {_SX} + 20) AS INT) AS gx,
+WITH g AS (SELECT id AS defect_id, record_id, CASE WHEN part_no % 4 = 0 THEN image_name || 'x' ELSE split_part(image_name, '_', 1) END AS gt_stem,
+  CASE WHEN part_no % 8 = 0 THEN image_name ELSE '' END AS gt_name, CAST(trunc((part_no % 1920) * {_SX} + 20) AS INT) AS gx,
   CAST(trunc((part_no % 1080) * {_SY} + 20) AS INT) AS gy FROM tiles WHERE is_anomaly = 1),
 m AS (SELECT g.defect_id, arg_min(t.tile_id, (t.image_result_id, t.tile_id, t.score)) AS tile_id, arg_min(t.score, (t.image_result_id, t.tile_id, t.score)) AS s
- FROM g JOIN tiles t ON t.record_id = g.record_id AND split_part(t.image_name, '_', 1) = g.gt_stem AND gx BETWEEN x AND x + 512 AND gy BETWEEN y AND y + 512 GROUP BY 1)
+ FROM g JOIN tiles t ON t.record_id = g.record_id AND (split_part(t.image_name, '_', 1) = g.gt_stem OR t.image_name = g.gt_name) AND gx BETWEEN x AND x + 512 AND gy BETWEEN y AND y + 512 GROUP BY 1)
 SELECT g.defect_id, coalesce(m.tile_id, -1) AS tile_id, coalesce(m.s, 0) AS gt_score FROM g LEFT JOIN m USING (defect_id)""")
 def j14(d):
     lit = F.lit
+    prefix = F.substring_index("image_name", "_", 1)
     defects = d.tiles.where("is_anomaly = 1").select(
-        F.col("id").alias("defect_id"), "record_id", F.substring_index("image_name", "_", 1).alias("gt_stem"),
+        F.col("id").alias("defect_id"), "record_id", F.when(F.col("part_no") % 4 == 0, F.concat("image_name", lit("x"))).otherwise(prefix).alias("gt_stem"),
+        F.when(F.col("part_no") % 8 == 0, F.col("image_name")).otherwise("").alias("gt_name"),
         G.map_coord(F.col("part_no") % 1920, lit(20), lit(6164), lit(1920)).alias("gx"),
         G.map_coord(F.col("part_no") % 1080, lit(20), lit(4116), lit(1080)).alias("gy"),
     )
@@ -164,7 +175,7 @@ def j14(d):
 
 
 @query("J15_nearest_detection", f"""
-WITH b AS (SELECT r.id AS record_id, prefix, row_number() OVER (PARTITION BY r.id, rule_no ORDER BY cbx, cby) + rule_no * 10 AS bomb_no, cbx, cby FROM records r, {BOMBS_SQL} v WHERE kind = 'point'),
+WITH b AS (SELECT r.id AS record_id, prefix, row_number() OVER (PARTITION BY r.id, rule_no ORDER BY cbx, cby) + rule_no * 10 AS bomb_no, cbx, cby FROM records r JOIN {BOMBS_SQL} v ON v.model_id = r.model_id WHERE kind = 'point'),
 t AS (SELECT id AS det_id, record_id, split_part(image_name, '_', 1) AS prefix, CAST(trunc((peak_x - 20) / {_SX}) AS INT) AS dx, CAST(trunc((peak_y - 20) / {_SY}) AS INT) AS dy FROM tiles WHERE is_anomaly = 1),
 j AS (SELECT b.*, det_id, dx, dy, sqrt(pow(dx - cbx, 2) + pow(dy - cby, 2)) AS dd FROM b LEFT JOIN t USING (record_id, prefix)
  QUALIFY row_number() OVER (PARTITION BY record_id, prefix, bomb_no ORDER BY dd, det_id) = 1)
@@ -173,9 +184,8 @@ def j15(d):
     per_rule = F.transform(
         F.array_sort("coords"), lambda c, i: F.struct((F.col("rule_no") * 10 + i + 1).cast("long").alias("bomb_no"), c["x"].alias("bx"), c["y"].alias("by"))
     )
-    points = bombs(d).where("kind = 'point'").select(F.col("image_prefix").alias("prefix"), F.inline(per_rule))
-    listed = points.agg(F.collect_list(F.struct("prefix", "bomb_no", "bx", "by")).alias("b")).scalar()  # the 30 planted points
-    placed = d.records.select(F.col("id").alias("record_id"), F.inline(listed))
+    points = bombs(d).where("kind = 'point'").select("model_id", F.col("image_prefix").alias("prefix"), F.inline(per_rule))
+    placed = d.records.select(F.col("id").alias("record_id"), "model_id").join(points, "model_id").drop("model_id")
     lit = F.lit
     found = d.tiles.where("is_anomaly = 1").select(
         "record_id", F.substring_index("image_name", "_", 1).alias("prefix"), F.col("id").alias("det_id"),
