@@ -70,11 +70,22 @@ def stream_machines(records: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def run_available(stream: DataFrame, save: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> Done:
-    """Processes what is there and stops.  Rows behind the watermark are counted."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    """Processes what is there and stops.  Rows behind the watermark are counted.
+
+    A batch is kept while it is saved, as a save may read it more than once.
+    """
+
+    def kept(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            save(batch, epoch)
+        finally:
+            batch.unpersist()
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(kept).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    late = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
-    return Done(folder, late)
+    dropped = {(p["batchId"], k): s["numRowsDroppedByWatermark"] for p in q.recentProgress for k, s in enumerate(p["stateOperators"])}
+    return Done(folder, sum(dropped.values()))
 
 
 def table_of(spark: SparkSession, path: str) -> DataFrame | None:
