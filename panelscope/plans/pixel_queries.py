@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelscope.operators import components as C
@@ -45,35 +46,32 @@ def _cold(heat, dust, extra):
 
 
 def panel_blocks(d):
-    """One map per (panel, grid place): the first tile at that place."""
-    first = d.tiles.groupBy("record_id", (F.col("x") / 512).cast("int").alias("bx"), (F.col("y") / 512).cast("int").alias("by")).agg(
-        F.min(F.struct("id", "part_no")).alias("m")
-    )
-    return P.draw_test_maps(d.spread(first.select("record_id", "bx", "by", F.col("m.part_no").alias("part_no"))))
+    """One map per tile by grid place; tiles at one place belong to pictures of their own (picture = record and layer)."""
+    placed = d.tiles.select("record_id", "id", "part_no", (F.col("x") / 512).cast("int").alias("bx"), (F.col("y") / 512).cast("int").alias("by"))
+    layer = F.row_number().over(W.partitionBy("record_id", "bx", "by").orderBy("id")) - 1
+    return P.draw_test_maps(d.spread(placed.select((F.col("record_id") * 100 + layer).alias("picture"), "bx", "by", "part_no")))
 
 
-_CELLS = """(SELECT DISTINCT record_id, x // 512 AS bx, y // 512 AS yb FROM tiles)"""
+_CELLS = """(SELECT record_id * 100 + row_number() OVER (PARTITION BY record_id, x // 512, y // 512 ORDER BY id) - 1 AS picture, x // 512 AS bx, y // 512 AS yb,
+CAST(part_no % 8 AS INT) AS s FROM tiles)"""
 
 
 @query("G02_panel_components", f"""
 WITH RECURSIVE cell AS {_CELLS},
-reach(record_id, bx, yb, lab) AS (SELECT record_id, bx, yb, yb * 100 + bx FROM cell UNION
- SELECT c.record_id, c.bx, c.yb, r.lab FROM reach r JOIN cell c ON c.record_id = r.record_id AND abs(c.bx - r.bx) <= 1 AND abs(c.yb - r.yb) <= 1),
-lab AS (SELECT record_id, bx, yb, min(lab) AS lab FROM reach GROUP BY 1, 2, 3)
-SELECT record_id, CAST(sum(a) AS BIGINT) AS area, min(bx) * 16 AS x0, min(yb) * 16 AS y0, max(bx) * 16 + 15 AS x1, max(yb) * 16 + 15 AS y1 FROM lab JOIN (SELECT record_id, x // 512 AS bx, y // 512 AS yb, arg_min(CAST(part_no % 8 AS INT), id) AS s FROM tiles GROUP BY 1, 2, 3) USING (record_id, bx, yb)
-JOIN (SELECT s, count(*) AS a FROM pics WHERE v = 0 AND z = 0 GROUP BY 1) USING (s) GROUP BY record_id, lab""")
+reach(picture, bx, yb, lab) AS (SELECT picture, bx, yb, yb * 100 + bx FROM cell UNION
+ SELECT c.picture, c.bx, c.yb, r.lab FROM reach r JOIN cell c ON c.picture = r.picture AND abs(c.bx - r.bx) <= 1 AND abs(c.yb - r.yb) <= 1),
+lab AS (SELECT picture, bx, yb, min(lab) AS lab FROM reach GROUP BY 1, 2, 3)
+SELECT picture, CAST(sum(a) AS BIGINT) AS area, min(bx) * 16 AS x0, min(yb) * 16 AS y0, max(bx) * 16 + 15 AS x1, max(yb) * 16 + 15 AS y1 FROM lab JOIN cell USING (picture, bx, yb)
+JOIN (SELECT s, count(*) AS a FROM pics WHERE v = 0 AND z = 0 GROUP BY 1) USING (s) GROUP BY picture, lab""")
 def g02(d):
     blocks = panel_blocks(d)
-    found = C.panel_components(blocks, "record_id", _cold)
-    return found.select(
-        "record_id", F.col("area"), "x0", "y0", "x1", "y1"
-    )
+    return C.panel_components(blocks, "picture", _cold).select("picture", "area", "x0", "y0", "x1", "y1")
 
 
-@query("G02_foreground_box", f"""SELECT record_id, min(bx) * 16 AS rx1, min(yb) * 16 AS ry1, max(bx) * 16 + 16 AS rx2, max(yb) * 16 + 16 AS ry2 FROM {_CELLS} GROUP BY 1""")
+@query("G02_foreground_box", f"""SELECT picture, min(bx) * 16 AS rx1, min(yb) * 16 AS ry1, max(bx) * 16 + 16 AS rx2, max(yb) * 16 + 16 AS ry2 FROM {_CELLS} GROUP BY 1""")
 def g02_box(d):
-    found = C.panel_components(panel_blocks(d), "record_id", _cold)
-    return C.foreground_box(found, "record_id", 100)
+    found = C.panel_components(panel_blocks(d), "picture", _cold)
+    return C.foreground_box(found, "picture", 100)
 
 
 def panel_outline(d):

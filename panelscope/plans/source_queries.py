@@ -104,7 +104,8 @@ def s05(d):
     return rows.select("page_id", "pnl_id", "mach_id", "datastr", "ric_judgment")
 
 
-@query("S05_html_cells", None)
+@query("S05_html_cells", """SELECT page_id, CAST(len(regexp_extract_all(lower(html), '<tr[ >]')) AS BIGINT) AS n_rows,
+CAST(len(regexp_extract_all(lower(html), '<t[dh][ >]')) AS BIGINT) AS n_cells FROM pages""")
 def s05_pages(d):
     """Table cells of the raw web pages, counted per page."""
     pages = d.raw("pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
