@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,16 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelscope.session import cut_lineage
 
+#: The C library's way to give memory back, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: A-Z to a-z; digits, letters and every byte of a non-ASCII character stay, all else becomes a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: What goes to a Python worker at once: texts and shingle sets are long, and batches are held on both sides.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a bounded size from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lost executors cost no earlier work, later steps read it again."""
+    small_batches(df.sparkSession)
     return cut_lineage(df, f"llm-{name}")
 
 
@@ -40,9 +56,26 @@ def rows_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into runs of about ``most`` bytes of text, one row at least: bounds what a worker holds."""
+def release() -> None:
+    """Gives a worker's free memory back: workers stay for other stages, and the executor's memory is one."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` as they are; frees memory after the last of a task that had many bytes."""
+    total = 0
     for batch in batches:
+        total += batch.nbytes
+        yield batch
+    if total > BATCH_BYTES:
+        release()
+
+
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into runs of about ``most`` bytes of text, one row at least: bounds what a worker holds."""
+    for batch in whole(batches):
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(name))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelscope.llm.common import fresh, rows_of, slices, stored, words
+from panelscope.llm.common import fresh, rows_of, slices, stored, whole, words
 
 WINDOW = 10
 #: Bytes of item texts that one pass hands to each task.
@@ -177,7 +177,7 @@ def search(segments: DataFrame, windows: dict, terms: dict[bytes, int], near: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in whole(batches):
             for k in range(batch.num_rows):
                 seg = Segment(batch.slice(k, 1).to_pylist()[0])
                 n = len(seg.doc_ids)

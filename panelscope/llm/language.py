@@ -100,7 +100,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, documents = np.zeros(len(SIZES) * WIDTH, np.int64), 0
-        for part in slices(batches):
+        for part in slices(batches, most=2 << 20):
             values = [t or "" for t in part.column(0).to_pylist()]
             code, starts = letters(values)
             for n, h in enumerate(grams(code)):
@@ -123,7 +123,7 @@ def vectors(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarray, n
     shared = sample.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=2 << 20):
             code, starts = letters([t or "" for t in part.column(1).to_pylist()])
             rows, sizes = [], list(grams(code))
             for i, lang in enumerate(part.column(0).to_pylist()):
@@ -206,7 +206,7 @@ def language_of(docs: DataFrame, per_language: int = PER_LANGUAGE, names: tuple[
     out = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=2 << 20):
             able = np.array(part.column(able_name).to_pylist(), bool)
             if shared.value is None:
                 able[:] = False

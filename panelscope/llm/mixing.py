@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelscope.llm.common import stored
+
 WHITE = r"\x20\x09-\x0D"
 #: Tries of the rejection sampler; one fails with a chance below 3/4.
 TRIES = 128
@@ -57,10 +59,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, and named once in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _log_factorial(n: Column) -> Column:
-    x = F.greatest(n, F.lit(21)).cast("double")
-    series = (x + 0.5) * F.log(x) - x + F.lit(0.9189385332046727) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n <= 20, F.log(F.factorial(F.greatest(n, F.lit(0)).cast("int")).cast("double"))).otherwise(series)
+    def series(x: Column) -> Column:
+        y = x * x
+        return (x + 0.5) * F.log(x) - x + F.lit(0.9189385332046727) + (F.lit(1 / 12) - (F.lit(1 / 360) - F.lit(1 / 1260) / y) / y) / x
+
+    def value(m: Column) -> Column:
+        return F.when(m <= 20, F.log(F.factorial(F.greatest(m, F.lit(0).cast("long")).cast("int")).cast("double"))).otherwise(_let(m.cast("double"), series))
+
+    return _let(n.cast("long"), value)
 
 
 def _uniform(*parts: Column) -> Column:
@@ -68,45 +80,52 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + 0.5) / F.lit(float(1 << 53))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def hypergeometric(good: Column, bad: Column, draws: Column, *seed: Column) -> Column:
     """Exact draw: how many of ``draws`` come from ``good``.
 
     Rejection for log-concave laws (uniform hat around the mode, exponential
     tails), alike at every size; randomness is a hash of ``seed``.
     """
-    total = good + bad
-
-    def log_p(x: Column) -> Column:
-        return (
-            _log_factorial(good) - _log_factorial(x) - _log_factorial(good - x)
-            + _log_factorial(bad) - _log_factorial(draws - x) - _log_factorial(bad - draws + x)
-            - _log_factorial(total) + _log_factorial(draws) + _log_factorial(total - draws)
-        )
-
-    low, high = F.greatest(F.lit(0).cast("long"), draws - bad), F.least(draws, good)
-    mode = F.least(high, F.greatest(low, F.floor((draws + 1) * ((good + 1) / (total + 2))).cast("long")))
+    def log_p(x: Column, p: Column) -> Column:
+        good, bad, draws = p["good"], p["bad"], p["draws"]
+        ways = _log_factorial(x) + _log_factorial(good - x) + _log_factorial(draws - x) + _log_factorial(bad - draws + x)
+        return p["all"] - ways
 
     def sample(s: Column) -> Column:
-        m, lo, hi, top, peak = s["m"], s["lo"], s["hi"], s["top"], F.exp(s["top"])
-        w = 1 + peak / 2
+        m, top, w = s["m"], s["top"], s["w"]
+        peak = s["peak"]
 
         def attempt(state: Column, i: Column) -> Column:
-            u, v, accept, sign = (_uniform(*seed, i, F.lit(j)) for j in range(4))
-            y = F.when(u <= w / (1 + w), v * w / peak).otherwise((w - F.log(v)) / peak)
-            x = m + F.when(sign < 0.5, -F.round(y)).otherwise(F.round(y)).cast("long")
-            ratio = F.when((x < lo) | (x > hi), F.lit(0.0)).otherwise(F.exp(log_p(F.least(hi, F.greatest(lo, x))) - top))
-            taken = accept * F.least(F.lit(1.0), F.exp(w - peak * y)) <= ratio
-            return F.when(state.isNotNull(), state).when(taken, x)
+            def judge(y: Column) -> Column:
+                x = m + F.when(_uniform(*seed, i, F.lit(3)) < 0.5, -F.round(y)).otherwise(F.round(y)).cast("long")
+                hat = _uniform(*seed, i, F.lit(2)) * F.least(F.lit(1.0), F.exp(w - peak * y))
+                inside = lambda v: F.when((v >= s["lo"]) & (v <= s["hi"]) & (hat <= F.exp(log_p(v, s) - top)), v)
+                return _let(x, inside)
+
+            v = _uniform(*seed, i, F.lit(1))
+            y = F.when(_uniform(*seed, i, F.lit(0)) <= w / (1 + w), v * w / peak).otherwise((w - F.log(v)) / peak)
+            return F.when(state.isNotNull(), state).otherwise(_let(y, judge))
 
         return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("long"), attempt), m)
 
-    start = F.struct(mode.alias("m"), low.alias("lo"), high.alias("hi"), log_p(mode).alias("top"))
-    return F.when(low >= high, low).otherwise(_let(start, sample))
+    def facts(p: Column) -> Column:
+        good, bad, draws = p["good"], p["bad"], p["draws"]
+        low, high = F.greatest(F.lit(0).cast("long"), draws - bad), F.least(draws, good)
+        mode = F.least(high, F.greatest(low, F.floor((draws + 1) * ((good + 1) / (good + bad + 2))).cast("long")))
+        every = _log_factorial(good) + _log_factorial(bad) + _log_factorial(draws) + _log_factorial(good + bad - draws) - _log_factorial(good + bad)
+        start = F.struct(good.alias("good"), bad.alias("bad"), draws.alias("draws"), low.alias("lo"), high.alias("hi"), mode.alias("m"), every.alias("all"))
+
+        def with_top(q: Column) -> Column:
+            def with_peak(top: Column) -> Column:
+                names = ("good", "bad", "draws", "lo", "hi", "m", "all")
+                return F.struct(*[q[n].alias(n) for n in names], top.alias("top"), F.exp(top).alias("peak"), (1 + F.exp(top) / 2).alias("w"))
+
+            return _let(_let(log_p(q["m"], q), with_peak), lambda r: F.when(r["lo"] >= r["hi"], r["lo"]).otherwise(sample(r)))
+
+        return _let(start, with_top)
+
+    given = F.struct(good.cast("long").alias("good"), bad.cast("long").alias("bad"), draws.cast("long").alias("draws"))
+    return _let(given, facts)
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -160,28 +179,32 @@ def _shard(position: Column, quota: Column, lefts: Column, shards: int, block_wo
 
 def decide(sized: DataFrame, shards: int = 16, block_words: int = 1024, seed: int = 42, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
            share: float = 1.5, cap: int = 2, rows_per_bucket: int = 256) -> DataFrame:
-    """Rows of ``sized`` (any columns with doc_id, source, size) plus source_size, target, taken, copies.
+    """Rows of ``sized`` (doc_id, source, size and others) plus source_size, target, taken, copies.
 
-    ``copies``: array of (copy, words, shard) with words > 0.  The running sums
-    go over hash buckets of a source, so one source with most rows is spread.
+    ``copies``: array of (copy, words, shard) with words > 0.  A row with
+    ``many`` stands for so many equal ones; its figures are for each of them.
+    The running sums go over hash buckets of a source, so one source with most
+    rows is spread.
     """
-    facts = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).first()
-    buckets = min(1 << 16, facts["n"] // rows_per_bucket + 1)
-    targets = source_targets(sized, weights, share, cap).withColumn("want", F.round("target").cast("long"))
+    sized = sized if "many" in sized.columns else sized.withColumn("many", F.lit(1).cast("long"))
+    sized = sized.withColumn("_all", F.col("size") * F.col("many"))
+    buckets = min(1 << 16, sized.count() // rows_per_bucket + 1)
+    targets = source_targets(sized.select("source", F.col("_all").alias("size")), weights, share, cap).withColumn("want", F.round("target").cast("long"))
     targets = targets.withColumn("quota", F.ceil(F.col("want") / block_words).cast("long"))
     tree = splitting_tree(targets.select("source_no", "quota"), shards, seed)
-    per_source = targets.join(tree, "source_no").drop("source_no")
+    # one row per source, as a table: what follows has a small plan
+    per_source = stored(targets.join(tree, "source_no").drop("source_no"), "mix-sources")
 
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     high = F.shiftrightunsigned(key, 33)
     placed = sized.withColumns({"_key": key, "_high": high, "_bucket": F.floor(high * buckets / F.lit(1 << 31)).cast("int")})
-    sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    sums = placed.groupBy("source", "_bucket").agg(F.sum("_all").alias("_sum"))
     start = F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.withColumn("_start", start).drop("_sum").alias("b")
     starts = starts.join(per_source.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
 
     order = W.partitionBy("source", "_bucket").orderBy("_high", "_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    inside = placed.withColumn("_inside", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    inside = placed.withColumn("_inside", F.coalesce(F.sum("_all").over(order), F.lit(0)))
     joined = inside.alias("d").join(
         starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._bucket") == F.col("s._bucket"))
     ).drop(F.col("s.source"), F.col("s._bucket"))
@@ -190,40 +213,43 @@ def decide(sized: DataFrame, shards: int = 16, block_words: int = 1024, seed: in
     copies = [
         F.struct(
             F.lit(c).alias("copy"),
-            F.greatest(zero, F.least(F.col("size"), F.col("want") - position - c * F.col("source_size"))).alias("words"),
+            F.floor(F.greatest(zero, F.least(F.col("_all"), F.col("want") - position - c * F.col("source_size"))) / F.col("many")).cast("long").alias("words"),
             _shard(position + c * F.col("source_size"), F.col("quota"), F.col("lefts"), shards, block_words).alias("shard"),
         )
         for c in range(cap)
     ]
     kept = F.filter(F.array(*copies), lambda c: c["words"] > 0)
     out = joined.withColumn("copies", kept).withColumn("taken", F.aggregate("copies", zero, lambda a, c: a + c["words"]))
-    return out.drop("_key", "_high", "_bucket", "_start", "_inside", "want", "quota", "lefts")
+    return out.drop("_all", "_key", "_high", "_bucket", "_start", "_inside", "want", "quota", "lefts")
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, taken, copies."""
-    from panelscope.llm.common import stored
-
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     return decide(sized, **options).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 42, **options) -> DataFrame:
-    """The mixed documents, as partitions in shard order; columns of ``docs``.
+def mix(docs: DataFrame, shards: int = 16, seed: int = 42, parts: int = 64, **options) -> DataFrame:
+    """The mixed documents, dealt and ordered by shard; columns of ``docs``.
 
     A document taken twice is there twice.  One that is cut keeps its first
-    words, single-spaced; n_chars follows where the table has it.
+    words, single-spaced; n_chars follows where the table has it.  Rows that
+    are equal in id, text and source share one decision.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")  # keeps extra columns apart from those made here
-    taken = decide(docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size")), shards=shards, seed=seed, **options)
-    rows = taken.withColumn("_copy", F.explode("copies"))
-    clean = F.regexp_replace("_row.text", f"^[{WHITE}]+", "")
-    cut = F.array_join(F.slice(F.split(clean, f"[{WHITE}]+"), 1, F.col("_copy.words").cast("int")), " ")
-    rows = rows.withColumn("_cut", F.when(F.col("_copy.words") < F.col("size"), cut))
-    rows = rows.withColumn("_shard", F.col("_copy.shard")).withColumn("_at", F.xxhash64(F.lit(seed + 1), "doc_id", "_copy.copy"))
-    # a shard's rows go to as many tasks as needed: the hash deals them, then each task sorts its own
-    rows = rows.repartitionByRange("_shard", "_at").sortWithinPartitions("_shard", "_at")
-    made = {"text": F.coalesce("_cut", "_row.text")}
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")  # keeps extra columns apart from those made here
+    key = F.xxhash64("doc_id", "text", "source").alias("key")
+    sized = stored(docs.select(key, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    units = sized.groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("many"))
+    taken = stored(decide(units, shards=shards, seed=seed, **options).where("taken > 0").select("key", "size", "copies"), "mix-taken")
+    # the text moves twice: to its decision, then to its shard
+    rows = docs.select(row, key).join(taken, "key").select("row", "key", "size", F.explode("copies").alias("copy"))
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed + 1), "key", "copy.copy"))
+    # a shard's rows go to several tasks by hash, each of which sorts its own
+    rows = rows.repartition(F.col("copy.shard"), F.pmod("at", F.lit(max(1, parts // shards)))).sortWithinPartitions("copy.shard", "at")
+    clean = F.regexp_replace("row.text", f"^[{WHITE}]+", "")
+    cut = F.array_join(F.slice(F.split(clean, f"[{WHITE}]+"), 1, F.col("copy.words").cast("int")), " ")
+    rows = rows.withColumn("cut", F.when(F.col("copy.words") < F.col("size"), cut))
+    made = {"text": F.coalesce("cut", "row.text")}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_cut")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[made.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+        made["n_chars"] = F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import WORD_BYTES, mix64, rows_of, slices, stored
+from panelscope.llm.common import WORD_BYTES, mix64, rows_of, slices, stored, whole
 from panelscope.llm.graph import components
 
 SHINGLE = 5
@@ -166,7 +166,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=1 << 20):
             sets = shingle_sets(rows_of(part))
             sizes = np.array([len(s) for s in sets], np.int32)
             signatures = dart_minhash(sets)
@@ -194,13 +194,13 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) with at least ``similarity``; ``rows``: row, signature, shingles."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in whole(batches):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             keep = pa.array((x == y).mean(axis=1) >= ESTIMATE)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in whole(batches):
             keep = []
             for k in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u4") for c in ("sa", "sb"))
@@ -230,7 +230,7 @@ def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in whole(batches):
             total += np.bincount(np.concatenate(tokens(batch)) % COUNTERS, minlength=COUNTERS)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
@@ -242,7 +242,7 @@ def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in whole(batches):
             out = []
             for row, one in zip(batch.column(0).to_pylist(), tokens(batch)):
                 seen = shared.value[one % COUNTERS]

@@ -9,7 +9,7 @@
 4. Readers look lengths up in a table of 256 control bytes and gather bytes.
 
 A text is encoded in pieces between ASCII white space, each different piece
-once per worker: the vocabularies drop white space and join no words across it.
+once per task: the vocabularies drop white space and join no words across it.
 
 Cases: null and empty texts have the end id alone; rows that share an id are
 ordered by length and checksum; null ids come first; an empty table gives no
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import slices
+from panelscope.llm.common import release, slices, whole
 from panelscope.session import scratch_path
 
-#: Pieces that a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+#: Pieces that a task remembers; then it starts anew.
+REMEMBERED = 300_000
 #: Marks that may stand behind a word; no apostrophe, as that can start an ending such as 's.
 MARKS = ".,;:!?*#$%&)"
 BLOCK_IDS = 1 << 20
@@ -164,11 +164,13 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces_of(path)
-        for part in slices(batches, most=8 << 20):
+        for part in slices(batches, most=2 << 20):
             ids, sizes = known.encode(part.column(1), end_id)
             stop = np.cumsum(sizes)
             rows = [ids[a:b].tobytes() for a, b in zip((stop - sizes).tolist(), stop.tolist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(rows, pa.binary())], schema=schema)
+        known.forget()  # the worker stays for other tasks, its memory is theirs
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 
@@ -182,7 +184,7 @@ def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in whole(batches):
             n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
             n[: len(total)] += total
             total = n
@@ -216,7 +218,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, block_
             control, data = pack(shared.value[np.frombuffer(b"".join(raw), kind)])
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "n_ids": held, "doc_ids": ids, "sizes": sizes, "control": control, "data": data}], schema)
 
-        for batch in batches:
+        for batch in whole(batches):
             for doc, n, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held + n > block_ids:
                     yield row()
@@ -248,7 +250,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in whole(batches):
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 ids = shared.value[unpack(row["control"], row["data"], row["n_ids"])]
