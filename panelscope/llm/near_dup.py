@@ -190,8 +190,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / max(1, len(both) - same)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with at least ``similarity``; ``rows``: row, signature, shingles."""
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float, many: bool = False) -> DataFrame:
+    """Pairs (a, b) with at least ``similarity``; ``rows``: row, signature, shingles.
+
+    With ``many`` pairs the sets they need are put aside first, so that the sets
+    of all rows move once and not for either side.
+    """
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole(batches):
@@ -213,6 +217,9 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
         return p.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
 
     close = stored(with_both(pairs, "signature").mapInArrow(alike, "a bigint, b bigint"), "candidates")
+    if many:
+        needed = close.select(F.col("a").alias("row")).union(close.select("b")).distinct()
+        rows = stored(rows.select("row", "shingles").join(needed, "row", "left_semi"), "candidate-sets")
     return with_both(close, "shingles").mapInArrow(exact, "a bigint, b bigint")
 
 
@@ -273,7 +280,7 @@ def linked(rows: DataFrame, similarity: float) -> tuple[DataFrame | None, DataFr
     active = stored(members.join(shared, "bucket").where("row <> first").select("bucket", "row", "first"), "buckets")
     if active.isEmpty():
         return None, None
-    links = stored(verified(active.select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), rows, similarity), "links")
+    links = stored(verified(active.select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), rows, similarity, many=True), "links")
     labels = components(links)
     some = _open_buckets(active.select("bucket", "row"), labels).select("row").distinct()
     rest = prefixes(rows.join(some, "row", "left_semi"), similarity)
