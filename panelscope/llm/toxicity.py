@@ -1,26 +1,28 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Features are words and word beginnings of 5 to 7 characters, each in steps: how
-often it occurs (1, 2, 4, 8, 16 times) and how often per 1,000 words (2, 5, 10,
-20, 50), so that weight of evidence is part of a vector.  A bounded sample of
-labelled rows (``examples``) picks the features that stand out in toxic texts
-and forms the index; inverse document frequencies cover all documents.
-
-Examples lie in blocks; for each feature a block knows its greatest weight.  A
-search goes through blocks by falling upper bound and stops when no block can
-beat the k-th best, so its result is exact.  Votes are weighted by nearness and
-calibrated by the examples' own leave-one-out votes (isotonic regression).
-Neighbours are the evidence.
-
-Cases: null and empty texts, and texts without any feature, get the calibrated
-share of such examples; without labels all scores are 0; a null id counts as
-held out; repeated documents get a row each, repeated labels of an id count
-once (toxic if any says so); extra columns are ignored.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an index of all words of the examples.
+
+A bounded sample of labelled rows (``examples``), drawn per label so that a rare
+one is there too, forms the index.  Every example is indexed by all its words.
+Terms that stand out in toxic examples count more: words and word beginnings of
+5 to 7 characters, each in steps of how often it occurs (1, 2, 4, 8, 16 times)
+and how often per 1,000 words (2, 5, 10, 20, 50), so that weight of evidence is
+part of a vector.  Inverse document frequencies cover all documents.
+
+Frequent terms lie in a dense matrix, others in postings.  Both give each
+example's similarity up to rounding; all that may be among the k best are
+compared again in full precision, so the result is exact.  Votes are weighted by
+nearness and calibrated by the examples' own leave-one-out votes (isotonic
+regression, each label in its share of all labelled rows); examples with the
+very terms of a text count with it.  Neighbours are the evidence.
+
+Cases: null and empty texts, and texts that share no word with an example, get
+the calibrated share of examples without words; without labels all scores are
+0; a null id counts as held out; repeated documents get a row each, repeated
+labels of an id count once (toxic if any says so); extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,12 +37,17 @@ from panelscope.llm.language import remainder
 
 #: About so many labelled rows form the index.
 EXAMPLES = 12_000
-#: At most so many features.
-FEATURES = 2_000
-#: Least G statistic of a feature.
+#: Least G statistic of a term that counts more.
 LEAST_G = 25.0
 NEIGHBOURS = 25
+#: A term of more than this share of the examples is dense.
+DENSE = 1 / 24
+#: Queries compared at once.
 BLOCK = 64
+#: Bound of the rounding errors of a similarity in single precision.
+SLACK = 1e-5
+#: Share of plain words in the squared length of a vector that has toxic-leaning terms too.
+PLAIN = 0.1
 COUNTS = (1, 2, 4, 8, 16)
 RATES = (2, 5, 10, 20, 50)
 THRESHOLD = 0.3
@@ -75,10 +82,14 @@ def count_bases(text: bytes, wanted: dict[bytes, list] | None = None) -> tuple[C
 
 
 class Index(NamedTuple):
-    """Examples' unit vectors as postings sorted by (feature, block); ``best`` is the block maximum."""
-
-    best: np.ndarray  # features x blocks
-    start: np.ndarray  # features x blocks + 1, flat
+    """Examples' vectors by example, and by term: a dense row for frequent ones, postings for the others."""
+
+    bounds: np.ndarray  # n + 1, of an example's terms
+    terms: np.ndarray
+    weights: np.ndarray
+    row: np.ndarray  # row of a term in ``dense``, or -1
+    dense: np.ndarray
+    start: np.ndarray  # terms + 1, of a term's postings
     docs: np.ndarray
     values: np.ndarray
     n: int
@@ -86,39 +97,58 @@ class Index(NamedTuple):
 
 def build_index(vectors: list[tuple[np.ndarray, np.ndarray]], features: int) -> Index:
     """``vectors``: (features, unit weights) of each example."""
-    n, blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-    doc = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.zeros(0, int)
+    n, sizes = len(vectors), np.array([len(v[0]) for v in vectors], np.int64)
+    doc = np.repeat(np.arange(n), sizes)
     at = np.concatenate([v[0] for v in vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
     value = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-    cell = at * blocks + doc // BLOCK
-    order = np.lexsort((doc, cell))
-    best = np.zeros(features * blocks)
-    np.maximum.at(best, cell, value)
-    return Index(best.reshape(features, blocks), np.searchsorted(cell[order], np.arange(features * blocks + 1)), doc[order], value[order], n)
+    often = np.flatnonzero(np.bincount(at, minlength=features) > n * DENSE)
+    row = np.full(features, -1, np.int64)
+    row[often] = np.arange(len(often))
+    dense, high = np.zeros((len(often), n), np.float32), row[at] >= 0
+    dense[row[at[high]], doc[high]] = value[high]
+    order = np.flatnonzero(~high)[np.argsort(at[~high], kind="stable")]
+    start = np.searchsorted(at[order], np.arange(features + 1))
+    return Index(np.append(0, np.cumsum(sizes)), at.astype(np.int32), value, row, dense, start, doc[order].astype(np.int32), value[order], n)
+
+
+def runs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Numbers of all ranges, one range after the other."""
+    n = high - low
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def nearest_of(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+    """Per query (features, weights) the k most similar examples with a similarity above 0, best first, ties to smaller numbers; exact."""
+    wanted = np.zeros(len(index.row))
+    for base in range(0, len(queries), BLOCK):
+        block = queries[base : base + BLOCK]
+        some = np.zeros((len(block), len(index.dense)), np.float32)
+        for i, (at, weight) in enumerate(block):
+            row = index.row[at]
+            some[i, row[row >= 0]] = weight[row >= 0]
+        about = some @ index.dense
+        for i, (at, weight) in enumerate(block):
+            low, high = index.start[at], index.start[at + 1]
+            there = runs(low, high)
+            total = about[i]
+            if len(there):
+                total = total + np.bincount(index.docs[there], index.values[there] * np.repeat(weight, high - low), index.n)
+            if leave_out is not None and leave_out[base + i] >= 0:
+                total[leave_out[base + i]] = 0
+            least = np.partition(total, index.n - k)[index.n - k] - SLACK if index.n > k else 0
+            may = np.flatnonzero((total >= least) & (total > 0))
+            wanted[at] = weight
+            low, high = index.bounds[may], index.bounds[may + 1]
+            there = runs(low, high)
+            exact = np.bincount(np.repeat(np.arange(len(may)), high - low), index.weights[there] * wanted[index.terms[there]], len(may)).round(12)
+            wanted[at] = 0
+            best = np.lexsort((may, -exact))[:k]
+            yield [(s, m) for s, m in zip(exact[best].tolist(), may[best].tolist()) if s > 0]
 
 
 def nearest(index: Index, at: np.ndarray, weight: np.ndarray, k: int, leave_out: int = -1) -> list[tuple[float, int]]:
-    """The k most similar examples with a similarity above 0, best first, ties to smaller numbers; exact."""
-    blocks = index.best.shape[1]
-    bound = weight @ index.best[at]
-    top: list[tuple[float, int]] = []  # heap of (similarity, -number)
-    for b in np.argsort(-bound, kind="stable").tolist():
-        if bound[b] <= 0 or len(top) == k and bound[b] < top[0][0] - 1e-12:
-            break
-        total = np.zeros(BLOCK)
-        for t, w in zip(at.tolist(), weight.tolist()):
-            lo, hi = index.start[t * blocks + b], index.start[t * blocks + b + 1]
-            if hi > lo:
-                total[index.docs[lo:hi] - b * BLOCK] += w * index.values[lo:hi]
-        for i in np.flatnonzero(total > 0).tolist():
-            one = (round(float(total[i]), 12), -(b * BLOCK + i))
-            if -one[1] == leave_out:
-                continue
-            if len(top) < k:
-                heapq.heappush(top, one)
-            elif one > top[0]:
-                heapq.heapreplace(top, one)
-    return [(s, -i) for s, i in sorted(top, key=lambda x: (-x[0], -x[1]))]
+    """``nearest_of`` one query."""
+    return next(nearest_of(index, [(at, weight)], k, [leave_out]))
 
 
 def vote(found: list[tuple[float, int]], toxic: np.ndarray) -> float:
@@ -127,15 +157,16 @@ def vote(found: list[tuple[float, int]], toxic: np.ndarray) -> float:
     return float(weight @ toxic[[i for _, i in found]] / weight.sum())
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: upper ends of steps and their values."""
+    weight = np.ones(len(x)) if weight is None else weight
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # sum, count, upper end
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
+    for a, b, c in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
         if pools and pools[-1][2] == a:
-            pools[-1] = [pools[-1][0] + b, pools[-1][1] + 1, a]
+            pools[-1] = [pools[-1][0] + b * c, pools[-1][1] + c, a]
         else:
-            pools.append([b, 1, a])
+            pools.append([b * c, c, a])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, end = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, end]
@@ -144,37 +175,58 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Model(NamedTuple):
     feature: dict  # (base, step) -> number
+    vocabulary: dict  # word -> number, after those
     idf: np.ndarray
     index: Index
     toxic: np.ndarray
+    weight: np.ndarray  # labelled rows that an example stands for
     ids: list
     ends: np.ndarray
     values: np.ndarray
     without: float  # for texts that have no neighbour
 
 
-def unit(found: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit(found, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.array(sorted(found), np.int64)
     w = idf[at]
     return at, w / max(float(np.sqrt(w @ w)), 1e-12)
 
 
+def joined(found: np.ndarray, idf: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vector of toxic-leaning terms (numbers below ``features``) and plain words, ``PLAIN`` of it words."""
+    at = np.asarray(found, np.int64)
+    cut = int(np.searchsorted(at, features))
+    some, rest = unit(at[:cut], idf)[1], unit(at[cut:], idf)[1]
+    if cut and cut < len(at):
+        some, rest = some * np.sqrt(1 - PLAIN), rest * np.sqrt(PLAIN)
+    return at, np.concatenate([some, rest])
+
+
 def _numbers(counts: Counter, total: int, feature: dict) -> list[int]:
     return [feature[s] for s in steps(counts, total) if s in feature]
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
-    """doc_id, toxic, text of about ``examples`` labelled rows that may be learned from."""
+    """doc_id, toxic, text, weight of about ``examples`` labelled rows that may be learned from.
+
+    Half of them are toxic, or all toxic ones where there are fewer, and the
+    other way round; ``weight`` is how many labelled rows one stands for.
+    """
     able = labels.where((F.coalesce(remainder(F.col("doc_id"), 4), F.lit(2)) != 2) & F.col("toxic").isNotNull())
     one = able.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, examples / max(1, one.count()))
+    total = one.agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(~(F.col("toxic") > 0)).alias("c")).first()
+
+    def share(own: int, other: int) -> float:
+        return min(1.0, max(examples / 2, examples - other) / max(1, own))
+
+    part = F.when(F.col("toxic") > 0, share(total["t"], total["c"])).otherwise(share(total["c"], total["t"]))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / F.lit(float(1 << 53))
     # the bound of the sample bounds what is broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(one.where(draw < share)), "doc_id")
-    return stored(texts.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text"), "toxicity-examples")
+    texts = docs.select("doc_id", "text").join(F.broadcast(one.withColumn("part", part).where(draw < F.col("part"))), "doc_id")
+    return stored(texts.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text", (1 / F.col("part")).alias("weight")), "toxicity-examples")
 
 
-def choose_features(sample: DataFrame, most: int = FEATURES, least: float = LEAST_G) -> list[tuple[str, int]]:
+def choose_features(sample: DataFrame, least: float = LEAST_G) -> list[tuple[str, int]]:
     """Steps that occur more in toxic examples, by G statistic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +251,7 @@ def choose_features(sample: DataFrame, most: int = FEATURES, least: float = LEAS
     if not n0 or not n1:
         return []
     part = sample.mapInArrow(run, "base string, step int, clean bigint, toxic bigint").groupBy("base", "step").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    part = part.where((F.col("b") >= 3) & (F.col("b") / n1 > 2 * F.col("a") / n0))
+    part = part.where(F.col("b") / n1 > 2 * F.col("a") / n0)
 
     def term(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -209,84 +261,105 @@ def choose_features(sample: DataFrame, most: int = FEATURES, least: float = LEAS
         term(F.col("b"), every * n1 / (n0 + n1)) + term(F.col("a"), every * n0 / (n0 + n1))
         + term(n1 - F.col("b"), (n0 + n1 - every) * n1 / (n0 + n1)) + term(n0 - F.col("a"), (n0 + n1 - every) * n0 / (n0 + n1))
     )
-    best = part.withColumn("g", g).where(F.col("g") >= least).orderBy(F.col("g").desc(), "base", "step").limit(most)
-    return [(r["base"], r["step"]) for r in best.collect()]
+    best = part.withColumn("g", g).where(F.col("g") >= least)
+    return sorted((r["base"], r["step"]) for r in best.select("base", "step").collect())
+
+
+def vocabulary_of(sample: DataFrame) -> list[bytes]:
+    """All words of the sample, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(set().union(*map(words, rows_of(part))), pa.binary())], names=["word"])
+
+    return sorted(sample.select("text").mapInArrow(run, "word binary").distinct().toArrow().column(0).to_pylist())
 
 
-def inverse_frequencies(docs: DataFrame, feature: dict) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, feature: dict, vocabulary: dict) -> np.ndarray:
     """Over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(feature)
+    shared, size = docs.sparkSession.sparkContext.broadcast((feature, vocabulary)), len(feature) + len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, documents = Words(shared.value), np.zeros(len(shared.value), np.int64), 0
+        known, count = Words(*shared.value), np.zeros(size + 1, np.int64)
         for part in slices(batches):
             for text in rows_of(part):
                 count[known.numbers(text)] += 1
-            documents += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count) + 1)), pa.array(np.append(count, documents))], names=["feature", "n"])
+            count[size] += part.num_rows
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["feature", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(len(feature) + 1)
-    n[[r["feature"] for r in rows]] = [r["n"] for r in rows]
+    rows = docs.select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(size + 1)
+    n[rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
     return np.log((1 + n[-1]) / (1 + n[:-1])) + 1
 
 
 class Words:
-    """Which bases with a feature a word has, remembered per word."""
+    """Numbers of a text's toxic-leaning steps and of its words; which bases a word has is remembered per word."""
 
-    def __init__(self, feature: dict):
-        self.feature, self.bases, self.known = feature, {b for b, _ in feature}, {}
+    def __init__(self, feature: dict, vocabulary: dict):
+        self.feature, self.vocabulary, self.bases, self.known = feature, vocabulary, {b for b, _ in feature}, {}
 
-    def numbers(self, text: bytes) -> list[int]:
+    def numbers(self, text: bytes) -> np.ndarray:
         ws = words(text)
         if len(self.known) > 400_000:
             self.known = {}
         counts: Counter = Counter()
-        known = self.known
+        known, number, plain = self.known, self.vocabulary.get, []
         for w, n in Counter(ws).items():
             found = known.get(w)
             if found is None:
                 known[w] = found = tuple(b for b in bases(w) if b in self.bases)
             for b in found:
                 counts[b] += n
-        return _numbers(counts, len(ws), self.feature)
+            k = number(w)
+            if k is not None:
+                plain.append(k)
+        return np.sort(np.array(_numbers(counts, len(ws), self.feature) + plain, np.int32))
 
 
 def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model | None:
     sample = sample_labelled(docs, labels, examples)
     feature = {f: i for i, f in enumerate(choose_features(sample))}
-    shared = docs.sparkSession.sparkContext.broadcast(feature)
+    vocabulary = {w: i for i, w in enumerate(vocabulary_of(sample), len(feature))}
+    shared = docs.sparkSession.sparkContext.broadcast((feature, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(shared.value)
+        known = Words(*shared.value)
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([known.numbers(t) for t in rows_of(part)], pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"]
-            )
+            found = pa.array([known.numbers(t).tobytes() for t in rows_of(part)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), found], names=["doc_id", "toxic", "weight", "found"])
 
-    rows = sample.mapInArrow(run, "doc_id bigint, toxic int, found array<int>").orderBy("found", "doc_id").collect()
+    # bounded by the sample
+    rows = sample.mapInArrow(run, "doc_id bigint, toxic int, weight double, found binary").toArrow().to_pylist()
     if not rows:
         return None
-    idf = inverse_frequencies(docs, feature) if feature else np.zeros(0)
-    full = [r for r in rows if r["found"]]
-    toxic = np.array([float(r["toxic"] > 0) for r in full])
-    vectors = [unit(r["found"], idf) for r in full]
-    index = build_index(vectors, len(feature))
-    own, none = [], [float(r["toxic"] > 0) for r in rows if not r["found"]]
-    for i, (at, w) in enumerate(vectors):
-        found = nearest(index, at, w, neighbours, i)
-        if found:
-            own.append((vote(found, toxic), toxic[i]))
-    ends, values = isotonic(np.array([a for a, _ in own]), np.array([b for _, b in own])) if own else (np.zeros(1), np.zeros(1))
-    return Model(feature, idf, index, toxic, [r["doc_id"] for r in full], ends, values, (sum(none) + 0.5) / (len(none) + 5))
-
-
-def score(model: Model, found: list[int], neighbours: int) -> tuple[float, list[int]]:
-    near = nearest(model.index, *unit(found, model.idf), neighbours) if found else []
-    if not near:
-        return model.without, []
-    k = min(int(np.searchsorted(model.ends, vote(near, model.toxic))), len(model.ends) - 1)
-    return float(model.values[k]), [model.ids[i] for _, i in near[:3]]
+    rows.sort(key=lambda r: (r["doc_id"], r["found"]))
+    idf = inverse_frequencies(docs, feature, vocabulary)
+    full, none = [r for r in rows if r["found"]], [r for r in rows if not r["found"]]
+    toxic, weight = np.array([float(r["toxic"] > 0) for r in full]), np.array([r["weight"] for r in full])
+    vectors = [joined(np.frombuffer(r["found"], np.int32), idf, len(feature)) for r in full]
+    index = build_index(vectors, len(idf))
+    own = [(vote(found, toxic), i) for i, found in enumerate(nearest_of(index, vectors, neighbours, list(range(len(full))))) if found]
+    at = np.array([i for _, i in own], np.int64)
+    ends, values = isotonic(np.array([a for a, _ in own]), toxic[at], weight[at]) if own else (np.zeros(1), np.zeros(1))
+    without = (sum(r["weight"] * (r["toxic"] > 0) for r in none) + 0.5) / (sum(r["weight"] for r in none) + 5)
+    return Model(feature, vocabulary, idf, index, toxic, weight, [r["doc_id"] for r in full], ends, values, without)
+
+
+def scores_of(model: Model, found: list[np.ndarray], neighbours: int) -> Iterator[tuple[float, list[int]]]:
+    vectors = [joined(f, model.idf, len(model.feature)) for f in found]
+    for near in nearest_of(model.index, vectors, neighbours):
+        if near:
+            k = min(int(np.searchsorted(model.ends, vote(near, model.toxic))), len(model.ends) - 1)
+            value, same = float(model.values[k]), [i for sim, i in near if sim >= 1 - 1e-9]
+            if same:
+                # examples with the same terms say most, the vote counts as one more of them
+                own = model.weight[same]
+                value = float((own @ model.toxic[same] + own.mean() * value) / (own.sum() + own.mean()))
+            yield value, [model.ids[i] for _, i in near[:3]]
+        else:
+            yield model.without, []
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,17 +369,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known, seen = Words(model.feature) if model else None, {}
+        known, seen = Words(model.feature, model.vocabulary) if model else None, {}
         for part in slices(batches):
-            results = []
-            for text in rows_of(part):
-                found = known.numbers(text) if model else []
-                key = tuple(sorted(found))
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[key] = score(model, found, neighbours) if model else (0.0, [])
-                results.append(seen[key])
+            results = [(0.0, [])] * part.num_rows
+            if model:
+                found = [known.numbers(text) for text in rows_of(part)]
+                keys = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found]
+                if len(seen) > 50_000:
+                    seen.clear()
+                new = {k: f for k, f in zip(keys, found) if k not in seen}
+                seen.update(zip(new, scores_of(model, list(new.values()), neighbours)))
+                results = [seen[k] for k in keys]
             scores = [min(1.0, max(0.0, s)) for s, _ in results]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([e for _, e in results], pa.list_(pa.int64()))],

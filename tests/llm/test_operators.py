@@ -289,6 +289,29 @@ def test_toxicity_finds_marked_words(spark, docs, none):
     assert {r["score"] for r in toxicity.toxicity(docs, empty).collect()} == {0.0} and toxicity.toxicity(none, empty).count() == 0
 
 
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_toxicity_knows_copies_of_varied_wording(spark):
+    rng = random.Random(9)
+    texts = {i: sentence(rng, 40) + "".join(f" {rng.choice('bcdfg')}{i}x{j}" for j in range(6)) for i in range(300)}
+    toxic = [i for i in range(0, 300, 10) if not held_out(i)]
+    copies = dict(zip((i for i in range(1000, 2000) if held_out(i)), toxic))
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in texts], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([*texts.items(), *((i, texts[j]) for i, j in copies.items())], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(got[i]["predicted"] == 1 and got[i]["evidence"][0] == j for i, j in copies.items())
+
+
+def test_toxicity_samples_rare_labels(spark):
+    rng = random.Random(10)
+    texts = [(i, sentence(rng, 40) + (" nastyword" if i % 100 == 0 else "")) for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(texts, "doc_id bigint, text string"), labels, examples=100).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 100 == 0) for r in got)
+
+
 def test_isotonic():
     ends, values = toxicity.isotonic(np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]))
     assert (np.diff(values) >= 0).all() and values[-1] == 1 and values[0] == 0
