@@ -38,8 +38,10 @@ apache-2 | asl 2 | asl 2 0
 apache | apache | apache (?:software )?licen[sc]e
 bsd-4 | bsd | (?:bsd 4 clause|4 clause bsd|original bsd) licen[sc]e
 bsd-3 | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd) licen[sc]e
-bsd-2 | bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd) licen[sc]e
-bsd-0 | bsd | (?:bsd 0 clause|0 clause bsd|zero clause bsd|free public) licen[sc]e
+bsd-2 | bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd) licen[sc]e
+bsd-2 | freebsd | freebsd licen[sc]e
+bsd-0 | bsd | (?:bsd 0 clause|0 clause bsd|zero clause bsd) licen[sc]e
+bsd-0 | free public | free public licen[sc]e
 bsd | bsd | bsd (?:style )?licen[sc]e
 isc | isc | isc licen[sc]e
 isc | internet systems consortium | internet systems consortium licen[sc]e
@@ -83,7 +85,8 @@ eupl | european union | european union public licen[sc]e
 artistic-1 | artistic | artistic licen[sc]e (?:version |v )?1(?: 0)?
 artistic-2 | artistic | artistic licen[sc]e (?:version |v )?2(?: 0)?
 artistic | artistic | (?:the )?(?:perl )?artistic licen[sc]e
-zlib | zlib | (?:zlib|zlib libpng|libpng) licen[sc]e
+zlib | zlib | (?:zlib|zlib libpng) licen[sc]e
+zlib | libpng | libpng licen[sc]e
 bsl-1 | boost | boost software licen[sc]e(?: (?:version |v )?1(?: 0)?)?
 unlicense | unlicense | the unlicense
 wtfpl | wtfpl | wtfpl
@@ -108,7 +111,8 @@ busl-1.1 | business source | business source licen[sc]e(?: (?:version |v )?1 1)?
 elastic-2 | elastic | elastic licen[sc]e(?: (?:version |v )?2(?: 0)?)?
 commons-clause | commons clause | commons clause(?: licen[sc]e)?
 polyform-nc | polyform | polyform noncommercial licen[sc]e
-openrail | openrail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?
+openrail | openrail | (?:creativeml |bigscience )?openrail(?: m)?(?: licen[sc]e)?
+openrail | open rail | (?:creativeml |bigscience )?open rail(?: m)?(?: licen[sc]e)?
 llama-community | llama | llama \d(?: \d)? community licen[sc]e
 cecill | cecill | cecill(?: (?:a|b|c))?(?: free software)? licen[sc]e
 mulan-2 | mulan | mulan p(?:ermissive )?s(?:oftware )?l(?:icense)?(?: v ?2| version 2)?
@@ -211,7 +215,7 @@ mit | permission is hereby granted | permission is hereby granted free of charge
 mit | shall be included | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 isc | permission to use | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 bsd | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
-bsd-3 | endorse or promote | neither the names? of .{1,80}? may be used to endorse or promote products derived from this software
+bsd-3 | endorse or promote | neither the names? of(?: (?!neither the names? of )\S+)+? may be used to endorse or promote products derived from this software
 bsd-4 | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 zlib | as is | this software is provided as is without any express or implied warranty in no event will the authors be held liable
 gpl-2+ | free software | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
@@ -232,11 +236,14 @@ cc0-1 | cc0 | cc0 (?:1 0 )?(?:universal )?(?:public domain dedication)?
 cc0-1 | creative commons | creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?
 proprietary | rights reserved | all rights reserved
 proprietary | confidential | proprietary and confidential
-proprietary | prohibited | unauthori[sz]ed (?:copying|use|reproduction|distribution) .{0,60}?(?:is )?(?:strictly )?prohibited
-non-commercial | commercial | for (?:personal and )?non ?commercial use only
+proprietary | prohibited | unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:.{0,60}? )?(?:is )?(?:strictly )?prohibited
+proprietary | prohibited | unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: (?!unauthori[sz]ed (?:copying|use|reproduction|distribution) )\S+)*? (?:is|are) (?:strictly |expressly )?prohibited
+non-commercial | commercial | for (?:personal and )?non commercial use only
+non-commercial | noncommercial | for (?:personal and )?noncommercial use only
 non-commercial | commercial | not for commercial use
 no-derivatives | derivative | no derivative works (?:are )?(?:permitted|allowed)
-no-training | machine learning | may not be used (?:for|to train) (?:machine learning|artificial intelligence)
+no-training | machine learning | may not be used (?:for|to train) machine learning
+no-training | artificial intelligence | may not be used (?:for|to train) artificial intelligence
 no-training | training | (?:ai|model|machine learning) training is (?:not permitted|prohibited)
 research-only | research | for research (?:purposes|use) only
 """

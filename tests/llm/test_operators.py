@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on odd rows: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import random
+import re
 import zlib
 from math import comb
 
@@ -213,6 +214,45 @@ def test_license_suppression_and_gate():
     assert len(licenses.build()) > 300 and all(r.keyword for r in licenses.build())
 
 
+def samples(items):
+    """Texts that a parsed pattern matches: each branch, with and without each optional part."""
+    out = [""]
+    for op, value in items:
+        kind = str(op)
+        if kind == "LITERAL":
+            some = [chr(value)]
+        elif kind == "IN":
+            some = [chr(v) if str(o) == "LITERAL" else "7" for o, v in value]
+        elif kind == "ANY":
+            some = ["q"]
+        elif kind == "BRANCH":
+            some = [x for branch in value[1] for x in samples(branch)]
+        elif kind == "SUBPATTERN":
+            some = samples(value[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = ([""] if value[0] == 0 else []) + [x * max(1, value[0]) for x in samples(value[2])]
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT", "NOT_LITERAL", "CATEGORY"), kind
+            some = ["q"] if kind in ("NOT_LITERAL", "CATEGORY") else [""]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_license_gate_lets_every_match_through():
+    for rule in licenses.build():
+        for text in samples(re._parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.search(f" {text} ") and f" {rule.keyword}" in f" {text}", (rule.pattern.pattern, text)
+
+
+@pytest.mark.parametrize("text, label", [
+    ("FreeBSD License", "bsd-2"), ("Free Public License", "bsd-0"), ("libpng license", "zlib"), ("Open RAIL-M license", "openrail"), ("For noncommercial use only.", "non-commercial"),
+    ("Neither the name of " + "the very long holder " * 20 + "nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3"),
+    ("Unauthorized copying of " + "this file or any part of it " * 20 + "is strictly prohibited", "proprietary"), ("unauthorised use unprohibited", ""),
+])
+def test_license_rules_behind_the_gate(text, label):
+    assert licenses.scan(text.encode())["labels"] == label
+
+
 # language
 
 def test_language_learns_and_holds_out(spark, none):
