@@ -31,8 +31,8 @@ WINDOW = 10
 #: Bytes of item texts that one pass hands to each task.
 CHUNK_BYTES = 16 << 20
 
-SEGMENT = "doc_ids array<bigint>, n_words array<int>, terms array<int>, counts array<int>, gaps binary"
-MATCHES = "doc_id bigint, n_words bigint, n_hit bigint, starts array<int>, ends array<int>, items array<string>, near array<string>"
+SEGMENT = "doc_ids array<bigint>, hashes array<bigint>, n_words array<int>, terms array<int>, counts array<int>, gaps binary"
+MATCHES = "doc_id bigint, text_hash bigint, n_words bigint, n_hit bigint, starts array<int>, ends array<int>, items array<string>, near array<string>"
 
 
 def item_windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
@@ -51,7 +51,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], key: str = "doc_id") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("gaps", pa.binary())])
+        schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("gaps", pa.binary())])
         for part in slices(batches):
             lengths, known = [], []
             for text in rows_of(part):
@@ -67,10 +67,10 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], key: str = "doc_id") -
             first = np.cumsum(counts) - counts
             gaps[first] = at[first]
             yield pa.RecordBatch.from_pylist(
-                [{"doc_ids": part.column(0).to_pylist(), "n_words": lengths, "terms": used.tolist(), "counts": counts.tolist(), "gaps": gaps.astype("<i4").tobytes()}], schema
+                [{"doc_ids": part.column(0).to_pylist(), "hashes": part.column(2).to_pylist(), "n_words": lengths, "terms": used.tolist(), "counts": counts.tolist(), "gaps": gaps.astype("<i4").tobytes()}], schema
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, SEGMENT)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SEGMENT)
 
 
 def query_plan(windows: dict[tuple[bytes, ...], list[str]], terms: dict[bytes, int], counts: dict[int, int]) -> list[tuple[np.ndarray, np.ndarray, list[list[str]]]]:
@@ -88,7 +88,7 @@ class Segment:
     """Postings of one stored row as a sorted array of (term, position)."""
 
     def __init__(self, row: dict):
-        self.doc_ids, self.n_words = row["doc_ids"], np.array(row["n_words"], np.int64)
+        self.doc_ids, self.hashes, self.n_words = row["doc_ids"], row["hashes"], np.array(row["n_words"], np.int64)
         self.ends = np.cumsum(self.n_words)
         self.size = int(self.n_words.sum())
         self.terms, counts = np.array(row["terms"], np.int64), np.array(row["counts"], np.int64)
@@ -176,7 +176,7 @@ def search(segments: DataFrame, windows: dict, terms: dict[bytes, int], near: in
     shared = segments.sparkSession.sparkContext.broadcast(query_plan(windows, terms, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
         for batch in whole(batches):
             for k in range(batch.num_rows):
                 seg = Segment(batch.slice(k, 1).to_pylist()[0])
@@ -205,7 +205,7 @@ def search(segments: DataFrame, windows: dict, terms: dict[bytes, int], near: in
                 rows = []
                 for d in range(n):
                     s, e = first[bounds[d] : bounds[d + 1]] - begin[d], last[bounds[d] : bounds[d + 1]] - begin[d]
-                    rows.append({"doc_id": seg.doc_ids[d], "n_words": int(seg.n_words[d]), "n_hit": int((e - s).sum()), "starts": s.tolist(), "ends": e.tolist(), "items": sorted(found[d]), "near": sorted(close[d])})
+                    rows.append({"doc_id": seg.doc_ids[d], "text_hash": seg.hashes[d], "n_words": int(seg.n_words[d]), "n_hit": int((e - s).sum()), "starts": s.tolist(), "ends": e.tolist(), "items": sorted(found[d]), "near": sorted(close[d])})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return segments.mapInArrow(run, MATCHES)
@@ -235,7 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, near: int
         part = _pass(rows, chunk, size, near, "row")
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("runs"),
+        F.max("text_hash").alias("text_hash"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
     )
     empty = F.array().cast("array<struct<starts:int,ends:int>>")
@@ -247,7 +247,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, near: int
 
     union = merged.withColumn("runs", F.aggregate("runs", empty, step))
     return union.join(rows.select("row", "doc_id"), "row").select(
-        "doc_id", "n_words", F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["ends"] - r["starts"]).alias("n_hit"),
+        "doc_id", "text_hash", "n_words", F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["ends"] - r["starts"]).alias("n_hit"),
         F.col("runs.starts").alias("starts"), F.col("runs.ends").alias("ends"), "items", "near",
     )
 
@@ -268,10 +268,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` without a hit word; all columns.  Rows that share an id go together."""
-    name = fresh("bad")
-    bad = matches(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """Rows of ``docs`` without a hit word; all columns.  Rows go by id and text, so clean rows of the same id or without one stay."""
+    row_id, row_hash, bad_id, bad_hash = map(fresh, ("id", "hash", "bad_id", "bad_hash"))
+    bad = matches(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    rows = docs.withColumns({row_id: F.col("doc_id").cast("long"), row_hash: F.xxhash64("text")})
+    return rows.join(bad, F.col(row_id).eqNullSafe(F.col(bad_id)) & (F.col(row_hash) == F.col(bad_hash)), "left_anti").select(*docs.columns)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], size: int = WINDOW) -> list[tuple]:

@@ -135,6 +135,16 @@ def test_decontamination_is_exact(docs, benchmark, none):
     assert kept.columns == docs.columns and sorted(pairs(kept, "doc_id"), key=str) == sorted([(r[0],) for r in rows() if r[0] not in bad], key=str)
 
 
+def test_clean_rows_stay_beside_bad_ones_of_their_id(spark):
+    leak = "seven green lamps under the old stone bridge in winter rain"
+    texts = [(None, leak), (None, "salt and copper"), (None, None), (1, f"so {leak} so"), (1, "a clean letter"), (2, leak), (2, leak)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, leak), (2, "nowhere to be found in any of these texts at all")], "item_id bigint, text string")
+    want = [(None, "salt and copper"), (None, None), (1, "a clean letter")]
+    for chunk in (decontaminate.CHUNK_BYTES, 60):
+        assert sorted(pairs(decontaminate.clean_documents(docs, benchmark, chunk_bytes=chunk), "doc_id", "text"), key=str) == sorted(want, key=str)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 50 + "beta gamma"), (3, "gamma beta alpha")], "doc_id bigint, text string")
     items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id bigint, text string")
