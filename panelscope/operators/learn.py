@@ -206,13 +206,13 @@ def group_folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     strata = samples.groupBy("glass", stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
     main = strata.groupBy("glass").agg(F.max(F.struct("n", "stratum")).alias("m"), F.sum("n").alias("rows"))
     # order within a stratum: more rows first, then by hash
-    most = F.lit(1 << 20)
-    key = (F.greatest(F.lit(0), most - F.col("rows")) * F.lit(1 << 40)) + seeded_number("glass", seed=seed) % (1 << 40)
-    keyed = main.select("glass", F.col("m.stratum").alias("stratum"), "rows", key.alias("key"))
-    hist = keyed.groupBy("stratum", "key").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = ranks.running_sums(hist, ["stratum"], "key", ["cnt"])
-    return keyed.join(ranked.select("stratum", "key", "before_cnt"), ["stratum", "key"]).select(
-        "glass", "stratum", "rows", (F.col("before_cnt") % k).cast("int").alias("fold")
+    keyed = main.select("glass", F.col("m.stratum").alias("stratum"), "rows", (seeded_number("glass", seed=seed) % (1 << 40)).alias("key"))
+    sizes = keyed.groupBy("stratum", "rows").agg(F.count(F.lit(1)).alias("larger"))
+    larger = ranks.running_sums(sizes, ["stratum"], "rows", ["larger"], ascending=False).select("stratum", "rows", "before_larger")
+    hist = keyed.groupBy("stratum", "rows", "key").agg(F.count(F.lit(1)).alias("cnt"))
+    equal = ranks.running_sums(hist, ["stratum", "rows"], "key", ["cnt"]).select("stratum", "rows", "key", "before_cnt")
+    return keyed.join(larger, ["stratum", "rows"]).join(equal, ["stratum", "rows", "key"]).select(
+        "glass", "stratum", "rows", ((F.col("before_larger") + F.col("before_cnt")) % k).cast("int").alias("fold")
     )
 
 

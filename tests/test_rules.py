@@ -71,6 +71,14 @@ def test_folds_fall_back_and_fail(spark):
         L.group_folds(spark.createDataFrame(rows[:6], names), 5)
 
 
+def test_large_glasses_are_dealt_by_size(spark):
+    from functools import reduce
+
+    glasses = [spark.range((1 << 20) + 10 * i).selectExpr(f"'g{i}' AS glass", "'x' AS label", "'p' AS prefix", "'t' AS source_type") for i in range(6)]
+    got = {r["glass"]: r["fold"] for r in L.group_folds(reduce(lambda a, b: a.union(b), glasses), 5).collect()}
+    assert got == {"g5": 0, "g4": 1, "g3": 2, "g2": 3, "g1": 4, "g0": 0}
+
+
 def test_memory_bank_does_not_depend_on_the_dealing(spark):
     rows = [(i, "l", "z", [float(i * 7 % 13), float(i * 5 % 11)]) for i in range(300)]
     df = spark.createDataFrame(rows, "sample_id bigint, lighting string, zone string, vector array<double>")
