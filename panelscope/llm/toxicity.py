@@ -23,12 +23,15 @@ labels of an id count once (toxic if any says so); extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,17 +176,38 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) ->
     return np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-class Model(NamedTuple):
-    feature: dict  # (base, step) -> number
-    vocabulary: dict  # word -> number, after those
-    idf: np.ndarray
-    index: Index
-    toxic: np.ndarray
-    weight: np.ndarray  # labelled rows that an example stands for
-    ids: list
-    ends: np.ndarray
-    values: np.ndarray
-    without: float  # for texts that have no neighbour
+class Dictionary:
+    """Numbers of words from ``first`` on; packed while it travels."""
+
+    def __init__(self, vocabulary: list[bytes], first: int):
+        self.packed, self.size, self.first = zlib.compress(b"\n".join(vocabulary), 1), len(vocabulary), first
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
+
+    @cached_property
+    def numbers(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(zlib.decompress(self.packed).split(b"\n"), self.first)}
+
+
+class Model:
+    """Examples and their calibrated votes; the index is made where it is used."""
+
+    def __init__(self, features: int, idf: np.ndarray, rows: list[dict]):
+        self.features, self.idf = features, idf
+        self.found = [np.frombuffer(r["found"], np.int32) for r in rows]
+        self.ids = [r["doc_id"] for r in rows]
+        self.toxic = np.array([float(r["toxic"] > 0) for r in rows])
+        self.weight = np.array([r["weight"] for r in rows])  # labelled rows that an example stands for
+        self.ends, self.values = np.zeros(1), np.zeros(1)
+        self.without = 0.0  # for texts that have no neighbour
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    @cached_property
+    def index(self) -> Index:
+        return build_index([joined(f, self.idf, self.features) for f in self.found], len(self.idf))
 
 
 def unit(found, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,18 +293,21 @@ def vocabulary_of(sample: DataFrame) -> list[bytes]:
     """All words of the sample, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[bytes] = set()
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(set().union(*map(words, rows_of(part))), pa.binary())], names=["word"])
+            found.update(*map(words, rows_of(part)))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(b"\n".join(sorted(found)), 1)], pa.binary())], names=["words"])
 
-    return sorted(sample.select("text").mapInArrow(run, "word binary").distinct().toArrow().column(0).to_pylist())
+    # bounded by the sample
+    parts = sample.select("text").mapInArrow(run, "words binary").toArrow().column(0).to_pylist()
+    return sorted(set().union(*(zlib.decompress(p).split(b"\n") for p in parts)) - {b""})
 
 
-def inverse_frequencies(docs: DataFrame, feature: dict, vocabulary: dict) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, terms: Broadcast, size: int) -> np.ndarray:
     """Over all documents."""
-    shared, size = docs.sparkSession.sparkContext.broadcast((feature, vocabulary)), len(feature) + len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = Words(*shared.value), np.zeros(size + 1, np.int64)
+        known, count = Words(*terms.value), np.zeros(size + 1, np.int64)
         for part in slices(batches):
             for text in rows_of(part):
                 count[known.numbers(text)] += 1
@@ -297,8 +324,8 @@ def inverse_frequencies(docs: DataFrame, feature: dict, vocabulary: dict) -> np.
 class Words:
     """Numbers of a text's toxic-leaning steps and of its words; which bases a word has is remembered per word."""
 
-    def __init__(self, feature: dict, vocabulary: dict):
-        self.feature, self.vocabulary, self.bases, self.known = feature, vocabulary, {b for b, _ in feature}, {}
+    def __init__(self, feature: dict, vocabulary: Dictionary):
+        self.feature, self.vocabulary, self.bases, self.known = feature, vocabulary.numbers, {b for b, _ in feature}, {}
 
     def numbers(self, text: bytes) -> np.ndarray:
         ws = words(text)
@@ -318,14 +345,15 @@ class Words:
         return np.sort(np.array(_numbers(counts, len(ws), self.feature) + plain, np.int32))
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, Model] | None:
+    """Terms and model."""
     sample = sample_labelled(docs, labels, examples)
     feature = {f: i for i, f in enumerate(choose_features(sample))}
-    vocabulary = {w: i for i, w in enumerate(vocabulary_of(sample), len(feature))}
-    shared = docs.sparkSession.sparkContext.broadcast((feature, vocabulary))
+    vocabulary = Dictionary(vocabulary_of(sample), len(feature))
+    terms = docs.sparkSession.sparkContext.broadcast((feature, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(*shared.value)
+        known = Words(*terms.value)
         for part in slices(batches):
             found = pa.array([known.numbers(t).tobytes() for t in rows_of(part)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), found], names=["doc_id", "toxic", "weight", "found"])
@@ -335,20 +363,20 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["found"]))
-    idf = inverse_frequencies(docs, feature, vocabulary)
-    full, none = [r for r in rows if r["found"]], [r for r in rows if not r["found"]]
-    toxic, weight = np.array([float(r["toxic"] > 0) for r in full]), np.array([r["weight"] for r in full])
-    vectors = [joined(np.frombuffer(r["found"], np.int32), idf, len(feature)) for r in full]
-    index = build_index(vectors, len(idf))
-    own = [(vote(found, toxic), i) for i, found in enumerate(nearest_of(index, vectors, neighbours, list(range(len(full))))) if found]
-    at = np.array([i for _, i in own], np.int64)
-    ends, values = isotonic(np.array([a for a, _ in own]), toxic[at], weight[at]) if own else (np.zeros(1), np.zeros(1))
-    without = (sum(r["weight"] * (r["toxic"] > 0) for r in none) + 0.5) / (sum(r["weight"] for r in none) + 5)
-    return Model(feature, vocabulary, idf, index, toxic, weight, [r["doc_id"] for r in full], ends, values, without)
+    idf = inverse_frequencies(docs, terms, len(feature) + vocabulary.size)
+    none = [r for r in rows if not r["found"]]
+    model = Model(len(feature), idf, [r for r in rows if r["found"]])
+    vectors = [joined(f, idf, len(feature)) for f in model.found]
+    own = [(vote(found, model.toxic), i) for i, found in enumerate(nearest_of(model.index, vectors, neighbours, list(range(len(vectors))))) if found]
+    if own:
+        at = np.array([i for _, i in own])
+        model.ends, model.values = isotonic(np.array([a for a, _ in own]), model.toxic[at], model.weight[at])
+    model.without = (sum(r["weight"] * (r["toxic"] > 0) for r in none) + 0.5) / (sum(r["weight"] for r in none) + 5)
+    return terms, model
 
 
 def scores_of(model: Model, found: list[np.ndarray], neighbours: int) -> Iterator[tuple[float, list[int]]]:
-    vectors = [joined(f, model.idf, len(model.feature)) for f in found]
+    vectors = [joined(f, model.idf, model.features) for f in found]
     for near in nearest_of(model.index, vectors, neighbours):
         if near:
             k = min(int(np.searchsorted(model.ends, vote(near, model.toxic))), len(model.ends) - 1)
@@ -364,12 +392,13 @@ def scores_of(model: Model, found: list[np.ndarray], neighbours: int) -> Iterato
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples); one row per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, examples, neighbours))
+    terms, model = learn(docs, labels, examples, neighbours) or (None, None)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known, seen = Words(model.feature, model.vocabulary) if model else None, {}
+        known, seen = Words(*terms.value) if model else None, {}
         for part in slices(batches):
             results = [(0.0, [])] * part.num_rows
             if model:
