@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelscope.llm import decontaminate, html_text, language, licenses, mixing, near_dup, secret_scan, token_files, toxicity, vector_search
+from panelscope.llm import (
+    decontaminate, hard_negatives, html_text, language, licenses, mixing, near_dup, secret_scan, simhash, token_files, toxicity, vector_search, whitening,
+)
 from panelscope.llm.common import table
 
 
@@ -57,7 +59,23 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op5_language, op6_secrets, op7_toxicity, op8_near_duplicates, op9_neighbours, op10_html)
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_decontamination, op3_token_files, op4_licenses, op5_language, op6_secrets, op7_toxicity, op8_near_duplicates, op9_neighbours, op10_html,
+        op11_hard_negatives, op12_simhash, op13_whitening,
+    )
 }
-ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
+ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
