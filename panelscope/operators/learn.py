@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.operators import ranks
+from panelscope.operators.coreset import packed
 
 UNIT = ("lighting", "zone")
 
@@ -24,52 +25,6 @@ def seeded_number(*cols: str, seed: int = 42) -> Column:
     return F.conv(F.substring(seeded_key(*cols, seed=seed), 1, 15), 16, 10).cast("bigint")
 
 
-def memory_bank(vectors: DataFrame, ratio: float = 0.1, blocks: int = 8, keys: Sequence[str] = UNIT) -> DataFrame:
-    """Farthest-point picks at ``ratio`` within each of ``blocks`` parts of a unit.
-
-    The part of a sample is a hash of its id, so picks are the same however the
-    rows are dealt.  Choose ``blocks`` so that a part fits a task; units that
-    grow need more.
-    """
-    keys = list(keys)
-    placed = vectors.withColumn("_block", seeded_number("sample_id") % blocks)
-    schema = placed.select(*keys, "sample_id", "vector").schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id", ignore_index=True)
-        data = np.stack(pdf["vector"].to_numpy()).astype(float)
-        want = max(1, int(len(data) * ratio))
-        chosen = [0]
-        far = ((data - data[0]) ** 2).sum(axis=1)
-        while len(chosen) < want:
-            nxt = int(far.argmax())
-            chosen.append(nxt)
-            far = np.minimum(far, ((data - data[nxt]) ** 2).sum(axis=1))
-        return pdf.loc[sorted(chosen), [*keys, "sample_id", "vector"]]
-
-    return placed.groupBy(*keys, "_block").applyInPandas(pick, schema)
-
-
-def _packed(df: DataFrame, keys: Sequence[str], key_id: str, size: int) -> DataFrame:
-    """Vectors of a partition in blocks of at most ``size``, no shuffle."""
-    key_types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            groups = batch.groupby(list(keys), sort=False) if keys else [((), batch)]
-            rows = []
-            for key, same in groups:
-                for lo in range(0, len(same), size):
-                    part = same.iloc[lo : lo + size]
-                    data = np.stack(part["_v"].to_numpy()).astype(np.float64)
-                    rows.append((*key, part["_id"].tolist(), data.shape[1], data.tobytes()))
-            yield pd.DataFrame(rows, columns=[*keys, "ids", "dim", "data"])
-
-    return df.select(*keys, F.col(key_id).alias("_id"), F.col("vector").alias("_v")).mapInPandas(
-        run, f"{key_types}ids array<bigint>, dim int, data binary"
-    )
-
-
 def nearest(
     queries: DataFrame, bank: DataFrame, keys: Sequence[str] = UNIT, k: int = 1, metric: str = "l2", size: int = 1024, salts: int | None = None
 ) -> DataFrame:
@@ -82,8 +37,8 @@ def nearest(
     """
     keys = list(keys)
     salts = salts or max(8, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = _packed(queries, keys, "sample_id", size).withColumn("_salt", F.pmod(F.xxhash64("data"), F.lit(salts)))
-    b = _packed(bank, keys, "sample_id", size).select(*keys, F.col("ids").alias("b_ids"), F.col("data").alias("b_data")).withColumn(
+    q = packed(queries, keys, "sample_id", size).withColumn("_salt", F.pmod(F.xxhash64("data"), F.lit(salts)))
+    b = packed(bank, keys, "sample_id", size).select(*keys, F.col("ids").alias("b_ids"), F.col("data").alias("b_data")).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
     pairs = q.join(b, [*keys, "_salt"]).select("ids", "dim", "data", "b_ids", "b_data")

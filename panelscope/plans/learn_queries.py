@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelscope.operators import coreset
 from panelscope.operators import learn as L
 from panelscope.operators import maintain as R
 from panelscope.operators import ranks
@@ -19,9 +20,15 @@ def bank(d):
     return d.samples.where("is_normal").select("lighting", "zone", "sample_id", "vector")
 
 
-@query("M01_memory_bank", None)
+@query("M01_memory_bank", """
+WITH RECURSIVE u AS (SELECT lighting, zone, greatest(1, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS want, list(sample_id ORDER BY sample_id) AS ids,
+ list(CAST(vector AS DOUBLE[]) ORDER BY sample_id) AS vs FROM samples WHERE is_normal GROUP BY 1, 2),
+g AS (SELECT lighting, zone, want, 1 AS pick_no, CAST(1 AS BIGINT) AS pos, ids, vs, list_transform(vs, lambda v, i: CASE WHEN i = 1 THEN -1 ELSE pow(list_distance(v, vs[1]), 2) END) AS far FROM u
+ UNION ALL SELECT lighting, zone, want, pick_no + 1, p, ids, vs, list_transform(far, lambda f, i: CASE WHEN i = p OR f = -1 THEN -1 ELSE least(f, pow(list_distance(vs[i], vs[p]), 2)) END)
+ FROM (SELECT *, CAST(list_position(far, list_max(far)) AS BIGINT) AS p FROM g WHERE pick_no < want))
+SELECT lighting, zone, ids[pos] AS sample_id, CAST(pick_no AS BIGINT) AS pick_no FROM g""")
 def m01(d):
-    return L.memory_bank(bank(d)).select("lighting", "zone", "sample_id")
+    return coreset.memory_bank(bank(d)).select("lighting", "zone", "sample_id", "pick_no")
 
 
 @query("M02_nn_score", """SELECT q.sample_id, round(min(list_distance(CAST(q.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))), 4) AS score

@@ -79,13 +79,6 @@ def test_large_glasses_are_dealt_by_size(spark):
     assert got == {"g5": 0, "g4": 1, "g3": 2, "g2": 3, "g1": 4, "g0": 0}
 
 
-def test_memory_bank_does_not_depend_on_the_dealing(spark):
-    rows = [(i, "l", "z", [float(i * 7 % 13), float(i * 5 % 11)]) for i in range(300)]
-    df = spark.createDataFrame(rows, "sample_id bigint, lighting string, zone string, vector array<double>")
-    picks = [sorted(r["sample_id"] for r in L.memory_bank(df.repartition(n)).collect()) for n in (1, 7)]
-    assert picks[0] == picks[1] and 20 <= len(picks[0]) <= 30
-
-
 def test_rules_hold_for_their_model_only(spark):
     rules = spark.createDataFrame([(1, "m1", "G0", "c1", "point", [(10, 10)]), (2, "m2", "G0", "c2", "line", [(10, 0), (10, 100)])],
                                   "rule_no int, model_id string, image_prefix string, code string, kind string, coords array<struct<x:int,y:int>>")
