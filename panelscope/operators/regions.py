@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.functions import geometry as G
+from panelscope.session import cut_lineage
 
 CELL = 512
 
@@ -84,24 +85,56 @@ def _token(name: Column) -> Column:
 
 #: Planted-defect rules hold for a model (or a request): the column that says so.
 RULE_KEYS = ("model_id",)
+#: Side of a rule's grid cell, in product units.
+RULE_CELL = 128
 
 
-def rules_by_token(bombs: DataFrame, keys: Sequence[str] = RULE_KEYS) -> DataFrame:
-    """Rules listed per key and leading name part, in rule order.  ``bombs``:
-    the keys, rule_no, image_prefix, code, kind, coords ARRAY<STRUCT<x,y>>.
-    A list holds the rules of one model, which its configuration bounds."""
-    return bombs.groupBy(*keys, _token(F.col("image_prefix")).alias("_token")).agg(
+def rules_by_cell(bombs: DataFrame, tol: int, slack: float, keys: Sequence[str] = RULE_KEYS) -> DataFrame:
+    """Rules listed, in rule order, per key, leading name part and cell of the
+    product plane: under all cells that hold a point within ``tol`` (and
+    ``slack``, what rounding to pixels may add) of the rule.  ``bombs``: the
+    keys, rule_no, image_prefix, code, kind, coords ARRAY<STRUCT<x,y>>.
+
+    A point rule with several places is listed once for each of them, with
+    that place only; a list holds what lies around one cell.
+    """
+    reach = F.lit(tol + slack)
+    single = bombs.where("kind = 'point'").select(*keys, "rule_no", "image_prefix", "code", "kind", F.explode("coords").alias("_c"))
+    points = single.select(*keys, "rule_no", "image_prefix", "code", "kind", F.array("_c").alias("coords"), *[
+        (F.col(f"_c.{axis}") + sign * reach).alias(f"_{axis}{side}") for axis in "xy" for side, sign in ((1, -1), (2, 1))
+    ])
+    a, b = F.col("coords")[0], F.col("coords")[1]
+    # a line's length is not widened, but for rounding
+    lines = bombs.where((F.col("kind") != "point") & (F.size("coords") >= 2)).select(
+        *keys, "rule_no", "image_prefix", "code", "kind", "coords",
+        (F.least(a["x"], b["x"]) - reach).alias("_x1"), (F.greatest(a["x"], b["x"]) + reach).alias("_x2"),
+        (F.least(a["y"], b["y"]) - F.lit(slack)).alias("_y1"), (F.greatest(a["y"], b["y"]) + F.lit(slack)).alias("_y2"),
+    )
+    cells = lambda axis: F.sequence(_rule_cell(F.col(f"_{axis}1")), _rule_cell(F.col(f"_{axis}2")))
+    placed = points.unionByName(lines).withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
+    return placed.groupBy(*keys, _token(F.col("image_prefix")).alias("_token"), "_cx", "_cy").agg(
         F.array_sort(F.collect_list(F.struct("rule_no", "image_prefix", "code", "kind", "coords"))).alias("_rules")
     )
 
 
-def _with_rules(points: DataFrame, bombs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return points.withColumn("_token", _token(F.col("stem"))).join(rules_by_token(bombs, keys), [*keys, "_token"], "left")
+def _rule_cell(v: Column) -> Column:
+    return F.floor(v / F.lit(float(RULE_CELL)))
+
+
+def _with_rules(points: DataFrame, rules: DataFrame, x: Column, y: Column, keys: Sequence[str], where: Column | None = None) -> DataFrame:
+    """``points`` with the rule list of the cell of (x, y), in product units.
+
+    Rows outside ``where`` have a cell of no rule, each another one, so that
+    they do not meet in one place.
+    """
+    cx, cy = _rule_cell(x), _rule_cell(y)
+    if where is not None:
+        cx = F.when(where, cx).otherwise(F.lit(-(1 << 40)) - F.pmod(F.xxhash64("stem", "peak_x", "peak_y"), F.lit(1 << 30)))
+    return points.withColumns({"_token": _token(F.col("stem")), "_cx": cx, "_cy": cy}).join(rules, [*keys, "_token", "_cx", "_cy"], "left").drop("_token", "_cx", "_cy")
 
 
 def _hits(rule: Column, stem: Column, px: Column, py: Column, bounds: dict[str, Column], tol: int, is_line: Column) -> Column:
-    sx = (bounds["x2"] - bounds["x1"]) / bounds["w"]
-    sy = (bounds["y2"] - bounds["y1"]) / bounds["h"]
+    sx, sy = _scale(bounds)
     tx, ty = (F.lit(tol) * sx).cast("int"), (F.lit(tol) * sy).cast("int")
 
     def mx(v):
@@ -110,7 +143,6 @@ def _hits(rule: Column, stem: Column, px: Column, py: Column, bounds: dict[str,
     def my(v):
         return (v * sy + bounds["y1"]).cast("int")
 
-    named = (stem == rule["image_prefix"]) | stem.startswith(F.concat(rule["image_prefix"], F.lit("_")))
     point = F.exists(rule["coords"], lambda c: (F.abs(px - mx(c["x"])) <= tx) & (F.abs(py - my(c["y"])) <= ty))
     a, b = F.get(rule["coords"], 0), F.get(rule["coords"], 1)
     line = (
@@ -118,15 +150,33 @@ def _hits(rule: Column, stem: Column, px: Column, py: Column, bounds: dict[str,
         & (py >= F.least(my(a["y"]), my(b["y"]))) & (py <= F.greatest(my(a["y"]), my(b["y"])))
         & F.coalesce(is_line, F.lit(True))
     )
-    return named & F.when(rule["kind"] == "point", point).when(F.size(rule["coords"]) >= 2, line).otherwise(F.lit(False))
+    return _named(rule, stem) & F.when(rule["kind"] == "point", point).otherwise(line)
+
+
+def _named(rule: Column, stem: Column) -> Column:
+    return (stem == rule["image_prefix"]) | stem.startswith(F.concat(rule["image_prefix"], F.lit("_")))
 
 
 def _bounds() -> dict[str, Column]:
     return {k: F.col(v) for k, v in {"x1": "rx1", "y1": "ry1", "x2": "rx2", "y2": "ry2", "w": "pw", "h": "ph"}.items()}
 
 
-def _first_code(px: Column, py: Column, tol: int, shape: Column) -> Column:
-    hit = F.filter("_rules", lambda r: _hits(r, F.col("stem"), px, py, _bounds(), tol, shape))
+def _scale(bounds: dict[str, Column]) -> tuple[Column, Column]:
+    """Pixels per product unit."""
+    return (bounds["x2"] - bounds["x1"]) / bounds["w"], (bounds["y2"] - bounds["y1"]) / bounds["h"]
+
+
+def _on_product(px: Column, py: Column, least_scale: float) -> tuple[Column, Column]:
+    """A picture's point in product units; a picture whose scale is below ``least_scale`` is refused."""
+    bounds = _bounds()
+    sx, sy = _scale(bounds)
+    refused = F.raise_error(F.lit(f"a picture has fewer than {least_scale} pixels per product unit: lower least_scale"))
+    x = F.when(F.least(sx, sy) < least_scale, refused).otherwise((px - bounds["x1"]) / sx)
+    return x, (py - bounds["y1"]) / sy
+
+
+def _first_code(px: Column, py: Column, tol: int, shape: Column, rules: str = "_rules") -> Column:
+    hit = F.filter(rules, lambda r: _hits(r, F.col("stem"), px, py, _bounds(), tol, shape))
     return F.get(hit, 0)["code"]
 
 
@@ -136,41 +186,49 @@ def _shape(points: DataFrame, is_line: str | None) -> Column:
 
 def bomb_match(
     points: DataFrame, bombs: DataFrame, tol: int = 50, px: str = "px", py: str = "py", out: str = "bomb",
-    is_line: str | None = "is_line", keys: Sequence[str] = RULE_KEYS,
+    is_line: str | None = "is_line", keys: Sequence[str] = RULE_KEYS, least_scale: float = 0.25,
 ) -> DataFrame:
     """Code of the first rule met among those of the point's keys.
     ``points`` carry the keys, ``stem``, the raw bounds rx1..ry2, the product
     size pw, ph and, where it is known, whether their shape is a line.
 
-    Rules are joined as one list per key: no row is multiplied and no second
-    shuffle puts the hits back together.
+    An equi join of keys, name part and grid cell of the product plane: a point
+    meets the list of rules around its own cell, so no row is multiplied and no
+    second shuffle puts the hits back together.  A cell that holds a large share
+    of the points is split by the engine's skew join, as each list is one row.
     """
-    joined = _with_rules(points, bombs, keys)
-    return joined.withColumn(out, _first_code(F.col(px), F.col(py), tol, _shape(points, is_line))).drop("_token", "_rules")
+    x, y = _on_product(F.col(px), F.col(py), least_scale)
+    joined = _with_rules(points, rules_by_cell(bombs, tol, 1 / least_scale, keys), x, y, keys)
+    return joined.withColumn(out, _first_code(F.col(px), F.col(py), tol, _shape(points, is_line))).drop("_rules")
 
 
-def mark_bombs(tiles: DataFrame, edges: DataFrame, bombs: DataFrame, tol: int = 50, keys: Sequence[str] = RULE_KEYS) -> tuple[DataFrame, DataFrame]:
+def mark_bombs(
+    tiles: DataFrame, edges: DataFrame, bombs: DataFrame, tol: int = 50, keys: Sequence[str] = RULE_KEYS, least_scale: float = 0.25
+) -> tuple[DataFrame, DataFrame]:
     """Peak first, AOI tiles retry their centre; an AOI tile stays a real
-    defect unless its own product coordinate lies near a rule.  The rule list
-    is joined once for all three tests."""
-    joined, shape = _with_rules(tiles, bombs, keys), _shape(tiles, "is_line")
-    coord, x, y = F.col("is_aoi_coord") == 1, F.col("product_x"), F.col("product_y")
+    defect unless its own product coordinate lies near a rule.  Three joins as
+    in J12, of which only AOI tiles have a part in the second and third."""
+    shape, coord = _shape(tiles, "is_line"), F.col("is_aoi_coord") == 1
+    x, y = F.col("product_x"), F.col("product_y")
     mid_x, mid_y = (F.col("x") + F.expr("width div 2")).cast("int"), (F.col("y") + F.expr("height div 2")).cast("int")
-    found = F.coalesce(_first_code(F.col("peak_x"), F.col("peak_y"), tol, shape), F.when(coord, _first_code(mid_x, mid_y, tol, shape)))
+    rules = rules_by_cell(bombs, tol, 1 / least_scale, keys)
+    joined = _with_rules(tiles, rules, *_on_product(F.col("peak_x"), F.col("peak_y"), least_scale), keys).withColumnRenamed("_rules", "_peak")
+    joined = _with_rules(joined, rules, *_on_product(mid_x, mid_y, least_scale), keys, coord).withColumnRenamed("_rules", "_mid")
+    joined = _with_rules(joined, rules, x, y, keys, coord).withColumnRenamed("_rules", "_own")
+    found = F.coalesce(_first_code(F.col("peak_x"), F.col("peak_y"), tol, shape, "_peak"), F.when(coord, _first_code(mid_x, mid_y, tol, shape, "_mid")))
 
     def near(r):
-        named = (F.col("stem") == r["image_prefix"]) | F.col("stem").startswith(F.concat(r["image_prefix"], F.lit("_")))
         point = F.exists(r["coords"], lambda c: (F.abs(x - c["x"]) <= tol) & (F.abs(y - c["y"]) <= tol))
         a, b = F.get(r["coords"], 0), F.get(r["coords"], 1)
         line = (
             (x >= F.least(a["x"], b["x"]) - tol) & (x <= F.greatest(a["x"], b["x"]) + tol)
             & (y >= F.least(a["y"], b["y"])) & (y <= F.greatest(a["y"], b["y"]))
         )
-        return named & F.when(r["kind"] == "point", point).when(F.size(r["coords"]) >= 2, line).otherwise(F.lit(False))
+        return _named(r, F.col("stem")) & F.when(r["kind"] == "point", point).otherwise(line)
 
-    own = F.coalesce(F.exists("_rules", near), F.lit(False))
-    marked = joined.withColumn("bomb", F.when(coord & (x >= 0) & ~own, None).otherwise(found)).drop("_token", "_rules")
-    side = bomb_match(edges.where("is_cv_ok = 0"), bombs, tol, "center_x", "center_y", is_line=None, keys=keys)
+    own = F.coalesce(F.exists("_own", near), F.lit(False))
+    marked = joined.withColumn("bomb", F.when(coord & (x >= 0) & ~own, None).otherwise(found)).drop("_peak", "_mid", "_own")
+    side = bomb_match(edges.where("is_cv_ok = 0"), bombs, tol, "center_x", "center_y", is_line=None, keys=keys, least_scale=least_scale)
     return marked, side
 
 
@@ -209,18 +267,70 @@ def gt_in_tile(defects: DataFrame, tiles: DataFrame) -> DataFrame:
     )
 
 
-def nearest_detection(bombs: DataFrame, detections: DataFrame, tol: int) -> DataFrame:
-    """Nearest detection of the same record and prefix per bomb point."""
+def nearest_detection(points: DataFrame, detections: DataFrame, reach: int, keys: Sequence[str] = ("model_id", "prefix")) -> DataFrame:
+    """The nearest detection of each record for every planted point with one less than ``reach`` away.
+
+    ``points``: the keys, bomb_no, bx, by; ``detections``: record_id, the keys,
+    det_id, dx, dy, and tx, ty, the box in which a point counts as matched (by
+    any detection, not only the nearest).  Points without a detection in reach
+    give no row.
+
+    Points and detections meet on the keys and a cell of side ``reach``; a
+    point is listed under the nine cells around it.  A record meets only points
+    around its detections.
+    """
+    cell = lambda v: F.floor(v / F.lit(float(reach)))
+    around = F.array(*[F.struct((cell(F.col("bx")) + i).alias("_cx"), (cell(F.col("by")) + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    listed = points.select(*keys, "bomb_no", "bx", "by", F.inline(around))
+    met = detections.withColumns({"_cx": cell(F.col("dx")), "_cy": cell(F.col("dy"))}).join(listed, [*keys, "_cx", "_cy"])
     dist = F.sqrt(F.pow(F.col("dx") - F.col("bx"), 2) + F.pow(F.col("dy") - F.col("by"), 2))
-    joined = bombs.join(detections, ["record_id", "prefix"], "left")
-    best = joined.groupBy("record_id", "prefix", "bomb_no", "bx", "by").agg(
-        F.min(F.when(F.col("det_id").isNotNull(), F.struct(dist.alias("d"), "det_id", "dx", "dy"))).alias("m")
-    )
-    inside = (F.abs(F.col("m.dx") - F.col("bx")) <= tol) & (F.abs(F.col("m.dy") - F.col("by")) <= tol)
-    return best.select(
-        "record_id", "prefix", "bomb_no", F.coalesce(F.col("m.det_id"), F.lit(-1)).alias("det_id"),
-        F.round(F.coalesce(F.col("m.d"), F.lit(-1.0)), 6).alias("distance"), F.coalesce(inside, F.lit(False)).alias("matched"),
-    )
+    boxed = (F.abs(F.col("dx") - F.col("bx")) <= F.col("tx")) & (F.abs(F.col("dy") - F.col("by")) <= F.col("ty"))
+    near = met.withColumns({"_d": dist, "_in": boxed}).where(F.col("_d") < reach)
+    best = near.groupBy("record_id", *keys, "bomb_no").agg(F.min(F.struct("_d", "det_id")).alias("m"), F.bool_or("_in").alias("matched"))
+    return best.select("record_id", *keys, "bomb_no", "m.det_id", F.round("m._d", 6).alias("distance"), "matched")
+
+
+def nearest_point(asked: DataFrame, points: DataFrame, keys: Sequence[str] = ("model_id", "prefix")) -> DataFrame:
+    """point_no and distance of the nearest of ``points`` (keys, point_no, bx, by) for each row of ``asked`` (keys, px, py).
+
+    Rings of cells around a place are searched, the next ring with cells twice
+    as large, until the best distance is within what the searched cells cover;
+    ties go to the smaller number.  The first cells are as wide as points of
+    the keys lie apart on average.  A place asked for many times is searched
+    once.  Without a point of its keys a row has null; null places too.
+    """
+    keys = list(keys)
+    # one of the points at one place is enough
+    places = points.where("bx IS NOT NULL AND by IS NOT NULL").groupBy(*keys, "bx", "by").agg(F.min("point_no").alias("point_no"))
+    places = cut_lineage(places, "places")
+    wide, high = F.col("_x2") - F.col("_x1") + F.lit(1.0), F.col("_y2") - F.col("_y1") + F.lit(1.0)
+    extents = places.groupBy(*keys).agg(
+        F.min("bx").alias("_x1"), F.max("bx").alias("_x2"), F.min("by").alias("_y1"), F.max("by").alias("_y2"), F.count(F.lit(1)).alias("_n")
+    ).withColumn("_side", F.sqrt(wide * high / F.col("_n")))
+    listed = places.join(extents.select(*keys, "_side"), keys)
+    # no point is nearer than the border of their extents
+    outside = F.greatest(F.col("_x1") - F.col("px"), F.col("px") - F.col("_x2"), F.col("_y1") - F.col("py"), F.col("py") - F.col("_y2"), F.lit(0))
+    wanted = asked.where("px IS NOT NULL AND py IS NOT NULL").select(*keys, "px", "py").distinct().join(extents, keys)
+    left = cut_lineage(wanted.select(*keys, "px", "py", outside.cast("double").alias("_near"), "_side"), "wanted-places")
+    found, times = None, 1.0
+    while not left.isEmpty():
+        side = F.col("_side") * times
+        at = lambda v: F.floor(F.col(v) / side)  # noqa: B023, E731
+        # points, which are fewer, are listed under the nine cells around them
+        around = F.array(*[F.struct((at("bx") + i).alias("_cx"), (at("by") + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        cells = listed.select(*keys, "point_no", "bx", "by", F.inline(around))
+        met = left.where(F.col("_near") < 2 * side).withColumns({"_cx": at("px"), "_cy": at("py")}).join(cells, [*keys, "_cx", "_cy"])
+        dist = F.sqrt(F.pow(F.col("px") - F.col("bx"), 2) + F.pow(F.col("py") - F.col("by"), 2))
+        best = met.groupBy(*keys, "px", "py").agg(F.min(F.struct(dist.alias("d"), "point_no")).alias("m"))
+        tried = cut_lineage(left.join(best, [*keys, "px", "py"], "left"), "tried-places")
+        # the nine cells hold all within one side of the place
+        done = F.coalesce(F.col("m.d") <= side, F.lit(False))
+        part = tried.where(done).select(*keys, "px", "py", "m.point_no", F.col("m.d").alias("distance"))
+        found = part if found is None else found.unionByName(part)
+        left, times = tried.where(~done).drop("m"), times * 2
+    if found is None:
+        return asked.withColumns({"point_no": F.lit(None).cast(points.schema["point_no"].dataType), "distance": F.lit(None).cast("double")})
+    return asked.join(found, [*keys, "px", "py"], "left")
 
 
 def clean_by_datastr(manifest: DataFrame, accuracy: DataFrame) -> DataFrame:

@@ -174,24 +174,42 @@ def j14(d):
     return R.gt_in_tile(defects, tiles).select("defect_id", "tile_id", "gt_score")
 
 
-@query("J15_nearest_detection", f"""
-WITH b AS (SELECT r.id AS record_id, prefix, row_number() OVER (PARTITION BY r.id, rule_no ORDER BY cbx, cby) + rule_no * 10 AS bomb_no, cbx, cby FROM records r JOIN {BOMBS_SQL} v ON v.model_id = r.model_id WHERE kind = 'point'),
-t AS (SELECT id AS det_id, record_id, split_part(image_name, '_', 1) AS prefix, CAST(trunc((peak_x - 20) / {_SX}) AS INT) AS dx, CAST(trunc((peak_y - 20) / {_SY}) AS INT) AS dy FROM tiles WHERE is_anomaly = 1),
-j AS (SELECT b.*, det_id, dx, dy, sqrt(pow(dx - cbx, 2) + pow(dy - cby, 2)) AS dd FROM b LEFT JOIN t USING (record_id, prefix)
- QUALIFY row_number() OVER (PARTITION BY record_id, prefix, bomb_no ORDER BY dd, det_id) = 1)
-SELECT record_id, prefix, bomb_no, coalesce(det_id, -1) AS det_id, round(coalesce(dd, -1), 6) AS distance, coalesce(abs(dx - cbx) <= 50 AND abs(dy - cby) <= 50, false) AS matched FROM j""")
-def j15(d):
-    per_rule = F.transform(
-        F.array_sort("coords"), lambda c, i: F.struct((F.col("rule_no") * 10 + i + 1).cast("long").alias("bomb_no"), c["x"].alias("bx"), c["y"].alias("by"))
-    )
-    points = bombs(d).where("kind = 'point'").select("model_id", F.col("image_prefix").alias("prefix"), F.inline(per_rule))
-    placed = d.records.select(F.col("id").alias("record_id"), "model_id").join(points, "model_id").drop("model_id")
+_PLACES_SQL = f"""(SELECT model_id, prefix, row_number() OVER (PARTITION BY rule_no ORDER BY cbx, cby) + rule_no * 10 AS point_no, {_mx('cbx')} AS place_x, {_my('cby')} AS place_y
+FROM {BOMBS_SQL} WHERE kind = 'point')"""
+_FOUND_SQL = f"""(SELECT id AS det_id, record_id, model_id, split_part(image_name, '_', 1) AS prefix, peak_x, peak_y FROM tiles JOIN {_MODEL} ON rid = record_id WHERE is_anomaly = 1)"""
+
+
+def planted_places(d):
+    """Places of point rules in pixels, numbered by rule and order."""
     lit = F.lit
-    found = d.tiles.where("is_anomaly = 1").select(
-        "record_id", F.substring_index("image_name", "_", 1).alias("prefix"), F.col("id").alias("det_id"),
-        G.unmap_coord(F.col("peak_x"), lit(20), lit(6164), lit(1920)).alias("dx"), G.unmap_coord(F.col("peak_y"), lit(20), lit(4116), lit(1080)).alias("dy"),
+    per_rule = F.transform(
+        F.array_sort("coords"),
+        lambda c, i: F.struct(
+            (F.col("rule_no") * 10 + i + 1).cast("long").alias("point_no"), G.map_coord(c["x"], lit(20), lit(6164), lit(1920)).alias("bx"), G.map_coord(c["y"], lit(20), lit(4116), lit(1080)).alias("by")
+        ),
     )
-    return R.nearest_detection(placed, found, 50)
+    return bombs(d).where("kind = 'point'").select("model_id", F.col("image_prefix").alias("prefix"), F.inline(per_rule))
+
+
+def anomalies(d):
+    return with_model(d, d.tiles.where("is_anomaly = 1")).select("record_id", "model_id", F.substring_index("image_name", "_", 1).alias("prefix"), F.col("id").alias("det_id"), "peak_x", "peak_y")
+
+
+@query("J15_nearest_detection", f"""SELECT record_id, bomb_no, det_id, round(dd, 6) AS distance, matched FROM (
+SELECT record_id, b.point_no AS bomb_no, arg_min(det_id, (dd, det_id)) AS det_id, min(dd) AS dd, bool_or(abs(peak_x - place_x) <= {_TX} AND abs(peak_y - place_y) <= {_TY}) AS matched
+FROM (SELECT t.*, b.*, sqrt(pow(peak_x - place_x, 2) + pow(peak_y - place_y, 2)) AS dd FROM {_FOUND_SQL} t JOIN {_PLACES_SQL} b USING (model_id, prefix)) b WHERE dd < 500 GROUP BY 1, 2)""")
+def j15(d):
+    points = planted_places(d).withColumnRenamed("point_no", "bomb_no")
+    tol = lambda size, pixels: F.lit(int(50 * pixels / size))
+    found = anomalies(d).withColumnsRenamed({"peak_x": "dx", "peak_y": "dy"}).withColumns({"tx": tol(1920, 6144), "ty": tol(1080, 4096)})
+    return R.nearest_detection(points, found, 500).select("record_id", "bomb_no", "det_id", "distance", "matched")
+
+
+@query("J15_nearest_point", f"""SELECT det_id, coalesce(arg_min(point_no, (dd, point_no)), -1) AS point_no, round(coalesce(min(dd), -1), 6) AS distance
+FROM (SELECT det_id, point_no, sqrt(pow(peak_x - place_x, 2) + pow(peak_y - place_y, 2)) AS dd FROM {_FOUND_SQL} t LEFT JOIN {_PLACES_SQL} b USING (model_id, prefix)) GROUP BY 1""")
+def j15_point(d):
+    asked = anomalies(d).withColumnsRenamed({"peak_x": "px", "peak_y": "py"})
+    return R.nearest_point(asked, planted_places(d)).select("det_id", F.coalesce("point_no", F.lit(-1)).alias("point_no"), F.round(F.coalesce("distance", F.lit(-1.0)), 6).alias("distance"))
 
 
 @query("J16_clean_by_datastr", """
