@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.operators import ranks
-from panelscope.operators.coreset import packed
-
-UNIT = ("lighting", "zone")
+from panelscope.operators.nearest import UNIT, nearest
 
 
 def seeded_key(*cols: str, seed: int = 42) -> Column:
@@ -25,48 +23,6 @@ def seeded_number(*cols: str, seed: int = 42) -> Column:
     return F.conv(F.substring(seeded_key(*cols, seed=seed), 1, 15), 16, 10).cast("bigint")
 
 
-def nearest(
-    queries: DataFrame, bank: DataFrame, keys: Sequence[str] = UNIT, k: int = 1, metric: str = "l2", size: int = 1024, salts: int | None = None
-) -> DataFrame:
-    """The k nearest bank rows of every query, rank 1 the nearest.
-
-    Both sides are packed into blocks; block pairs of a unit meet in one
-    matrix product and give k rows per query, which a second top-k merges.
-    Bank blocks are copied per salt, query blocks take one salt each, so one
-    huge unit is spread as well; without ``salts`` over all shuffle partitions.
-    """
-    keys = list(keys)
-    salts = salts or max(8, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = packed(queries, keys, "sample_id", size).withColumn("_salt", F.pmod(F.xxhash64("data"), F.lit(salts)))
-    b = packed(bank, keys, "sample_id", size).select(*keys, F.col("ids").alias("b_ids"), F.col("data").alias("b_data")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    pairs = q.join(b, [*keys, "_salt"]).select("ids", "dim", "data", "b_ids", "b_data")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, dim, data, b_ids, b_data in batch.itertuples(index=False):
-                x = np.frombuffer(data, dtype=np.float64).reshape(-1, dim)
-                y = np.frombuffer(b_data, dtype=np.float64).reshape(-1, dim)
-                if metric == "cosine":
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    y = y / np.linalg.norm(y, axis=1, keepdims=True)
-                    d = 1 - x @ y.T
-                else:
-                    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(x)), order.shape[1])
-                yield pd.DataFrame(
-                    {"sample_id": np.asarray(ids)[rows], "bank_id": np.asarray(b_ids)[order.ravel()], "distance": d[rows, order.ravel()]}
-                )
-
-    near = pairs.mapInPandas(run, "sample_id bigint, bank_id bigint, distance double")
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("sample_id").orderBy("distance", "bank_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def nn_score(vectors: DataFrame, bank: DataFrame, keys: Sequence[str] = UNIT) -> DataFrame:
     """Distance to the nearest bank row of the own unit."""
     return nearest(vectors, bank, keys).select("sample_id", F.col("distance").alias("score"))
