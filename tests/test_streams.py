@@ -2,7 +2,10 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from panelscope.streaming import jobs as T
+from panelscope.streaming.parts import Parts
 
 EVENTS = "id bigint, request_time timestamp, machine_no string, ai_judgment string, pnl_id string"
 
@@ -78,3 +81,66 @@ def test_requests_keep_bad_lines(spark, tmp_path):
 
 def test_no_table_before_the_first_batch(spark, tmp_path):
     assert T.table_of(spark, str(tmp_path / "none")) is None
+
+
+def test_late_rows_are_a_table(spark, tmp_path):
+    data, job = str(tmp_path / "in"), str(tmp_path / "job")
+    for no, rows in enumerate([[(1, at(40), "m", "OK", "a")], [(2, at(1), "m", "NG", "late"), (3, None, "m", "OK", "no time")], [(4, at(39), "m", "NG", "b"), (5, at(2), "n", "OK", "late")]]):
+        land(spark, data, no, rows)
+        done = T.run_state(T.stream_machines(source(spark, data)), "t", ["hour", "machine_no"], job)
+    assert sorted((r["id"], r["pnl_id"]) for r in T.late_rows(spark, done).collect()) == [(2, "late"), (5, "late")] and done.late == 1
+    assert sorted(r["n"] for r in T.latest_state(spark, done).collect()) == [1, 1]
+
+
+def test_a_hundred_and_twenty_batches_lose_no_late_row(spark, tmp_path):
+    data, job = str(tmp_path / "in"), str(tmp_path / "job")
+    for no in range(120):
+        rows = [(no, at(40 + no), "m", "OK", "a"), (1000 + no, at(1), "m", "NG", "late")][: 2 if no else 1]
+        land(spark, data, f"{no:03}", rows)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{data}/*")
+    done = T.run_state(T.stream_machines(stream), "t", ["hour", "machine_no"], job)
+    assert done.late == 119 and T.late_rows(spark, done).select("id").distinct().count() == 119
+    assert T.latest_state(spark, done).selectExpr("sum(n)").first()[0] == 120
+
+
+CHANGES = "key bigint, change_no bigint, value double, deleted int"
+
+
+def test_rows_stay_deleted(spark, tmp_path):
+    data, job = str(tmp_path / "in"), str(tmp_path / "job")
+    target = spark.createDataFrame([(1, 0.5), (2, 0.7)], "key bigint, value double")
+    states = []
+    for no, rows in enumerate([[(3, 1, 3.0, 0)], [(1, 2, 0.0, 1), (2, 3, 0.0, 1), (3, 4, 0.0, 1)], [(4, 5, 4.0, 0)], [(4, 6, 0.0, 1)], [(2, 7, 2.0, 0)]]):
+        land(spark, data, no, rows, CHANGES)
+        done = T.run_upsert(source(spark, data, CHANGES), "t", target, ["key"], "value", job)
+        states.append(sorted(r["key"] for r in T.latest_state(spark, done).collect()))
+    assert states == [[1, 2, 3], [], [4], [], [2]]
+
+
+def test_a_batch_touches_the_parts_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    parts = Parts(spark, path, ["key"], 16)
+    replace = lambda old, new: old.join(new.select("key"), "key", "left_anti").unionByName(new)
+    parts.merge(spark.range(200).selectExpr("id AS key", "0 AS v"), 0, replace)
+    before = parts._note(None)[0]
+    one = spark.createDataFrame([(7, 1)], "key bigint, v int")
+    assert 0 < parts.stored(one, 1).count() < 40
+    parts.merge(one, 1, replace)
+    after = parts._note(None)[0]
+    assert sum(before[p] != after[p] for p in before) == 1
+    assert {r["key"]: r["v"] for r in parts.table().collect()} == {i: int(i == 7) for i in range(200)}
+
+
+def test_a_batch_that_failed_runs_again(spark, tmp_path):
+    parts = Parts(spark, str(tmp_path / "t"), ["key"], 4)
+    rows = lambda *r: spark.createDataFrame(list(r), "key bigint, v int")
+    add = lambda old, new: old.unionByName(new).groupBy("key").agg(F.sum("v").cast("int").alias("v"))
+    parts.merge(rows((1, 1), (2, 1), (3, 1)), 0, add, 5)
+    # rows of batch 1 are written, its note is not
+    parts._write(rows((1, 99), (9, 99)), 1)
+    assert {r["key"]: r["v"] for r in parts.table().collect()} == {1: 1, 2: 1, 3: 1}
+    for _ in range(2):
+        parts.merge(rows((1, 1), (4, 1)), 1, add, 6)
+    assert {r["key"]: r["v"] for r in parts.table().collect()} == {1: 2, 2: 1, 3: 1, 4: 1} and parts.note(2) == 6
+    parts.merge(rows(), 2, add, 7)
+    assert parts.table().count() == 4 and parts.note(3) == 7
