@@ -140,13 +140,12 @@ def run_windows(stream: Windowed, name: str, keys: Sequence[str], folder: str |
         parts = Parts(batch.sparkSession, f"{folder}/rows", keys)
         mark = parts.note(epoch)  # microseconds
         behind = F.lit(False) if mark is None else F.unix_micros("_end") <= F.lit(mark)
-        rejected = batch.where(behind).select("_row.*")
-        count = rejected.count()
+        top = F.unix_micros(F.max("_time") - F.expr(f"INTERVAL {stream.delay}"))
+        count, top = batch.agg(F.count_if(behind), top).first()
         if count:
-            rejected.write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
+            batch.where(behind).select("_row.*").write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
         late.append(count)
         new = batch.where(~behind).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in stream.sums])
-        top = batch.agg(F.unix_micros(F.max("_time") - F.expr(f"INTERVAL {stream.delay}"))).first()[0]
         marks = [m for m in (mark, top) if m is not None]
         parts.merge(new, epoch, lambda old, add: old.unionByName(add).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in stream.sums]), max(marks) if marks else None)
 

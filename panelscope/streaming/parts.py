@@ -14,10 +14,12 @@ are removed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Parts of a table; a part should fit a few tasks.
 PARTS = 64
@@ -40,13 +42,33 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def epochs(spark: SparkSession, path: str) -> list[int]:
-    """Epochs of the folders below ``path`` that a job has written to their end."""
+def put(spark: SparkSession, path: str, value: dict) -> None:
+    """A small file of JSON, there as a whole or not at all."""
+    p, fs = _path(spark, path)
+    half, _ = _path(spark, f"{path}.half")
+    out = fs.create(half, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(half, p)
+
+
+def get(spark: SparkSession, path: str) -> dict | None:
     p, fs = _path(spark, path)
     if not fs.exists(p):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(p)]
-    return sorted(int(n[6:]) for n in names if n.startswith("epoch=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epochs of the files and folders named ``epoch=N`` in ``path``."""
+    p, fs = _path(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[6:]) for n in names if n.startswith("epoch=") and not n.endswith(".half"))
 
 
 class Parts:
@@ -61,31 +83,38 @@ class Parts:
         known = [e for e in epochs(self.spark, f"{self.path}-notes") if epoch is None or e < epoch]
         if not known:
             return {}, None
-        rows = self.spark.read.parquet(f"{self.path}-notes/epoch={known[-1]}").collect()  # a row per part
-        return {r["part"]: r["valid"] for r in rows}, rows[0]["number"]
+        note = get(self.spark, f"{self.path}-notes/epoch={known[-1]}")
+        return {p: e for p, e in enumerate(note["valid"])}, note["number"]
 
     def note(self, epoch: int) -> int | None:
         """The number noted by the batch before ``epoch``."""
         return self._note(epoch)[1]
 
-    def _read(self, valid: dict[int, int]) -> DataFrame:
-        paths = [f"{self.path}/part={p}/epoch={e}" for p, e in sorted(valid.items()) if e != EMPTY]
-        schema = self.spark.read.parquet(f"{self.path}-schema").schema
+    def _schema(self) -> StructType | None:
+        found = get(self.spark, f"{self.path}-schema")
+        return None if found is None else StructType.fromJson(found)
+
+    def _load(self, paths: list[str]) -> DataFrame:
+        schema = self._schema()
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _read(self, valid: dict[int, int]) -> DataFrame:
+        return self._load([f"{self.path}/part={p}/epoch={e}" for p, e in sorted(valid.items()) if e != EMPTY])
+
     def _touched(self, batch: DataFrame) -> list[int]:
         return [r["part"] for r in self._of(batch).select("part").distinct().collect()]  # at most ``count``
 
     def _write(self, df: DataFrame, epoch: int) -> None:
         """Replaces the rows of this epoch, part by part."""
-        if not exists(self.spark, f"{self.path}-schema/_SUCCESS"):
-            df.limit(0).write.mode("overwrite").parquet(f"{self.path}-schema")
+        if self._schema() is None:
+            put(self.spark, f"{self.path}-schema", json.loads(df.schema.json()))
         rows = self._of(df).withColumn("epoch", F.lit(epoch))
         rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "epoch").parquet(self.path)
 
     def _finish(self, epoch: int, valid: dict[int, int], number: int | None) -> None:
-        rows = [(p, valid.get(p, EMPTY), number) for p in range(self.count)]
-        self.spark.createDataFrame(rows, "part int, valid int, number bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}-notes/epoch={epoch}")
+        put(self.spark, f"{self.path}-notes/epoch={epoch}", {"valid": [valid.get(p, EMPTY) for p in range(self.count)], "number": number})
+        for e in [e for e in epochs(self.spark, f"{self.path}-notes") if e < epoch][:-1]:
+            remove(self.spark, f"{self.path}-notes/epoch={e}")
 
     def start(self, rows: DataFrame) -> None:
         """``rows`` as the table before the first batch."""
@@ -101,15 +130,13 @@ class Parts:
         if exists(self.spark, f"{self.path}-notes"):
             valid = self._note(epoch)[0]
             return self._read({p: valid.get(p, EMPTY) for p in touched})
-        paths = [f"{self.path}/part={p}/epoch={e}" for p in touched for e in epochs_of(self.spark, f"{self.path}/part={p}") if e < epoch]
-        schema = self.spark.read.parquet(f"{self.path}-schema").schema
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._load([f"{self.path}/part={p}/epoch={e}" for p in touched for e in epochs(self.spark, f"{self.path}/part={p}") if e < epoch])
 
     def merge(self, batch: DataFrame, epoch: int, merged: Callable[[DataFrame, DataFrame], DataFrame], number: int | None = None) -> None:
         """The parts of ``batch``'s keys become ``merged(stored, batch)``; all others stay."""
         valid, _ = self._note(epoch)
         touched = self._touched(batch)
-        old = self._read({p: valid.get(p, EMPTY) for p in touched}) if exists(self.spark, f"{self.path}-schema/_SUCCESS") else batch.limit(0)
+        old = self._read({p: valid.get(p, EMPTY) for p in touched}) if self._schema() is not None else batch.limit(0)
         for p in touched:
             remove(self.spark, f"{self.path}/part={p}/epoch={epoch}")  # of a run that failed
         if touched:
@@ -117,7 +144,7 @@ class Parts:
         after = valid | {p: epoch if exists(self.spark, f"{self.path}/part={p}/epoch={epoch}") else EMPTY for p in touched}
         self._finish(epoch, after, number)
         for p in touched:
-            for e in epochs_of(self.spark, f"{self.path}/part={p}"):
+            for e in epochs(self.spark, f"{self.path}/part={p}"):
                 if e not in (after[p], valid.get(p)):
                     remove(self.spark, f"{self.path}/part={p}/epoch={e}")
 
@@ -126,7 +153,7 @@ class Parts:
         touched = self._touched(batch)
         if not touched:
             return
-        old = self._kept(touched, epoch) if exists(self.spark, f"{self.path}-schema/_SUCCESS") else batch.limit(0)
+        old = self._kept(touched, epoch) if self._schema() is not None else batch.limit(0)
         for p in touched:
             remove(self.spark, f"{self.path}/part={p}/epoch={epoch}")
         self._write(new(old, batch), epoch)
@@ -135,11 +162,4 @@ class Parts:
         """The whole table: of the last note, or all that was added."""
         if exists(self.spark, f"{self.path}-notes"):
             return self._read(self._note(None)[0])
-        every = {p: None for p in range(self.count)}
-        return self._kept(list(every), 1 << 62)
-
-
-def epochs_of(spark: SparkSession, path: str) -> list[int]:
-    """Epochs that a part has rows of."""
-    p, fs = _path(spark, path)
-    return sorted(int(f.getPath().getName()[6:]) for f in fs.listStatus(p) if f.getPath().getName().startswith("epoch=")) if fs.exists(p) else []
+        return self._kept(list(range(self.count)), 1 << 62)
