@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets go of shuffle files whose tables are written: they stay on the executors' disks until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(name: str) -> str:
     """Column name that no table can hold already."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"

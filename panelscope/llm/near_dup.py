@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import WORD_BYTES, mix64, rows_of, slices, stored, whole
+from panelscope.llm.common import WORD_BYTES, forget, mix64, rows_of, slices, stored, whole
 from panelscope.llm.graph import components
 
 SHINGLE = 5
@@ -267,23 +267,30 @@ def reachable(n: Column, place: Column, other: Column, similarity: float) -> Col
     return (n - place + 1) >= F.lit(similarity / (1 + similarity)) * (n + other) - 1e-6
 
 
-def linked(rows: DataFrame, similarity: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links (a, b), components (node, component)) among ``rows`` (row, bands, signature, shingles); None if there are none.
+def linked(rows: DataFrame, singles: DataFrame, similarity: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links (a, b), components (node, component)) among the ``singles`` (row) of ``rows``; None if there are none.
 
+    ``rows`` (row, bands, signature, shingles) is a stored table: only the bands
+    of the singles move, and signatures and sets move for rows that are in pairs.
     First each band's bucket is compared with its least row.  Rows of buckets
     whose rest is in several components go on to buckets by rare shingle, an
     exact search among them.  There, a few rows of a bucket meet all others that
     sizes and places allow, until every bucket is one component.
     """
-    members = rows.select(F.explode("bands").alias("bucket"), "row")
+    members = rows.select("row", "bands").join(singles, "row", "left_semi").select(F.explode("bands").alias("bucket"), "row")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1")
     active = stored(members.join(shared, "bucket").where("row <> first").select("bucket", "row", "first"), "buckets")
     if active.isEmpty():
         return None, None
+    forget(rows.sparkSession)
     links = stored(verified(active.select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), rows, similarity, many=True), "links")
+    forget(rows.sparkSession)
     labels = components(links)
     some = _open_buckets(active.select("bucket", "row"), labels).select("row").distinct()
-    rest = prefixes(rows.join(some, "row", "left_semi"), similarity)
+    # the sets of those rows move once and are read twice
+    sets = stored(rows.select("row", "shingles").join(some, "row", "left_semi"), "open-sets")
+    forget(rows.sparkSession)
+    rest = stored(prefixes(sets, similarity), "prefixes")
     for _ in range(2):  # rows that no other in the bucket can match leave it
         least = rest.groupBy("bucket").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
         fits = reachable(F.col("n"), F.col("place"), F.greatest(F.col("least"), F.col("n") * F.lit(similarity)), similarity)
@@ -299,6 +306,7 @@ def linked(rows: DataFrame, similarity: float) -> tuple[DataFrame | None, DataFr
         fits = reachable(F.col("n"), F.col("place"), F.col("r.n"), similarity) & reachable(F.col("r.n"), F.col("r.place"), F.col("n"), similarity)
         pairs = met.where(fits).select(F.greatest("row", "r.row").alias("a"), F.least("row", "r.row").alias("b")).distinct()
         found = stored(verified(pairs, rows, similarity), "links")
+        forget(rows.sparkSession)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
@@ -320,13 +328,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     n_links counts verified links of the document's set to different sets.
     """
     rows = stored(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    groups = rows.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("set_row"))
+    groups = stored(rows.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("set_row")), "distinct-sets")
     narrow = rows.select("row", "doc_id", "text_hash", "high", "low", "n")
     members = stored(
         narrow.join(groups, ["high", "low"], "left").select("row", "doc_id", "text_hash", F.when(F.col("n") > 0, F.col("set_row")).otherwise(F.col("row")).alias("set_row")), "members"
     )
     singles = groups.select(F.col("set_row").alias("row"))
-    links, labels = linked(rows.join(singles, "row", "left_semi").select("row", "bands", "signature", "shingles"), similarity)
+    links, labels = linked(rows.select("row", "bands", "signature", "shingles"), singles, similarity)
     if links is None:
         per = members.withColumns({"class": F.col("set_row"), "n_links": F.lit(0).cast("long")})
     else:
