@@ -190,12 +190,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / max(1, len(both) - same)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float, many: bool = False) -> DataFrame:
-    """Pairs (a, b) with at least ``similarity``; ``rows``: row, signature, shingles.
-
-    With ``many`` pairs the sets they need are put aside first, so that the sets
-    of all rows move once and not for either side.
-    """
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) with at least ``similarity``; ``rows``: row, signature, shingles."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole(batches):
@@ -217,9 +213,6 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float, many: bool =
         return p.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
 
     close = stored(with_both(pairs, "signature").mapInArrow(alike, "a bigint, b bigint"), "candidates")
-    if many:
-        needed = close.select(F.col("a").alias("row")).union(close.select("b")).distinct()
-        rows = stored(rows.select("row", "shingles").join(needed, "row", "left_semi"), "candidate-sets")
     return with_both(close, "shingles").mapInArrow(exact, "a bigint, b bigint")
 
 
@@ -282,13 +275,15 @@ def linked(rows: DataFrame, singles: DataFrame, similarity: float) -> tuple[Data
     active = stored(members.join(shared, "bucket").where("row <> first").select("bucket", "row", "first"), "buckets")
     if active.isEmpty():
         return None, None
+    # sets move once as a whole: those that share a bucket are put aside
+    shares = active.select("row").union(active.select("first")).distinct()
+    sets = stored(rows.select("row", "signature", "shingles").join(shares, "row", "left_semi"), "bucket-sets")
     forget(rows.sparkSession)
-    links = stored(verified(active.select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), rows, similarity, many=True), "links")
+    links = stored(verified(active.select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), sets, similarity), "links")
     forget(rows.sparkSession)
     labels = components(links)
     some = _open_buckets(active.select("bucket", "row"), labels).select("row").distinct()
-    # the sets of those rows move once and are read twice
-    sets = stored(rows.select("row", "shingles").join(some, "row", "left_semi"), "open-sets")
+    sets = stored(sets.join(some, "row", "left_semi"), "open-sets")
     forget(rows.sparkSession)
     rest = stored(prefixes(sets, similarity), "prefixes")
     for _ in range(2):  # rows that no other in the bucket can match leave it
@@ -305,7 +300,7 @@ def linked(rows: DataFrame, singles: DataFrame, similarity: float) -> tuple[Data
         met = rest.join(chosen, "bucket").where((F.col("row") != F.col("r.row")) & (F.col("component") != F.col("r.component")))
         fits = reachable(F.col("n"), F.col("place"), F.col("r.n"), similarity) & reachable(F.col("r.n"), F.col("r.place"), F.col("n"), similarity)
         pairs = met.where(fits).select(F.greatest("row", "r.row").alias("a"), F.least("row", "r.row").alias("b")).distinct()
-        found = stored(verified(pairs, rows, similarity), "links")
+        found = stored(verified(pairs, sets, similarity), "links")
         forget(rows.sparkSession)
         if not found.isEmpty():
             links = links.union(found)
@@ -349,12 +344,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the least id; columns of ``docs``."""
-    heads = near_duplicates(docs, similarity).where("first").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    def keyed(df: DataFrame, text_hash: Column, *columns: Column) -> DataFrame:
+        number = F.col("doc_id").cast("long")
+        return df.select(*columns, F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("no_id"), text_hash.alias("hash"))
+
+    heads = keyed(near_duplicates(docs, similarity).where("first"), F.col("text_hash")).distinct()
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"))
-    found = rows.join(heads, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")))
-    # equal rows have equal heads: one of them stays
-    one = F.row_number().over(W.partitionBy("row_id", "row_hash").orderBy("hash"))
+    found = keyed(docs, F.xxhash64("text"), row).join(heads, ["id", "no_id", "hash"], "left_semi")
+    # equal rows have equal heads: one of them stays; dealt as for the join, so rows move once
+    one = F.row_number().over(W.partitionBy("id", "no_id", "hash").orderBy("hash"))
     return found.withColumn("no", one).where("no = 1").select("row.*")
 
 
