@@ -48,6 +48,16 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            if folder.getName().startswith("llm-"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh(name: str) -> str:
     """Column name that no table can hold already."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"

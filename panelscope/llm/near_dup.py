@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import WORD_BYTES, forget, mix64, rows_of, slices, stored, whole
+from panelscope.llm.common import WORD_BYTES, discard, forget, mix64, rows_of, slices, stored, whole
 from panelscope.llm.graph import components
 
 SHINGLE = 5
@@ -283,7 +283,8 @@ def linked(rows: DataFrame, singles: DataFrame, similarity: float) -> tuple[Data
     forget(rows.sparkSession)
     labels = components(links)
     some = _open_buckets(active.select("bucket", "row"), labels).select("row").distinct()
-    sets = stored(sets.join(some, "row", "left_semi"), "open-sets")
+    shared_sets, sets = sets, stored(sets.join(some, "row", "left_semi"), "open-sets")
+    discard(shared_sets)
     forget(rows.sparkSession)
     rest = stored(prefixes(sets, similarity), "prefixes")
     for _ in range(2):  # rows that no other in the bucket can match leave it
@@ -307,6 +308,7 @@ def linked(rows: DataFrame, singles: DataFrame, similarity: float) -> tuple[Data
             labels = components(links)
         left = rest.join(chosen.select("bucket", F.col("r.row").alias("row")), ["bucket", "row"], "left_anti")
         rest = _open_buckets(left.select("bucket", "row", "n", "place"), labels)
+    discard(sets, active)
     return links, labels
 
 
@@ -330,6 +332,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
     singles = groups.select(F.col("set_row").alias("row"))
     links, labels = linked(rows.select("row", "bands", "signature", "shingles"), singles, similarity)
+    # what follows reads members, links and components only
+    discard(rows)
+    forget(rows.sparkSession)
     if links is None:
         per = members.withColumns({"class": F.col("set_row"), "n_links": F.lit(0).cast("long")})
     else:
