@@ -1,23 +1,27 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an index of all words of the examples.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index of all words of the examples.
 
 A bounded sample of labelled rows (``examples``), drawn per label so that a rare
-one is there too, forms the index.  Every example is indexed by all its words.
-Terms that stand out in toxic examples count more: words and word beginnings of
-5 to 7 characters, each in steps of how often it occurs (1, 2, 4, 8, 16 times)
-and how often per 1,000 words (2, 5, 10, 20, 50), so that weight of evidence is
-part of a vector.  Inverse document frequencies cover all documents.
-
-Frequent terms lie in a dense matrix, others in postings.  Both give each
-example's similarity up to rounding; all that may be among the k best are
-compared again in full precision, so the result is exact.  Votes are weighted by
-nearness and calibrated by the examples' own leave-one-out votes (isotonic
-regression, each label in its share of all labelled rows); examples with the
-very terms of a text count with it.  Neighbours are the evidence.
+one is there too, forms the index.  A vector has two fields, each TF-IDF of unit
+length: all words, at (1 + ln of their count) times idf, and toxic-leaning terms.
+The latter are words and word beginnings of 5 to 7 characters that stand out in
+toxic examples, each in steps of how often it occurs (1, 2, 4, 8, 16 times) and
+how often per 1,000 words (2, 5, 10, 20, 50); words hold ``PLAIN`` of the squared
+length where both are there.  Inverse document frequencies cover all documents.
+
+Examples lie in blocks of ``SIZE``, similar ones together.  Rare terms have
+postings and are added up at once; a frequent term has a slice of weights per
+block and the greatest weight of each block.  A block whose bound (rare part plus
+greatest weights) is below the k-th best score known is skipped, so the result
+is exact; all that may be among the k best are compared again in full precision.
+Votes are weighted by nearness and calibrated by the examples' own leave-one-out
+votes (isotonic regression, each label in its share of all labelled rows);
+examples with the very terms of a text count with it.  Neighbours are the evidence.
 
 Cases: null and empty texts, and texts that share no word with an example, get
 the calibrated share of examples without words; without labels all scores are
-0; a null id counts as held out; repeated documents get a row each, repeated
-labels of an id count once (toxic if any says so); extra columns are ignored.
+0; a null id counts as held out; repeated documents get a row each, and equal
+ones are one example; repeated labels of an id count once (toxic if any says
+so); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.llm.common import rows_of, slices, stored, words
@@ -43,8 +47,12 @@ EXAMPLES = 12_000
 #: Least G statistic of a term that counts more.
 LEAST_G = 25.0
 NEIGHBOURS = 25
-#: A term of more than this share of the examples is dense.
-DENSE = 1 / 24
+#: A term of more than this share of the examples is frequent.
+OFTEN = 1 / 24
+#: Examples of a block.
+SIZE = 128
+#: Blocks with the highest bounds, scored first to learn how good the k-th best is.
+FIRST = 4
 #: Queries compared at once.
 BLOCK = 64
 #: Bound of the rounding errors of a similarity in single precision.
@@ -85,16 +93,18 @@ def count_bases(text: bytes, wanted: dict[bytes, list] | None = None) -> tuple[C
 
 
 class Index(NamedTuple):
-    """Examples' vectors by example, and by term: a dense row for frequent ones, postings for the others."""
+    """Examples' vectors by example; rare terms in postings, frequent ones in blocks with their greatest weights."""
 
     bounds: np.ndarray  # n + 1, of an example's terms
     terms: np.ndarray
     weights: np.ndarray
-    row: np.ndarray  # row of a term in ``dense``, or -1
-    dense: np.ndarray
-    start: np.ndarray  # terms + 1, of a term's postings
-    docs: np.ndarray
+    row: np.ndarray  # row of a frequent term, or -1
+    blocks: np.ndarray  # block, row, place in the block: weight
+    most: np.ndarray  # row, block: greatest weight
+    start: np.ndarray  # terms + 1, of a rare term's postings
+    places: np.ndarray
     values: np.ndarray
+    order: np.ndarray  # example at each place
     n: int
 
 
@@ -104,14 +114,25 @@ def build_index(vectors: list[tuple[np.ndarray, np.ndarray]], features: int) ->
     doc = np.repeat(np.arange(n), sizes)
     at = np.concatenate([v[0] for v in vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
     value = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-    often = np.flatnonzero(np.bincount(at, minlength=features) > n * DENSE)
+    often = np.flatnonzero(np.bincount(at, minlength=features) > n * OFTEN)
     row = np.full(features, -1, np.int64)
     row[often] = np.arange(len(often))
-    dense, high = np.zeros((len(often), n), np.float32), row[at] >= 0
+    high, count = row[at] >= 0, -(-n // SIZE)
+    dense = np.zeros((len(often), n), np.float32)
     dense[row[at[high]], doc[high]] = value[high]
-    order = np.flatnonzero(~high)[np.argsort(at[~high], kind="stable")]
-    start = np.searchsorted(at[order], np.arange(features + 1))
-    return Index(np.append(0, np.cumsum(sizes)), at.astype(np.int32), value, row, dense, start, doc[order].astype(np.int32), value[order], n)
+    # similar examples next to each other: by the most similar of a few, then by that similarity
+    few = dense[:, :: max(1, n // 64)].T @ dense if n else np.zeros((1, 0))
+    order = np.lexsort((few.max(axis=0), few.argmax(axis=0)))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    padded = np.zeros((len(often), count * SIZE), np.float32)
+    padded[:, :n] = dense[:, order]
+    blocks = np.ascontiguousarray(padded.reshape(len(often), count, SIZE).transpose(1, 0, 2))
+    rare = np.flatnonzero(~high)
+    rare = rare[np.argsort(at[rare], kind="stable")]
+    start = np.searchsorted(at[rare], np.arange(features + 1))
+    return Index(np.append(0, np.cumsum(sizes)), at.astype(np.int32), value, row, blocks, blocks.max(axis=2).T if count else np.zeros((len(often), 0), np.float32),
+                 start, place[doc[rare]].astype(np.int32), value[rare], order, n)
 
 
 def runs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -120,26 +141,51 @@ def runs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
-def nearest_of(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
-    """Per query (features, weights) the k most similar examples with a similarity above 0, best first, ties to smaller numbers; exact."""
-    wanted = np.zeros(len(index.row))
+def nearest_of(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None, met: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+    """Per query (features, weights) the k most similar examples with a similarity above 0, best first, ties to smaller numbers; exact.
+
+    ``met`` gets the number of blocks scored for each query.
+    """
+    wanted, count = np.zeros(len(index.row)), len(index.blocks)
+    place = np.empty(index.n, np.int64)
+    place[index.order] = np.arange(index.n)
     for base in range(0, len(queries), BLOCK):
-        block = queries[base : base + BLOCK]
-        some = np.zeros((len(block), len(index.dense)), np.float32)
-        for i, (at, weight) in enumerate(block):
+        part = queries[base : base + BLOCK]
+        often, score = np.zeros((len(part), index.blocks.shape[1]), np.float32), np.zeros((len(part), count, SIZE), np.float32)
+        for i, (at, weight) in enumerate(part):
             row = index.row[at]
-            some[i, row[row >= 0]] = weight[row >= 0]
-        about = some @ index.dense
-        for i, (at, weight) in enumerate(block):
+            often[i, row[row >= 0]] = weight[row >= 0]
             low, high = index.start[at], index.start[at + 1]
             there = runs(low, high)
-            total = about[i]
             if len(there):
-                total = total + np.bincount(index.docs[there], index.values[there] * np.repeat(weight, high - low), index.n)
-            if leave_out is not None and leave_out[base + i] >= 0:
-                total[leave_out[base + i]] = 0
-            least = np.partition(total, index.n - k)[index.n - k] - SLACK if index.n > k else 0
-            may = np.flatnonzero((total >= least) & (total > 0))
+                score[i] = np.bincount(index.places[there], index.values[there] * np.repeat(weight, high - low), count * SIZE).reshape(count, SIZE)
+        bound = often @ index.most + score.max(axis=2, initial=0)
+        skip = np.array([-1 if leave_out is None or leave_out[base + i] < 0 else place[leave_out[base + i]] for i in range(len(part))])
+        done = np.zeros((len(part), count), bool)
+
+        def kth(i: int) -> float:
+            some = score[i][done[i]].ravel()
+            own = skip[i] >= 0 and done[i, skip[i] // SIZE]
+            return float(np.partition(some, len(some) - k - own)[len(some) - k - own]) - SLACK if len(some) >= k + own else 0.0
+
+        least = np.zeros(len(part))
+        for i in range(len(part)):
+            for b in np.argsort(-bound[i], kind="stable")[:FIRST]:
+                score[i, b] += often[i] @ index.blocks[b]
+                done[i, b] = True
+            least[i] = kth(i)
+        for b in range(count):
+            left = np.flatnonzero(~done[:, b] & (bound[:, b] + SLACK >= least))
+            if len(left):
+                score[left, b] += often[left] @ index.blocks[b]
+                done[left, b] = True
+        for i, (at, weight) in enumerate(part):
+            if met is not None:
+                met.append(int(done[i].sum()))
+            may = (score[i] >= kth(i)) & (score[i] > 0) & done[i][:, None]
+            if skip[i] >= 0:
+                may[skip[i] // SIZE, skip[i] % SIZE] = False
+            may = np.sort(index.order[np.flatnonzero(may.ravel())])
             wanted[at] = weight
             low, high = index.bounds[may], index.bounds[may + 1]
             there = runs(low, high)
@@ -190,17 +236,23 @@ class Dictionary:
         return {w: i for i, w in enumerate(zlib.decompress(self.packed).split(b"\n"), self.first)}
 
 
+class Calibration(NamedTuple):
+    """What a vote says."""
+
+    ends: np.ndarray
+    values: np.ndarray
+    without: float  # for texts that have no neighbour
+
+
 class Model:
-    """Examples and their calibrated votes; the index is made where it is used."""
+    """Examples; the index is made where it is used, once per worker."""
 
     def __init__(self, features: int, idf: np.ndarray, rows: list[dict]):
         self.features, self.idf = features, idf
-        self.found = [np.frombuffer(r["found"], np.int32) for r in rows]
+        self.found = [unpacked(r["found"]) for r in rows]
         self.ids = [r["doc_id"] for r in rows]
         self.toxic = np.array([float(r["toxic"] > 0) for r in rows])
         self.weight = np.array([r["weight"] for r in rows])  # labelled rows that an example stands for
-        self.ends, self.values = np.zeros(1), np.zeros(1)
-        self.without = 0.0  # for texts that have no neighbour
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "index"}
@@ -210,17 +262,23 @@ class Model:
         return build_index([joined(f, self.idf, self.features) for f in self.found], len(self.idf))
 
 
-def unit(found, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array(sorted(found), np.int64)
-    w = idf[at]
+def unit(at, idf: np.ndarray, times=1) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF vector of unit length; ``at`` ascends."""
+    at = np.asarray(at, np.int64)
+    w = idf[at] * (1 + np.log(times))
     return at, w / max(float(np.sqrt(w @ w)), 1e-12)
 
 
+def unpacked(found: bytes) -> np.ndarray:
+    """Two rows: terms, ascending, and how often each occurs."""
+    return np.frombuffer(found, np.int32).reshape(2, -1)
+
+
 def joined(found: np.ndarray, idf: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vector of toxic-leaning terms (numbers below ``features``) and plain words, ``PLAIN`` of it words."""
-    at = np.asarray(found, np.int64)
+    """Unit vector of toxic-leaning terms (numbers below ``features``) and words, ``PLAIN`` of it words."""
+    at, times = found[0].astype(np.int64), found[1]
     cut = int(np.searchsorted(at, features))
-    some, rest = unit(at[:cut], idf)[1], unit(at[cut:], idf)[1]
+    some, rest = unit(at[:cut], idf)[1], unit(at[cut:], idf, times[cut:])[1]
     if cut and cut < len(at):
         some, rest = some * np.sqrt(1 - PLAIN), rest * np.sqrt(PLAIN)
     return at, np.concatenate([some, rest])
@@ -245,8 +303,12 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, examples: int) -> DataFr
 
     part = F.when(F.col("toxic") > 0, share(total["t"], total["c"])).otherwise(share(total["c"], total["t"]))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / F.lit(float(1 << 53))
-    # the bound of the sample bounds what is broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(one.withColumn("part", part).where(draw < F.col("part"))), "doc_id")
+    # hard bounds, far above what is drawn: of ids, and of different texts where ids repeat
+    ids = stored(one.withColumn("part", part).where(draw < F.col("part")).orderBy(draw, "doc_id").limit(2 * examples), "toxicity-ids")
+    key, order = F.xxhash64("text").alias("key"), F.xxhash64(F.lit(19), "doc_id", "key")
+    rows = docs.select("doc_id", "text", key).join(F.broadcast(ids), "doc_id")
+    keys = stored(rows.select("doc_id", "key").distinct().orderBy(order, "doc_id", "key").limit(2 * examples), "toxicity-keys")
+    texts = rows.join(F.broadcast(keys), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.first("part").alias("part"))
     return stored(texts.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text", (1 / F.col("part")).alias("weight")), "toxicity-examples")
 
 
@@ -310,7 +372,7 @@ def inverse_frequencies(docs: DataFrame, terms: Broadcast, size: int) -> np.ndar
         known, count = Words(*terms.value), np.zeros(size + 1, np.int64)
         for part in slices(batches):
             for text in rows_of(part):
-                count[known.numbers(text)] += 1
+                count[known.numbers(text)[0]] += 1
             count[size] += part.num_rows
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["feature", "n"])
@@ -318,11 +380,11 @@ def inverse_frequencies(docs: DataFrame, terms: Broadcast, size: int) -> np.ndar
     rows = docs.select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(size + 1)
     n[rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
-    return np.log((1 + n[-1]) / (1 + n[:-1])) + 1
+    return np.log((1 + n[-1]) / (1 + n[:-1])) + 0.05
 
 
 class Words:
-    """Numbers of a text's toxic-leaning steps and of its words; which bases a word has is remembered per word."""
+    """A text's toxic-leaning steps and words: numbers and counts; which bases a word has is remembered per word."""
 
     def __init__(self, feature: dict, vocabulary: Dictionary):
         self.feature, self.vocabulary, self.bases, self.known = feature, vocabulary.numbers, {b for b, _ in feature}, {}
@@ -332,7 +394,7 @@ class Words:
         if len(self.known) > 400_000:
             self.known = {}
         counts: Counter = Counter()
-        known, number, plain = self.known, self.vocabulary.get, []
+        known, number, plain, times = self.known, self.vocabulary.get, [], []
         for w, n in Counter(ws).items():
             found = known.get(w)
             if found is None:
@@ -342,15 +404,37 @@ class Words:
             k = number(w)
             if k is not None:
                 plain.append(k)
-        return np.sort(np.array(_numbers(counts, len(ws), self.feature) + plain, np.int32))
+                times.append(n)
+        some = _numbers(counts, len(ws), self.feature)
+        both = np.array([some + plain, [1] * len(some) + times], np.int32)
+        return both[:, np.argsort(both[0])]
+
 
+def votes_of_examples(spark: SparkSession, shared: Broadcast, n: int, neighbours: int) -> np.ndarray:
+    """Each example's vote without itself; NaN where nothing is near.  Workers vote in runs of examples."""
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, Model] | None:
-    """Terms and model."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part in batches:
+            own = part.column(0).to_pylist()
+            vectors = [joined(model.found[i], model.idf, model.features) for i in own]
+            votes = [vote(found, model.toxic) if found else float("nan") for found in nearest_of(model.index, vectors, neighbours, own)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    # bounded by the sample
+    rows = spark.range(0, n, 1, max(1, min(64, n // 256))).mapInArrow(run, "id bigint, vote double").toArrow()
+    out = np.full(n, np.nan)
+    out[rows.column("id").to_numpy()] = rows.column("vote").to_numpy()
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, Broadcast, Calibration] | None:
+    """Terms, model and what its votes say."""
+    spark = docs.sparkSession
     sample = sample_labelled(docs, labels, examples)
     feature = {f: i for i, f in enumerate(choose_features(sample))}
     vocabulary = Dictionary(vocabulary_of(sample), len(feature))
-    terms = docs.sparkSession.sparkContext.broadcast((feature, vocabulary))
+    terms = spark.sparkContext.broadcast((feature, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(*terms.value)
@@ -364,40 +448,38 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["found"]))
     idf = inverse_frequencies(docs, terms, len(feature) + vocabulary.size)
-    none = [r for r in rows if not r["found"]]
-    model = Model(len(feature), idf, [r for r in rows if r["found"]])
-    vectors = [joined(f, idf, len(feature)) for f in model.found]
-    own = [(vote(found, model.toxic), i) for i, found in enumerate(nearest_of(model.index, vectors, neighbours, list(range(len(vectors))))) if found]
-    if own:
-        at = np.array([i for _, i in own])
-        model.ends, model.values = isotonic(np.array([a for a, _ in own]), model.toxic[at], model.weight[at])
-    model.without = (sum(r["weight"] * (r["toxic"] > 0) for r in none) + 0.5) / (sum(r["weight"] for r in none) + 5)
-    return terms, model
-
-
-def scores_of(model: Model, found: list[np.ndarray], neighbours: int) -> Iterator[tuple[float, list[int]]]:
+    none, some = [r for r in rows if not r["found"]], [r for r in rows if r["found"]]
+    model = Model(len(feature), idf, some)
+    shared, toxic, weight = spark.sparkContext.broadcast(model), model.toxic, model.weight
+    own = votes_of_examples(spark, shared, len(some), neighbours)
+    at = np.flatnonzero(~np.isnan(own))
+    ends, values = isotonic(own[at], toxic[at], weight[at]) if len(at) else (np.zeros(1), np.zeros(1))
+    without = (sum(r["weight"] * (r["toxic"] > 0) for r in none) + 0.5) / (sum(r["weight"] for r in none) + 5)
+    return terms, shared, Calibration(ends, values, without)
+
+
+def scores_of(model: Model, says: Calibration, found: list[np.ndarray], neighbours: int) -> Iterator[tuple[float, list[int]]]:
     vectors = [joined(f, model.idf, model.features) for f in found]
     for near in nearest_of(model.index, vectors, neighbours):
         if near:
-            k = min(int(np.searchsorted(model.ends, vote(near, model.toxic))), len(model.ends) - 1)
-            value, same = float(model.values[k]), [i for sim, i in near if sim >= 1 - 1e-9]
+            k = min(int(np.searchsorted(says.ends, vote(near, model.toxic))), len(says.ends) - 1)
+            value, same = float(says.values[k]), [i for sim, i in near if sim >= 1 - 1e-9]
             if same:
                 # examples with the same terms say most, the vote counts as one more of them
                 own = model.weight[same]
                 value = float((own @ model.toxic[same] + own.mean() * value) / (own.sum() + own.mean()))
             yield value, [model.ids[i] for _, i in near[:3]]
         else:
-            yield model.without, []
+            yield says.without, []
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples); one row per document."""
-    terms, model = learn(docs, labels, examples, neighbours) or (None, None)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    terms, shared, says = learn(docs, labels, examples, neighbours) or (None, None, None)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value if shared else None
         known, seen = Words(*terms.value) if model else None, {}
         for part in slices(batches):
             results = [(0.0, [])] * part.num_rows
@@ -407,7 +489,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
                 if len(seen) > 50_000:
                     seen.clear()
                 new = {k: f for k, f in zip(keys, found) if k not in seen}
-                seen.update(zip(new, scores_of(model, list(new.values()), neighbours)))
+                seen.update(zip(new, scores_of(model, says, list(new.values()), neighbours)))
                 results = [seen[k] for k in keys]
             scores = [min(1.0, max(0.0, s)) for s, _ in results]
             yield pa.RecordBatch.from_arrays(

@@ -326,6 +326,66 @@ def test_index_search_is_exact():
         assert [j for _, j in got] == [j for _, j in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
 
 
+def test_blocks_are_skipped_and_nothing_is_lost():
+    rng = np.random.default_rng(4)
+    # groups with words of their own, and words of all
+    picks = [np.sort(np.concatenate([rng.choice(30, 6, replace=False) + 30 * (i % 4), 120 + rng.choice(130, 3, replace=False)])) for i in range(4000)]
+    idf = np.append(rng.uniform(2, 3, 120), rng.uniform(0.3, 0.5, 130))
+    vectors = [toxicity.unit(at, idf, rng.integers(1, 4, len(at))) for at in picks]
+    index, met = toxicity.build_index(vectors, 250), []
+    dense = np.zeros((4000, 250))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w
+    some = list(range(0, 4000, 31))
+    got = list(toxicity.nearest_of(index, [vectors[i] for i in some], 25, some, met))
+    for i, found in zip(some, got):
+        sims = np.round(dense @ dense[i], 12)
+        sims[i] = -1
+        best = np.lexsort((np.arange(4000), -sims))[:25]
+        assert [j for _, j in found] == best.tolist() and np.allclose([s for s, _ in found], sims[best])
+    assert len(met) == len(some) and np.mean(met) < 0.6 * len(index.blocks)
+
+
+def test_toxicity_scores_match_a_plain_search(spark):
+    rng = random.Random(12)
+    texts = [(i, sentence(rng, rng.randint(0, 60)) + " badword" * (i % 4 == 0) * rng.randint(1, 3)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i % 37 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    terms, shared, says = toxicity.learn(docs, labels)
+    model, known = shared.value, toxicity.Words(*terms.value)
+    dense = np.zeros((len(model.found), len(model.idf)))
+    for i, found in enumerate(model.found):
+        at, w = toxicity.joined(found, model.idf, model.features)
+        dense[i, at] = w
+    n = np.zeros(len(model.idf))
+    for _, text in texts:
+        n[known.numbers(text.encode())[0]] += 1
+    assert np.allclose(model.idf, np.log(301 / (1 + n)) + 0.05)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    for doc, text in texts:
+        at, w = toxicity.joined(known.numbers(text.encode()), model.idf, model.features)
+        sims = np.round(dense[:, at] @ w, 12) if len(at) else np.zeros(len(dense))
+        best = [i for i in np.lexsort((np.arange(len(sims)), -sims))[:25] if sims[i] > 0]
+        if not best:
+            assert got[doc] == says.without
+            continue
+        weight = 1 / (1.05 - np.minimum(sims[best], 1))
+        share = weight @ model.toxic[best] / weight.sum()
+        want = says.values[min(np.searchsorted(says.ends, share - 1e-12), len(says.ends) - 1)]
+        same = [i for i in best if sims[i] >= 1 - 1e-9]
+        if same:
+            own = model.weight[same]
+            want = (own @ model.toxic[same] + own.mean() * want) / (own.sum() + own.mean())
+        assert abs(got[doc] - min(1, max(0, want))) < 1e-9
+
+
+def test_toxicity_of_an_id_with_many_texts(spark):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i % 3, sentence(rng, 20)) for i in range(600)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
+    assert toxicity.sample_labelled(docs, labels, 50).count() <= 100 and toxicity.toxicity(docs, labels, 50).count() == 600
+
+
 def test_toxicity_finds_marked_words(spark, docs, none):
     rng = random.Random(8)
     texts = [(i, sentence(rng, 80) + (" nastyword" if i % 5 == 0 else "")) for i in range(400)]
