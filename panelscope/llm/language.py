@@ -3,7 +3,8 @@
 Features are hashed character n-grams (1 to 4 letters, lower case, everything
 but letters a space) weighted by term frequency and inverse document frequency,
 scaled to a fixed sum.  Document frequencies cover all documents to learn from.
-Weights are fitted on a bounded sample of them (``per_language``) by
+Weights are fitted on a bounded sample of different texts (``per_language``,
+often copied ones likelier, one of every language at least) by
 follow-the-regularised-leader with L1 and L2 penalties, so most are zero; a part
 of the sample sets the temperature of the probabilities.
 
@@ -23,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +35,7 @@ SIZES = (1, 2, 3, 4)
 WIDTH = 1 << 16
 #: What a document's features add up to.
 SCALE = 30.0
-#: About so many documents of each language are fitted on.
+#: At most so many different texts of each language are fitted on.
 PER_LANGUAGE = 400
 UNKNOWN = "und"
 
@@ -46,13 +48,18 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each between spaces, and where each starts (one more for the end)."""
-    joined = " " + "".join(t.lower() + " " for t in texts)
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, where the n-grams of each start and where they end.
+
+    A space stands before a text and so many after it that no n-gram reaches the next.
+    """
+    low = [t.lower() for t in texts]
+    joined = "".join(" " + t + " " * (max(SIZES) - 1) for t in low)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = code < 128
-    code = np.where(low, _ASCII[np.minimum(code, 127)], code)
-    return code, np.cumsum([0] + [len(t.lower()) + 1 for t in texts])
+    code = np.where(code < 128, _ASCII[np.minimum(code, 127)], code)
+    sizes = np.array([len(t) for t in low], np.int64)
+    starts = np.append(0, np.cumsum(sizes + max(SIZES)))[:-1]
+    return code, starts, starts + sizes + 1
 
 
 def grams(code: np.ndarray) -> Iterator[np.ndarray]:
@@ -76,14 +83,15 @@ class Model(NamedTuple):
 
 def sums(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Row sums of ``table`` over all n-grams of each text."""
-    code, starts = letters(texts)
+    code, starts, ends = letters(texts)
     out = np.zeros((len(texts), table.shape[1]))
     for n, h in enumerate(grams(code)):
         part = table[n * WIDTH : (n + 1) * WIDTH]
         for lo in range(0, len(texts), 64):
             hi = min(lo + 64, len(texts))
-            a, b = starts[lo], starts[hi]
-            out[lo:hi] += np.add.reduceat(part[h[a:b]], starts[lo:hi] - a, axis=0)
+            a, b = starts[lo], ends[hi - 1]
+            cuts = np.stack([starts[lo:hi], ends[lo:hi]], axis=1).ravel()[:-1] - a
+            out[lo:hi] += np.add.reduceat(part[h[a:b]], cuts, axis=0)[::2]
     return out
 
 
@@ -102,10 +110,10 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         count, documents = np.zeros(len(SIZES) * WIDTH, np.int64), 0
         for part in slices(batches, most=2 << 20):
             values = [t or "" for t in part.column(0).to_pylist()]
-            code, starts = letters(values)
+            code, starts, ends = letters(values)
             for n, h in enumerate(grams(code)):
                 for i in range(len(values)):
-                    one = np.sort(h[starts[i] : starts[i + 1]], kind="stable")
+                    one = np.sort(h[starts[i] : ends[i]], kind="stable")
                     count[n * WIDTH + one[np.concatenate([[True], one[1:] != one[:-1]])].astype(np.int64)] += 1
             documents += len(values)
         at = np.flatnonzero(count)
@@ -124,10 +132,10 @@ def vectors(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2 << 20):
-            code, starts = letters([t or "" for t in part.column(1).to_pylist()])
+            code, starts, ends = letters([t or "" for t in part.column(1).to_pylist()])
             rows, sizes = [], list(grams(code))
             for i, lang in enumerate(part.column(0).to_pylist()):
-                at, tf = np.unique(np.concatenate([h[starts[i] : starts[i + 1]].astype(np.int32) + n * WIDTH for n, h in enumerate(sizes)]), return_counts=True)
+                at, tf = np.unique(np.concatenate([h[starts[i] : ends[i]].astype(np.int32) + n * WIDTH for n, h in enumerate(sizes)]), return_counts=True)
                 value = tf * shared.value[at]
                 rows.append({"lang": lang, "at": at.astype("<i4").tobytes(), "value": (value * SCALE / max(value.sum(), 1e-9)).astype("<f4").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("at", pa.binary()), ("value", pa.binary())]))
@@ -182,23 +190,27 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epo
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Model from the documents of ``docs`` (text, lang, learn); None if there is nothing to learn from."""
+    """Model from the documents of ``docs`` (doc_id, text, lang, learn); None if there is nothing to learn from."""
     able = docs.where(F.col("learn") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = dict(able.groupBy("lang").count().collect())  # a row per language
+    # every row draws; the least draw of a text's copies counts, so a text is the likelier the more copies it has
+    able = able.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "text"), 11) / F.lit(float(1 << 53)))
+    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()  # a row per language
     if not counts:
         return None
     frequency = document_frequencies(able)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 0.05
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "text"), 11) / F.lit(float(1 << 53))
-    sample = stored(able.where(draw < share[F.col("lang")]).select("lang", "text"), "language-sample")
+    # about four times as many rows as wanted, then different texts in order of their draws
+    most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"], min(1.0, 4 * per_language / r["n"])))])
+    drawn = able.where(F.col("draw") <= most[F.col("lang")]).groupBy("lang", F.xxhash64("text").alias("key")).agg(F.min(F.struct("draw", "text")).alias("one"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("one.draw", "key"))
+    sample = stored(drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "one.text"), "language-sample")
     return fit(vectors(sample, idf), idf)
 
 
 def language_of(docs: DataFrame, per_language: int = PER_LANGUAGE, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
     """All columns of ``docs`` plus those of ``names``, which ``docs`` must not have."""
     rest = F.coalesce(remainder(F.col("doc_id"), 3), F.lit(1))
-    model = learn(docs.select("text", F.col("lang").cast("string").alias("lang"), (rest != 1).alias("learn")), per_language)
+    model = learn(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), (rest != 1).alias("learn")), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own, able_name = docs.columns, fresh("able")
     plain = docs.withColumns({names[0]: rest == 1, able_name: F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})

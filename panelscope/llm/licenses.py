@@ -52,12 +52,31 @@ def gate():
 def suppress(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, int, Rule]]:
     """(start, end, order, rule): drops intervals inside a kept one of higher or equal rank."""
     kept: list[tuple[int, int, int, Rule]] = []
+    number = {start: k for k, start in enumerate(sorted({d[0] for d in found}), 1)}
+    furthest = [0] * (len(number) + 1)  # Fenwick tree: greatest end of kept intervals by start
     for one in sorted(found, key=lambda d: (-d[3].priority, d[0] - d[1], d[0], d[2])):
-        if not any(k[0] <= one[0] and one[1] <= k[1] for k in kept):
+        k, end = number[one[0]], -1
+        while k:
+            end = max(end, furthest[k])
+            k &= k - 1
+        if end < one[1]:
             kept.append(one)
+            k = number[one[0]]
+            while k < len(furthest):
+                furthest[k] = max(furthest[k], one[1])
+                k += k & -k
     return sorted(kept, key=lambda d: d[:3])
 
 
+def spaces_before(text, space, places) -> dict[int, int]:
+    """How many spaces stand before each of ``places``; one pass over the text."""
+    out, last, n = {}, 0, 0
+    for at in sorted(set(places)):
+        n += text.count(space, last, at)
+        out[at], last = n, at
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, int, Rule]]:
     """Kept detections of word text with a space at both ends, as character intervals."""
     automaton, rules = gate()
@@ -81,12 +100,11 @@ def scan(text: bytes) -> dict:
     ws = text.translate(WORD_BYTES).split()
     flat = b" " + b" ".join(ws) + b" "
     places = base_places(flat)
-    starts = [flat.count(b" ", 0, at) for at, _ in places]
+    starts = list(spaces_before(flat, b" ", [at for at, _ in places]).values())
     plain = flat.decode(errors="replace")
-    spans = [
-        {"label": r.label, "first": plain.count(" ", 0, s) - 1, "end": plain.count(" ", 0, e), "priority": r.priority, "confidence": r.confidence}
-        for s, e, _, r in detect(plain)
-    ]
+    found = detect(plain)
+    before = spaces_before(plain, " ", [x for s, e, *_ in found for x in (s, e)])
+    spans = [{"label": r.label, "first": before[s] - 1, "end": before[e], "priority": r.priority, "confidence": r.confidence} for s, e, _, r in found]
     base = {label for _, label in places}
     return {
         "n_words": len(ws), "n_base": len(places), "first_word": min(starts, default=None), "last_word": max(starts, default=None),

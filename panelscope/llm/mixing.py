@@ -2,15 +2,18 @@
 
 Sizes are words between ASCII white space.  Each source gets a target (share
 of all words by weight, at most ``cap`` times its size, the excess reshared).
-Its documents stand in hashed order, one after the other and then once more;
-the first ``target`` words of that stream are taken, so whole documents are
-taken once or twice and one document at the edge is cut.
-
-The stream is cut into blocks of ``block_words``.  A source's block quota is
-exact.  A tree with the output shards as leaves splits all quotas: each node
-draws from a multivariate hypergeometric distribution how many blocks of each
-source go left.  A source's permuted blocks then fall down the tree, so shards
-get disjoint blocks; within a shard rows are ordered by hash.
+Its documents stand in hashed order, one after the other and then once more
+(``cap`` times in all): the source's stream.
+
+The stream is cut into blocks of ``block_words``, permuted by a seeded bijection
+of its own.  A source's block quota is exact: the blocks that come first in the
+permutation are drawn, the last of them as far as the target goes.  A tree with
+the output shards as leaves splits all quotas: each node draws from a
+multivariate hypergeometric distribution how many blocks of each source go left.
+The drawn blocks fall down the tree, so shards get disjoint blocks.  What is
+taken of a document are its words inside drawn blocks, a piece per block; within
+a shard pieces are ordered by hash.  An incomplete block at the end of a stream
+comes last in the permutation.
 
 Cases: null text has size 0; sources of size 0 get target 0; a null source is
 a source of its own, last in order; null and repeated ids are rows like any
@@ -29,6 +32,8 @@ from panelscope.llm.common import stored
 WHITE = r"\x20\x09-\x0D"
 #: Tries of the rejection sampler; one fails with a chance below 3/4.
 TRIES = 128
+#: Steps of a walk back into a permutation's range; one more is needed with a chance below 1 / blocks ** 16.
+WALK = 32
 
 
 def word_count(text: Column) -> Column:
@@ -160,11 +165,37 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return heap.select("heap", F.posexplode("numbers").alias("at", "source_no")).select("source_no", lefts.alias("lefts"))
 
 
-def _shard(position: Column, quota: Column, lefts: Column, shards: int, block_words: int) -> Column:
-    """Leaf that the block at ``position`` of a source's stream falls to."""
-    block = F.floor(position / block_words).cast("long")
-    step = F.when(quota % 536870909 == 0, F.lit(536870879)).otherwise(F.lit(536870909)).cast("long")  # primes
-    start = F.struct(F.lit(1).alias("node"), F.pmod(block * step + 12345, F.greatest(quota, F.lit(1))).alias("rank"))
+def permuted(block: Column, blocks: Column, *seed: Column) -> Column:
+    """Place of ``block`` (0 .. ``blocks`` - 1) in a seeded permutation.
+
+    A Feistel network over a grid of a x b places with a * b just above
+    ``blocks``; places outside are permuted again, fewer than a of them in a row.
+    """
+    a = F.greatest(F.lit(1), F.ceil(F.sqrt(blocks.cast("double")))).cast("long")
+    sides = F.struct(a.alias("a"), F.greatest(F.lit(1), F.ceil(blocks / a)).cast("long").alias("b"))
+
+    def network(s: Column, place: Column) -> Column:
+        def turn(x: Column, i: Column) -> Column:
+            odd = i % 2 == 1
+            other = F.when(odd, x["r"]).otherwise(x["l"])
+            add = F.shiftrightunsigned(F.xxhash64(*seed, i, other), 2)
+            return F.struct(
+                F.when(odd, F.pmod(x["l"] + add, s["a"])).otherwise(x["l"]).alias("l"), F.when(odd, x["r"]).otherwise(F.pmod(x["r"] + add, s["b"])).alias("r")
+            )
+
+        start = F.struct((place % s["a"]).alias("l"), F.floor(place / s["a"]).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, turn, lambda x: x["r"] * s["a"] + x["l"])
+
+    def walk(s: Column) -> Column:
+        again = lambda place, i: F.when((i > 0) & (place < blocks), place).otherwise(network(s, place))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), block, again)
+
+    return _let(sides, walk)
+
+
+def _shard(rank: Column, lefts: Column, shards: int) -> Column:
+    """Leaf that a source's block with this place in the permutation falls to."""
+    start = F.struct(F.lit(1).alias("node"), rank.alias("rank"))
 
     def fall(s: Column, _: Column) -> Column:
         stay = F.element_at(lefts, s["node"])
@@ -181,8 +212,9 @@ def decide(sized: DataFrame, shards: int = 16, block_words: int = 1024, seed: in
            share: float = 1.5, cap: int = 2, rows_per_bucket: int = 256) -> DataFrame:
     """Rows of ``sized`` (doc_id, source, size and others) plus source_size, target, taken, copies.
 
-    ``copies``: array of (copy, words, shard) with words > 0.  A row with
-    ``many`` stands for so many equal ones; its figures are for each of them.
+    ``copies``: array of (copy, first, words, shard) with words > 0: the pieces
+    taken.  A row with ``many`` stands for so many equal ones; its figures are for
+    each of them, with one piece per copy.
     The running sums go over hash buckets of a source, so one source with most
     rows is spread.
     """
@@ -210,16 +242,36 @@ def decide(sized: DataFrame, shards: int = 16, block_words: int = 1024, seed: in
     ).drop(F.col("s.source"), F.col("s._bucket"))
     zero = F.lit(0).cast("long")
     position = F.col("_start") + F.col("_inside")
-    copies = [
-        F.struct(
-            F.lit(c).alias("copy"),
-            F.floor(F.greatest(zero, F.least(F.col("_all"), F.col("want") - position - c * F.col("source_size"))) / F.col("many")).cast("long").alias("words"),
-            _shard(position + c * F.col("source_size"), F.col("quota"), F.col("lefts"), shards, block_words).alias("shard"),
-        )
-        for c in range(cap)
-    ]
-    kept = F.filter(F.array(*copies), lambda c: c["words"] > 0)
-    out = joined.withColumn("copies", kept).withColumn("taken", F.aggregate("copies", zero, lambda a, c: a + c["words"]))
+    full = F.floor(cap * F.col("source_size") / block_words).cast("long")
+
+    def pieces(copy: Column) -> Column:
+        def of(low: Column) -> Column:
+            high = low + F.col("_all")
+
+            def piece(block: Column) -> Column:
+                rank = F.when(block < full, permuted(block, full, F.lit(seed), F.col("source"))).otherwise(full)
+
+                def drawn(rank: Column) -> Column:
+                    words = F.least(F.lit(block_words).cast("long"), F.col("want") - rank * block_words)
+                    start = F.greatest(low, block * block_words)
+                    words = F.greatest(zero, F.least(high, block * block_words + words) - start)
+                    return F.when(words > 0, F.struct(copy.alias("copy"), (start - low).alias("first"), words.alias("words"), _shard(rank, F.col("lefts"), shards).alias("shard")))
+
+                return _let(rank, drawn)
+
+            blocks = F.sequence(F.floor(low / block_words).cast("long"), F.floor((high - 1) / block_words).cast("long"))
+            return F.filter(F.transform(blocks, piece), lambda p: p.isNotNull())
+
+        return _let(position + copy * F.col("source_size"), of)
+
+    def together(ps: Column) -> Column:
+        words = F.floor(F.aggregate(ps, zero, lambda a, p: a + p["words"]) / F.col("many")).cast("long")
+        one = F.array(F.struct(F.element_at(ps, 1)["copy"].alias("copy"), zero.alias("first"), words.alias("words"), F.element_at(ps, 1)["shard"].alias("shard")))
+        return F.when((F.col("many") == 1) | (F.size(ps) == 0), ps).otherwise(F.filter(one, lambda p: p["words"] > 0))
+
+    kept = F.flatten(F.transform(F.array(*[F.lit(c).cast("long") for c in range(cap)]), lambda c: _let(pieces(c), together)))
+    nothing = F.filter(kept, lambda p: F.lit(False))
+    out = joined.withColumn("copies", F.when(F.col("_all") > 0, kept).otherwise(nothing)).withColumn("taken", F.aggregate("copies", zero, lambda a, c: a + c["words"]))
     return out.drop("_all", "_key", "_high", "_bucket", "_start", "_inside", "want", "quota", "lefts")
 
 
@@ -232,8 +284,8 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, shards: int = 16, seed: int = 42, parts: int = 64, **options) -> DataFrame:
     """The mixed documents, dealt and ordered by shard; columns of ``docs``.
 
-    A document taken twice is there twice.  One that is cut keeps its first
-    words, single-spaced; n_chars follows where the table has it.  Rows that
+    A row is a piece of a document: all of it as it is, or the words inside a
+    drawn block, single-spaced; n_chars follows where the table has it.  Rows that
     are equal in id, text and source share one decision.
     """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")  # keeps extra columns apart from those made here
@@ -243,11 +295,11 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 42, parts: int = 64, **op
     taken = stored(decide(units, shards=shards, seed=seed, **options).where("taken > 0").select("key", "size", "copies"), "mix-taken")
     # the text moves twice: to its decision, then to its shard
     rows = docs.select(row, key).join(taken, "key").select("row", "key", "size", F.explode("copies").alias("copy"))
-    rows = rows.withColumn("at", F.xxhash64(F.lit(seed + 1), "key", "copy.copy"))
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed + 1), "key", "copy.copy", "copy.first"))
     # a shard's rows go to several tasks by hash, each of which sorts its own
     rows = rows.repartition(F.col("copy.shard"), F.pmod("at", F.lit(max(1, parts // shards)))).sortWithinPartitions("copy.shard", "at")
     clean = F.regexp_replace("row.text", f"^[{WHITE}]+", "")
-    cut = F.array_join(F.slice(F.split(clean, f"[{WHITE}]+"), 1, F.col("copy.words").cast("int")), " ")
+    cut = F.array_join(F.slice(F.split(clean, f"[{WHITE}]+"), (F.col("copy.first") + 1).cast("int"), F.col("copy.words").cast("int")), " ")
     rows = rows.withColumn("cut", F.when(F.col("copy.words") < F.col("size"), cut))
     made = {"text": F.coalesce("cut", "row.text")}
     if "n_chars" in docs.columns:

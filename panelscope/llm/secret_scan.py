@@ -3,8 +3,9 @@
 Texts are scanned once for base spans and for further credential shapes; only
 spans and hashes of values go on.  For every hash the corpus is asked how many
 owners (sources) and repositories (documents) hold it: counts per (value,
-owner) are combined before the shuffle.  A value that many owners hold is a
-copied example; one that few owners hold and that looks random is live.  Spans
+owner) are combined before the shuffle.  A value that many owners or very many
+repositories hold is a copied example; one that few hold and that looks random
+is live.  Spans
 of further shapes are reported where their value is not a copied example; base
 spans are always reported.
 
@@ -41,7 +42,7 @@ MORE = {
     "slack": (re.compile(r"xox[abeoprs]-[A-Za-z0-9-]{10,}"), 0, 15, ("xox",)),
     "google": (re.compile(r"AIza[0-9A-Za-z_-]{35}"), 0, 39, ("aiza",)),
     "stripe": (re.compile(r"[srp]k_(?:live|test)_[0-9A-Za-z]{16,}"), 0, 24, ("k_live_", "k_test_")),
-    "url": (re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,128})@[A-Za-z0-9.-]+"), 1, 3, ("://",)),
+    "url": (re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]+://[^\s:/@]+:([^\s:/@]{3,})@[A-Za-z0-9.-]+"), 1, 3, ("://",)),
     "bearer": (re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)"), 1, 20, ("bearer ",)),
     "key_pair": (re.compile(r"""(?:access|client|consumer|private|signing|encryption)[_-](?:key|secret|token)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{16,})""", re.A | re.I), 1, 16, ("key", "secret", "token")),
     "credential": (re.compile(r"""(?:pwd|passphrase|auth|credentials?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.A | re.I), 1, 8, ("pwd", "passphrase", "auth", "credential")),
@@ -49,6 +50,8 @@ MORE = {
 KINDS = [*BASE, *MORE]
 #: Owners from which on a value is a copied example.
 COPIED_OWNERS = 3
+#: Repositories from which on it is one, whatever its owners.
+COPIED_REPOSITORIES = 100
 #: Bits per character of a value that looks random.
 LIVE_BITS = 2.5
 PLACEHOLDERS = re.compile(r"example|sample|changeme|placeholder|dummy|your|xxxx|1234567|abcdef|\.\.\.|test", re.I)
@@ -104,34 +107,40 @@ def ownership(spans: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
-def secret_scan(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied; one row per document."""
+def secret_scan(docs: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, most_owners and most_repositories (of its values); one row per document."""
     rows = stored(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     spans = rows.where(F.size("found") > 0).select("row", "source", F.explode("found").alias("s")).select("row", "source", "s.*")
-    judged = spans.join(ownership(spans.select("source", "hash", "first")), "hash").withColumn("copied", F.col("owners") >= copied_owners)
+    judged = spans.join(ownership(spans.select("source", "hash", "first")), "hash").withColumn(
+        "copied", (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    )
     kept = F.when((F.col("no") < len(BASE)) | ~F.col("copied"), F.struct("start", "no", "end", "kind"))
     per_doc = judged.groupBy("row").agg(
-        F.array_sort(F.collect_list(kept)).alias("kept"), F.count_if(~F.col("copied") & F.col("random")).alias("n_live"), F.count_if("copied").alias("n_copied")
+        F.array_sort(F.collect_list(kept)).alias("kept"), F.count_if(~F.col("copied") & F.col("random")).alias("n_live"), F.count_if("copied").alias("n_copied"),
+        F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
     )
     text = F.array_join(F.transform("kept", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     zero = F.lit(0).cast("long")
     return rows.drop("found", "source").join(per_doc, "row", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"),
         F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"),
+        F.coalesce("most_owners", zero).alias("most_owners"), F.coalesce("most_repositories", zero).alias("most_repositories"),
     )
 
 
-def brute_force(docs: list[tuple[int, str | None, str | None]], copied_owners: int = COPIED_OWNERS) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None, str | None]], copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> list[tuple]:
     """Plain reference for tests: docs are (doc_id, source, text)."""
-    owners: dict[str, set] = {}
+    owners, repositories = {}, Counter()
     for _, source, text in docs:
-        for *_, value in find(text or ""):
+        values = {value for *_, value in find(text or "")}
+        repositories.update(values)
+        for value in values:
             owners.setdefault(value, set()).add(source)
     out = []
     for doc, _, text in docs:
         spans = find(text or "")
         base = [s[:3] for s in spans if s[0] in BASE]
-        more = [s[:3] for s in spans if s[0] in MORE and len(owners[s[3]]) < copied_owners]
+        more = [s[:3] for s in spans if s[0] in MORE and len(owners[s[3]]) < copied_owners and repositories[s[3]] < copied_repositories]
         n = Counter(s[0] for s in base)
         out.append((doc, n["assign"], n["access"], n["hex"], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(base + more)))
     return out

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from math import comb
 
@@ -112,6 +113,45 @@ def test_tree_splits_quotas_exactly(spark):
     assert sum(totals) == 554 and max(totals) - min(totals) <= 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 28, 146, 1000, 1025])
+def test_permutation_is_a_seeded_bijection(spark, n):
+    seeds = [F.lit(x) for x in (1, 2)]
+    got = spark.range(n).select(*[mixing.permuted(F.col("id"), F.lit(n).cast("long"), s) for s in seeds]).collect()
+    assert all(sorted(r[k] for r in got) == list(range(n)) for k in (0, 1))
+    assert n < 10 or [r[0] for r in got] != [r[1] for r in got] and [r[0] for r in got] != list(range(n))
+
+
+def test_what_is_taken_are_drawn_blocks(spark):
+    rng = random.Random(6)
+    rows = [(i, "ab"[i % 3 == 0], rng.choice([0, 1, 30, 90, 700])) for i in range(400)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    out = mixing.decide(sized, shards=4, block_words=50, rows_per_bucket=8).collect()
+    for source in "ab":
+        own = [r for r in out if r["source"] == source]
+        pieces = [p for r in own for p in r["copies"]]
+        target = own[0]["target"]
+        assert sum(p["words"] for p in pieces) == round(target) == sum(r["taken"] for r in own)
+        # pieces lie inside their documents and inside blocks; no block is everywhere drawn
+        assert all(p["first"] + p["words"] <= r["size"] and p["words"] <= 50 and 0 <= p["copy"] < 2 for r in own for p in r["copies"])
+        assert len({p["shard"] for p in pieces}) == 4 and any(0 < r["taken"] < 2 * r["size"] for r in own)
+        shard = {k: sum(p["words"] for p in pieces if p["shard"] == k) for k in range(4)}
+        assert max(shard.values()) < 0.5 * sum(shard.values())
+    other = mixing.decide(sized, shards=4, block_words=50, rows_per_bucket=8, seed=1).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in out) != sorted((r["doc_id"], r["taken"]) for r in other)
+
+
+def test_mix_gives_the_words_of_the_pieces(spark):
+    texts = {i: " ".join(f"w{i}n{j}" for j in range(5 + 40 * (i % 5))) for i in range(60)}
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in texts.items()], "doc_id bigint, text string, source string")
+    seen = {}
+    for r in mixing.mix(docs, shards=4, block_words=32).collect():
+        assert f" {r['text']} " in f" {texts[r['doc_id']]} "
+        seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + len(r["text"].split())
+        assert max(__import__("collections").Counter(r["text"].split()).values()) == 1
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed_sizes(docs, shards=4, block_words=32).collect() if r["taken"]}
+    assert sum(seen.values()) == sum(taken.values()) and all(n <= 2 * len(texts[i].split()) for i, n in seen.items())
+
+
 def test_mix_keeps_columns_and_repeats(docs, none):
     out = mixing.mix(docs, shards=4)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, mixing.mix(docs, shards=4).collect()), key=str)
@@ -263,6 +303,33 @@ def test_license_rules_behind_the_gate(text, label):
     assert licenses.scan(text.encode())["labels"] == label
 
 
+def seconds(run, *args):
+    start = time.perf_counter()
+    run(*args)
+    return time.perf_counter() - start
+
+
+def test_long_texts_take_linear_time():
+    text = b"this file is under the mit license and so on " * 4000
+    licenses.scan(text)
+    once, four = min(seconds(licenses.scan, text) for _ in range(3)), min(seconds(licenses.scan, text * 4) for _ in range(2))
+    assert four < 8 * once
+    for piece in ("a" * 50, "http://", "a.b+c-", "x://bob:pw@ "):
+        once, four = (min(seconds(secret_scan.find, piece * n) for _ in range(2)) for n in (4000, 16000))
+        assert four < 8 * once + 0.05
+
+
+def test_suppression_matches_a_plain_one():
+    rng, rules = random.Random(5), licenses.build()
+    for _ in range(200):
+        found = [(s, s + rng.randint(1, 12), i, rules[i]) for s, i in ((rng.randint(0, 30), rng.randrange(len(rules))) for _ in range(rng.randint(0, 25)))]
+        kept = []
+        for one in sorted(found, key=lambda d: (-d[3].priority, d[0] - d[1], d[0], d[2])):
+            if not any(k[0] <= one[0] and one[1] <= k[1] for k in kept):
+                kept.append(one)
+        assert licenses.suppress(found) == sorted(kept, key=lambda d: d[:3])
+
+
 # language
 
 def test_language_learns_and_holds_out(spark, none):
@@ -281,6 +348,48 @@ def test_language_learns_and_holds_out(spark, none):
     assert language.language_id(none).count() == 0
 
 
+def test_language_of_few_copied_texts(spark):
+    rng = random.Random(14)
+    many = [(i, "".join(rng.choice(["ba", "be", "ran", "tal", " "]) for _ in range(80)), "xx") for i in range(500)]
+    copied = ["zäl schi kopft ü" * 5, "pft äl zu schi" * 6, "kopft zu zu äl ü" * 4]
+    docs = spark.createDataFrame(many + [(1000 + i, copied[i % 3], "yy") for i in range(5000)], "doc_id bigint, text string, lang string")
+    got = language.language_id(docs).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in got} == {"xx": 500, "yy": 5000}
+    same = spark.createDataFrame(many + [(7, copied[0], "yy")] * 5000, "doc_id bigint, text string, lang string")
+    assert language.learn(same.withColumn("learn", F.lit(True)), 20).languages == ["xx", "yy"]
+
+
+def test_language_probabilities_match_a_plain_fit(spark):
+    rng = random.Random(15)
+    syllables = {"xx": "ba be bo ran tal mor".split(), "yy": "schi ü ko zu äl pft".split(), "zz": "no ta ri ñe ll".split()}
+    data = [(i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(12)), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 30)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    model = language.learn(docs.withColumn("learn", F.lit(True)))
+
+    def plain(text):
+        # features of a text, one n-gram after the other
+        counts = {}
+        code, *_ = language.letters([text])
+        for n, h in enumerate(language.grams(code)):
+            for x in h[: len(text.lower()) + 1].tolist():
+                counts[n * language.WIDTH + x] = counts.get(n * language.WIDTH + x, 0) + 1
+        return counts
+
+    found = [plain(t) for _, t, _ in data]
+    n = np.zeros(len(language.SIZES) * language.WIDTH)
+    for f in found:
+        n[list(f)] += 1
+    idf = np.log((1 + len(data)) / (1 + n)) + 0.05
+    assert np.allclose(model.table[:, 0], idf, atol=1e-5)
+    for (_, text, lang), f in zip(data[:30], found):
+        at = np.array(sorted(f))
+        x = np.array([f[a] for a in at]) * idf[at]
+        logits = (x * language.SCALE / x.sum()) @ (model.table[at, 1:] / idf[at, None]) + model.bias
+        p = np.exp(logits / model.temperature)
+        assert np.array_equal(language.predict([text, "zzz"], model)[0], language.predict([text, "ball"], model)[0])
+        assert np.allclose(language.predict([text], model)[0], p / p.sum(), atol=1e-3) and model.languages[int(p.argmax())] == lang
+
+
 def test_language_without_labels(spark, docs):
     assert {r["lang_pred"] for r in language.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.in_known_language(docs, 0.3).columns == docs.columns
@@ -303,6 +412,15 @@ def test_secrets_match_a_plain_scan(spark, docs, none):
     assert secret_scan.secret_scan(docs).count() == len(rows()) and secret_scan.secret_scan(none).count() == 0
 
 
+def test_widely_copied_in_one_source(spark):
+    data = [(i, "a", SECRETS[7]) for i in range(1000)] + [(2000 + i, "a", f"ghp_{i:040d}") for i in range(50)]
+    data += [(3000, "a", f"see https://{'u' * 300}:{'pW9' * 100}@example.org/x")]
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(data, "doc_id bigint, source string, text string")).collect()}
+    assert all(got[i]["n_copied"] == 1 and got[i]["most_repositories"] == 1000 and got[i]["spans"] == "" for i in range(1000))
+    assert all(got[2000 + i]["n_copied"] == 0 and "github" in got[2000 + i]["spans"] for i in range(50)) and "url:4:" in got[3000]["spans"]
+    assert sorted((d, r["spans"]) for d, r in got.items()) == sorted((r[0], r[-1]) for r in secret_scan.brute_force(data))
+
+
 def test_base_patterns_by_hand():
     found = secret_scan.find("secret: token = abcdefgh AKIA" + "A" * 16)
     assert [f[:3] for f in found if f[0] in secret_scan.BASE] == [("access", 25, 45)]
