@@ -151,50 +151,87 @@ def fit_logreg(train: DataFrame, max_iter: int = 100):
     return model.fit(train.withColumn("weight", weight))
 
 
-def compare(vectors: DataFrame, folds: DataFrame, k: int, gbt_rounds: int = 10) -> DataFrame:
+def logreg_scores(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (features and others) with the score and prediction of a model of ``train``."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = fit_logreg(train).transform(rows).withColumn("score", vector_to_array("probability")[1])
+    return out.withColumn("prediction", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "features")
+
+
+def base_scores(train: DataFrame, test: DataFrame, gbt_rounds: int, neighbours: int) -> dict[str, DataFrame]:
+    """sample_id, label, score of ``test`` by each model of ``train``; features standardised on ``train``."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
+    train, test = scaler.transform(train), scaler.transform(test)
+    out = {}
+    for name, model in (("logreg", fit_logreg(train)), ("gbt", GBTClassifier(maxIter=gbt_rounds, maxDepth=3, seed=42).fit(train))):
+        out[name] = model.transform(test).select("sample_id", "label", vector_to_array("probability")[1].alias("score"))
+    near = nearest(test.select("sample_id", "vector"), train.select("sample_id", "vector"), [], neighbours, "cosine")
+    votes = near.join(train.select(F.col("sample_id").alias("bank_id"), F.col("label").alias("near_label")), "bank_id").groupBy("sample_id").agg(F.avg("near_label").alias("score"))
+    out["knn"] = test.select("sample_id", "label").join(votes, "sample_id")
+    return out
+
+
+def compare(vectors: DataFrame, folds: DataFrame, k: int, gbt_rounds: int = 10, inner: int = 3, neighbours: int = 5) -> DataFrame:
     """Test scores of logistic regression, boosted trees and k nearest
     neighbours over folds, plain and calibrated (isotonic, sigmoid).
 
     ``vectors``: sample_id, glass, is_positive, vector; ``folds``: glass, fold.
-    Rows: fold, model, calibration, sample_id, is_positive, score.  Features are
-    standardised on the training folds; calibration maps are fitted on them too.
+    Rows: fold, model, calibration, sample_id, is_positive, score.  Calibration
+    maps are cross-fitted: the training glasses of a fold are cut into ``inner``
+    parts, and each part is scored by models of the others.
     """
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
+    if inner < 2:
+        raise ValueError("cross-fitting takes two parts or more")
     data = vectors.join(folds.select("glass", "fold"), "glass").select(
-        "sample_id", "fold", F.col("is_positive").cast("double").alias("label"), array_to_vector(F.col("vector").cast("array<double>")).alias("raw"), "vector"
+        "sample_id", "fold", (seeded_number("glass", seed=7) % inner).alias("part"), F.col("is_positive").cast("double").alias("label"),
+        array_to_vector(F.col("vector").cast("array<double>")).alias("raw"), "vector",
     )
     out = None
     for fold in range(k):
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        train, test = scaler.transform(train), scaler.transform(test)
-        both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-        scored = {}
-        for name, model in (("logreg", fit_logreg(train)), ("gbt", GBTClassifier(maxIter=gbt_rounds, maxDepth=3, seed=42).fit(train))):
-            scored[name] = model.transform(both).select("sample_id", "part", "label", vector_to_array("probability")[1].alias("score"))
-        near = nearest(both.select("sample_id", "vector"), train.select("sample_id", "vector"), [], 8, "cosine").where("sample_id <> bank_id")
-        votes = near.join(train.select(F.col("sample_id").alias("bank_id"), F.col("label").alias("near_label")), "bank_id").groupBy("sample_id").agg(F.avg("near_label").alias("score"))
-        scored["knn"] = both.select("sample_id", "part", "label").join(votes, "sample_id")
-        for name, rows in scored.items():
-            fit_on = rows.where("part = 'train'")
-            shaped = rows.withColumn("x", array_to_vector(F.array("score")))
+        parts = [base_scores(train.where(F.col("part") != p), train.where(F.col("part") == p), gbt_rounds, neighbours) for p in range(inner)]
+        for name, rows in base_scores(train, test, gbt_rounds, neighbours).items():
+            fit_on = parts[0][name]
+            for other in parts[1:]:
+                fit_on = fit_on.unionByName(other[name])
+            shaped = lambda df: df.withColumn("x", array_to_vector(F.array("score")))
             maps = {
                 "none": rows.select("*", F.col("score").alias("final")),
                 "isotonic": IsotonicRegression(featuresCol="score", predictionCol="final").fit(fit_on).transform(rows),
-                "sigmoid": LogisticRegression(featuresCol="x").fit(shaped.where("part = 'train'")).transform(shaped).withColumn("final", vector_to_array("probability")[1]),
+                "sigmoid": LogisticRegression(featuresCol="x").fit(shaped(fit_on)).transform(shaped(rows)).withColumn("final", vector_to_array("probability")[1]),
             }
             for kind, done in maps.items():
-                one = done.where("part = 'test'").select(
+                one = done.select(
                     F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.lit(kind).alias("calibration"), "sample_id", F.col("label").cast("int").alias("is_positive"), F.col("final").alias("score")
                 )
                 out = one if out is None else out.unionByName(one)
     return out
 
 
+def compare_metrics(scored: DataFrame) -> DataFrame:
+    """Per model and calibration n, positives, AUC (ties count half), Brier score and log loss; no group is ranked in one task."""
+    keys = ["model", "calibration"]
+    hist = scored.groupBy(*keys, "score").agg(F.sum("is_positive").alias("pos"), F.count_if(F.col("is_positive") == 0).alias("neg"))
+    below = ranks.running_sums(hist, keys, "score", ["neg"])
+    wins = below.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("wins"))
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("score")))
+    sums = scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_positive").alias("positives"), F.avg(F.pow(F.col("score") - F.col("is_positive"), F.lit(2))).alias("brier"),
+        F.avg(-F.when(F.col("is_positive") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss"),
+    )
+    pairs = F.col("positives") * (F.col("n") - F.col("positives"))
+    return sums.join(wins, keys).select(*keys, "n", "positives", F.when(pairs > 0, F.col("wins") / pairs).alias("auc"), "brier", "log_loss")
+
+
 def knn_score(train: DataFrame, test: DataFrame, k: int = 7) -> DataFrame:
     """Share of positives among the k nearest by cosine."""
     near = nearest(test, train, [], k, "cosine").join(

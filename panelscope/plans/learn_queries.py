@@ -117,11 +117,25 @@ def m10(d):
     return L.fit_logreg(known).transform(known).where("prediction IN (0.0, 1.0)").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
 
 
+@query("M10_scores")
+def m10_scores(d):
+    """A score and prediction per sample; tested against a plain fit."""
+    known = labelled(d)
+    return L.logreg_scores(known, known).select("sample_id", "label", "prediction", "score")
+
+
+@query("M04_scores")
+def m04_scores(d):
+    """The manifest's rows with their scores."""
+    known = labelled(d)
+    return L.classify_manifest(d.manifest, known.select("crop_path", "features"), L.fit_logreg(known), "over_surface_dirt").select("line_no", "crop_path", "is_positive", "score")
+
+
 @query("M15_compare", """SELECT model, calibration, count(*) AS n, CAST(count(*) FILTER (label = 'true_ng') AS BIGINT) AS positives
 FROM samples, (SELECT unnest(['logreg', 'gbt', 'knn']) AS model), (SELECT unnest(['none', 'isotonic', 'sigmoid']) AS calibration) GROUP BY 1, 2""")
 def m15(d):
     data = d.samples.withColumn("is_positive", (F.col("label") == "true_ng").cast("int"))
-    scored = L.compare(data, L.group_folds(d.samples, 2), 2, 2)
+    scored = L.compare(data, L.group_folds(d.samples, 2), 2, 2, inner=2)
     return scored.where("score BETWEEN 0 AND 1").groupBy("model", "calibration").agg(F.count(F.lit(1)).alias("n"), F.sum("is_positive").alias("positives"))
 
 
