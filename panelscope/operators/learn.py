@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelscope.operators import ranks
 from panelscope.operators.nearest import UNIT, nearest
+from panelscope.session import cut_lineage
 
 
 def seeded_key(*cols: str, seed: int = 42) -> Column:
@@ -191,27 +192,32 @@ def compare(vectors: DataFrame, folds: DataFrame, k: int, gbt_rounds: int = 10,
 
     if inner < 2:
         raise ValueError("cross-fitting takes two parts or more")
-    data = vectors.join(folds.select("glass", "fold"), "glass").select(
+    # read by every fit, so both are tables: the rows, and all scores of a fold
+    data = cut_lineage(vectors.join(folds.select("glass", "fold"), "glass").select(
         "sample_id", "fold", (seeded_number("glass", seed=7) % inner).alias("part"), F.col("is_positive").cast("double").alias("label"),
         array_to_vector(F.col("vector").cast("array<double>")).alias("raw"), "vector",
-    )
+    ), "compare-rows")
     out = None
     for fold in range(k):
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        parts = [base_scores(train.where(F.col("part") != p), train.where(F.col("part") == p), gbt_rounds, neighbours) for p in range(inner)]
-        for name, rows in base_scores(train, test, gbt_rounds, neighbours).items():
-            fit_on = parts[0][name]
-            for other in parts[1:]:
-                fit_on = fit_on.unionByName(other[name])
-            shaped = lambda df: df.withColumn("x", array_to_vector(F.array("score")))
+        halves = [(train.where(F.col("part") != p), train.where(F.col("part") == p), False) for p in range(inner)] + [(train, test, True)]
+        both = None
+        for known, asked, is_test in halves:
+            for name, rows in base_scores(known, asked, gbt_rounds, neighbours).items():
+                one = rows.select(F.lit(name).alias("model"), F.lit(is_test).alias("is_test"), "sample_id", "label", "score")
+                both = one if both is None else both.unionByName(one)
+        both = cut_lineage(both.withColumn("x", array_to_vector(F.array("score"))), "compare-scores")
+        for name in ("logreg", "gbt", "knn"):
+            rows = both.where((F.col("model") == name) & F.col("is_test"))
+            fit_on = both.where((F.col("model") == name) & ~F.col("is_test"))
             maps = {
                 "none": rows.select("*", F.col("score").alias("final")),
                 "isotonic": IsotonicRegression(featuresCol="score", predictionCol="final").fit(fit_on).transform(rows),
-                "sigmoid": LogisticRegression(featuresCol="x").fit(shaped(fit_on)).transform(shaped(rows)).withColumn("final", vector_to_array("probability")[1]),
+                "sigmoid": LogisticRegression(featuresCol="x").fit(fit_on).transform(rows).withColumn("final", vector_to_array("probability")[1]),
             }
             for kind, done in maps.items():
                 one = done.select(
-                    F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.lit(kind).alias("calibration"), "sample_id", F.col("label").cast("int").alias("is_positive"), F.col("final").alias("score")
+                    F.lit(fold).alias("fold"), "model", F.lit(kind).alias("calibration"), "sample_id", F.col("label").cast("int").alias("is_positive"), F.col("final").alias("score")
                 )
                 out = one if out is None else out.unionByName(one)
     return out
