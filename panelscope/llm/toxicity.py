@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 from typing import NamedTuple
 
@@ -83,11 +83,12 @@ def steps(counts: dict, total: int) -> Iterator[tuple]:
             yield base, -r
 
 
-def count_bases(text: bytes, wanted: dict[bytes, list] | None = None) -> tuple[Counter, int]:
+def count_bases(text: bytes, of: Callable[[bytes], Iterable[str]] = bases) -> tuple[Counter, int]:
+    """How often each base of a text occurs, and its number of words."""
     ws = words(text)
     out: Counter = Counter()
     for w, n in Counter(ws).items():
-        for base in bases(w) if wanted is None else wanted.get(w, ()):
+        for base in of(w):
             out[base] += n
     return out, len(ws)
 
@@ -132,13 +133,16 @@ def build_index(vectors: list[tuple[np.ndarray, np.ndarray]], features: int) ->
     rare = rare[np.argsort(at[rare], kind="stable")]
     start = np.searchsorted(at[rare], np.arange(features + 1))
     return Index(np.append(0, np.cumsum(sizes)), at.astype(np.int32), value, row, blocks, blocks.max(axis=2).T if count else np.zeros((len(often), 0), np.float32),
-                 start, place[doc[rare]].astype(np.int32), value[rare], order, n)
+                 start, place[doc[rare]], value[rare], order, n)
 
 
 def runs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Numbers of all ranges, one range after the other."""
     n = high - low
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    ends = np.cumsum(n)
+    out = np.repeat(low - ends + n, n)
+    out += np.arange(len(out))
+    return out
 
 
 def nearest_of(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None, met: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
@@ -168,12 +172,11 @@ def nearest_of(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: in
             own = skip[i] >= 0 and done[i, skip[i] // SIZE]
             return float(np.partition(some, len(some) - k - own)[len(some) - k - own]) - SLACK if len(some) >= k + own else 0.0
 
-        least = np.zeros(len(part))
-        for i in range(len(part)):
-            for b in np.argsort(-bound[i], kind="stable")[:FIRST]:
-                score[i, b] += often[i] @ index.blocks[b]
-                done[i, b] = True
-            least[i] = kth(i)
+        np.put_along_axis(done, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        for b in np.flatnonzero(done.any(axis=0)):
+            own = np.flatnonzero(done[:, b])
+            score[own, b] += often[own] @ index.blocks[b]
+        least = np.array([kth(i) for i in range(len(part))])
         for b in range(count):
             left = np.flatnonzero(~done[:, b] & (bound[:, b] + SLACK >= least))
             if len(left):
@@ -284,10 +287,6 @@ def joined(found: np.ndarray, idf: np.ndarray, features: int) -> tuple[np.ndarra
     return at, np.concatenate([some, rest])
 
 
-def _numbers(counts: Counter, total: int, feature: dict) -> list[int]:
-    return [feature[s] for s in steps(counts, total) if s in feature]
-
-
 def sample_labelled(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
     """doc_id, toxic, text, weight of about ``examples`` labelled rows that may be learned from.
 
@@ -312,19 +311,35 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, examples: int) -> DataFr
     return stored(texts.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text", (1 / F.col("part")).alias("weight")), "toxicity-examples")
 
 
+def g_statistic(clean: Column, toxic: Column, n0: float, n1: float) -> Column:
+    """Of a term in ``clean`` of ``n0`` and ``toxic`` of ``n1`` examples."""
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    n, every = n0 + n1, clean + toxic
+    return 2 * (
+        term(toxic, every * n1 / n) + term(clean, every * n0 / n) + term(n1 - toxic, (n - every) * n1 / n) + term(n0 - clean, (n - every) * n0 / n)
+    )
+
+
 def choose_features(sample: DataFrame, least: float = LEAST_G) -> list[tuple[str, int]]:
-    """Steps that occur more in toxic examples, by G statistic."""
+    """Steps that occur more in toxic examples, by G statistic.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[tuple, list[int]] = {}
+    A step is in no more toxic examples than its base, and its G statistic is
+    greatest where no clean one has it: bases that cannot reach ``least`` even
+    so are left out before steps are counted.
+    """
+
+    def count_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
         for part in slices(batches):
-            for toxic, text in zip(part.column(1).to_pylist(), rows_of(part)):
-                for step in steps(*count_bases(text)):
-                    count.setdefault(step, [0, 0])[int(toxic > 0)] += 1
+            for text in rows_of(part):
+                count.update(count_bases(text)[0].keys())
             if len(count) > 300_000:
-                yield rows(count)
-                count = {}
-        yield rows(count)
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["base", "toxic"])
+                count = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["base", "toxic"])
 
     def rows(count: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -336,18 +351,30 @@ def choose_features(sample: DataFrame, least: float = LEAST_G) -> list[tuple[str
     n0, n1 = float(total["c"]), float(total["t"])
     if not n0 or not n1:
         return []
-    part = sample.mapInArrow(run, "base string, step int, clean bigint, toxic bigint").groupBy("base", "step").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    part = part.where(F.col("b") / n1 > 2 * F.col("a") / n0)
+    some = sample.where("toxic > 0").select("text").mapInArrow(count_toxic, "base string, toxic bigint").groupBy("base").agg(F.sum("toxic").alias("b"))
+    some = some.where(g_statistic(F.lit(0.0), F.col("b"), n0, n1) >= least - 1e-6)
+    # bounded by the sample
+    able = sample.sparkSession.sparkContext.broadcast(frozenset(some.select("base").toArrow().column(0).to_pylist()))
 
-    def term(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[tuple, list[int]] = {}
+        wanted, known = able.value, {}
 
-    every = F.col("a") + F.col("b")
-    g = 2 * (
-        term(F.col("b"), every * n1 / (n0 + n1)) + term(F.col("a"), every * n0 / (n0 + n1))
-        + term(n1 - F.col("b"), (n0 + n1 - every) * n1 / (n0 + n1)) + term(n0 - F.col("a"), (n0 + n1 - every) * n0 / (n0 + n1))
-    )
-    best = part.withColumn("g", g).where(F.col("g") >= least)
+        def of(w: bytes) -> tuple:
+            if w not in known:
+                known[w] = tuple(b for b in bases(w) if b in wanted)
+            return known[w]
+
+        for part in slices(batches):
+            for toxic, text in zip(part.column(0).to_pylist(), rows_of(part)):
+                for step in steps(*count_bases(text, of)):
+                    count.setdefault(step, [0, 0])[int(toxic > 0)] += 1
+            if len(known) > 400_000:
+                known.clear()
+        yield rows(count)  # a few steps per base
+
+    part = sample.select("toxic", "text").mapInArrow(run, "base string, step int, clean bigint, toxic bigint").groupBy("base", "step").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    best = part.where((F.col("b") / n1 > 2 * F.col("a") / n0) & (g_statistic(F.col("a"), F.col("b"), n0, n1) >= least))
     return sorted((r["base"], r["step"]) for r in best.select("base", "step").collect())
 
 
@@ -365,49 +392,84 @@ def vocabulary_of(sample: DataFrame) -> list[bytes]:
     return sorted(set().union(*(zlib.decompress(p).split(b"\n") for p in parts)) - {b""})
 
 
-def inverse_frequencies(docs: DataFrame, terms: Broadcast, size: int) -> np.ndarray:
-    """Over all documents."""
+def pack(found: np.ndarray) -> bytes:
+    """``found`` in few bytes: gaps between terms, and counts."""
+    both = found.copy()
+    both[0, 1:] = np.diff(found[0])
+    return zlib.compress(both.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    both = np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, -1).copy()
+    both[0] = np.cumsum(both[0])
+    return both
+
+
+def number_texts(docs: DataFrame, terms: Broadcast) -> DataFrame:
+    """doc_id, held_out, found: each text read once, as a table of its packed terms; null ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = Words(*terms.value), np.zeros(size + 1, np.int64)
+        known = Words(*terms.value)
         for part in slices(batches):
-            for text in rows_of(part):
-                count[known.numbers(text)[0]] += 1
+            found = pa.array([pack(known.numbers(text)) for text in rows_of(part)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["doc_id", "held_out", "found"])
+
+    held = (F.coalesce(remainder(F.col("doc_id"), 4), F.lit(2)) == 2).alias("held_out")
+    rows = docs.select(F.col("doc_id").cast("long"), held, "text")
+    return stored(rows.mapInArrow(run, "doc_id bigint, held_out boolean, found binary"), "toxicity-terms")
+
+
+def inverse_frequencies(numbered: DataFrame, size: int) -> np.ndarray:
+    """Over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(size + 1, np.int64)
+        for part in batches:
+            for packed in part.column(0).to_pylist():
+                count[unpack(packed)[0]] += 1
             count[size] += part.num_rows
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["feature", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    rows = numbered.select("found").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(size + 1)
     n[rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
     return np.log((1 + n[-1]) / (1 + n[:-1])) + 0.05
 
 
 class Words:
-    """A text's toxic-leaning steps and words: numbers and counts; which bases a word has is remembered per word."""
+    """A text's toxic-leaning steps and words: numbers and counts; what a word stands for is remembered."""
 
     def __init__(self, feature: dict, vocabulary: Dictionary):
-        self.feature, self.vocabulary, self.bases, self.known = feature, vocabulary.numbers, {b for b, _ in feature}, {}
+        self.vocabulary, self.known = vocabulary.numbers, {}
+        #: steps of each base: least count or, below 0, least rate, and number
+        self.steps: dict[str, list[tuple[int, int]]] = {}
+        for (base, step), k in feature.items():
+            self.steps.setdefault(base, []).append((step, k))
 
     def numbers(self, text: bytes) -> np.ndarray:
         ws = words(text)
         if len(self.known) > 400_000:
             self.known = {}
-        counts: Counter = Counter()
-        known, number, plain, times = self.known, self.vocabulary.get, [], []
+        counts: dict[str, int] = {}
+        known, at, times, total = self.known, [], [], len(ws)
         for w, n in Counter(ws).items():
             found = known.get(w)
             if found is None:
-                known[w] = found = tuple(b for b in bases(w) if b in self.bases)
-            for b in found:
-                counts[b] += n
-            k = number(w)
+                known[w] = found = self.vocabulary.get(w), tuple(b for b in bases(w) if b in self.steps)
+            k, own = found
+            for b in own:
+                counts[b] = counts.get(b, 0) + n
             if k is not None:
-                plain.append(k)
+                at.append(k)
                 times.append(n)
-        some = _numbers(counts, len(ws), self.feature)
-        both = np.array([some + plain, [1] * len(some) + times], np.int32)
-        return both[:, np.argsort(both[0])]
+        for b, n in counts.items():
+            for step, k in self.steps[b]:
+                if n >= step if step > 0 else n * 1000 >= -step * total:
+                    at.append(k)
+                    times.append(1)
+        both = np.array([at, times], np.int32)
+        return both[:, both[0].argsort()]
 
 
 def votes_of_examples(spark: SparkSession, shared: Broadcast, n: int, neighbours: int) -> np.ndarray:
@@ -430,6 +492,12 @@ def votes_of_examples(spark: SparkSession, shared: Broadcast, n: int, neighbours
 
 def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Broadcast, Broadcast, Calibration] | None:
     """Terms, model and what its votes say."""
+    learned = learn_and_number(docs, labels, examples, neighbours)
+    return learned and learned[:3]
+
+
+def learn_and_number(docs: DataFrame, labels: DataFrame, examples: int, neighbours: int) -> tuple[Broadcast, Broadcast, Calibration, DataFrame] | None:
+    """``learn``, and the table of ``number_texts``."""
     spark = docs.sparkSession
     sample = sample_labelled(docs, labels, examples)
     feature = {f: i for i, f in enumerate(choose_features(sample))}
@@ -447,7 +515,8 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["found"]))
-    idf = inverse_frequencies(docs, terms, len(feature) + vocabulary.size)
+    numbered = number_texts(docs, terms)
+    idf = inverse_frequencies(numbered, len(feature) + vocabulary.size)
     none, some = [r for r in rows if not r["found"]], [r for r in rows if r["found"]]
     model = Model(len(feature), idf, some)
     shared, toxic, weight = spark.sparkContext.broadcast(model), model.toxic, model.weight
@@ -455,7 +524,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbou
     at = np.flatnonzero(~np.isnan(own))
     ends, values = isotonic(own[at], toxic[at], weight[at]) if len(at) else (np.zeros(1), np.zeros(1))
     without = (sum(r["weight"] * (r["toxic"] > 0) for r in none) + 0.5) / (sum(r["weight"] for r in none) + 5)
-    return terms, shared, Calibration(ends, values, without)
+    return terms, shared, Calibration(ends, values, without), numbered
 
 
 def scores_of(model: Model, says: Calibration, found: list[np.ndarray], neighbours: int) -> Iterator[tuple[float, list[int]]]:
@@ -475,27 +544,27 @@ def scores_of(model: Model, says: Calibration, found: list[np.ndarray], neighbou
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples); one row per document."""
-    terms, shared, says = learn(docs, labels, examples, neighbours) or (None, None, None)
+    learned = learn_and_number(docs, labels, examples, neighbours)
+    if not learned:
+        held = (F.coalesce(remainder(F.col("doc_id"), 4), F.lit(2)) == 2).alias("held_out")
+        return docs.select(F.col("doc_id").cast("long"), held, F.lit(0.0).alias("score"), F.lit(int(threshold <= 0)).alias("predicted"), F.array().cast("array<bigint>").alias("evidence"))
+    _, shared, says, numbered = learned
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value if shared else None
-        known, seen = Words(*terms.value) if model else None, {}
-        for part in slices(batches):
-            results = [(0.0, [])] * part.num_rows
-            if model:
-                found = [known.numbers(text) for text in rows_of(part)]
-                keys = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found]
-                if len(seen) > 50_000:
-                    seen.clear()
-                new = {k: f for k, f in zip(keys, found) if k not in seen}
-                seen.update(zip(new, scores_of(model, says, list(new.values()), neighbours)))
-                results = [seen[k] for k in keys]
+        model, seen = shared.value, {}
+        for part in slices(batches, "found"):
+            found = part.column(2).to_pylist()
+            keys = [hashlib.blake2b(f, digest_size=16).digest() for f in found]
+            if len(seen) > 50_000:
+                seen.clear()
+            new = {k: unpack(f) for k, f in zip(keys, found) if k not in seen}
+            seen.update(zip(new, scores_of(model, says, list(new.values()), neighbours)))
+            results = [seen[k] for k in keys]
             scores = [min(1.0, max(0.0, s)) for s, _ in results]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([e for _, e in results], pa.list_(pa.int64()))],
                 schema=schema,
             )
 
-    held = (F.coalesce(remainder(F.col("doc_id"), 4), F.lit(2)) == 2).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), held, "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>")
+    return numbered.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>")
