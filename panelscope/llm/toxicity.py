@@ -162,7 +162,9 @@ def nearest_of(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: in
             low, high = index.start[at], index.start[at + 1]
             there = runs(low, high)
             if len(there):
-                score[i] = np.bincount(index.places[there], index.values[there] * np.repeat(weight, high - low), count * SIZE).reshape(count, SIZE)
+                add = np.repeat(weight, high - low)
+                add *= index.values.take(there, mode="clip")
+                score[i] = np.bincount(index.places.take(there, mode="clip"), add, count * SIZE).reshape(count, SIZE)
         bound = often @ index.most + score.max(axis=2, initial=0)
         skip = np.array([-1 if leave_out is None or leave_out[base + i] < 0 else place[leave_out[base + i]] for i in range(len(part))])
         done = np.zeros((len(part), count), bool)
@@ -192,7 +194,10 @@ def nearest_of(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: in
             wanted[at] = weight
             low, high = index.bounds[may], index.bounds[may + 1]
             there = runs(low, high)
-            exact = np.bincount(np.repeat(np.arange(len(may)), high - low), index.weights[there] * wanted[index.terms[there]], len(may)).round(12)
+            product = wanted.take(index.terms.take(there, mode="clip"), mode="clip")
+            product *= index.weights.take(there, mode="clip")
+            # a candidate has a term at least: its score is above 0
+            exact = np.add.reduceat(product, np.cumsum(high - low) - (high - low)).round(12) if len(may) else np.zeros(0)
             wanted[at] = 0
             best = np.lexsort((may, -exact))[:k]
             yield [(s, m) for s, m in zip(exact[best].tolist(), may[best].tolist()) if s > 0]
